@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, packing, sharding
+from . import bpe, gif, ngram_join, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op4_best_two_fit_packing": packing.op4_best_two_fit_packing,
     "op7_hash_tree_sharding": sharding.op7_hash_tree_sharding,
     "op8_gif_columns": gif.op8_gif_columns,
+    "op10_grouped_prefix_join": ngram_join.op10_grouped_prefix_join,
 }
 
 SQL: dict[str, Callable[[], str]] = {
