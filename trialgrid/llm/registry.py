@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, ngram_join, packing, sharding
+from . import bpe, gif, ngram_join, packing, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op4_best_two_fit_packing": packing.op4_best_two_fit_packing,
     "op7_hash_tree_sharding": sharding.op7_hash_tree_sharding,
     "op8_gif_columns": gif.op8_gif_columns,
+    "op9_string_kernel_toxicity": toxicity.op9_string_kernel_toxicity,
     "op10_grouped_prefix_join": ngram_join.op10_grouped_prefix_join,
 }
 
