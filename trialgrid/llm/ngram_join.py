@@ -53,6 +53,9 @@ class _Words(dict):
         return h
 
 
+_words = _Words()  # a worker's, kept from one task to the next
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
@@ -93,7 +96,7 @@ def frequent_cells(docs: DataFrame, n: int) -> bytes:
     """A bit for each counter: whether n-grams that fall on it are frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cells = _Words(), np.zeros(CELLS, np.int64)
+        words, cells = _words, np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = ngram_hashes(text, n, words)
@@ -133,7 +136,7 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> Dat
     flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = _words
         often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
             size, node, group, prefix = [], [], [], []
@@ -153,7 +156,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """node, items (sorted set as bytes) of the documents in ids (doc_id, node)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = _words
         for batch in batches:
             items = [np.unique(ngram_hashes(t, n, words)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["node", "items"])

@@ -73,11 +73,17 @@ class WordEncoder:
             return b"".join([known[w] if w in known else own[w] for w in words])
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """A worker's encoder, kept from one task to the next."""
+    return WordEncoder(path)
+
+
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): each document's tokens and the separator, cut at the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(tokenizer), np.array([separator], dtype="<u4").tobytes()
+        encoder, tail = word_encoder(tokenizer), np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):

@@ -5,8 +5,9 @@ the stretches it spans, so gaps and inserted letters cost a little and do not br
 taken as 0 where the longest common subsequence holds less than SHARE of the landmark. Landmarks are words of the
 training rows, those that tell toxic rows from others best; with K the kernel among landmarks, a string's features are
 K^(-1/2) times its kernels with the landmarks. A linear machine on them is trained on sentences: one is as toxic as
-its worst word, the word that stands for a toxic row is chosen anew in each round, words of clean rows are all
-negative. A logistic curve through the training rows' margins makes scores of them.
+its worst word, the words that stand for a toxic row are chosen anew in each round and joined by copies with a
+letter put in; words of clean rows are all negative. A logistic curve through the training rows' margins makes scores of them (toxic
+rows without any suspicious word are left out there, the copies with a letter put in take part).
 
 Words are tokens between white space, in lower case and without all but letters and digits, so that marks between
 letters vanish; runs of single characters are also read as one word; longer words are read in overlapping windows.
@@ -20,6 +21,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -155,6 +157,12 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 60) ->
     return w
 
 
+def _with_insertions(word: str) -> list[str]:
+    """The word with one letter put in at each inner place: the one before it, or one that is no part of the word."""
+    other = next(c for c in "xqzjkv" if c not in word)
+    return sorted({word[:i] + c + word[i:] for i in range(1, len(word)) for c in (word[i - 1], other)})
+
+
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's steps, slightly shrunk."""
     a, b = 1.0, 0.0
@@ -183,7 +191,8 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     gain = {w: c / n1 - clean[w] / n0 for w, c in toxic.items() if c >= 3 and c / n1 > 3 * clean[w] / n0}
     deviation = {w: g / np.sqrt((toxic[w] + clean[w]) * (1 - (toxic[w] + clean[w]) / len(y)) + 1) * len(y) for w, g in gain.items() if len(w) >= 4}
-    chosen = sorted(deviation, key=lambda w: (-deviation[w], w))[: landmarks // 2]
+    strong = max(gain.values(), default=0.0) / 4
+    chosen = [w for w in sorted(deviation, key=lambda w: (-deviation[w], w)) if gain[w] >= strong][: landmarks // 2]
     if not chosen:
         return empty
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in chosen][: landmarks - len(chosen)]
@@ -192,31 +201,37 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     gram = (gram + gram.T) / 2
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    every = sorted({w for own in words for w in own})
+    gapped = {v: w for w in chosen for v in _with_insertions(w)}
+    every = sorted({w for own in words for w in own} | set(gapped))
     kernels = model.kernels(every)
     near = np.flatnonzero(kernels[:, : len(chosen)].max(axis=1) > 0)
     place = {every[i]: k for k, i in enumerate(near)}
     x = np.hstack([kernels[near] @ root, np.ones((len(near), 1))])
     own = [np.array([place[w] for w in ws if w in place], int) for ws in words]
     negative = np.unique(np.concatenate([o for o, label in zip(own, y) if not label] or [np.zeros(0, int)]))
-    rating = np.array([deviation.get(every[i], 0.0) for i in near])
+    rating = np.array([1.0 if every[i] in chosen else -1.0 for i in near])
+    variants: dict[str, list[int]] = {}
+    for v, base in gapped.items():
+        if v in place and place[v] not in set(negative.tolist()):
+            variants.setdefault(base, []).append(place[v])
     w = np.zeros(x.shape[1])
     for turn in range(3):
         rate = rating if turn == 0 else x @ w
-        witness, times = np.unique([o[np.argmax(rate[o])] for o, label in zip(own, y) if label and len(o)], return_counts=True)
-        if turn:
-            rated = rate[witness] > -0.5  # a row whose words are all clean has no witness
-            witness, times = witness[rated], times[rated]
+        stands = [o[rate[o] > 0] if (rate[o] > 0).any() else o[rate[o] > -0.5][:1] for o, label in zip(own, y) if label and len(o)]
+        witness, times = np.unique(np.concatenate(stands or [np.zeros(0, int)]).astype(int), return_counts=True)
+        spelled = np.array([v for i in witness for v in variants.get(every[near[i]], ())], int)
         zero = np.zeros((1, x.shape[1]))
         zero[0, -1] = 1
         hard = negative[np.argsort(-(x @ w)[negative] if turn else -kernels[near][negative].max(axis=1))][:2000]
-        data = np.vstack([x[witness], x[hard], zero])
-        sign = np.concatenate((np.ones(len(witness)), -np.ones(len(hard) + 1)))
-        cost = np.concatenate((10.0 * np.minimum(times, 20), np.full(len(hard), 20.0), [20.0]))
+        data = np.vstack([x[witness], x[spelled], x[hard], zero])
+        sign = np.concatenate((np.ones(len(witness) + len(spelled)), -np.ones(len(hard) + 1)))
+        cost = np.concatenate((10.0 * np.minimum(times, 20), np.full(len(spelled), 20.0), np.full(len(hard), 20.0), [20.0]))
         w = _hinge(data, sign, cost)
     model.weights, model.bias = root @ w[:-1], float(w[-1])
     margin = np.array([max([model.bias, *(x[o] @ w)]) for o in own])
-    model.slope, model.offset = _logistic(margin, y.astype(float))
+    told = (y == 0) | (margin > 0)  # nothing in a toxic row of clean words alone can tell it from a clean one
+    gapped_margin = x[spelled] @ w
+    model.slope, model.offset = _logistic(np.concatenate((margin[told], gapped_margin)), np.concatenate((y[told], np.ones(len(spelled)))))
     return model
 
 
@@ -235,17 +250,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit(rows)
 
 
+@functools.lru_cache(maxsize=1)
+def _word_scores(model: str) -> dict[str, float]:
+    """Margins that a worker has found with a model, kept from one task to the next."""
+    return {}
+
+
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, worst (the word that made the score; null if none is suspicious)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS words and weights
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
+        known = _word_scores(repr((model.landmarks, model.weights.tolist(), model.bias)))
         floor = model.bias
         for batch in batches:
             found = [tokens(t) for t in batch.column(1).to_pylist()]
             if len(known) > WORD_TABLE:
-                known = {}
+                known.clear()
             new: set[str] = set()
             best: list[float] = []
             worst: list[str | None] = []
