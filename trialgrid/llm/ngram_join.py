@@ -347,5 +347,12 @@ def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     return placed.join(least, "_class", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
+def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without the rows that are linked to one of a smaller id; rows without words all stay."""
+    classes = jaccard_classes(df, n, percent, id_col, text_col)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))

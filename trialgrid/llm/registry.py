@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, gif, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, gif, line_dedup, ngram_join, packing, pii, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op3_collision_counting": embedding_dedup.op3_collision_counting,
     "op4_best_two_fit_packing": packing.op4_best_two_fit_packing,
+    "op5_weak_supervision_pii": pii.op5_weak_supervision_pii,
     "op6_log_template_lines": line_dedup.op6_log_template_lines,
     "op7_hash_tree_sharding": sharding.op7_hash_tree_sharding,
     "op8_gif_columns": gif.op8_gif_columns,

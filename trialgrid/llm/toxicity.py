@@ -256,54 +256,71 @@ def _word_scores(model: str) -> dict[str, float]:
     return {}
 
 
+def rate_texts(model: Model, texts: list[str | None]) -> tuple[list[float], list[str | None]]:
+    """Score and worst word of each text; words that were met before are looked up."""
+    known = _word_scores(repr((model.landmarks, model.weights.tolist(), model.bias)))
+    floor = model.bias
+    if len(known) > WORD_TABLE:
+        known.clear()
+    new: set[str] = set()
+    waiting: list[set[str]] = []
+    best: list[float] = []
+    worst: list[str | None] = []
+
+    def settle() -> None:
+        words = sorted(new)
+        margins = dict.fromkeys(words, floor)
+        parts = [(w, t) for t in words for w in windows(t)]
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            for (_, t), m in zip(some, model.margins([w for w, _ in some])):
+                margins[t] = max(margins[t], float(m))
+        known.update(margins)
+        for own in waiting:
+            top = max(own, key=known.__getitem__, default=None)
+            margin = known[top] if top is not None else floor
+            best.append(model.score(margin))
+            worst.append(top if margin > floor else None)
+        new.clear()
+        waiting.clear()
+        if len(known) > 2 * WORD_TABLE:
+            known.clear()
+
+    for text in texts:
+        own = tokens(text)
+        new.update(own.difference(known) if known else own)
+        waiting.append(own)
+        if len(new) > 100_000 or len(waiting) > 2_000:
+            settle()
+    settle()
+    return best, worst
+
+
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, worst (the word that made the score; null if none is suspicious)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS words and weights
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = _word_scores(repr((model.landmarks, model.weights.tolist(), model.bias)))
-        floor = model.bias
         for batch in batches:
-            found = [tokens(t) for t in batch.column(1).to_pylist()]
-            if len(known) > WORD_TABLE:
-                known.clear()
-            new: set[str] = set()
-            best: list[float] = []
-            worst: list[str | None] = []
-            todo: list[int] = []
-
-            def settle() -> None:
-                words = sorted(new)
-                margins = dict.fromkeys(words, floor)
-                parts = [(w, t) for t in words for w in windows(t)]
-                for at in range(0, len(parts), 20_000):
-                    for (_, t), m in zip(parts[at : at + 20_000], model.margins([w for w, _ in parts[at : at + 20_000]])):
-                        margins[t] = max(margins[t], float(m))
-                known.update(margins)
-                for i in todo:
-                    top = max(found[i], key=known.__getitem__, default=None)
-                    margin = known[top] if top is not None else floor
-                    best.append(model.score(margin))
-                    worst.append(top if margin > floor else None)
-                new.clear()
-                todo.clear()
-                if len(known) > 2 * WORD_TABLE:
-                    known.clear()
-
-            for i, own in enumerate(found):
-                new.update(own.difference(known) if known else own)
-                todo.append(i)
-                if len(new) > 100_000:
-                    settle()
-            settle()
-            out = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(best, pa.float64()), pa.array([int(s >= threshold) for s in best], pa.int32()), pa.array(worst, pa.string())], ["doc_id", "held_out", "score", "predicted", "worst"])
+            best, worst = rate_texts(shared.value, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.float64()), pa.array([int(s >= threshold) for s in best], pa.int32()), pa.array(worst, pa.string())], ["doc_id", "held_out", "score", "predicted", "worst"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(rate, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int, worst string")
 
 
+def filter_clean(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df without the rows that are predicted toxic, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = rate_texts(shared.value, batch.column(text_col).to_pylist())[0]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"))
