@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, Callable[[], str]] = {}
+from .plans import queries_records, queries_runs
+
+_CATALOGS = (queries_records.catalog, queries_runs.catalog)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for c in _CATALOGS for n, q in c.queries.items()}
+SQL: dict[str, Callable[[], str]] = {n: s for c in _CATALOGS for n, s in c.sql.items()}
