@@ -13,7 +13,7 @@ from ..operators.extract import LOG_PATTERNS, log_events, with_path_info
 
 
 def scan_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with path, scenario, level, route_id, variant, seed; unreadable files as path, text).
+    """(documents with path, scenario, level, route_id, variant, seed; unreadable files as path, text, nothing_read).
 
     Files named route_*_seed{n}.json in folders named results, at any depth; NaN and infinities are read as numbers."""
     schema = StructType([*StructType.fromDDL(M.CHECKPOINT).fields, StructField("_corrupt", StringType())])
@@ -22,7 +22,7 @@ def scan_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None =
     raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(root).withColumn("path", F.col("_metadata.file_path"))
     raw = raw.where(F.col("path").rlike(r"/results/[^/]+$"))
     good = with_path_info(raw.where("_corrupt IS NULL").drop("_corrupt"), "path")
-    return good, raw.where("_corrupt IS NOT NULL").select("path", F.col("_corrupt").alias("text"))
+    return good, raw.where("_corrupt IS NOT NULL").select("path", F.col("_corrupt").alias("text"), F.col("_checkpoint").isNull().alias("nothing_read"))
 
 
 @dataclass(frozen=True)
