@@ -29,13 +29,16 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions_for, read_table
 
 CAPACITY = 2048
-WORD_TABLE = 300_000
+WORD_TABLE = 700_000
 #: Characters that str.split() takes for white space and the tokenizer's pattern does not.
 _odd_space = re.compile("[\x1c-\x1f]").search
 
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -53,24 +56,37 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str] | None:
+        """Words in the tokenizer's normal form; None if only the library can tell."""
         if _odd_space(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
+            return None
         if text.isascii():
-            words = text.lower().split()
-        else:  # lower() looks at the place of a capital sigma, the tokenizer does not
-            words = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
+            return text.lower().split()
+        # lower() looks at the place of a capital sigma, the tokenizer does not
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; new words of about a million characters at a time go to the library at once."""
+        waiting: list[tuple[str, list[str] | None]] = []
+        size = 0
+        for text in texts:
+            waiting.append((text or "", self._split(text or "")))
+            size += len(text or "")
+            if size > 1_000_000:
+                yield from self._settle(waiting)
+                waiting, size = [], 0
+        yield from self._settle(waiting)
+
+    def _settle(self, waiting: list[tuple[str, list[str] | None]]) -> list[bytes]:
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.table:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            own = dict(zip(new, self._library(new)))
-            if len(known) + len(own) <= 2 * self.table:
-                known.update(own)
-            return b"".join([known[w] if w in known else own[w] for w in words])
+        if len(known) > self.table:
+            known.clear()
+        new = list(set().union(*(own for _, own in waiting if own)).difference(known))
+        known.update(zip(new, self._library(new)))
+        return [self._library([text])[0] if own is None else b"".join([known[w] for w in own]) for text, own in waiting]
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @functools.lru_cache(maxsize=1)
@@ -86,8 +102,8 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separa
         encoder, tail = word_encoder(tokenizer), np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + tail
+            for r, own in enumerate(encoder.encode_all(batch.column(1).to_pylist())):
+                ids = own + tail
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
                     row.append(r)
