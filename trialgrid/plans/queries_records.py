@@ -911,3 +911,35 @@ def _(b: Bound) -> DataFrame:
     y = b.part.select(F.col("p_partkey").alias("k"), (F.col("p_size") / 800.0).alias("p"))
     gone = P.moved(x, y, ["k"]).select("k", F.lit(True).alias("_m"))
     return x.join(gone, "k", "left").select("k", P.stars(F.col("p")).alias("stars"), F.coalesce("_m", F.lit(False)).alias("moved"))
+
+
+# ---------------------------------------------------------------- definitions and goldens
+
+@query("s6_route_xml", """
+SELECT concat('r', run_key) AS route_id, scenario AS town, run_key % 4 + 1 AS n_points, 1 AS n_scenarios, round(driving_score, 6) AS x FROM v_rec WHERE seed = 42 AND driving_score IS NOT NULL""", "v_rec")
+def _(b: Bound) -> DataFrame:
+    """Writes definitions as XML and reads them by their schema."""
+    root = shared_path(b.spark, "definitions")
+    rows = b.v_rec.where("seed = 42 AND driving_score IS NOT NULL")
+    point = F.concat(F.lit('<position x="'), F.col("driving_score").cast("string"), F.lit('" y="2" z="0"/>'))
+    text = F.concat(
+        F.lit('<route id="r'), F.col("run_key").cast("string"), F.lit('" town="'), "scenario", F.lit('"><waypoints>'), F.repeat(point, (F.col("run_key") % 4 + 1).cast("int")),
+        F.lit('</waypoints><scenarios><scenario name="s" type="S"><blueprint value="vehicle.b1"/></scenario></scenarios></route>'),
+    )
+    files = rows.groupBy("model", "scenario").agg(F.concat(F.lit("<routes>"), F.array_join(F.collect_list(text), ""), F.lit("</routes>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(root)
+    got = readers.scan_routes(b.spark, root, glob="part-*")
+    return got.select("route_id", "town", F.size("waypoints").alias("n_points"), "n_scenarios", F.round(F.get("waypoints", F.lit(0))["_x"], 6).alias("x"))
+
+
+@query("s11_golden_bundle", """
+SELECT concat(model, '/', category) AS path, 'Perfect' AS status, count(*)::DOUBLE AS driving_score, 1.0::DOUBLE AS tolerance FROM v_rec GROUP BY model, category""", "v_rec")
+def _(b: Bound) -> DataFrame:
+    """A bundle of one entry per cell, written and loaded with all of its gates."""
+    path = shared_path(b.spark, "golden")
+    cells = b.v_rec.groupBy(F.concat_ws("/", "model", "category").alias("path")).agg(F.count("*").cast("double").alias("driving_score"))
+    entry = F.struct(F.lit("vehicle.b1").alias("expected_blueprint_id"), F.lit("Perfect").alias("status"), "driving_score", F.lit(0.0).alias("ds_spread"))
+    bundle = cells.agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("routes"))  # as many as there are cells
+    bundle.select(F.to_json(F.struct(F.lit("golden/1").alias("schema"), F.lit("1").alias("bundle_version"), F.struct(F.lit("x").alias("sha256")).alias("split"), F.struct(F.lit(1.0).alias("driving_score_abs")).alias("tolerance"), "routes")).alias("value")).write.text(path)
+    rows, problems = readers.load_golden(b.spark, path, cells, "golden/1", "x")
+    return rows.join(problems.select("path").distinct(), "path", "left_anti").select("path", "status", "driving_score", "tolerance")

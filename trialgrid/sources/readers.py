@@ -52,10 +52,10 @@ def scan_sources(spark: SparkSession, sources: list[Source], ceiling: tuple[str,
     return out
 
 
-def scan_routes(spark: SparkSession, root: str, tag: str = "blueprint") -> DataFrame:
+def scan_routes(spark: SparkSession, root: str, tag: str = "blueprint", glob: str = "*.xml") -> DataFrame:
     """path, route id, town, waypoints, trigger, weather of each definition, and how often the object's tag occurs in its text."""
-    routes = spark.read.schema(M.ROUTE).format("xml").option("rowTag", "route").option("recursiveFileLookup", True).load(root).withColumn("path", F.col("_metadata.file_path"))
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    routes = spark.read.schema(M.ROUTE).format("xml").option("rowTag", "route").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).withColumn("path", F.col("_metadata.file_path"))
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     tags = text.select("path", F.regexp_count("value", F.lit(rf"<{tag}\b")).alias("n_tags"), F.regexp_extract("value", rf"<{tag}[^>]*value=\"([^\"]*)\"", 1).alias("blueprint"))
     return routes.select(
         "path", F.col("_id").alias("route_id"), F.col("_town").alias("town"), F.col("waypoints.position").alias("waypoints"),
