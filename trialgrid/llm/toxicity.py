@@ -35,7 +35,7 @@ from .common import read_table
 
 ORDER, DECAY, SHARE = 3, 0.7, 0.6
 LANDMARKS, LETTERS = 32, 24
-MAX_ROWS = 4000
+MAX_ROWS = 3000
 WORD_TABLE = 400_000
 THRESHOLD = 0.7
 
@@ -203,33 +203,46 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
     gapped = {v: w for w in chosen for v in _with_insertions(w)}
     every = sorted({w for own in words for w in own} | set(gapped))
-    kernels = model.kernels(every)
-    near = np.flatnonzero(kernels[:, : len(chosen)].max(axis=1) > 0)
+    found, rows_near = [], []
+    for at in range(0, len(every), 50_000):  # most words are like no landmark: their kernels aren't kept
+        part = model.kernels(every[at : at + 50_000])
+        hit = np.flatnonzero(part[:, : len(chosen)].max(axis=1) > 0)
+        found.append(hit + at)
+        rows_near.append(part[hit])
+    near, near_kernels = np.concatenate(found), np.vstack(rows_near)
     place = {every[i]: k for k, i in enumerate(near)}
-    x = np.hstack([kernels[near] @ root, np.ones((len(near), 1))])
+    x = np.hstack([near_kernels @ root, np.ones((len(near), 1))])
     own = [np.array([place[w] for w in ws if w in place], int) for ws in words]
     negative = np.unique(np.concatenate([o for o, label in zip(own, y) if not label] or [np.zeros(0, int)]))
     rating = np.array([1.0 if every[i] in chosen else -1.0 for i in near])
     variants: dict[str, list[int]] = {}
+    clean_words = set(negative.tolist())
     for v, base in gapped.items():
-        if v in place and place[v] not in set(negative.tolist()):
+        if v in place and place[v] not in clean_words:
             variants.setdefault(base, []).append(place[v])
+    # what may stand for a toxic row: no word of a clean row, and nothing that a single toxic row has alone
+    rows_of = np.bincount(np.concatenate([np.zeros(0, int), *(o for o, label in zip(own, y) if label)]), minlength=len(near))
+    fair = rows_of >= 2
+    fair[negative] = False
+    fair |= rating > 0
     w = np.zeros(x.shape[1])
     for turn in range(3):
-        rate = rating if turn == 0 else x @ w
-        stands = [o[rate[o] > 0] if (rate[o] > 0).any() else o[rate[o] > -0.5][:1] for o, label in zip(own, y) if label and len(o)]
+        rate = np.where(fair, rating if turn == 0 else x @ w, -1.0)
+        stands = [o[rate[o] >= 0.5] for o, label in zip(own, y) if label and len(o)]
         witness, times = np.unique(np.concatenate(stands or [np.zeros(0, int)]).astype(int), return_counts=True)
         spelled = np.array([v for i in witness for v in variants.get(every[near[i]], ())], int)
         zero = np.zeros((1, x.shape[1]))
         zero[0, -1] = 1
-        hard = negative[np.argsort(-(x @ w)[negative] if turn else -kernels[near][negative].max(axis=1))][:2000]
+        hard = np.setdiff1d(negative, witness)
+        hard = hard[np.argsort(-(x @ w)[hard] if turn else -near_kernels[hard, : len(chosen)].max(axis=1))][:2000]
         data = np.vstack([x[witness], x[spelled], x[hard], zero])
         sign = np.concatenate((np.ones(len(witness) + len(spelled)), -np.ones(len(hard) + 1)))
         cost = np.concatenate((10.0 * np.minimum(times, 20), np.full(len(spelled), 20.0), np.full(len(hard), 20.0), [20.0]))
         w = _hinge(data, sign, cost)
     model.weights, model.bias = root @ w[:-1], float(w[-1])
     margin = np.array([max([model.bias, *(x[o] @ w)]) for o in own])
-    told = (y == 0) | (margin > 0)  # nothing in a toxic row of clean words alone can tell it from a clean one
+    stands_for = set(witness.tolist())
+    told = (y == 0) | np.array([any(i in stands_for for i in o.tolist()) for o in own])  # nothing in a toxic row of clean words alone can tell it from a clean one
     gapped_margin = x[spelled] @ w
     model.slope, model.offset = _logistic(np.concatenate((margin[told], gapped_margin)), np.concatenate((y[told], np.ones(len(spelled)))))
     return model
