@@ -1,0 +1,263 @@
+"""Repeats, near duplicates, lines, personal data, toxicity, pipeline: against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from trialgrid.llm import embedding_dedup, graph, line_dedup, ngram_join, pii, suffix_dedup, toxicity
+
+
+def repeats(rows, length=200):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
+    out = []
+    for i, b in texts:
+        covered = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                covered[k : k + length] = True
+        runs = int((np.diff(np.concatenate(([0], covered.astype(int), [0]))) == 1).sum())
+        out.append((i, len(b), int(covered.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~covered].tobytes()).hexdigest()))
+    return sorted(map(str, out))
+
+
+def shown(df):
+    return sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in df.collect())
+
+
+def test_suffix_arrays_and_common_prefixes():
+    r = random.Random(1)
+    for _ in range(120):
+        k, n = r.choice([1, 2, 3, 26, 256]), r.choice([1, 2, 3, 5, 17, 60, 300])
+        t = np.tile(np.array([r.randrange(k) for _ in range(n)], np.uint8), r.choice([1, 1, 2, 5]))
+        b, order = t.tobytes(), suffix_dedup.suffix_array(t)
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        assert order.tolist() == want
+        common = suffix_dedup.shared_prefixes(t, order)
+        for x, y in zip(want, want[1:]):
+            m = next((i for i, (p, q) in enumerate(zip(b[x:], b[y:])) if p != q), min(len(b) - x, len(b) - y))
+            assert common[y] == m
+
+
+def test_repeats_against_brute_force(spark, odd_docs, no_docs):
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdefg é") for _ in range(400))
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, word(r.randint(0, 500)) + (passage[r.randint(0, 50) : r.randint(240, 400)] if i % 3 == 0 else "") + word(50)) for i in range(60)]
+    rows += [(100, "x" * 199), (101, "x" * 200), (102, "y" * 201), (103, "ab" * 300), (103, "ab" * 300), (104, None), (None, "z" * 300), (None, "z" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown(suffix_dedup.remove_repeats(df)) == repeats(rows)
+    odd = [(d["doc_id"], d["text"]) for d in odd_docs.where("doc_id IS NULL OR doc_id NOT IN (5, 6)").collect()]
+    assert shown(suffix_dedup.remove_repeats(odd_docs.where("doc_id IS NULL OR doc_id NOT IN (5, 6)"))) == repeats(odd)
+    assert suffix_dedup.remove_repeats(no_docs).count() == 0
+
+
+def components(ids, links):
+    label = {i: i for i in ids}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_connected_components(spark):
+    r = random.Random(3)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(0, i) for i in range(1000, 1200)] + [(i, i + 1) for i in range(2000, 2060)]
+    got = {x["node"]: x["component"] for x in graph.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    want = components({x for p in links for x in p}, links)
+    assert all(got.get(i, i) == c for i, c in want.items())
+
+
+def jaccard(rows, percent=85):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()))
+    links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[x + 1 :] if s and t and 100 * len(s & t) >= percent * len(s | t)]
+    found = components({i for i, _ in sets}, links)
+    return {i: (len(s), found[i]) for i, s in sets}
+
+
+@pytest.mark.parametrize("exhaust", [4, 48])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, exhaust):
+    monkeypatch.setattr(ngram_join, "EXHAUST", exhaust)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    base = [r.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            own[r.randrange(120)] = r.choice(words)
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base[:40] + [r.choice(words) for _ in range(40)])) for i in range(30)]
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "a b c"), (205, " "), (206, "A\tb\nC")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard(rows)
+
+
+def test_jaccard_join_odd_rows(odd_docs, no_docs):
+    got = defaultdict(set)
+    for r in ngram_join.jaccard_classes(odd_docs).collect():
+        got[r["doc_id"]].add((r["n_shingles"], r["component_id"]))
+    assert got[1] == {(0, 1)} and got[8] == {(4, 7)} and got[None] == {(4, 7)} and {c for _, c in got[6]} == {5}
+    assert ngram_join.jaccard_classes(no_docs).count() == 0
+    kept = ngram_join.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 2, 3, 5, 7} and kept.where("doc_id = 8").count() == 0
+
+
+def test_near_vectors_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((30, 64))
+    rows = [(i, (centres[i % 30] + 0.1 * r.standard_normal(64) * (i % 4)).tolist(), i % 30 % 3) for i in range(400)]
+    rows += [(1000 + i, rows[0][1], 0) for i in range(20)] + [(2000, None, 0), (2001, [0.0] * 64, 0), (2002, [float("nan")] * 64, 0), (2003, rows[0][1], None), (2004, [], 0), (2005, [1e200] * 64, 1), (2006, [2e200] * 64, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, n = [], Counter()
+    fine = [(i, np.array(v), c) for i, v, c in rows if v and c is not None and np.isfinite(v).all() and any(v)]
+    unit = [(i, v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()), c) for i, v, c in fine]
+    for x, (a, u, c) in enumerate(unit):
+        for b, w, d in unit[x + 1 :]:
+            if c == d and u @ w >= 0.93:
+                links.append((a, b))
+                n[a] += 1
+                n[b] += 1
+    want = components({i for i, _, _ in rows}, links)
+    got = {x["vec_id"]: x for x in embedding_dedup.near_duplicates(df).collect()}
+    found = sum(x["n_links"] for x in got.values())
+    assert len(got) == len(rows) and found >= 0.99 * 2 * len(links) and all(got[i]["n_links"] <= n[i] for i in got)
+    assert sum(got[i]["component_id"] == want[i] for i in got) >= 0.99 * len(got) and all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got.values())
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recurring_lines(spark, odd_docs, no_docs):
+    note = "Copied on day {} by the same old tool"
+    rows = [(i, f"own words of number w{chr(97 + i)} alone\n{note.format(i)}\nshort") for i in range(6)] + [(9, None), (10, "")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert note.format(0) in got[0]["text"] and all("Copied" not in got[i]["text"] and "short" in got[i]["text"] for i in range(1, 6))
+    assert got[9]["text"] is None and got[10]["text"] == ""
+    out = line_dedup.drop_recurring_lines(odd_docs)
+    assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
+    assert line_dedup.drop_recurring_lines(no_docs).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base(t):
+    luhn = lambda d: sum(x - 9 if x > 9 else x for i, c in enumerate(reversed(d)) for x in [int(c) * (1 + i % 2)]) % 10 == 0
+    out = [(0, m.start(), m.end()) for m in EMAIL.finditer(t)] + [(1, m.start(), m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(2, m.start(), m.end()) for m in CARD.finditer(t) for d in [re.sub("[^0-9]", "", m.group())] if 16 <= len(d) <= 19 and luhn(d)]
+    return out + [(3, m.start(), m.end()) for m in PHONE.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_personal_data_base_spans_are_exact():
+    r = random.Random(2)
+    for _ in range(4000):
+        t = "".join(r.choice("0123456789 .+-()@ab.%é") for _ in range(60))
+        assert pii.base_spans(t) == base(t)
+    assert pii.base_spans("a" * 200_000 + "@") == []  # in linear time
+
+
+def test_personal_data_rows(spark, odd_docs, no_docs):
+    rows = [(300 + i, f"word another 41111111111111{i % 90 + 10} word here") for i in range(60)] + [(400, "at dot at dot"), (401, "7 8 9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(odd_docs.select("doc_id", "text"))
+    texts = defaultdict(list)
+    for d in df.collect():
+        texts[d["doc_id"]].append(d["text"] or "")
+    for r in pii.personal_data(df).collect():
+        want = base(texts[r["doc_id"]][0])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in range(4)]
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+    assert pii.personal_data(no_docs).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(odd_docs).where("doc_id = 9 OR doc_id = 1").collect()}
+    assert clean[9] == "Mail <email> or <phone>, card <card>, host <ip>" and clean[1] is None
+
+
+def test_string_kernel_against_brute_force():
+    from itertools import combinations
+
+    def plain(s, t, n=3, d=0.7):
+        def sums(s):
+            out = Counter()
+            for c in combinations(range(len(s)), n):
+                out[tuple(s[i] for i in c)] += d ** (c[-1] - c[0] + 1)
+            return out
+
+        a, b = sums(s), sums(t)
+        return sum(v * b[k] for k, v in a.items())
+
+    words = ["idiot", "idxiot", "moronic", "thlyidiot", "abc"]
+    got = toxicity.subsequence_kernel(toxicity._coded(words, 24), toxicity._coded(["idiot"], 5)[0])
+    assert np.allclose(got, [plain(w, "idiot") for w in words])
+    assert toxicity.common_subsequence(toxicity._coded(words, 24), toxicity._coded(["idiot"], 5)[0]).tolist() == [5, 5, 1, 5, 0]
+
+
+@pytest.fixture(scope="module")
+def model():
+    r = random.Random(6)
+    words = ["".join(r.choice(["an", "er", "the", "ing", "ou", "st"]) for _ in range(r.randint(2, 4))) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        own = [r.choice(words) for _ in range(40)]
+        if i % 8 == 0:
+            own += r.sample(["idiot", "stupid", "worthless", "moron"], 2)
+        rows.append((own, int(i % 8 == 0)))
+    return toxicity.fit(rows)
+
+
+def test_gapped_insults_are_found(spark, model, odd_docs, no_docs):
+    rate = lambda t: toxicity.rate_texts(model, [t])[0][0]
+    assert min(rate(t) for t in ("you idiot", "an IDIOT!", "i d i o t", "i.d.i.o.t", "idiiot", "stuupid", "m-o-r-o-n")) >= 0.7
+    assert max(rate(t) for t in ("", None, "the sting of another", "radio station", "study")) < 0.7
+    got = toxicity.score_documents(odd_docs, model).collect()
+    assert len(got) == 14 and all(0 <= r["score"] <= 1 for r in got) and {r["predicted"] for r in got if r["doc_id"] == 11} == {1}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
+    assert toxicity.score_documents(no_docs, model).count() == 0
+    clean = toxicity.filter_clean(odd_docs, model)
+    assert clean.count() == 13 and clean.columns == odd_docs.columns
+
+
+def test_one_class_gives_no_toxic_rows():
+    empty = toxicity.fit([(["a"], 0), (["b"], 0)])
+    assert toxicity.rate_texts(empty, ["you idiot", None])[0] == [0.0, 0.0] or max(toxicity.rate_texts(empty, ["you idiot", None])[0]) < 1e-6
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in P.STAGES]
+    assert names == ["toxicity", "line_dedup", "ngram_jaccard_join", "pii", "packing"]
+    from trialgrid.llm.common import materialize
+
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = materialize(stage(spark, docs, sf), "t")
+        assert out.columns == docs.columns
+        now = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert set(now) <= set(rows)
+        if name == "ngram_jaccard_join":
+            classes = jaccard(sorted(rows.items()))
+            assert set(now) == {i for i, (_, c) in classes.items() if i == c}
+        if name == "pii":
+            assert all(not base(t) for t in now.values())
+        docs, rows = out, now
+    packed = P.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in packed} == set(rows)

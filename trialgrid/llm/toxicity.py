@@ -2,7 +2,7 @@
 
 The kernel of two strings sums over all common subsequences of ORDER letters, each weighted by DECAY to the power of
 the stretches it spans, so gaps and inserted letters cost a little and do not break a match. It is normalised, and
-taken as 0 where the longest common subsequence holds less than SHARE of the landmark. Landmarks are words of the
+taken as 0 for words whose longest common subsequence with each suspicious landmark holds less than SHARE of it. Landmarks are words of the
 training rows, those that tell toxic rows from others best; with K the kernel among landmarks, a string's features are
 K^(-1/2) times its kernels with the landmarks. A linear machine on them is trained on sentences: one is as toxic as
 its worst word, the words that stand for a toxic row are chosen anew in each round and joined by copies with a
@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import read_table
 
-ORDER, DECAY, SHARE = 3, 0.7, 0.6
-LANDMARKS, LETTERS = 32, 24
-MAX_ROWS = 3000
+ORDER, DECAY, SHARE = 3, 0.7, 0.75
+LANDMARKS, LETTERS = 24, 24
+MAX_ROWS = 2000
 WORD_TABLE = 400_000
 THRESHOLD = 0.7
 
@@ -67,18 +67,19 @@ def _coded(words: list[str], size: int) -> np.ndarray:
     return out
 
 
-def common_subsequence(words: np.ndarray, landmark: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of words (rows) and one landmark, bit-parallel."""
+def common_subsequence(words: np.ndarray, landmark: np.ndarray, alphabet: int = 256) -> np.ndarray:
+    """Lengths of the longest common subsequences of words (rows of small codes) and one landmark, bit-parallel; code 0 matches nothing."""
     m = len(landmark)
     ones = np.uint32((1 << m) - 1)
+    places = np.zeros(alphabet, np.uint32)
+    for j, c in enumerate(landmark):
+        if c:
+            places[c] |= np.uint32(1 << j)
     v = np.full(len(words), ones, np.uint32)
     for column in words.T:
-        match = np.zeros(len(words), np.uint32)
-        for j, c in enumerate(landmark):
-            match |= (column == c).astype(np.uint32) << np.uint32(j)
-        u = v & match
-        v = ((v + u) | (v - u)) & ones
-    return m - np.bitwise_count(v).astype(np.int64)
+        u = v & places[column]
+        v = (v + u) | (v - u)
+    return m - np.bitwise_count(v & ones).astype(np.int64)
 
 
 def subsequence_kernel(words: np.ndarray, other: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -111,28 +112,35 @@ class Model:
     bias: float
     slope: float
     offset: float
+    suspicious: int = 0  # so many of the landmarks, the first ones, tell toxic rows
+
+    def _small(self, coded: np.ndarray) -> np.ndarray:
+        """Letters of the suspicious landmarks as small codes, all others as 0."""
+        table = np.zeros(65536, np.uint8)
+        letters = sorted({ord(c) for w in self.landmarks[: self.suspicious] for c in w if ord(c) < 65535})[:250]
+        table[letters] = np.arange(1, len(letters) + 1)
+        return table[np.minimum(coded, 65535)]
 
     def kernels(self, words: list[str]) -> np.ndarray:
-        """Normalised kernels with the landmarks."""
+        """Normalised kernels with the landmarks; none for words that are near no suspicious landmark."""
         out = np.zeros((len(words), len(self.landmarks)))
         coded = _coded(words, LETTERS)
+        small = self._small(coded)
         lengths = np.array([len(w) for w in words])
         for width in (8, 16, LETTERS):
             rows = np.flatnonzero((lengths <= width) & (lengths > {8: 0, 16: 8, LETTERS: 16}[width]))
+            like = np.zeros(len(rows), bool)
+            for z in self.landmarks[: self.suspicious]:
+                codes = self._small(_coded([z], len(z)))[0]
+                like |= common_subsequence(small[rows, :width], codes) >= max(ORDER, SHARE * len(z))
+            rows = rows[like]
             if not len(rows):
                 continue
             part = coded[rows, :width]
-            own: np.ndarray | None = None
+            own = _self_kernel(part)
             for k, landmark in enumerate(self.landmarks):
                 z = _coded([landmark], len(landmark))[0]
-                near = np.flatnonzero(common_subsequence(part, z) >= max(ORDER, SHARE * len(landmark)))
-                if len(near):
-                    if own is None:
-                        own = np.full(len(rows), np.nan)
-                    new = near[np.isnan(own[near])]
-                    own[new] = _self_kernel(part[new])
-                    zz = _self_kernel(z[None, :])[0]
-                    out[rows[near], k] = subsequence_kernel(part[near], z) / np.sqrt(own[near] * zz)
+                out[rows, k] = subsequence_kernel(part, z) / np.sqrt(np.maximum(own, 1e-300) * _self_kernel(z[None, :])[0])
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -196,8 +204,8 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     if not chosen:
         return empty
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in chosen][: landmarks - len(chosen)]
-    model = Model(chosen + common, np.zeros(len(chosen) + len(common)), 0.0, 1.0, 0.0)
-    gram = model.kernels(model.landmarks)
+    model = Model(chosen + common, np.zeros(len(chosen) + len(common)), 0.0, 1.0, 0.0, len(chosen))
+    gram = Model(model.landmarks, model.weights, 0.0, 1.0, 0.0, len(model.landmarks)).kernels(model.landmarks)
     gram = (gram + gram.T) / 2
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
@@ -206,7 +214,7 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     found, rows_near = [], []
     for at in range(0, len(every), 50_000):  # most words are like no landmark: their kernels aren't kept
         part = model.kernels(every[at : at + 50_000])
-        hit = np.flatnonzero(part[:, : len(chosen)].max(axis=1) > 0)
+        hit = np.flatnonzero(part.max(axis=1) > 0)
         found.append(hit + at)
         rows_near.append(part[hit])
     near, near_kernels = np.concatenate(found), np.vstack(rows_near)
