@@ -68,13 +68,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the text's recurring lines taken out, and the columns _n_lines and _n_dropped."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drop = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias("_drop"))  # of one document
-    joined = df.join(drop, F.col(id_col).eqNullSafe(F.col("doc")), "left").drop("doc")
+    drop = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
+    joined = df.join(drop, F.col(id_col).eqNullSafe(F.col("__gone_doc")), "left").drop("__gone_doc")
     lines, none = _lines(F.col(text_col).cast("string")), F.array().cast("array<int>")
-    gone = F.coalesce(F.col("_drop"), none)
+    gone = F.coalesce(F.col("__gone_lines"), none)
     kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_dropped": F.size(gone).cast("long"), text_col: text}).drop("_drop")
+    text = F.when(F.col("__gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_dropped": F.size(gone).cast("long"), text_col: text}).drop("__gone_lines")
 
 
 def op6_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
