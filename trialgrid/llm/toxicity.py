@@ -22,6 +22,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -165,6 +166,12 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 60) ->
     return w
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more of n at a rate p."""
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
+    return math.fsum(map(math.exp, logs))
+
+
 def _with_insertions(word: str) -> list[str]:
     """The word with one letter put in at each inner place: the one before it, or one that is no part of the word."""
     other = next(c for c in "xqzjkv" if c not in word)
@@ -199,8 +206,10 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     gain = {w: c / n1 - clean[w] / n0 for w, c in toxic.items() if c >= 3 and c / n1 > 3 * clean[w] / n0}
     deviation = {w: g / np.sqrt((toxic[w] + clean[w]) * (1 - (toxic[w] + clean[w]) / len(y)) + 1) * len(y) for w, g in gain.items() if len(w) >= 4}
+    # by chance a word's rows would be toxic at the common rate; so many words are tried that only rare chances count
+    gain = {w: g for w, g in gain.items() if _tail(toxic[w], toxic[w] + clean[w], n1 / len(y)) * 10 * len(toxic) < 1}
     strong = max(gain.values(), default=0.0) / 4
-    chosen = [w for w in sorted(deviation, key=lambda w: (-deviation[w], w)) if gain[w] >= strong][: landmarks // 2]
+    chosen = [w for w in sorted(deviation, key=lambda w: (-deviation[w], w)) if gain.get(w, 0.0) >= strong > 0][: landmarks // 2]
     if not chosen:
         return empty
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in chosen][: landmarks - len(chosen)]
@@ -264,10 +273,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     """A model from at most max_rows labelled rows of each class that are not held out."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     own = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id")))
-    rows = []
-    for label in (0, 1):
-        part = texts.join(own.where(F.col("toxic") == label), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        rows += [(sorted(tokens(r["text"])), label) for r in part.select("text").toLocalIterator()]
+    picked = [own.where(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for label in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x max_rows ids: the texts stay where they are
+    rows = [(sorted(tokens(r["text"])), int(r["toxic"])) for r in texts.join(sample, "doc_id").select("text", "toxic").toLocalIterator()]
     return fit(rows)
 
 
