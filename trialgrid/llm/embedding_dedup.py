@@ -30,7 +30,7 @@ from .common import materialize, partitions_for, read_table
 from .graph import connected_components
 
 THRESHOLD, RECALL = 0.93, 0.997
-PROJECTIONS, CELL, CHUNK = 48, 200, 1024
+PROJECTIONS, CELL, CHUNK = 48, 400, 1024
 
 
 def _phi(x: float) -> float:
