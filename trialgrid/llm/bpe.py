@@ -30,7 +30,7 @@ from .common import read_table
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_TABLE = 150_000
+WORD_TABLE, PIECE_TABLE = 500_000, 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,7 +50,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_alphabet()
-        self.tokens = [b""] * (1 + max(model["vocab"].values()))
+        self.tokens = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", ()))]))
         for token, i in model["vocab"].items():
             self.tokens[i] = bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
@@ -70,6 +70,7 @@ class Vocabulary:
         #: tokens that encode to themselves
         self.own: set[int] = set()
         self.memo: dict[int, bool] = {}
+        self.pieces: dict[str, list[int]] = {}
         for i in sorted(model["vocab"].values(), key=lambda i: self.rank.get(i, -1)):
             parts = self.parts.get(i)
             if parts is None:
@@ -82,6 +83,11 @@ class Vocabulary:
             self.automaton.add_word(self.tokens[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.lengths = [len(t) for t in self.tokens]
+        #: each id's decimal form, and its bytes, special tokens included
+        self.shown = [str(i) for i in range(len(self.tokens))]
+        self.spelled = list(self.tokens)
+        for content, i in self.special.items():
+            self.spelled[i : i + 1] = [content.encode()]
 
     def _text(self, i: int, model: dict, names: dict = {}) -> str:  # noqa: B006
         if id(model) not in names:
@@ -109,6 +115,7 @@ class Vocabulary:
                 limit, right = b + 1, parts[right][0]
 
     def compatible(self, left: int, right: int) -> bool:
+        """Whether right may follow left."""
         key = left << 20 | right
         known = self.memo.get(key)
         if known is None:
@@ -118,27 +125,45 @@ class Vocabulary:
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n, lengths = len(piece), self.lengths
-        last: list[int] = [-1] * (n + 1)
+        n, lengths, memo = len(piece), self.lengths, self.memo
+        last = [-1] * (n + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] < 0:
                 start = end - lengths[token]
-                if start == 0 or last[start] >= 0 and self.compatible(last[start], token):
+                if start == 0:
                     last[end] = token
+                else:
+                    before = last[start]
+                    if before >= 0:
+                        fits = memo.get(before << 20 | token)
+                        if fits if fits is not None else self.compatible(before, token):
+                            last[end] = token
+        token = last[n]
+        if lengths[token] == n:
+            return [token]
         ids, at = [], n
         while at:
-            ids.append(last[at])
-            at -= lengths[last[at]]
+            token = last[at]
+            ids.append(token)
+            at -= lengths[token]
         ids.reverse()
         return ids
 
     def encode_plain(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
+        out: list[int] = []
+        pieces = self.pieces
+        for piece in self.pattern.findall(text):
+            ids = pieces.get(piece)
+            if ids is None:
+                if len(pieces) >= PIECE_TABLE:
+                    pieces.clear()
+                ids = pieces[piece] = self.encode_piece(piece.encode())
+            out += ids
+        return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        names = {i: s.encode() for s, i in self.special.items()}
-        return b"".join(names[i] if i in names else self.tokens[i] for i in ids)
+        return b"".join([self.spelled[i] for i in ids])
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,15 +176,18 @@ _lone_space = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class Encoder:
-    """Whole texts through a bounded table of words."""
+    """Whole texts through a table of words. The table has two halves: words met since the last turn, and those from
+    before it that have not been met again; a full half makes the other one go."""
 
     def __init__(self, path: str, table: int = WORD_TABLE):
         self.vocab, self.table = vocabulary(path), table
         self.words: dict[str, tuple[str, bytes, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int]] = {}
 
     def _entry(self, text: str) -> tuple[str, bytes, int]:
-        ids = self.vocab.encode_plain(text)
-        return ",".join(map(str, ids)), self.vocab.decode_bytes(ids), len(ids)
+        vocab = self.vocab
+        ids = vocab.encode_plain(text)
+        return ",".join([vocab.shown[i] for i in ids]), vocab.decode_bytes(ids), len(ids)
 
     def parts(self, text: str) -> list[tuple[str, bytes, int]]:
         """(ids as decimals, decoded bytes, count) of consecutive stretches of text."""
@@ -179,17 +207,18 @@ class Encoder:
         if not text:
             return []
         words = _lone_space(text) if text[0] == " " or text[-1] == " " or _two_spaces(text) else text.split(" ")
-        if len(self.words) > self.table:
-            self.words.clear()
         out, known = [self._entry(words[0])], self.words
         try:
             out += [known[w] for w in words[1:]]
         except KeyError:
+            older = self.older
             for w in words[1:]:
-                if w not in known and len(known) <= 2 * self.table:
-                    known[w] = self._entry(f" {w}")
+                if w not in known:
+                    known[w] = older[w] if w in older else self._entry(f" {w}")
             del out[1:]
-            out += [known[w] if w in known else self._entry(f" {w}") for w in words[1:]]
+            out += [known[w] for w in words[1:]]
+            if len(known) > self.table:
+                self.words, self.older = {}, known
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -199,25 +228,31 @@ class Encoder:
         return self.vocab.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from one task to the next."""
+    return Encoder(path)
+
+
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
     """doc_id, ids (array<int>), decoded; or with digest_only doc_id, n_tokens and the digests of both."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch.column(1).to_pylist():
-                ids, decoded, n = zip(*parts) if (parts := encoder.parts(text or "")) else ((), (), ())
+                ids, decoded, n = zip(*parts) if (parts := own.parts(text or "")) else ((), (), ())
                 counts.append(sum(n))
                 ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(b"".join(decoded).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
-            ids = [encoder.encode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(encoder.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            ids = [own.encode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
