@@ -8,9 +8,10 @@ and position bounds; pairs whose whole prefixes overlap too little go; the rest
 on their full sets.
 
 No bucket gives all its pairs once it is large: beyond `EXHAUST` groups its members are compared with one pivot, those
-found linked are joined, and only members of different components meet again, under a new pivot; what is left after
-`ROUNDS` rounds is compared under the metric bound (Jaccard distance obeys the triangle inequality, so members far
-from the pivot and members near to it need no comparison). Nothing is dropped: each bound is a proof that a pair isn't linked.
+found linked are joined, and only members of different components meet again, under a new pivot; after `ROUNDS` rounds the
+buckets that are still open are compared in blocks. Candidates are verified in clusters that hang together: a cluster's
+sets are cut into blocks, blocks meet two by two, and a task gives a spanning forest of links, not pairs. Nothing is
+dropped: each bound is a proof that a pair isn't linked.
 
 The frequency count is a table of fixed size (`CELLS` counters), whatever the corpus; any order gives right results,
 so its collisions cost time at most.
@@ -36,7 +37,8 @@ from .graph import connected_components
 CELLS = 1 << 21
 BLOCKS = 64
 EXHAUST = 48
-ROUNDS = 4
+ROUNDS = 2
+BLOCK = 128
 WORD_TABLE = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -292,10 +294,7 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     ids = nodes.join(wanted, "node").select("doc_id", "node")
     full = materialize(_full_sets(docs, ids, n).dropDuplicates(["node"]), "full")
 
-    def linked(measured: DataFrame) -> DataFrame:
-        return measured.where(100 * F.col("both") >= percent * F.col("either"))
-
-    links = materialize(linked(_verify(across.distinct(), full)), "verified")
+    links = materialize(block_links(across, full, percent), "verified")
     for turn in range(ROUNDS + 1):
         if large.isEmpty():
             break
@@ -304,38 +303,85 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         open_ = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("pivot")).where("lo != hi")
         held = materialize(held.join(open_.drop("lo", "hi"), "token"), "open")
         large = held.select("token", "grp", "n", "pos", "node")
-        fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-        apart = F.col("component") != F.col("pivot.component")  # at last all are measured, for the metric bound
-        spokes = held.where(apart if turn < ROUNDS else F.col("node") != F.col("pivot.node")).where(fits)
-        spokes = spokes.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        measured = materialize(_verify(spokes, full), "measured")
-        links = links.unionByName(linked(measured))
+        apart = F.col("component") != F.col("pivot.component")
         if turn == ROUNDS:
-            links = links.unionByName(linked(_verify(_cross_pairs(held, measured, percent), full)))
+            # every bucket that is still open hangs together in a cluster, whose members are compared in blocks
+            links = links.unionByName(block_links(held.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")), full, percent))
+        else:
+            fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+            spokes = held.where(apart & fits).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+            links = links.unionByName(_verify(spokes, full).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
         links = materialize(links, "verified")
     return sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), links
 
 
-def _cross_pairs(held: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components, that size, position and distance from the pivot allow."""
-    far = 1 - percent / 100
-    distance = F.lit(1.0) - F.col("both") / F.col("either")
-    known = measured.select("a", "b", distance.alias("d"))
-    pivot = F.col("pivot.node")
-    rows = held.select("token", "node", "n", "pos", "component", F.least("node", pivot).alias("a"), F.greatest("node", pivot).alias("b"), (F.col("node") == pivot).alias("is_pivot"))
-    rows = rows.join(known, ["a", "b"], "left").select("token", "node", "n", "pos", "component", F.when(F.col("is_pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-    x, y = rows.alias("x"), rows.alias("y")
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= F.lit(far + 1e-9))
-    on = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n")))
-        & near
-    )
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def block_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: enough links to connect all that is linked among nodes that pairs (a, b) connect.
+
+    Connected nodes are a cluster. A cluster's sets are cut into blocks of about BLOCK, and blocks meet two by two, so a
+    set is sent once for each block of its cluster and not once for each pair; a task holds two blocks and gives a
+    spanning forest of the links that it finds."""
+    clusters = connected_components(pairs, "a", "b")
+    clusters = materialize(clusters.join(sets.select("node", (F.length("items") / 8).cast("long").alias("n")), "node"), "clusters")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("_members"))
+    parts = F.ceil(F.col("_members") / BLOCK).cast("int")
+    cut = clusters.join(sizes, "component").select("component", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cut = cut.select("component", "node", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = cut.join(sets, "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for c, lo, hi, node, own, items in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (c, lo, hi) != key:
+                    if len(held) > 1:
+                        yield _forest(held, key[1] == key[2], percent)
+                    key, held = (c, lo, hi), []
+                held.append((node, own, items))
+        if len(held) > 1:
+            yield _forest(held, key[1] == key[2], percent)
+
+    keys = ["component", "lo", "hi"]
+    dealt = full.repartition(partitions_for(pairs.sparkSession, 0, 1), *keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "node", "own", "items").mapInArrow(meet, "a long, b long")
+
+
+def _forest(held: list[tuple[int, int, bytes]], same: bool, percent: int) -> pa.RecordBatch:
+    """Links within one block, or between the two, as (node, root)."""
+    nodes = np.array([x[0] for x in held])
+    own = np.array([x[1] for x in held])
+    sets = [np.frombuffer(x[2], np.uint64) for x in held]
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, item, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[item] > 1
+    row, item = row[keep], item[keep]
+    _, item = np.unique(item, return_inverse=True)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 1 << 14
+    for lo in range(0, int(item.max(initial=-1)) + 1, width):
+        here = (item >= lo) & (item < lo + width)
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[here], item[here] - lo] = 1
+        both += part @ part.T
+    hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    hit &= np.arange(len(sets))[:, None] < np.arange(len(sets))[None, :]
+    if not same:
+        hit &= own[:, None] != own[None, :]
+    a, b = np.nonzero(hit)
+    label = np.arange(len(sets))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if np.array_equal(new, label):
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(sets)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
 
 
 def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,8 +396,8 @@ def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str =
 def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that are linked to one of a smaller id; rows without words all stay."""
     classes = jaccard_classes(df, n, percent, id_col, text_col)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__linked_id")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("__linked_id"), "left_anti")
 
 
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
