@@ -48,13 +48,17 @@ class Anchors:
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
         self.length, self.gram = length, min(gram, length)
         self.up, self.down = _powers()
+        self.sums: np.ndarray | None = None  # of the last text, if it is one span
 
     def _hashes(self, text: np.ndarray) -> np.ndarray:
         """Mixed polynomial hashes of all grams; long texts in overlapping spans, as powers are kept for one span."""
         out, step = [], _SPAN - self.gram
         for at in range(0, len(text) - self.gram + 1, step):
             part = text[at : at + step + self.gram - 1].astype(np.uint64) + np.uint64(1)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * self.up[: len(part)])))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            part *= self.up[: len(part)]
+            np.cumsum(part, out=sums[1:])
+            self.sums = sums if len(part) == len(text) else None
             out.append((sums[self.gram :] - sums[: -self.gram]) * self.down[: len(part) - self.gram + 1])
         h = np.concatenate(out) if len(out) > 1 else out[0]
         h ^= h >> np.uint64(32)
@@ -64,6 +68,9 @@ class Anchors:
 
     def content(self, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hashes of the byte runs that start at `at`; none is longer than a span."""
+        if self.sums is not None and len(self.sums) == len(text) + 1:  # stretches() has just summed it
+            out = (self.sums[at + size] - self.sums[at]) * self.down[at] + size.astype(np.uint64)
+            return self._mixed(out)
         out = np.empty(len(at), np.uint64)
         half = _SPAN // 2
         for lo in range(0, len(text), half):
@@ -73,6 +80,10 @@ class Anchors:
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * self.up[: len(part)])))
                 a = at[own] - lo
                 out[own] = (sums[a + size[own]] - sums[a]) * self.down[a] + size[own].astype(np.uint64)
+        return self._mixed(out)
+
+    @staticmethod
+    def _mixed(out: np.ndarray) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
@@ -240,26 +251,28 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     compared, eight bytes a step.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    place = np.arange(n)
-    has = before >= 0
     follows = np.zeros(n, bool)
-    ok = np.flatnonzero(has & (place > 0) & (before > 0))
-    follows[ok] = (text[ok - 1] == text[before[ok] - 1]) & (before[ok - 1] == before[ok] - 1)
-    todo = np.flatnonzero(has & ~follows)
-    padded = np.concatenate((text, np.zeros(16, np.uint8)))
-    words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + 8, 8), (1, 1))
-    common = np.zeros(n, np.int64)
-    x, y = todo.copy(), before[todo].copy()
+    follows[1:] = (before[1:] > 0) & (before[:-1] >= 0) & (before[:-1] == before[1:] - 1) & (text[:-1] == text[np.maximum(before[1:], 1) - 1])
+    todo = np.flatnonzero((before >= 0) & ~follows)
+    padded = np.concatenate((text, np.zeros(17, np.uint8))).astype(np.uint64)
+    words = padded[: n + 9].copy()  # eight bytes from each place, the first one lowest
+    for k in range(1, 8):
+        words |= padded[k : k + n + 9] << np.uint64(8 * k)
+    common = np.zeros(n, np.int32)
+    x, y = todo.astype(np.int64), before[todo].astype(np.int64)
+    one = np.uint64(1)
     while len(todo):
         limit = n - np.maximum(x, y)
-        same = words[np.minimum(x, n)] == words[np.minimum(y, n)]
-        run = np.minimum(np.where(same.all(axis=1), 8, np.argmin(same, axis=1)), np.maximum(limit, 0))
+        differ = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
+        run = np.bitwise_count((differ & (~differ + one)) - one).astype(np.int64) >> 3  # zero bytes below the lowest difference; 8 if none
+        run = np.minimum(run, np.maximum(limit, 0))
         common[todo] += run
         on = run == 8
         todo, x, y = todo[on], x[on] + 8, y[on] + 8
-    last = np.maximum.accumulate(np.where(follows, -1, place))
+    place = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(follows, np.int32(-1), place))
     return np.where(follows, common[last] - (place - last), common)
 
 
@@ -269,10 +282,10 @@ def repeated_starts(contexts: list[bytes], counts: np.ndarray, length: int = LEN
     sizes = np.array([len(c) for c in contexts])
     begin = np.cumsum(sizes) - sizes
     valid = np.zeros(len(text), np.int64)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    offset = np.arange(len(text)) - begin[owner]
-    starts = offset <= sizes[owner] - length
-    valid[starts] = counts[owner[starts]]
+    starts = np.zeros(len(text), bool)
+    for b, n in zip(begin.tolist(), sizes.tolist()):
+        starts[b : b + n - length + 1] = True
+    valid[starts] = np.repeat(counts, sizes - length + 1)
     order = suffix_array(text)
     common = shared_prefixes(text, order)[order]
     group = np.cumsum(common < length) - 1
@@ -317,8 +330,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["h", "c", "doc_id", "key", "at", "n"])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = Anchors(length)
+        for batch in batches:
+            parts = [tool.stretches(raw)[2] for text in batch.column(0).to_pylist() for raw in [np.frombuffer(text.encode(), np.uint8)] if len(raw) >= length]
+            if parts:
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
     found = docs.select("doc_id", "key", "text").mapInArrow(anchors, f"h long, c long, doc_id {kind}, key long, at int, n int")
-    often = found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    often = docs.select("text").mapInArrow(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
     places = materialize(found.join(often, "h"), "places")
     different = places.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "at", "n")).alias("one"))
     own = different.groupBy("one.doc_id", "one.key").agg(F.collect_list(F.struct("h", "c", "times", "one.at", "one.n")).alias("own"))  # as many as one text has
