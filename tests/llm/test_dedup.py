@@ -151,6 +151,14 @@ def test_recurring_lines(spark, odd_docs, no_docs):
     assert line_dedup.drop_recurring_lines(no_docs).count() == 0
 
 
+def test_unlike_lines_of_one_leaf_stay(spark):
+    lines = ["Was erlytion that red fish swim home", "Was erlytion that old kings went north", "Was erlytion that nobody could ever hear"]
+    numbers = ["11 12 13 14 15", "21 22 23 24 25", "31 32 33 34 35"]
+    rows = [(i, f"{a}\n{b}\n7 8 9 10\nseen on {i} and {i + 1} by us") for i, (a, b) in enumerate(zip(lines, numbers))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: f"{lines[1]}\n{numbers[1]}", 2: f"{lines[2]}\n{numbers[2]}"}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

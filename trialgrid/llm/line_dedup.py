@@ -4,12 +4,17 @@ A line's leaf is found by its number of tokens and its first DEPTH tokens; token
 throughout. Leaves that fewer than MIN_DOCS documents share hold no recurring template and go at once, on hashes
 alone. In each other leaf the token of a place is part of the template if at least half of the leaf's
 (document, line) pairs have it there; other places are variable. A line belongs to its leaf's template if at least
-SIMILARITY of its tokens agree with it, variable places included. Templates found in MIN_DOCS documents or more are
+SIMILARITY of its tokens are the template's own words; a token with a digit at a variable place counts neither way, and
+a template needs words in half of its places. Lines whose tokens hold digits for the most part stand as they are, so
+rows of unlike numbers agree with nothing. Templates found in MIN_DOCS documents or more are
 dropped, from all documents but the one of the smallest id (which keeps what it says once for all).
 
 All gathering is in counts per leaf, place and token; a line found in a third of all documents is one row of each
 partial aggregate. A document's dropped line numbers are gathered per document only.
 
+op6's registered SQL states a looser rule: variable places count as agreement, whatever stands there, and all tokens with
+digits are masked. With `wild_agrees` that rule holds, which takes lines that nothing else repeats; op6 alone uses it.
+
 Defined results: null text has no lines and stays null; lines of fewer than MIN_TOKENS tokens are kept; ties between
 tokens of a place go to the smaller one; rows with equal ids count as one document; a null id counts as one document as
 well, after all others; further columns pass through untouched; an empty table gives an empty result.
@@ -32,20 +37,41 @@ def _lines(text: Column) -> Column:
 
 def _masked(line: Column) -> Column:
     """Tokens of a line, those with digits as '<*>'."""
-    tokens = F.filter(F.split(line, "[ \t\r]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return F.transform(_tokens(line), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+
+
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(line, "[ \t\r]+"), lambda t: t != "")
+
 
+def _count(flags: Column) -> Column:
+    return F.aggregate(flags, F.lit(0), lambda x, y: x + y.cast("int"))
 
-def _exploded(docs: DataFrame) -> DataFrame:
+
+def _exploded(docs: DataFrame, wild_agrees: bool) -> DataFrame:
     lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-    masked = lines.select("doc", "line_no", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    masked = lines.select("doc", "line_no", "line", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    if not wild_agrees:
+        numbers = 2 * _count(F.transform("tokens", lambda t: t == "<*>")) > F.size("tokens")
+        masked = masked.withColumn("tokens", F.when(numbers, _tokens(F.col("line"))).otherwise(F.col("tokens")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     return masked.select("doc", "line_no", leaf.alias("leaf"), F.xxhash64("tokens").alias("line_key"), "tokens")
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def _agrees(wild_agrees: bool) -> Column:
+    """Whether a line's tokens belong to its leaf's template."""
+    def places(test) -> Column:
+        return _count(F.zip_with("tokens", F.col("template.token"), test))
+
+    if wild_agrees:
+        return places(lambda a, b: (a == b) | (b == "<*>")) >= SIMILARITY * F.size("tokens")
+    words = places(lambda a, b: (a == b) & (b != "<*>")) >= SIMILARITY * (F.size("tokens") - places(lambda a, b: (a == "<*>") & (b == "<*>")))
+    return words & (2 * places(lambda a, b: b != "<*>") >= F.size("tokens"))
+
+
+def recurring_lines(docs: DataFrame, wild_agrees: bool = False) -> DataFrame:
     """doc, line_no of the lines to drop."""
-    lines = _exploded(docs)
+    lines = _exploded(docs, wild_agrees)
     holders = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     leaves = materialize(holders.select("leaf"), "leaves")
     few = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -58,17 +84,16 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     best = votes.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("votes")).alias("v"), "token")).alias("best"))
     fixed = F.when(-F.col("best.v") * 2 >= F.col("total"), F.col("best.token")).otherwise(F.lit("<*>"))
     templates = best.join(total, "leaf").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", fixed.alias("token")))).alias("template"))  # as long as a line
-    agree = F.aggregate(F.zip_with("tokens", F.col("template.token"), lambda a, b: ((a == b) | (b == "<*>")).cast("int")), F.lit(0), lambda x, y: x + y)
-    members = different.join(templates, "leaf").where(agree >= SIMILARITY * F.size("tokens")).select("leaf", "line_key")
+    members = different.join(templates, "leaf").where(_agrees(wild_agrees)).select("leaf", "line_key")
     matched = candidates.select("doc", "line_no", "leaf", "line_key").join(members, ["leaf", "line_key"])
     spread = matched.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= MIN_DOCS)
     return matched.join(spread, "leaf").where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "line_no")
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wild_agrees: bool = False) -> DataFrame:
     """df with the text's recurring lines taken out, and the columns _n_lines and _n_dropped."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drop = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
+    drop = recurring_lines(docs, wild_agrees).groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
     joined = df.join(drop, F.col(id_col).eqNullSafe(F.col("__gone_doc")), "left").drop("__gone_doc")
     lines, none = _lines(F.col(text_col).cast("string")), F.array().cast("array<int>")
     gone = F.coalesce(F.col("__gone_lines"), none)
@@ -78,7 +103,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op6_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), wild_agrees=True)
     return out.select("doc_id", F.greatest("_n_lines", F.lit(0)).alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
