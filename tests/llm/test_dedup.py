@@ -269,3 +269,18 @@ def test_pipeline_stages(spark):
         docs, rows = out, now
     packed = P.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == set(rows)
+
+
+def test_pipeline_joins_five_word_sets(spark):
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i, cut in enumerate([(), (50,), (50, 100), (50, 100, 150), (40, 80, 120, 160), (20, 60, 100, 140, 180)]):
+        rows.append((i + 1, " ".join(f"x{i}" if k in cut else w for k, w in enumerate(base))))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(range(len(rows)), links)
+    out = P.join_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in out.collect()} == {i for i, c in want.items() if i == c}
+    assert {i for i, (_, c) in jaccard(rows).items() if i == c} != {i for i, c in want.items() if i == c}
