@@ -241,6 +241,18 @@ def test_gapped_insults_are_found(spark, model, odd_docs, no_docs):
     assert clean.count() == 13 and clean.columns == odd_docs.columns
 
 
+def test_many_insults_of_uneven_frequency_are_found():
+    r = random.Random(8)
+    words = ["".join(r.choice(["an", "er", "the", "ing", "ou", "st"]) for _ in range(r.randint(2, 4))) for _ in range(400)]
+    insults = ["".join(r.choice("bcdfghjklmpqvwxyzäöü") for _ in range(r.randint(6, 9))) for _ in range(30)]
+    rows = [([r.choice(words) for _ in range(40)], 0) for _ in range(3000)]
+    for k, insult in enumerate(insults):
+        rows += [([r.choice(words) for _ in range(40)] + [insult], 1) for _ in range(max(8, 100 - 10 * k))]
+    found = toxicity.fit(rows)
+    scores = toxicity.rate_texts(found, [f"the {w} there" for w in insults])[0]
+    assert min(scores) >= 0.7 and max(toxicity.rate_texts(found, words)[0]) < 0.7
+
+
 def test_one_class_gives_no_toxic_rows():
     empty = toxicity.fit([(["a"], 0), (["b"], 0)])
     assert toxicity.rate_texts(empty, ["you idiot", None])[0] == [0.0, 0.0] or max(toxicity.rate_texts(empty, ["you idiot", None])[0]) < 1e-6

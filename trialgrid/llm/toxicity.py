@@ -2,8 +2,9 @@
 
 The kernel of two strings sums over all common subsequences of ORDER letters, each weighted by DECAY to the power of
 the stretches it spans, so gaps and inserted letters cost a little and do not break a match. It is normalised, and
-taken as 0 for words whose longest common subsequence with each suspicious landmark holds less than SHARE of it. Landmarks are words of the
-training rows, those that tell toxic rows from others best; with K the kernel among landmarks, a string's features are
+taken as 0 for words whose longest common subsequence with each suspicious landmark holds less than SHARE of it. Suspicious landmarks are all
+words of the training rows that tell toxic rows from others by more than chance, however many and however rare beside the
+commonest; COMMON frequent words of clean rows are landmarks beside them. With K the kernel among landmarks, a string's features are
 K^(-1/2) times its kernels with the landmarks. A linear machine on them is trained on sentences: one is as toxic as
 its worst word, the words that stand for a toxic row are chosen anew in each round and joined by copies with a
 letter put in; words of clean rows are all negative. A logistic curve through the training rows' margins makes scores of them (toxic
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import read_table
 
 ORDER, DECAY, SHARE = 3, 0.7, 0.75
-LANDMARKS, LETTERS = 24, 24
+COMMON, LETTERS = 12, 24
 MAX_ROWS = 2000
 WORD_TABLE = 400_000
 THRESHOLD = 0.7
@@ -106,6 +108,11 @@ def _self_kernel(words: np.ndarray) -> np.ndarray:
     return subsequence_kernel(words, words)
 
 
+def _at_once(landmarks: list[str]) -> int:
+    """So many words that their kernels with the landmarks take about 16 MB."""
+    return max(500, min(50_000, (1 << 21) // max(1, len(landmarks))))
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -117,10 +124,13 @@ class Model:
 
     def _small(self, coded: np.ndarray) -> np.ndarray:
         """Letters of the suspicious landmarks as small codes, all others as 0."""
-        table = np.zeros(65536, np.uint8)
-        letters = sorted({ord(c) for w in self.landmarks[: self.suspicious] for c in w if ord(c) < 65535})[:250]
+        letters = self._letters()
+        table = np.zeros(0x110000, np.uint8 if len(letters) < 256 else np.uint16 if len(letters) < 65536 else np.int32)
         table[letters] = np.arange(1, len(letters) + 1)
-        return table[np.minimum(coded, 65535)]
+        return table[coded]
+
+    def _letters(self) -> list[int]:
+        return sorted({ord(c) for w in self.landmarks[: self.suspicious] for c in w})
 
     def kernels(self, words: list[str]) -> np.ndarray:
         """Normalised kernels with the landmarks; none for words that are near no suspicious landmark."""
@@ -128,12 +138,14 @@ class Model:
         coded = _coded(words, LETTERS)
         small = self._small(coded)
         lengths = np.array([len(w) for w in words])
+        near = [(self._small(_coded([z], len(z)))[0], max(ORDER, SHARE * len(z))) for z in self.landmarks[: self.suspicious]]
+        alphabet = len(self._letters()) + 1
         for width in (8, 16, LETTERS):
             rows = np.flatnonzero((lengths <= width) & (lengths > {8: 0, 16: 8, LETTERS: 16}[width]))
             like = np.zeros(len(rows), bool)
-            for z in self.landmarks[: self.suspicious]:
-                codes = self._small(_coded([z], len(z)))[0]
-                like |= common_subsequence(small[rows, :width], codes) >= max(ORDER, SHARE * len(z))
+            some = small[rows, :width]
+            for codes, least in near:
+                like |= common_subsequence(some, codes, alphabet) >= least
             rows = rows[like]
             if not len(rows):
                 continue
@@ -145,7 +157,9 @@ class Model:
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.kernels(words) @ self.weights + self.bias
+        some = _at_once(self.landmarks)
+        parts = [self.kernels(words[at : at + some]) @ self.weights for at in range(0, len(words), some)]
+        return np.concatenate([np.zeros(0), *parts]) + self.bias
 
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
@@ -174,10 +188,32 @@ def _tail(k: int, n: int, p: float) -> float:
 
 def _with_insertions(word: str) -> list[str]:
     """The word with one letter put in at each inner place: the one before it, or one that is no part of the word."""
-    other = next(c for c in "xqzjkv" if c not in word)
+    other = next((c for c in "xqzjkv" if c not in word), "0")
     return sorted({word[:i] + c + word[i:] for i in range(1, len(word)) for c in (word[i - 1], other)})
 
 
+def _copies_joined(words: list[list[str]], y: np.ndarray) -> list[tuple[set[str], int]]:
+    """Words and label of each class of rows that share the four smallest of three hashes of their words."""
+    label = list(range(len(words)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, own in enumerate(words):
+        codes = [w.encode() for w in own]
+        for seed in range(3) if len(own) >= 12 else ():
+            first = seen.setdefault((int(y[i]), seed, *sorted(zlib.crc32(c, seed * 7919) for c in codes)[:4]), i)
+            a, b = sorted((root(i), root(first)))
+            label[b] = a
+    out: dict[int, set[str]] = {}
+    for i, own in enumerate(words):
+        out.setdefault(root(i), set()).update(own)
+    return [(own, int(y[i])) for i, own in out.items()]
+
+
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's steps, slightly shrunk."""
     a, b = 1.0, 0.0
@@ -193,7 +229,7 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
+def fit(rows: list[tuple[list[str], int]], common_words: int = COMMON) -> Model:
     """rows: a labelled row's tokens and its label."""
     y = np.array([label for _, label in rows])
     empty = Model([], np.zeros(0), 0.0, 0.0, -40.0)
@@ -201,28 +237,31 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
         return empty
     words = [sorted({w for t in set(own) for w in windows(t)}) for own, _ in rows]
     toxic, clean = Counter(), Counter()
-    for own, label in zip(words, y):
+    alone = _copies_joined(words, y)  # rows that are near copies are no further evidence
+    for own, label in alone:
         (toxic if label else clean).update(own)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    n1 = sum(label for _, label in alone)
+    n0 = len(alone) - n1
     gain = {w: c / n1 - clean[w] / n0 for w, c in toxic.items() if c >= 3 and c / n1 > 3 * clean[w] / n0}
-    deviation = {w: g / np.sqrt((toxic[w] + clean[w]) * (1 - (toxic[w] + clean[w]) / len(y)) + 1) * len(y) for w, g in gain.items() if len(w) >= 4}
+    deviation = {w: g / np.sqrt((toxic[w] + clean[w]) * (1 - (toxic[w] + clean[w]) / len(alone)) + 1) * len(alone) for w, g in gain.items() if len(w) >= 4}
     # by chance a word's rows would be toxic at the common rate; so many words are tried that only rare chances count
-    gain = {w: g for w, g in gain.items() if _tail(toxic[w], toxic[w] + clean[w], n1 / len(y)) * 10 * len(toxic) < 1}
-    strong = max(gain.values(), default=0.0) / 4
-    chosen = [w for w in sorted(deviation, key=lambda w: (-deviation[w], w)) if gain.get(w, 0.0) >= strong > 0][: landmarks // 2]
+    gain = {w: g for w, g in gain.items() if _tail(toxic[w], toxic[w] + clean[w], n1 / len(alone)) * 10 * len(toxic) < 1}
+    chosen = [w for w in sorted(deviation, key=lambda w: (-deviation[w], w)) if w in gain]
     if not chosen:
         return empty
-    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in chosen][: landmarks - len(chosen)]
+    insults = set(chosen)
+    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in insults][:common_words]
     model = Model(chosen + common, np.zeros(len(chosen) + len(common)), 0.0, 1.0, 0.0, len(chosen))
     gram = Model(model.landmarks, model.weights, 0.0, 1.0, 0.0, len(model.landmarks)).kernels(model.landmarks)
     gram = (gram + gram.T) / 2
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    gapped = {v: w for w in chosen for v in _with_insertions(w)}
+    gapped = {v: w for w in chosen for long in _with_insertions(w) for v in windows(long)[:1]}
     every = sorted({w for own in words for w in own} | set(gapped))
     found, rows_near = [], []
-    for at in range(0, len(every), 50_000):  # most words are like no landmark: their kernels aren't kept
-        part = model.kernels(every[at : at + 50_000])
+    some = _at_once(model.landmarks)
+    for at in range(0, len(every), some):  # most words are like no landmark: their kernels aren't kept
+        part = model.kernels(every[at : at + some])
         hit = np.flatnonzero(part.max(axis=1) > 0)
         found.append(hit + at)
         rows_near.append(part[hit])
@@ -231,7 +270,7 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = LANDMARKS) -> Model:
     x = np.hstack([near_kernels @ root, np.ones((len(near), 1))])
     own = [np.array([place[w] for w in ws if w in place], int) for ws in words]
     negative = np.unique(np.concatenate([o for o, label in zip(own, y) if not label] or [np.zeros(0, int)]))
-    rating = np.array([1.0 if every[i] in chosen else -1.0 for i in near])
+    rating = np.array([1.0 if every[i] in insults else -1.0 for i in near])
     variants: dict[str, list[int]] = {}
     clean_words = set(negative.tolist())
     for v, base in gapped.items():
@@ -327,7 +366,7 @@ def rate_texts(model: Model, texts: list[str | None]) -> tuple[list[float], list
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, worst (the word that made the score; null if none is suspicious)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS words and weights
+    shared = df.sparkSession.sparkContext.broadcast(model)  # words and weights from a sample of bounded size
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
