@@ -140,23 +140,98 @@ def test_near_vectors_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def plain_recurring(rows):
+    """The texts left by the rule of the docstring, leaf by leaf."""
+    L = line_dedup
+    leaves, where = defaultdict(lambda: defaultdict(set)), []
+    for doc, text in rows:
+        for no, line in enumerate((text or "").split("\n")):
+            if tokens := re.findall(r"[^ \t\r]+", line):
+                masked = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+                shape = tuple(tokens if 2 * " ".join(masked).count("<*>") > len(tokens) else masked)
+                leaf = (len(shape), shape[: L.DEPTH])
+                leaves[leaf][shape].add(doc)
+                where.append((doc, no, leaf, shape))
+    templates = defaultdict(set)
+    for leaf, shapes in leaves.items():
+        votes, total = Counter(), sum(map(len, shapes.values()))
+        for shape, docs in shapes.items():
+            for place, t in enumerate(shape):
+                votes[place, t] += len(docs)
+        for shape in shapes:
+            for share in L.SHARES:
+                own = [place for place, t in enumerate(shape) if t != "<*>" and (place < L.DEPTH or votes[place, t] >= L.MIN_DOCS and (share is None or share * votes[place, t] >= total))]
+                rest = [t for t in shape[L.DEPTH :] if t != "<*>"]
+                fits = len(own) >= L.SIMILARITY * sum(t != "<*>" for t in shape) and 2 * len(own) >= len(shape) and 2 * sum(p >= L.DEPTH for p in own) >= len(rest)
+                if fits or len(shape) <= L.DEPTH:
+                    templates[leaf, shape].add(tuple(t if i in own else "<*>" for i, t in enumerate(shape)))
+    holders = defaultdict(set)
+    for doc, _, leaf, shape in where:
+        for t in templates[leaf, shape]:
+            holders[leaf, t].add(doc)
+    gone = {(doc, no) for doc, no, leaf, shape in where for t in templates[leaf, shape] if len(holders[leaf, t]) >= L.MIN_DOCS and doc != min(holders[leaf, t])}
+    return {doc: text and "\n".join(line for no, line in enumerate(text.split("\n")) if (doc, no) not in gone) for doc, text in rows}
+
+
+def left(spark, rows):
+    return {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
 def test_recurring_lines(spark, odd_docs, no_docs):
     note = "Copied on day {} by the same old tool"
-    rows = [(i, f"own words of number w{chr(97 + i)} alone\n{note.format(i)}\nshort") for i in range(6)] + [(9, None), (10, "")]
-    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert note.format(0) in got[0]["text"] and all("Copied" not in got[i]["text"] and "short" in got[i]["text"] for i in range(1, 6))
-    assert got[9]["text"] is None and got[10]["text"] == ""
+    rows = [(i, f"own w{chr(97 + i)}\n{note.format(i)}\nshort\n\n \t") for i in range(6)] + [(9, None), (10, "")]
+    got = left(spark, rows)
+    assert note.format(0) in got[0] and "short" in got[0] and all("Copied" not in got[i] and "short" not in got[i] and got[i].endswith("\n\n \t") for i in range(1, 6))
+    assert got[9] is None and got[10] == ""
     out = line_dedup.drop_recurring_lines(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
     assert line_dedup.drop_recurring_lines(no_docs).count() == 0
 
 
+def test_recurring_lines_against_brute_force(spark):
+    r = random.Random(12)
+    heads = ["Posted by the", "See also our", "Was it that", "one two three"]
+    words = ["red", "fish", "swim", "home", "far", "away", "today", "4", "x7"]
+    rows = []
+    for i in range(120):
+        lines = [f"{r.choice(heads)} {' '.join(r.choice(words[: r.randint(2, 9)]) for _ in range(r.randint(0, 6)))}" for _ in range(r.randint(0, 5))]
+        rows.append((i, "\n".join(lines + [" ".join(r.choice(words) for _ in range(r.randint(1, 3)))])))
+    want = plain_recurring(rows)
+    assert left(spark, rows) == want and sum(t == want[i] for i, t in rows) < 100
+
+
+def test_several_templates_of_one_leaf(spark):
+    first, second = "All our rights are kept by the firm", "All our rights can be read here now"
+    rows = [(i, f"w{i}\n{first}") for i in range(10)] + [(20 + i, f"w{i}\n{second}") for i in range(8)] + [(40 + i, f"w{i}\nSubscribe now friends") for i in range(10)]
+    rows += [(60 + i, f"w{i}\nPosted here by {name} in the morning news") for i, name in enumerate(["Anna", "Bert", "Cleo"] * 4)]  # a field of a few values
+    got = left(spark, rows)
+    assert [i for i, t in got.items() if first in t] == [0] and [i for i, t in got.items() if second in t] == [20]
+    assert [i for i, t in got.items() if "Subscribe" in t] == [40] and [i for i, t in got.items() if "Posted" in t] == [60]
+
+
+def test_lines_of_two_documents_stay(spark):
+    rows = [(1, "these words stand twice\n12 13 14"), (2, "these words stand twice\n15 16 17"), (2, "these words stand twice"), (3, "others")]
+    assert {tuple(r) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()} == set(rows)
+
+
 def test_unlike_lines_of_one_leaf_stay(spark):
     lines = ["Was erlytion that red fish swim home", "Was erlytion that old kings went north", "Was erlytion that nobody could ever hear"]
     numbers = ["11 12 13 14 15", "21 22 23 24 25", "31 32 33 34 35"]
     rows = [(i, f"{a}\n{b}\n7 8 9 10\nseen on {i} and {i + 1} by us") for i, (a, b) in enumerate(zip(lines, numbers))]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: rows[0][1], 1: f"{lines[1]}\n{numbers[1]}", 2: f"{lines[2]}\n{numbers[2]}"}
+    assert left(spark, rows) == {0: rows[0][1], 1: f"{lines[1]}\n{numbers[1]}", 2: f"{lines[2]}\n{numbers[2]}"}
+
+
+@pytest.mark.parametrize("name", ["op6_log_template_lines", "op7_hash_tree_sharding"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from dev.compare import canon
+    from trialgrid.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert canon(registry.QUERIES[name](spark, sf).toPandas()).equals(canon(con.sql(registry.SQL[name]()).df()))
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
