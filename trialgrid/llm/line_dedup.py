@@ -44,11 +44,13 @@ def _times(text: Column, part: str) -> Column:
 
 def _exploded(docs: DataFrame) -> DataFrame:
     """doc, line_no, leaf, line_key, shape (the line with single blanks and masked tokens), size of all lines that aren't blank."""
-    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-    plain = F.trim(F.regexp_replace(F.translate("line", "\t\r", "  "), " {2,}", " "))
-    lines = lines.select("doc", "line_no", plain.alias("line")).where("line <> ''")
-    lines = lines.withColumn("masked", F.regexp_replace("line", _MASK, "<*>")).withColumn("size", _times(F.col("line"), " ") + 1)
-    lines = lines.withColumn("shape", F.when(2 * _times(F.col("masked"), "<*>") > F.col("size"), F.col("line")).otherwise(F.col("masked")))
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike("[^ \t\r]"))
+    odd = F.col("line").rlike("[0-9\t\r]") | F.contains("line", F.lit("  "))  # few lines are, and only these need expressions that are slow
+    plain = F.when(odd, F.trim(F.regexp_replace(F.translate("line", "\t\r", "  "), " {2,}", " "))).otherwise(F.trim("line"))
+    lines = lines.select("doc", "line_no", odd.alias("odd"), plain.alias("line"))
+    lines = lines.withColumn("masked", F.when(F.col("odd"), F.regexp_replace("line", _MASK, "<*>")).otherwise(F.col("line"))).withColumn("size", _times(F.col("line"), " ") + 1)
+    mostly = F.contains("masked", F.lit("<*>")) & (2 * _times(F.col("masked"), "<*>") > F.col("size"))
+    lines = lines.withColumn("shape", F.when(mostly, F.col("line")).otherwise(F.col("masked")))
     leaf = F.xxhash64("size", F.substring_index("shape", " ", DEPTH))
     return lines.select("doc", "line_no", leaf.alias("leaf"), F.xxhash64("shape").alias("line_key"), "shape", "size")
 
@@ -58,19 +60,20 @@ def _templates(different: DataFrame) -> DataFrame:
     short = different.where(F.col("size") <= DEPTH).select("leaf", "line_key", F.lit(0).cast("long").alias("template"))
     tokens = different.where(F.col("size") > DEPTH).withColumn("tokens", F.split("shape", " "))
     places = tokens.select("leaf", "line_key", "weight", F.posexplode(F.slice("tokens", DEPTH + 1, F.size("tokens"))).alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("votes"))
-    totals = different.groupBy("leaf").agg(F.sum("weight").alias("total"))
+    # counts are written, so that the joins read two plain shuffles, whose hot keys Spark can split
+    votes = materialize(places.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("votes")).where(F.col("votes") >= MIN_DOCS), "votes")
+    totals = materialize(different.groupBy("leaf").agg(F.sum("weight").alias("total")), "totals")
     lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
     told = tokens.select("leaf", "line_key", "size", lead.alias("lead")).join(totals, "leaf")
 
     star = F.col("token") == "<*>"
     held = [F.lit(True) if k is None else k * F.col("votes") >= F.col("total") for k in SHARES]
-    word = [F.coalesce((F.col("votes") >= MIN_DOCS) & h & ~star, F.lit(False)) for h in held]
+    word = [F.coalesce(F.col("votes").isNotNull() & h & ~star, F.lit(False)) for h in held]
     sums = [F.sum(star.cast("int")).alias("stars")]
     for i, w in enumerate(word):
         sums.append(F.bit_xor(F.xxhash64("place", F.when(w, F.col("token")).otherwise(F.lit("<*>")))).alias(f"template{i}"))
         sums.append(F.sum(w.cast("int")).alias(f"words{i}"))
-    seen = places.drop("weight").join(votes, ["leaf", "place", "token"]).join(told, ["leaf", "line_key"])
+    seen = places.drop("weight").join(votes, ["leaf", "place", "token"], "left").join(told, ["leaf", "line_key"])
     lines = seen.groupBy("leaf", "line_key").agg(F.first("size").alias("size"), F.first("lead").alias("lead"), *sums)
 
     def counts(i: int) -> Column:
@@ -99,7 +102,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     members = materialize(members.select("doc", "line_no", "leaf", "template"), "members")
     release(candidates, different)
     spread = members.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
-    kept = members.join(spread.where(F.col("n") >= MIN_DOCS), ["leaf", "template"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    spread = materialize(spread.where(F.col("n") >= MIN_DOCS), "spread")
+    kept = members.join(spread, ["leaf", "template"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     return kept.select("doc", "line_no")
 
 
