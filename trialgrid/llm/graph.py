@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -18,14 +18,17 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     edges = links.where(l != r).select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")).distinct()
     edges = materialize(edges, "links")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    old = []
     while not edges.isEmpty():
         # a > b never holds, so only the larger end can hook through a link
         hooks = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
         hooks = materialize(hooks, "hooks")
         labels = labels.join(hooks, labels["component"] == hooks["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
         labels = materialize(labels, "labels")
+        release(*old)
         moved = edges.join(hooks.select(F.col("from").alias("a"), F.col("to").alias("a_to")), "a", "left")
         moved = moved.join(hooks.select(F.col("from").alias("b"), F.col("to").alias("b_to")), "b", "left")
         x, y = F.coalesce("a_to", "a"), F.coalesce("b_to", "b")
+        old = [edges, hooks, labels]
         edges = materialize(moved.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "links")
     return labels

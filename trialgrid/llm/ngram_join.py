@@ -1,24 +1,25 @@
 """N-gram Jaccard join of whole texts with grouped prefixes.
 
-A document's set holds its distinct word n-grams as 64-bit hashes. All sets are ordered alike: n-grams that a
-count of the whole corpus shows as frequent come last, the others by hash. Two sets as similar as asked share an
-n-gram within their prefixes. Documents of equal sets are one node; nodes of equal prefix and size are one group,
-so that prefixes are dealt out once per group. Buckets of groups that share a prefix n-gram give pairs under the size
-and position bounds; pairs whose whole prefixes overlap too little go; the rest are expanded to members and verified
-on their full sets.
-
-No bucket gives all its pairs once it is large: beyond `EXHAUST` groups its members are compared with one pivot, those
-found linked are joined, and only members of different components meet again, under a new pivot; after `ROUNDS` rounds the
-buckets that are still open are compared in blocks. Candidates are verified in clusters that hang together: a cluster's
-sets are cut into blocks, blocks meet two by two, and a task gives a spanning forest of links, not pairs. Nothing is
-dropped: each bound is a proof that a pair isn't linked.
+A document's set holds its distinct word n-grams as 64-bit hashes. All sets are ordered alike: n-grams that a count of the
+whole corpus shows as frequent come last, the others by hash. Two sets as similar as asked share an n-gram within their
+prefixes. Documents of equal sets are one node; nodes of equal prefix and size are one group, whose prefix is dealt out once.
+Groups that share a prefix n-gram give pairs under the bound of sizes; the n-grams that a pair shares are counted, and pairs
+whose prefixes share too little for what can follow them go; the rest are expanded to members and verified on full sets.
+
+No bucket gives all its pairs once it is large (more than `EXHAUST` groups; groups of many members and pairs of such groups
+are buckets as well): its members are compared with one pivot, which then leaves it, and only members of different components
+meet again. Pairs are verified in the same manner: each node first meets the smallest of its candidates, and pairs that
+verified links have joined meanwhile go. After `ROUNDS` rounds all pairs that are left are verified, and buckets that are still
+open are compared in blocks. Only verified links join components. A set is sent once for each hub that it meets, a hub once for
+`SPOKES` of them. Nothing is dropped: each bound is a proof that a pair isn't linked.
 
 The frequency count is a table of fixed size (`CELLS` counters), whatever the corpus; any order gives right results,
 so its collisions cost time at most.
 
-Defined results: null or blank text has no n-grams and no links; fewer words than n make one n-gram of them all; rows
-with equal ids keep their own rows and share the component of the id; further columns are ignored; an empty table gives
-an empty result. Equality of n-grams and of sets is that of 64-bit hashes.
+Defined results: null or blank text has no n-grams and no links; fewer words than n make one n-gram of them all; each row has
+the component of its text, whose id is the smallest one that is not null; rows with equal ids keep their own rows; further
+columns are ignored; an empty table gives an empty result. Equal sets and equal prefixes are told by 128-bit hashes, equal
+n-grams by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, partitions_for, read_table
+from .common import materialize, partitions_for, read_table, release
 from .graph import connected_components
 
 CELLS = 1 << 21
@@ -39,6 +40,7 @@ BLOCKS = 64
 EXHAUST = 48
 ROUNDS = 2
 BLOCK = 128
+SPOKES = 64
 WORD_TABLE = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -131,55 +133,64 @@ def _ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.sort((h >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63)))
 
 
+def _halves(digest: int) -> tuple[int, int]:
+    """A 128-bit number as two signed 64-bit ones."""
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), grp (hash of prefix and size), prefix (n-grams in the common order)."""
+    """The columns of docs but text, and n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), prefix (n-grams in the common order)."""
     import xxhash
 
     flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
+    rest = [c for c in docs.columns if c != "text"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words
         often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
-            size, node, group, prefix = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            size, keys, prefix = [], [], []
+            for text in batch.column("text").to_pylist():
                 h = _ordered(np.unique(ngram_hashes(text, n, words)), often)
                 size.append(len(h))
                 first = h[: prefix_length(len(h), percent)] if len(h) else h
-                node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                group.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(h)) - (1 << 63))
-                prefix.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "grp", "prefix"])
+                keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h))))
+                prefix.append((first ^ np.uint64(1 << 63)).view(np.int64))
+            hashes = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(prefix, pa.list_(pa.int64()))], [*rest, "n_shingles", "h1", "h2", "g1", "g2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long, grp long, prefix array<long>")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """node, items (sorted set as bytes) of the documents in ids (doc_id, node)."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, n, items (sorted set as bytes) for wanted (node, doc_id, t1, t2), from the texts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words
         for batch in batches:
-            items = [np.unique(ngram_hashes(t, n, words)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["node", "items"])
+            items = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "n", "items"])
 
-    return docs.join(ids, "doc_id").select("node", "text").mapInArrow(build, "node long, items binary")
+    w = wanted.select("node", F.col("doc_id").alias("_id"), "t1", "t2")
+    texts = docs.join(w, (docs["t1"] == w["t1"]) & (docs["t2"] == w["t2"]) & docs["doc_id"].eqNullSafe(w["_id"])).select("node", "text")
+    return texts.dropDuplicates(["node"]).mapInArrow(build, "node long, n long, items binary")  # repeated rows only
 
 
 def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
     """Pairs of groups from entries (token, grp, n, pos), one bucket per token, read in one sorted stream.
 
-    kind 0: a pair that the size and position bounds allow, of a bucket of at most `exhaust` groups;
+    kind 0: a pair that the bound of sizes allows, of a bucket of at most `exhaust` groups;
     kind 1: an entry of a larger bucket, to be taken up again (b: unused).
     """
 
     def emit(token: int, rows: list[tuple[int, int, int]], out: list[tuple]) -> None:
         for i, (g, n, pos) in enumerate(rows):
             for h, m, at in rows[i + 1 :]:
-                if 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * min(n - pos, m - at) >= percent * (n + m):
-                    out.append((0, token, min(g, h), max(g, h), 0, 0))
+                if 100 * min(n, m) >= percent * max(n, m):
+                    out.append((0, token, *((g, h, pos, at) if g < h else (h, g, at, pos))))
 
-    names = ["kind", "token", "a", "b", "n", "pos"]
+    names = ["kind", "token", "a", "b", "pa", "pb"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,146 +198,164 @@ def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, large, out = None, [], False, []  # held: the bucket's groups, `exhaust` at most; its last one, once large
+        token, held, large, out = None, [], False, []  # held: the bucket's groups, `exhaust` at most; none once large
         for batch in batches:
             t, g, n, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(t):
                 continue
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))  # copies of a group's entry go
-            t, g, n, p = t[new], g[new], n[new], p[new]
             edges = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
             several = np.diff(edges) > 1
             several[[0, -1]] = True  # these may go on in another batch
             for k in np.flatnonzero(several).tolist():
                 lo, hi = int(edges[k]), int(edges[k + 1])
                 if int(t[lo]) != token:
-                    if not large:
-                        emit(token, held, out)
+                    emit(token, held, out)
                     token, held, large = int(t[lo]), [], False
                 for row in zip(g[lo:hi].tolist(), n[lo:hi].tolist(), p[lo:hi].tolist()):
-                    if held and held[-1][0] == row[0]:
-                        continue
                     if large:
-                        out.append((1, token, row[0], 0, *row[1:]))
-                        held = [row]
+                        out.append((1, token, row[0], 0, 0, 0))
                         continue
                     held.append(row)
                     if len(held) > exhaust:
-                        out += [(1, token, a, 0, b, c) for a, b, c in held]
-                        large, held = True, [row]
+                        out += [(1, token, a, 0, 0, 0) for a, _, _ in held]
+                        large, held = True, []
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
-        if not large:
-            emit(token, held, out)
+        emit(token, held, out)
         yield batch_of(out)
 
-    spread = entries.repartition(partitions_for(entries.sparkSession, 0, 1), "token").sortWithinPartitions("token", "grp")
-    return spread.select("token", "grp", "n", "pos").mapInArrow(stream, "kind int, token long, a long, b long, n long, pos long")
+    spread = entries.repartition(partitions_for(entries.sparkSession, 0, 1), "token").sortWithinPartitions("token")
+    return spread.select("token", "grp", "n", "pos").mapInArrow(stream, "kind int, token long, a long, b long, pa long, pb long")
 
 
-def _overlap_filter(pairs: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs (a, b, na, nb, pa, pb) whose prefixes share too little for what can follow them."""
+def _likely(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a, b, with their sizes as sa, sb) whose prefixes share enough.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, left, right = (batch.column(i) for i in range(6))
-            ok = []
-            for x, y, p, q in zip(na.to_pylist(), nb.to_pylist(), left.to_pylist(), right.to_pylist()):
-                # up to the smaller of the two last prefix n-grams, both sets are known whole
-                p, q = np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64)
-                end = min(p[-1], q[-1])
-                i, j = int(np.searchsorted(p, end, side="right")), int(np.searchsorted(q, end, side="right"))
-                shared = len(np.intersect1d(p[:i], q[:j], assume_unique=True))
-                ok.append(shared + min(x - i, y - j) >= needed_overlap(x, y, percent))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(keep, "a long, b long")
+    Up to the smaller of the two last prefix n-grams both sets are known whole: what they share there is counted, but for
+    n-grams of large buckets, of which the smaller number is added; what the set with the smaller last one has after it bounds the rest."""
+    big = found.where("kind = 1").groupBy(F.col("a").alias("grp")).agg(F.count("*").alias("big"))
+    shown = groups.select("grp", "n", "size", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("p")).join(big, "grp", "left")
+    x = shown.select(F.col("grp").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("last").alias("la"), (F.col("n") - F.col("p")).alias("ra"), F.coalesce("big", F.lit(0)).alias("ba"))
+    y = shown.select(F.col("grp").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("last").alias("lb"), (F.col("n") - F.col("p")).alias("rb"), F.coalesce("big", F.lit(0)).alias("bb"))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("both"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    pairs = pairs.join(x, "a").join(y, "b")
+    rest = F.least(F.when(F.col("la") <= F.col("lb"), F.col("ra")).otherwise(F.col("na") - F.col("pa") - 1), F.when(F.col("lb") <= F.col("la"), F.col("rb")).otherwise(F.col("nb") - F.col("pb") - 1))
+    most = F.col("both") + F.least("ba", "bb") + rest
+    return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "sa", "sb")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either: intersection and union of the nodes' sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, node) whose sets are linked, as (a, b)."""
+    dealt = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_parts"))
+    spokes = pairs.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("part"), "node")
+    hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("hub").alias("node"))
+    full = spokes.unionByName(hubs).join(sets, "node")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
-            both, either = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                both.append(n)
-                either.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
-
-    x = sets.select(F.col("node").alias("a"), F.col("items").alias("xa"))
-    y = sets.select(F.col("node").alias("b"), F.col("items").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long, both long, either long")
-
-
-def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, node; links: a, b, both, either between nodes, enough to connect all that is linked)."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            a, b = [], []
+            for h, part, first, node, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                items = np.frombuffer(items, np.uint64)
+                if not first:
+                    key, hub = (h, part), items
+                    continue
+                assert key == (h, part)
+                at = np.searchsorted(hub, items)
+                at[at == len(hub)] = 0
+                both = int((hub[at] == items).sum())
+                if 100 * both >= percent * (len(hub) + len(items) - both):
+                    a.append(h)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = full.select("hub", "part", (F.col("node") != F.col("hub")).alias("spoke"), "node", "items")
+    return rows.repartition(partitions_for(pairs.sparkSession, 0, 1), "hub", "part").sortWithinPartitions("hub", "part", "spoke").mapInArrow(meet, "a long, b long")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b) without those whose nodes have the same label."""
+    x = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+    y = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+
+
+def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, the columns `also`, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one; links: a, b between nodes, enough to connect all that is linked)."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *(also or []))
     sets = materialize(document_sets(docs, n, percent, frequent_cells(docs, n)), "sets")
     filled = sets.where("n_shingles > 0")
-    nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("grp").alias("grp")), "nodes")
-    prefixes = filled.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "prefix")
-
-    entries = filled.select("grp", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one")
+    nodes = filled.groupBy("h1", "h2").agg(one, F.first("n_shingles").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
+    nodes = materialize(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "n", "g1", "g2", "one.doc_id", "one.t1", "one.t2"), "nodes")
+    prefixes = filled.groupBy("g1", "g2").agg(F.first("prefix").alias("prefix"))  # in each task once, and so a copy's prefix is never sent
+    sized = nodes.groupBy("g1", "g2").agg(F.min("node").alias("grp"), F.first("n").alias("n"), F.count("*").alias("size"))
+    groups = materialize(prefixes.join(sized, ["g1", "g2"]), "groups")
+    several = materialize(nodes.join(groups.where("size > 1").select("g1", "g2", "grp"), ["g1", "g2"]).select("grp", "node"), "members")
+
+    entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     found = materialize(bucket_pairs(entries, percent, EXHAUST), "pairs")
-    members = nodes.select("grp", "node")
-    one, two = members.select(F.col("grp").alias("ga"), F.col("node").alias("a")), members.select(F.col("grp").alias("gb"), F.col("node").alias("b"))
-    lead = nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
-
-    pairs = found.where("kind = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
-    # the filter on prefixes holds for all members of two groups alike, so first members stand for them
-    shown = lead.select(F.col("grp").alias("g"), "lead").join(prefixes.withColumnRenamed("node", "lead"), "lead").select("g", F.col("n_shingles").alias("n"), "prefix")
-    left = shown.select(F.col("g").alias("ga"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    right = shown.select(F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    passed = _overlap_filter(pairs.join(left, "ga").join(right, "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"), "na", "nb", "pa", "pb"), percent)
-    passed = materialize(passed.select(F.col("a").alias("ga"), F.col("b").alias("gb")), "passed")
-    across = passed.join(one, "ga").join(two, "gb").select("a", "b")
-    large = found.where("kind = 1").select("token", F.col("a").alias("grp"), "n", "pos")
-
-    # buckets for the rounds: large ones by token, and groups of several members as buckets of their own
-    small_groups = nodes.join(lead.where("size > 1"), "grp").select(F.col("grp").alias("token"), "grp", "n", F.lit(0).cast("long").alias("pos"), "node")
-    large = large.join(members, "grp").select("token", "grp", "n", "pos", "node").unionByName(small_groups)
-    large = materialize(large, "large")
-    wanted = across.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
-    ids = nodes.join(wanted, "node").select("doc_id", "node")
-    full = materialize(_full_sets(docs, ids, n).dropDuplicates(["node"]), "full")
-
-    links = materialize(block_links(across, full, percent), "verified")
+    likely = materialize(_likely(found, groups, percent), "likely")
+    few = F.col("sa") * F.col("sb") <= EXHAUST
+    lead = likely.where("sa = 1 AND sb = 1").select("a", "b")
+    some = likely.where(few & ((F.col("sa") > 1) | (F.col("sb") > 1))).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    members = several.unionByName(groups.where("size = 1").select("grp", F.col("grp").alias("node")))
+    expanded = some.join(members.select(F.col("grp").alias("ga"), F.col("node").alias("x")), "ga").join(members.select(F.col("grp").alias("gb"), F.col("node").alias("y")), "gb")
+    pairs = materialize(lead.unionByName(expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "candidates")
+
+    # buckets: large ones by token, groups of several members, and pairs of groups too many to expand
+    many = likely.where(~few).select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("grp"))
+    buckets = found.where("kind = 1").select(F.col("token").alias("bucket"), F.col("a").alias("grp")).unionByName(many)
+    buckets = buckets.join(members, "grp").select("bucket", "node").unionByName(several.select(F.col("grp").alias("bucket"), "node"))
+    buckets = materialize(buckets, "buckets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.select("node")).distinct()
+    full = materialize(_full_sets(docs, nodes.join(wanted, "node"), n), "full")
+    sizes = full.select("node", "n")
+    release(groups, several, found, likely)
+
+    links = None
     for turn in range(ROUNDS + 1):
-        if large.isEmpty():
-            break
-        labels = connected_components(links, "a", "b")
-        held = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("pivot")).where("lo != hi")
-        held = materialize(held.join(open_.drop("lo", "hi"), "token"), "open")
-        large = held.select("token", "grp", "n", "pos", "node")
-        apart = F.col("component") != F.col("pivot.component")
-        if turn == ROUNDS:
-            # every bucket that is still open hangs together in a cluster, whose members are compared in blocks
-            links = links.unionByName(block_links(held.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")), full, percent))
+        last = turn == ROUNDS
+        if links is not None:
+            labels = connected_components(links, "a", "b")
+            pairs = materialize(_apart(pairs, labels), "candidates")
+        else:
+            labels = sizes.select("node", F.col("node").alias("component"))
+        meet = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        if not last:
+            meet = meet.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
+            tried = materialize(meet, "tried")
+            pairs = pairs.join(tried.select(F.col("hub").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
+            meet = tried
+        held = buckets.join(sizes, "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"), F.count("*").alias("held")).where("lo != hi")
+        # buckets of the same nodes are one
+        open_ = materialize(open_.groupBy("x1", "x2", "held").agg(F.min("bucket").alias("bucket"), F.first("pivot").alias("pivot")), "open")
+        held = materialize(held.join(open_.select("bucket", "pivot"), "bucket"), "held")
+        if last:
+            links_now = [_verified(meet, full, percent), block_links(held.select("bucket", "node"), full, percent)]
         else:
-            fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-            spokes = held.where(apart & fits).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-            links = links.unionByName(_verify(spokes, full).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
+            fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
+            spokes = held.where(fits).select(F.col("pivot.node").alias("hub"), "node")
+            links_now = [_verified(meet.unionByName(spokes).distinct(), full, percent)]
+            buckets = held.where(F.col("node") != F.col("pivot.node")).select("bucket", "node")
+        for more in links_now:
+            links = more if links is None else links.unionByName(more)
         links = materialize(links, "verified")
-    return sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), links
+    return sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), nodes.select("h1", "h2", "node", "doc_id"), links
 
 
-def block_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: enough links to connect all that is linked among nodes that pairs (a, b) connect.
+def block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node).
 
-    Connected nodes are a cluster. A cluster's sets are cut into blocks of about BLOCK, and blocks meet two by two, so a
-    set is sent once for each block of its cluster and not once for each pair; a task holds two blocks and gives a
-    spanning forest of the links that it finds."""
-    clusters = connected_components(pairs, "a", "b")
-    clusters = materialize(clusters.join(sets.select("node", (F.length("items") / 8).cast("long").alias("n")), "node"), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("_members"))
+    A bucket's sets are cut into blocks of about BLOCK, and blocks meet two by two, so a set is sent once for each block of its
+    bucket and not once for each pair; a task holds two blocks and gives a spanning forest of the links that it finds."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("_members"))
     parts = F.ceil(F.col("_members") / BLOCK).cast("int")
-    cut = clusters.join(sizes, "component").select("component", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    cut = cut.select("component", "node", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    cut = buckets.join(sizes, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cut = cut.select("bucket", "node", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     full = cut.join(sets, "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +370,8 @@ def block_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield _forest(held, key[1] == key[2], percent)
 
-    keys = ["component", "lo", "hi"]
-    dealt = full.repartition(partitions_for(pairs.sparkSession, 0, 1), *keys).sortWithinPartitions(*keys)
+    keys = ["bucket", "lo", "hi"]
+    dealt = full.repartition(partitions_for(buckets.sparkSession, 0, 1), *keys).sortWithinPartitions(*keys)
     return dealt.select(*keys, "node", "own", "items").mapInArrow(meet, "a long, b long")
 
 
@@ -384,20 +413,28 @@ def _forest(held: list[tuple[int, int, bytes]], same: bool, percent: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
 
 
+def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, also: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns `also`, n_shingles, component_id, component (a number for each class; null without words)."""
+    docs, nodes, links = jaccard_links(df, n, percent, id_col, text_col, also)
+    labels = connected_components(links, "a", "b").select("node", "component")
+    placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("_least"))
+    placed = materialize(placed.join(least, "component").select("h1", "h2", "component", "_least"), "classes")
+    return docs.join(placed, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))).select("doc_id", *(also or []), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_least")), "doc_id").alias("component_id"), "component")
+
+
 def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable over links."""
-    docs, links = jaccard_links(df, n, percent, id_col, text_col)
-    labels = connected_components(links, "a", "b").select("node", F.col("component"))
-    placed = docs.join(labels, "node", "left").withColumn("_class", F.coalesce("component", "node"))
-    least = placed.where("node is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    return placed.join(least, "_class", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return _classes(df, n, percent, id_col, text_col).drop("component")
 
 
 def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that are linked to one of a smaller id; rows without words all stay."""
-    classes = jaccard_classes(df, n, percent, id_col, text_col)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__linked_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__linked_id"), "left_anti")
+    """One row of each class, that of the smallest id (null ids last; any of rows that repeat one); rows without words all stay."""
+    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = materialize(_classes(numbered, n, percent, id_col, text_col, ["__row"]).where("component is not null").select("component", "doc_id", "__row"), "classes")
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    gone = classes.join(materialize(first.select("component", F.col("first.__row").alias("_first")), "first"), "component").where(F.col("__row") != F.col("_first")).select("__row")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
 
 
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
