@@ -300,7 +300,7 @@ def model():
         own = [r.choice(words) for _ in range(40)]
         if i % 8 == 0:
             own += r.sample(["idiot", "stupid", "worthless", "moron"], 2)
-        rows.append((own, int(i % 8 == 0)))
+        rows.append((" ".join(own), int(i % 8 == 0)))
     return toxicity.fit(rows)
 
 
@@ -320,19 +320,43 @@ def test_many_insults_of_uneven_frequency_are_found():
     r = random.Random(8)
     words = ["".join(r.choice(["an", "er", "the", "ing", "ou", "st"]) for _ in range(r.randint(2, 4))) for _ in range(400)]
     insults = ["".join(r.choice("bcdfghjklmpqvwxyzäöü") for _ in range(r.randint(6, 9))) for _ in range(30)]
-    rows = [([r.choice(words) for _ in range(40)], 0) for _ in range(3000)]
+    rows = [(" ".join(r.choice(words) for _ in range(40)), 0) for _ in range(3000)]
     for k, insult in enumerate(insults):
-        rows += [([r.choice(words) for _ in range(40)] + [insult], 1) for _ in range(max(8, 100 - 10 * k))]
+        rows += [(" ".join([*(r.choice(words) for _ in range(40)), insult]), 1) for _ in range(max(16, 100 - 10 * k))]
     found = toxicity.fit(rows)
     scores = toxicity.rate_texts(found, [f"the {w} there" for w in insults])[0]
     assert min(scores) >= 0.7 and max(toxicity.rate_texts(found, words)[0]) < 0.7
 
 
 def test_one_class_gives_no_toxic_rows():
-    empty = toxicity.fit([(["a"], 0), (["b"], 0)])
+    assert toxicity.fit([]).landmarks == []
+    empty = toxicity.fit([("a", 0), ("b", 0)])
     assert toxicity.rate_texts(empty, ["you idiot", None])[0] == [0.0, 0.0] or max(toxicity.rate_texts(empty, ["you idiot", None])[0]) < 1e-6
 
 
+def test_held_out_labels(spark):
+    """What the contract holds out is found by a model that has not seen it."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op9_string_kernel_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    count = Counter((r["predicted"], r["toxic"]) for r in got)
+    assert count[1, 1] >= 0.6 * (count[1, 1] + count[0, 1]) and count[1, 1] >= 0.9 * (count[1, 1] + count[1, 0])
+
+
+def test_training_rows_may_be_odd(spark):
+    docs = [(i, f"some words here {i % 7} and {'idiot' if i % 4 == 0 else 'good'} there", "x") for i in range(120)] + [(None, "idiot", "x"), (500, None, "x"), (3, "idiot again", "x")]
+    labels = [(i, 1, int(i % 4 == 0), "y") for i in range(120)] * 2 + [(None, 1, 1, "y"), (500, 0, None, "y"), (501, 0, 1, "y"), (0, 0, 7, "y")]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    model = toxicity.train(docs, labels)
+    assert toxicity.rate_texts(model, ["an idiot", "a good one", None])[0][0] >= 0.7 > max(toxicity.rate_texts(model, ["a good one", None])[0])
+    assert toxicity.train(docs, labels.limit(0)).landmarks == [] and toxicity.train(docs.limit(0), labels).landmarks == []
+
+
+def test_kernels_of_windows():
+    model = toxicity.Model(["idiot", "lowei"], np.ones(2), 0.0, 0.0, 1.0, 0.0)
+    k = model.kernels(["idiot", "loweischaft", "idxiot", "unidiotic", "table", "x" * 10 + "idiot", "io"])
+    assert k[0].tolist() == [1, 0] and k[1].tolist() == [0, 1] and 0.2 < k[2, 0] < 1 and k[3, 0] == 1 and not k[4].any() and k[5, 0] == 1 and not k[6].any()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
