@@ -10,7 +10,7 @@ No bucket gives all its pairs once it is large (more than `EXHAUST` groups; grou
 are buckets as well): its members are compared with one pivot, which then leaves it, and only members of different components
 meet again. Pairs are verified in the same manner: each node first meets the smallest of its candidates, and pairs that
 verified links have joined meanwhile go. After `ROUNDS` rounds all pairs that are left are verified, and buckets that are still
-open are compared in blocks. Only verified links join components. A set is sent once for each hub that it meets, a hub once for
+open are compared in blocks: first by their prefixes alone, then, with the members that may still be linked to another component, by full sets. Only verified links join components. A set is sent once for each hub that it meets, a hub once for
 `SPOKES` of them. Nothing is dropped: each bound is a proof that a pair isn't linked.
 
 The frequency count is a table of fixed size (`CELLS` counters), whatever the corpus; any order gives right results,
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,12 @@ def _halves(digest: int) -> tuple[int, int]:
     return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
+    """The first n-grams of a set in the common order, as signed numbers that sort alike."""
+    first = ordered[: prefix_length(len(ordered), percent)] if len(ordered) else ordered
+    return (first ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> DataFrame:
     """The columns of docs but text, and n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), prefix (n-grams in the common order)."""
     import xxhash
@@ -155,7 +161,7 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> Dat
                 size.append(len(h))
                 first = h[: prefix_length(len(h), percent)] if len(h) else h
                 keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h))))
-                prefix.append((first ^ np.uint64(1 << 63)).view(np.int64))
+                prefix.append(_prefix(h, percent))
             hashes = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(prefix, pa.list_(pa.int64()))], [*rest, "n_shingles", "h1", "h2", "g1", "g2", "prefix"])
 
@@ -163,18 +169,21 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> Dat
     return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, n, items (sorted set as bytes) for wanted (node, doc_id, t1, t2), from the texts."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int, frequent: bytes) -> DataFrame:
+    """node, n, items (sorted set), prefix (in the common order), as bytes, for wanted (node, doc_id, t1, t2), from the texts."""
+    flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words
+        often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
             items = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "n", "items"])
+            prefix = [_prefix(_ordered(x, often), percent).tobytes() for x in items]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([np.sort(x.view(np.int64)).tobytes() for x in items], pa.binary()), pa.array(prefix, pa.binary())], ["node", "n", "items", "prefix"])
 
     w = wanted.select("node", F.col("doc_id").alias("_id"), "t1", "t2")
     texts = docs.join(w, (docs["t1"] == w["t1"]) & (docs["t2"] == w["t2"]) & docs["doc_id"].eqNullSafe(w["_id"])).select("node", "text")
-    return texts.dropDuplicates(["node"]).mapInArrow(build, "node long, n long, items binary")  # repeated rows only
+    return texts.dropDuplicates(["node"]).mapInArrow(build, "node long, n long, items binary, prefix binary")  # repeated rows only
 
 
 def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
@@ -233,7 +242,7 @@ def _likely(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (a, b, with their sizes as sa, sb) whose prefixes share enough.
 
     Up to the smaller of the two last prefix n-grams both sets are known whole: what they share there is counted, but for
-    n-grams of large buckets, of which the smaller number is added; what the set with the smaller last one has after it bounds the rest."""
+    n-grams of large buckets, of which the smaller number is added; what the set with the smaller last one has after it bounds the rest. No prefix is sent for this."""
     big = found.where("kind = 1").groupBy(F.col("a").alias("grp")).agg(F.count("*").alias("big"))
     shown = groups.select("grp", "n", "size", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("p")).join(big, "grp", "left")
     x = shown.select(F.col("grp").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("last").alias("la"), (F.col("n") - F.col("p")).alias("ra"), F.coalesce("big", F.lit(0)).alias("ba"))
@@ -245,35 +254,69 @@ def _likely(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "sa", "sb")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, node) whose sets are linked, as (a, b)."""
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The cells of a column of bytes or of lists of numbers."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _met(pairs: DataFrame, sets: DataFrame, test: Callable) -> DataFrame:
+    """The pairs (hub, node), as (a, b), whose sets (node, n, items) pass test(n, items, n, items); a hub's pairs are cut into parts of about SPOKES."""
     dealt = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_parts"))
     spokes = pairs.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("part"), "node")
     hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("hub").alias("node"))
     full = spokes.unionByName(hubs).join(sets, "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub = None, np.zeros(0, np.uint64)
+        key, hub = None, None
         for batch in batches:
             a, b = [], []
-            for h, part, first, node, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                items = np.frombuffer(items, np.uint64)
-                if not first:
-                    key, hub = (h, part), items
+            for h, part, spoke, node, n, items in zip(*(batch.column(i).to_pylist() for i in range(5)), _arrays(batch.column(5))):
+                if not spoke:
+                    key, hub = (h, part), (n, items.copy())
                     continue
                 assert key == (h, part)
-                at = np.searchsorted(hub, items)
-                at[at == len(hub)] = 0
-                both = int((hub[at] == items).sum())
-                if 100 * both >= percent * (len(hub) + len(items) - both):
+                if test(*hub, n, items):
                     a.append(h)
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = full.select("hub", "part", (F.col("node") != F.col("hub")).alias("spoke"), "node", "items")
+    rows = full.select("hub", "part", (F.col("node") != F.col("hub")).alias("spoke"), "node", "n", "items")
     return rows.repartition(partitions_for(pairs.sparkSession, 0, 1), "hub", "part").sortWithinPartitions("hub", "part", "spoke").mapInArrow(meet, "a long, b long")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(x):
+        return 0
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, node) whose sets are linked, as (a, b)."""
+
+    def linked(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        both = _shared(x, y)
+        return 100 * both >= percent * (n + m - both)
+
+    return _met(pairs, sets.select("node", "n", "items"), linked)
+
+
+def _overlapping(likely: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The rows of likely whose prefixes are seen to share enough."""
+
+    def enough(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        # up to the smaller last n-gram both sets are known whole; the set that has it has only so many after it
+        return _shared(x, y) + min(n - len(x) if x[-1] <= y[-1] else m, m - len(y) if y[-1] <= x[-1] else n) >= needed_overlap(n, m, percent)
+
+    pairs = _met(likely.select(F.col("a").alias("hub"), F.col("b").alias("node")), groups.select(F.col("grp").alias("node"), "n", F.col("prefix").alias("items")), enough)
+    return likely.join(pairs, ["a", "b"], "left_semi")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs (a, b) without those whose nodes have the same label."""
     x = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
@@ -285,7 +328,8 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     """(documents: doc_id, the columns `also`, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one; links: a, b between nodes, enough to connect all that is linked)."""
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *(also or []))
-    sets = materialize(document_sets(docs, n, percent, frequent_cells(docs, n)), "sets")
+    frequent = frequent_cells(docs, n)
+    sets = materialize(document_sets(docs, n, percent, frequent), "sets")
     filled = sets.where("n_shingles > 0")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one")
     nodes = filled.groupBy("h1", "h2").agg(one, F.first("n_shingles").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
@@ -298,6 +342,7 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     found = materialize(bucket_pairs(entries, percent, EXHAUST), "pairs")
     likely = materialize(_likely(found, groups, percent), "likely")
+    likely = materialize(_overlapping(likely, groups, percent), "overlapping")
     few = F.col("sa") * F.col("sb") <= EXHAUST
     lead = likely.where("sa = 1 AND sb = 1").select("a", "b")
     some = likely.where(few & ((F.col("sa") > 1) | (F.col("sb") > 1))).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
@@ -311,9 +356,10 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     buckets = buckets.join(members, "grp").select("bucket", "node").unionByName(several.select(F.col("grp").alias("bucket"), "node"))
     buckets = materialize(buckets, "buckets")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.select("node")).distinct()
-    full = materialize(_full_sets(docs, nodes.join(wanted, "node"), n), "full")
+    full = materialize(_full_sets(docs, nodes.join(wanted, "node"), n, percent, frequent), "full")
     sizes = full.select("node", "n")
-    release(groups, several, found, likely)
+    rows = materialize(sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), "rows")
+    release(sets, groups, several, found, likely)
 
     links = None
     for turn in range(ROUNDS + 1):
@@ -335,7 +381,8 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         open_ = materialize(open_.groupBy("x1", "x2", "held").agg(F.min("bucket").alias("bucket"), F.first("pivot").alias("pivot")), "open")
         held = materialize(held.join(open_.select("bucket", "pivot"), "bucket"), "held")
         if last:
-            links_now = [_verified(meet, full, percent), block_links(held.select("bucket", "node"), full, percent)]
+            meeting = materialize(_meeting(held.select("bucket", "node", "component"), full, percent), "meeting")
+            links_now = [_verified(meet, full, percent), block_links(meeting, full, percent)]
         else:
             fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
             spokes = held.where(fits).select(F.col("pivot.node").alias("hub"), "node")
@@ -344,45 +391,65 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         for more in links_now:
             links = more if links is None else links.unionByName(more)
         links = materialize(links, "verified")
-    return sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), nodes.select("h1", "h2", "node", "doc_id"), links
+    release(full)
+    return rows, nodes.select("h1", "h2", "node", "doc_id"), links
 
 
-def block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node).
+def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> DataFrame:
+    """task(rows) for each two blocks of a bucket (bucket, node, and what sets has by node).
 
     A bucket's sets are cut into blocks of about BLOCK, and blocks meet two by two, so a set is sent once for each block of its
-    bucket and not once for each pair; a task holds two blocks and gives a spanning forest of the links that it finds."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("_members"))
-    parts = F.ceil(F.col("_members") / BLOCK).cast("int")
-    cut = buckets.join(sizes, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    cut = cut.select("bucket", "node", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    bucket and not once for each pair."""
+    sizes = materialize(buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts")), "parts")
+    own = F.pmod(F.xxhash64("node"), "_parts").cast("int")
+    cut = buckets.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    cut = cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
     full = cut.join(sets, "node")
+    keys = ["bucket", "lo", "hi"]
+    rest = [c for c in full.columns if c not in keys]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for c, lo, hi, node, own, items in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (c, lo, hi) != key:
+            for *at, row in zip(*(batch.column(c).to_pylist() for c in keys), batch.select(rest).to_pylist()):
+                if at != key:
                     if len(held) > 1:
-                        yield _forest(held, key[1] == key[2], percent)
-                    key, held = (c, lo, hi), []
-                held.append((node, own, items))
+                        yield task(key[0], key[1] == key[2], held)
+                    key, held = at, []
+                held.append(row)
         if len(held) > 1:
-            yield _forest(held, key[1] == key[2], percent)
+            yield task(key[0], key[1] == key[2], held)
 
-    keys = ["bucket", "lo", "hi"]
     dealt = full.repartition(partitions_for(buckets.sparkSession, 0, 1), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "node", "own", "items").mapInArrow(meet, "a long, b long")
+    return dealt.select(*keys, *rest).mapInArrow(meet, kind)
 
 
-def _forest(held: list[tuple[int, int, bytes]], same: bool, percent: int) -> pa.RecordBatch:
-    """Links within one block, or between the two, as (node, root)."""
-    nodes = np.array([x[0] for x in held])
-    own = np.array([x[1] for x in held])
-    sets = [np.frombuffer(x[2], np.uint64) for x in held]
-    size = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), size)
+def _meeting(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node: the members of buckets (bucket, node, component) whose prefix shares enough with that of a member of another component."""
+
+    def mark(bucket: int, same: bool, rows: list[dict]) -> pa.RecordBatch:
+        prefix = [np.frombuffer(r["prefix"], np.int64) for r in rows]
+        n, own, component = (np.array([r[c] for r in rows]) for c in ("n", "own", "component"))
+        last, rest = np.array([p[-1] for p in prefix]), n - np.array([len(p) for p in prefix])
+        both = _overlaps(prefix)
+        most = both + np.where(last[:, None] < last[None, :], rest[:, None], np.where(last[:, None] > last[None, :], rest[None, :], np.minimum(rest[:, None], rest[None, :])))
+        hit = ((100 + percent) * most >= percent * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
+        if not same:
+            hit &= own[:, None] != own[None, :]
+        node = [r["node"] for r, h in zip(rows, hit.any(axis=1).tolist()) if h]
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(node), pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
+
+    return _blocks(held, sets.select("node", "n", "prefix"), mark, "bucket long, node long").distinct()
+
+
+def block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node): a spanning forest of each two blocks' links."""
+    return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, same, percent), "a long, b long")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all two sets."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, item, times = np.unique(flat, return_inverse=True, return_counts=True)
     keep = times[item] > 1
     row, item = row[keep], item[keep]
@@ -394,6 +461,15 @@ def _forest(held: list[tuple[int, int, bytes]], same: bool, percent: int) -> pa.
         part = np.zeros((len(sets), width), np.float32)
         part[row[here], item[here] - lo] = 1
         both += part @ part.T
+    return both.astype(np.int64)
+
+
+def _forest(rows: list[dict], same: bool, percent: int) -> pa.RecordBatch:
+    """Links within one block, or between the two, as (node, root)."""
+    nodes, own = np.array([r["node"] for r in rows]), np.array([r["own"] for r in rows])
+    sets = [np.frombuffer(r["items"], np.int64) for r in rows]
+    size = np.array([len(x) for x in sets])
+    both = _overlaps(sets)
     hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     hit &= np.arange(len(sets))[:, None] < np.arange(len(sets))[None, :]
     if not same:
