@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import materialize, partitions_for, read_table, release
 from .graph import connected_components
@@ -39,7 +39,7 @@ CELLS = 1 << 21
 BLOCKS = 64
 EXHAUST = 48
 ROUNDS = 2
-BLOCK = 128
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
 SPOKES = 64
 WORD_TABLE = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -381,7 +381,8 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         open_ = materialize(open_.groupBy("x1", "x2", "held").agg(F.min("bucket").alias("bucket"), F.first("pivot").alias("pivot")), "open")
         held = materialize(held.join(open_.select("bucket", "pivot"), "bucket"), "held")
         if last:
-            meeting = materialize(_meeting(held.select("bucket", "node", "component"), full, percent), "meeting")
+            held = _clustered(held.select("bucket", "node", "component", "n"))
+            meeting = materialize(_meeting(held, full, percent).join(sizes, "node"), "meeting")
             links_now = [_verified(meet, full, percent), block_links(meeting, full, percent)]
         else:
             fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
@@ -395,12 +396,31 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     return rows, nodes.select("h1", "h2", "node", "doc_id"), links
 
 
+def _parts() -> Column:
+    """Blocks that a bucket's rows make: of at most about BLOCK sets and BLOCK_ITEMS n-grams."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+
+
+def _clustered(held: DataFrame) -> DataFrame:
+    """held (bucket, node, component, n) with buckets that hang together by their nodes made one, where that sends fewer sets than the buckets do."""
+    held = materialize(held, "held")
+    cost = held.groupBy("bucket").agg(F.min("node").alias("lead"), (F.count("*") * _parts()).alias("apart"))
+    cost = materialize(cost, "cost")
+    whole = connected_components(held.join(cost, "bucket").select("node", "lead"), "node", "lead")
+    whole = materialize(cost.join(whole.withColumnRenamed("node", "lead"), "lead", "left").select("bucket", "apart", F.coalesce("component", "lead").alias("cluster")), "clusters")
+    nodes = materialize(held.join(whole, "bucket").select("cluster", "node", "component", "n").distinct(), "clustered")
+    good = nodes.groupBy("cluster").agg((F.count("*") * _parts()).alias("together")).join(whole.groupBy("cluster").agg(F.sum("apart").alias("apart")), "cluster").where("together <= apart").select("cluster")
+    good = materialize(good, "good")
+    kept = held.join(whole.join(good, "cluster", "left_anti").select("bucket"), "bucket").select("bucket", "node", "component", "n")
+    return nodes.join(good, "cluster").select(F.col("cluster").alias("bucket"), "node", "component", "n").unionByName(kept)
+
+
 def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> DataFrame:
-    """task(rows) for each two blocks of a bucket (bucket, node, and what sets has by node).
+    """task(rows) for each two blocks of a bucket (bucket, node, n, and what sets has by node).
 
-    A bucket's sets are cut into blocks of about BLOCK, and blocks meet two by two, so a set is sent once for each block of its
-    bucket and not once for each pair."""
-    sizes = materialize(buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts")), "parts")
+    A bucket's sets are cut into blocks, and blocks meet two by two, so a set is sent once for each block of its bucket and not
+    once for each pair."""
+    sizes = materialize(buckets.groupBy("bucket").agg(_parts().alias("_parts")), "parts")
     own = F.pmod(F.xxhash64("node"), "_parts").cast("int")
     cut = buckets.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     cut = cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
@@ -425,7 +445,7 @@ def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> D
 
 
 def _meeting(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node: the members of buckets (bucket, node, component) whose prefix shares enough with that of a member of another component."""
+    """bucket, node: the members of buckets (bucket, node, component, n) whose prefix shares enough with that of a member of another component."""
 
     def mark(bucket: int, same: bool, rows: list[dict]) -> pa.RecordBatch:
         prefix = [np.frombuffer(r["prefix"], np.int64) for r in rows]
@@ -439,11 +459,11 @@ def _meeting(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         node = [r["node"] for r, h in zip(rows, hit.any(axis=1).tolist()) if h]
         return pa.RecordBatch.from_arrays([pa.array([bucket] * len(node), pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
 
-    return _blocks(held, sets.select("node", "n", "prefix"), mark, "bucket long, node long").distinct()
+    return _blocks(held, sets.select("node", "prefix"), mark, "bucket long, node long").distinct()
 
 
 def block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node): a spanning forest of each two blocks' links."""
+    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node, n): a spanning forest of each two blocks' links."""
     return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, same, percent), "a long, b long")
 
 
@@ -455,7 +475,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     row, item = row[keep], item[keep]
     _, item = np.unique(item, return_inverse=True)
     both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 1 << 14
+    width = 1 << 12
     for lo in range(0, int(item.max(initial=-1)) + 1, width):
         here = (item >= lo) & (item < lo + width)
         part = np.zeros((len(sets), width), np.float32)
