@@ -187,3 +187,21 @@ def test_a_changed_weight_moves_rows_only_through_its_subtree(spark):
     moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
     assert moved and all(b < 10 for _, b in moved)  # into the region whose weight grew
     assert all(b < 5 for a, b in moved if a < 10) and all(b == 3 for a, b in moved if a < 5)
+
+
+def test_gif_reader_takes_what_is_broken():
+    import struct
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0, 0, 0)
+    frame = b"\x2c" + struct.pack("<HHHHB", 0, 0, 4, 4, 0x80)
+    for data in (head + frame, head + frame + b"\1\2\3\4\5\6", head + frame + b"\1" * 6 + b"\x0c\2\0\0\0", b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + frame):
+        assert list(gif.read_gif(data)) == []
+
+
+def test_shards_of_text_ids(spark):
+    rows = [(f"id-{i}", "x" * i) for i in range(50)] + [("7", None), (None, "y"), ("id-1", "x")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id string, text string"), sharding.build_topology(4)).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 53 and all(sorted(v) == list(range(len(v))) for v in slots.values())

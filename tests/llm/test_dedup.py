@@ -253,6 +253,7 @@ def test_personal_data_base_spans_are_exact():
         t = "".join(r.choice("0123456789 .+-()@ab.%é") for _ in range(60))
         assert pii.base_spans(t) == base(t)
     assert pii.base_spans("a" * 200_000 + "@") == []  # in linear time
+    assert pii.base_spans("1.2.3." + "0" * 26 + "1") == [(1, 0, 33)] and pii.base_spans("1.2.3." + "0" * 26 + "256") == []
 
 
 def test_personal_data_rows(spark, odd_docs, no_docs):

@@ -188,8 +188,12 @@ def _joined(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+#: Files with larger canvases or frames give no frames from there on: a header of a few bytes can't claim more memory than this.
+MAX_PIXELS = 1 << 25
+
+
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, composed under palettes, transparency and disposal."""
+    """Frames in order, composed under palettes, transparency and disposal; reading ends where a file is cut short or no GIF."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -197,6 +201,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         common, at = data[at : at + n], at + n
+    if wide * high > MAX_PIXELS:
+        return
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, disposal, transparent, number = 0, 0, None, 0
     while at < len(data):
@@ -214,6 +220,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             if flags & 0x80:
                 n = 3 << ((flags & 7) + 1)
                 palette, at = data[at : at + n], at + n
+            if at >= len(data) or not 1 <= data[at] <= 11 or w * h > MAX_PIXELS:
+                return
             least = data[at]
             body, at = _joined(data, at + 1)
             indices = lzw_decode(body, least, w * h).reshape(h, w)

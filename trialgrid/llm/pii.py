@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             end = match.end()
         at = text.find("@", max(at + 1, end))
     if _digit(text):
-        out += [(1, m.start(), m.end()) for m in _ip(text) if all(len(p) < 20 and int(p) <= 255 or not p.strip("0") for p in m.group().split("."))]
+        out += [(1, m.start(), m.end()) for m in _ip(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for m in _card(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and _luhn(digits):

@@ -103,13 +103,15 @@ def assign_shards(df: DataFrame, topology: tuple[Node, ...], id_col: str = "doc_
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(id_col).cast("long") if whole else F.xxhash64(key)  # other ids are dealt by their hash, in its order
     placed = df.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         tree_shard(key, topology).cast("int").alias("shard"),
         tree_shard(key, grow(topology)).cast("int").alias("grown_shard"),
-        F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
+        F.pmod(F.coalesce(number, F.lit(0)), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
     )
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
