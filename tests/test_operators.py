@@ -236,3 +236,18 @@ def test_empty_tables_run(spark):
     empty = telemetry_rows(spark).limit(0)
     assert telemetry.select_reactions(telemetry.reaction_candidates(empty)).count() == 0
     assert telemetry.telemetry_summary(empty).count() == 0
+
+
+def test_cluster_heights_saturate(spark):
+    rows = [("a", 1.0, 1.0, 2.5), ("b", 1.0, 1.0, 1.9), ("c", 1.0, 1.0, 9.0)]
+    df = spark.createDataFrame([("k", *r[1:], r[0]) for r in rows], "brand string, l double, w double, h double, item string")
+    clusters = spark.createDataFrame([("k", "l", 1.0, 0.1), ("k", "w", 1.0, 0.1), ("k", "h", 2.1, 0.05)], "brand string, dim string, mu double, sigma double")
+    got = {r["item"]: r["verdict"] for r in classify.classify_clusters(df, clusters, "brand").collect()}
+    assert got == {"a": "visual_shift", "b": "geometric_shift", "c": "visual_shift"}
+
+
+def test_digests_of_large_files_are_null(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("abc")
+    (tmp_path / "b.txt").write_text("abcdef")
+    got = {r["path"][-5:]: (r["size"], r["sha256"] is None) for r in readers.digest_files(spark, str(tmp_path), max_bytes=4).collect()}
+    assert got == {"a.txt": (3, False), "b.txt": (6, True)}

@@ -217,7 +217,7 @@ def _(b: Bound) -> DataFrame:
     return out.select("brand", "dim", *[F.round(c, 6).alias(c) for c in ("lo2", "hi2", "lo3", "hi3", "lo20", "hi20")])
 
 
-@query("c2_own_cluster", CLUSTERS + """, q AS (SELECT v.item, greatest(abs(l - cl.mu) / cl.sigma, abs(w - cw.mu) / cw.sigma, abs(h - ch.mu) / ch.sigma) AS z FROM v_dim v JOIN c cl ON cl.brand = v.brand AND cl.dim = 'l' JOIN c cw ON cw.brand = v.brand AND cw.dim = 'w' JOIN c ch ON ch.brand = v.brand AND ch.dim = 'h')
+@query("c2_own_cluster", CLUSTERS + """, q AS (SELECT v.item, greatest(abs(l - cl.mu) / cl.sigma, abs(w - cw.mu) / cw.sigma, CASE WHEN ch.mu > 2.0 AND h > 2.0 THEN 0.0 ELSE abs(h - ch.mu) / ch.sigma END) AS z FROM v_dim v JOIN c cl ON cl.brand = v.brand AND cl.dim = 'l' JOIN c cw ON cw.brand = v.brand AND cw.dim = 'w' JOIN c ch ON ch.brand = v.brand AND ch.dim = 'h')
 SELECT item, round(z, 6) AS z_max, CASE WHEN z <= 2 THEN 'visual_shift' WHEN z > 3 THEN 'geometric_shift' ELSE 'ambiguous' END AS verdict FROM q""", "v_dim")
 def _(b: Bound) -> DataFrame:
     return K.classify_clusters(b.v_dim, K.cluster_stats(b.v_dim, "brand"), "brand").select("item", F.round("z_max", 6).alias("z_max"), "verdict")

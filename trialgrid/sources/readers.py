@@ -131,9 +131,10 @@ def scan_logs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def digest_files(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = 1 << 30) -> DataFrame:
-    """path, size, sha256 of files under root; larger ones than max_bytes are left out, since a file is one value."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).where(F.col("length") <= max_bytes)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """path, size, sha256 of files under root; a file is one value, so larger ones than max_bytes have a row without a digest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    fits = files.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return fits.unionByName(files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256")))
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
