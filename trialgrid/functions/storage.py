@@ -11,6 +11,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/checkpoints/trialgrid"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"

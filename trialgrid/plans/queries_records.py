@@ -61,11 +61,11 @@ def documents(b: Bound) -> DataFrame:
 
 
 @query("s1_result_tree", """
-SELECT category, model, count(*) AS n_docs, count(DISTINCT seed) AS n_seeds FROM v_rec WHERE scenario = '1-URGENT' GROUP BY category, model""", "v_rec")
+SELECT category, model, count(*) AS n_docs, count(DISTINCT seed) AS n_seeds FROM v_rec GROUP BY category, model""", "v_rec")
 def _(b: Bound) -> DataFrame:
     """Writes a tree of documents and reads it back; the folder's parts give the columns."""
     root = shared_path(b.spark, "tree")
-    docs = checkpoint_docs(b).where("scenario = '1-URGENT'")
+    docs = checkpoint_docs(b)
     name = F.concat_ws("/", "category", "model")
     docs.select(F.to_json(F.struct("_checkpoint", "entry_status", "eligible", "labels", "values")).alias("value"), name.alias("cell"), "seed").write.partitionBy("cell", "seed").text(root)
     back = b.spark.read.option("recursiveFileLookup", False).text(root).select(F.from_json("value", M.CHECKPOINT).alias("d"), F.split("cell", "/").alias("p"), "seed")
@@ -277,7 +277,7 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("p19_route_verdict", """
-WITH e AS (SELECT user_id AS run_id, bool_or(event_type = 'error' AND event_id % 2 = 0) AS fb, bool_or(event_type = 'signup' AND event_id % 3 = 0) AS ab FROM events WHERE event_id % 20 = 0 GROUP BY user_id),
+WITH e AS (SELECT user_id AS run_id, bool_or(event_type = 'error' AND event_id % 40 = 0) AS fb, bool_or(event_type = 'signup' AND event_id % 60 = 0) AS ab FROM events GROUP BY user_id),
 r AS (SELECT c_custkey AS run_id, c_custkey % 9 = 0 AS stale, c_custkey % 7 = 0 AS bad, c_custkey % 5 = 0 AS harness FROM customer)
 SELECT r.run_id, CASE WHEN stale THEN 'stale' WHEN bad THEN 'status' WHEN harness THEN 'harness' WHEN coalesce(fb, false) THEN 'fallback' WHEN coalesce(ab, false) THEN 'absent' ELSE 'ok' END AS verdict
 FROM r LEFT JOIN e ON r.run_id = e.run_id""")
@@ -287,7 +287,7 @@ def _(b: Bound) -> DataFrame:
         k.alias("run_id"), F.lit("route_7").alias("route_id"), F.when(k % 9 == 0, "other").otherwise("x_route_7_rep0").alias("record_route_id"),
         F.when(k % 7 == 0, "Failed").otherwise("Completed").alias("status"), F.when(k % 5 == 0, "Crashed").when(k % 2 == 0, "Finished").alias("entry_status"), F.lit("vehicle.b1").alias("blueprint"),
     )
-    ev = b.events.where("event_id % 20 = 0").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "error", "fallback").when((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), "skip").otherwise("other").alias("kind"), F.when(F.col("event_id") % 2 == 0, "vehicle.b1").otherwise("vehicle.other").alias("a"))
+    ev = b.events.select(F.col("user_id").alias("run_id"), F.when((F.col("event_type") == "error") & (F.col("event_id") % 20 == 0), "fallback").when((F.col("event_type") == "signup") & (F.col("event_id") % 60 == 0), "skip").otherwise("other").alias("kind"), F.when(F.col("event_id") % 40 == 0, "vehicle.b1").otherwise("vehicle.other").alias("a"))
     return E.route_verdict(runs, ev).select("run_id", "verdict")
 
 
