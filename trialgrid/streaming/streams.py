@@ -135,7 +135,7 @@ def drain(stream: DataFrame, path: str, mode: str, keep_last: list[str] | None =
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")  # a batch that is run again replaces itself
 
     q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
