@@ -89,8 +89,9 @@ def jaccard(rows, percent=85):
     return {i: (len(s), found[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("exhaust", [4, 48])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, exhaust):
+@pytest.mark.parametrize("exhaust, bits", [(4, 24), (48, 24), (4, 5)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, exhaust, bits):
+    """Prints of 5 bits prove little, so that possible links fall apart on full sets."""
     monkeypatch.setattr(ngram_join, "EXHAUST", exhaust)
     r = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
@@ -103,10 +104,20 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, exhaust):
         rows.append((i, " ".join(own)))
     rows += [(100 + i, " ".join(base[:40] + [r.choice(words) for _ in range(40)])) for i in range(30)]
     rows += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "a b c"), (205, " "), (206, "A\tb\nC")]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()}
     assert got == jaccard(rows)
 
 
+def test_prints_never_show_less_than_is_shared():
+    r = random.Random(5)
+    for bits in (5, 24):
+        x, y = (np.unique(np.array([r.randrange(1 << 64) for _ in range(300)] + both, np.uint64)) for both in [[r.randrange(1 << 64) for _ in range(100)]] * 2)
+        a, b = (ngram_join._prints(ngram_join._packed_prints(s, bits)) for s in (x, y))
+        cells = [Counter((s >> np.uint64(64 - bits)).tolist()) for s in (x, y)]
+        want = sum((cells[0] & cells[1]).values())
+        assert ngram_join._shared(a, b) == want >= len(np.intersect1d(x, y)) == 100
+
+
 def test_jaccard_join_odd_rows(odd_docs, no_docs):
     got = defaultdict(set)
     for r in ngram_join.jaccard_classes(odd_docs).collect():

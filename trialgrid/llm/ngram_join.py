@@ -4,14 +4,21 @@ A document's set holds its distinct word n-grams as 64-bit hashes. All sets are
 whole corpus shows as frequent come last, the others by hash. Two sets as similar as asked share an n-gram within their
 prefixes. Documents of equal sets are one node; nodes of equal prefix and size are one group, whose prefix is dealt out once.
 Groups that share a prefix n-gram give pairs under the bound of sizes; the n-grams that a pair shares are counted, and pairs
-whose prefixes share too little for what can follow them go; the rest are expanded to members and verified on full sets.
+whose prefixes share too little for what can follow them go; the rest are expanded to members.
+
+Candidates are compared by prints first: the first `PRINT_BITS` bits of each hash, in 3 bytes in place of 8. Equal n-grams have
+equal prints, so prints never show less than is shared, and most candidates are proven apart by them.
 
 No bucket gives all its pairs once it is large (more than `EXHAUST` groups; groups of many members and pairs of such groups
 are buckets as well): its members are compared with one pivot, which then leaves it, and only members of different components
-meet again. Pairs are verified in the same manner: each node first meets the smallest of its candidates, and pairs that
-verified links have joined meanwhile go. After `ROUNDS` rounds all pairs that are left are verified, and buckets that are still
-open are compared in blocks: first by their prefixes alone, then, with the members that may still be linked to another component, by full sets. Only verified links join components. A set is sent once for each hub that it meets, a hub once for
-`SPOKES` of them. Nothing is dropped: each bound is a proof that a pair isn't linked.
+meet again. Pairs are compared in the same manner: each node first meets the smallest of its candidates, and pairs that
+are joined meanwhile go. After `ROUNDS` rounds all pairs that are left are compared, and buckets that are still
+open are compared in blocks, each of which gives a forest. A set is sent once for each hub that it meets, a hub once for
+`SPOKES` of them.
+
+The forest that prints give is then verified on full sets. Where a link of it fails, the candidates of its component that the
+verified links leave apart are verified themselves. Only verified links join components. Nothing is dropped: each bound is a
+proof that a pair isn't linked.
 
 The frequency count is a table of fixed size (`CELLS` counters), whatever the corpus; any order gives right results,
 so its collisions cost time at most.
@@ -41,6 +48,7 @@ EXHAUST = 48
 ROUNDS = 2
 BLOCK, BLOCK_ITEMS = 512, 1 << 20
 SPOKES = 64
+PRINT_BITS = 24
 WORD_TABLE = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -169,21 +177,37 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> Dat
     return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int, frequent: bytes) -> DataFrame:
-    """node, n, items (sorted set), prefix (in the common order), as bytes, for wanted (node, doc_id, t1, t2), from the texts."""
-    flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
+def _numbers(cell: bytes) -> np.ndarray:
+    """A set as it is stored: sorted hashes."""
+    return np.frombuffer(cell, np.int64)
+
+
+def _packed_prints(h: np.ndarray, bits: int) -> bytes:
+    """Prints of a sorted set of hashes in 3 bytes each; sorted as the hashes are."""
+    return (h >> np.uint64(64 - bits)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _prints(cell: bytes) -> np.ndarray:
+    """Stored prints as sorted numbers, which tell those of equal print by their turn: print, then how many came before."""
+    wide = np.zeros((len(cell) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(cell, np.uint8).reshape(-1, 3)
+    flat = wide.view("<u4").reshape(-1).astype(np.int64)
+    return (flat << 32) + np.arange(len(flat)) - np.searchsorted(flat, flat)
+
+
+def _text_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int | None = None) -> DataFrame:
+    """node, n, items (sorted set as bytes; where bits is given, its prints) for wanted (node, doc_id, t1, t2), from the texts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words
-        often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
-            items = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(1).to_pylist()]
-            prefix = [_prefix(_ordered(x, often), percent).tobytes() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([np.sort(x.view(np.int64)).tobytes() for x in items], pa.binary()), pa.array(prefix, pa.binary())], ["node", "n", "items", "prefix"])
+            sets = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(1).to_pylist()]
+            items = [_packed_prints(x, bits) if bits else np.sort(x.view(np.int64)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(items, pa.binary())], ["node", "n", "items"])
 
     w = wanted.select("node", F.col("doc_id").alias("_id"), "t1", "t2")
     texts = docs.join(w, (docs["t1"] == w["t1"]) & (docs["t2"] == w["t2"]) & docs["doc_id"].eqNullSafe(w["_id"])).select("node", "text")
-    return texts.dropDuplicates(["node"]).mapInArrow(build, "node long, n long, items binary, prefix binary")  # repeated rows only
+    return texts.mapInArrow(build, "node long, n long, items binary").dropDuplicates(["node"])  # repeated rows only
 
 
 def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
@@ -254,16 +278,19 @@ def _likely(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "sa", "sb")
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    """The cells of a column of bytes or of lists of numbers."""
-    if pa.types.is_binary(column.type):
-        return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The cells of a column of lists of numbers."""
     at, flat = column.offsets.to_numpy(), column.values.to_numpy()
     return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
-def _met(pairs: DataFrame, sets: DataFrame, test: Callable) -> DataFrame:
-    """The pairs (hub, node), as (a, b), whose sets (node, n, items) pass test(n, items, n, items); a hub's pairs are cut into parts of about SPOKES."""
+def _cells(read: Callable) -> Callable:
+    """The cells of a column of bytes, each read by `read`."""
+    return lambda column: [read(x) for x in column.to_pylist()]
+
+
+def _met(pairs: DataFrame, sets: DataFrame, test: Callable, arrays: Callable) -> DataFrame:
+    """The pairs (hub, node), as (a, b), whose sets (node, n, items), read by `arrays`, pass test(n, items, n, items); a hub's pairs are cut into parts of about SPOKES."""
     dealt = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_parts"))
     spokes = pairs.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("part"), "node")
     hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("hub").alias("node"))
@@ -273,7 +300,7 @@ def _met(pairs: DataFrame, sets: DataFrame, test: Callable) -> DataFrame:
         key, hub = None, None
         for batch in batches:
             a, b = [], []
-            for h, part, spoke, node, n, items in zip(*(batch.column(i).to_pylist() for i in range(5)), _arrays(batch.column(5))):
+            for h, part, spoke, node, n, items in zip(*(batch.column(i).to_pylist() for i in range(5)), arrays(batch.column(5))):
                 if not spoke:
                     key, hub = (h, part), (n, items.copy())
                     continue
@@ -298,12 +325,12 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, node) whose sets are linked, as (a, b)."""
+    return _met(pairs, sets, lambda n, x, m, y: _shared(x, y) >= needed_overlap(n, m, percent), _cells(_numbers))
 
-    def linked(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-        both = _shared(x, y)
-        return 100 * both >= percent * (n + m - both)
 
-    return _met(pairs, sets.select("node", "n", "items"), linked)
+def _possible(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, node) that prints don't prove apart, as (a, b)."""
+    return _met(pairs, prints, lambda n, x, m, y: _shared(x, y) >= needed_overlap(n, m, percent), _cells(_prints))
 
 
 def _overlapping(likely: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -313,7 +340,7 @@ def _overlapping(likely: DataFrame, groups: DataFrame, percent: int) -> DataFram
         # up to the smaller last n-gram both sets are known whole; the set that has it has only so many after it
         return _shared(x, y) + min(n - len(x) if x[-1] <= y[-1] else m, m - len(y) if y[-1] <= x[-1] else n) >= needed_overlap(n, m, percent)
 
-    pairs = _met(likely.select(F.col("a").alias("hub"), F.col("b").alias("node")), groups.select(F.col("grp").alias("node"), "n", F.col("prefix").alias("items")), enough)
+    pairs = _met(likely.select(F.col("a").alias("hub"), F.col("b").alias("node")), groups.select(F.col("grp").alias("node"), "n", F.col("prefix").alias("items")), enough, _lists)
     return likely.join(pairs, ["a", "b"], "left_semi")
 
 
@@ -324,8 +351,10 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, the columns `also`, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one; links: a, b between nodes, enough to connect all that is linked)."""
+def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, bits: int = PRINT_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, the columns `also`, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one; links: a, b between nodes, enough to connect all that is linked).
+
+    bits: of a print, 24 at most; fewer prove less, with the same links in the end."""
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *(also or []))
     frequent = frequent_cells(docs, n)
@@ -356,12 +385,12 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     buckets = buckets.join(members, "grp").select("bucket", "node").unionByName(several.select(F.col("grp").alias("bucket"), "node"))
     buckets = materialize(buckets, "buckets")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.select("node")).distinct()
-    full = materialize(_full_sets(docs, nodes.join(wanted, "node"), n, percent, frequent), "full")
-    sizes = full.select("node", "n")
+    prints = materialize(_text_sets(docs, nodes.join(wanted, "node").select("node", "doc_id", "t1", "t2"), n, bits), "prints")
+    sizes = prints.select("node", "n")
     rows = materialize(sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), "rows")
     release(sets, groups, several, found, likely)
 
-    links = None
+    all_pairs, all_buckets, links = pairs, buckets, None
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
         if links is not None:
@@ -381,21 +410,54 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         open_ = materialize(open_.groupBy("x1", "x2", "held").agg(F.min("bucket").alias("bucket"), F.first("pivot").alias("pivot")), "open")
         held = materialize(held.join(open_.select("bucket", "pivot"), "bucket"), "held")
         if last:
-            held = _clustered(held.select("bucket", "node", "component", "n"))
-            meeting = materialize(_meeting(held, full, percent).join(sizes, "node"), "meeting")
-            links_now = [_verified(meet, full, percent), block_links(meeting, full, percent)]
+            held = materialize(_clustered(held.select("bucket", "node", "component", "n")), "blocks")
+            links_now = [_possible(meet, prints, percent), block_links(held, prints, percent, _prints)]
         else:
             fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
             spokes = held.where(fits).select(F.col("pivot.node").alias("hub"), "node")
-            links_now = [_verified(meet.unionByName(spokes).distinct(), full, percent)]
+            links_now = [_possible(meet.unionByName(spokes).distinct(), prints, percent)]
             buckets = held.where(F.col("node") != F.col("pivot.node")).select("bucket", "node")
         for more in links_now:
             links = more if links is None else links.unionByName(more)
-        links = materialize(links, "verified")
-    release(full)
+        links = materialize(links, "possible")
+    links = _settled(docs, nodes, links, all_pairs, all_buckets, prints, n, percent)
+    release(prints)
     return rows, nodes.select("h1", "h2", "node", "doc_id"), links
 
 
+def _settled(docs: DataFrame, nodes: DataFrame, possible: DataFrame, pairs: DataFrame, buckets: DataFrame, prints: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect all that is linked, from the possible ones that connect all that prints leave possible.
+
+    Linked nodes share a component of possible links. Where one of these falls apart on full sets, the candidates of its nodes
+    (pairs a, b; buckets bucket, node) are verified themselves."""
+
+    def full(wanted: DataFrame) -> DataFrame:
+        return materialize(_text_sets(docs, nodes.join(wanted.distinct(), "node").select("node", "doc_id", "t1", "t2"), n), "full")
+
+    ends = full(possible.select(F.explode(F.array("a", "b")).alias("node")))
+    links = materialize(_verified(possible.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), ends, percent), "verified")
+    release(ends)
+    whole = connected_components(possible, "a", "b").withColumnRenamed("component", "whole")
+    parts = whole.join(connected_components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    broken = parts.groupBy("whole").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("whole")
+    doubt = materialize(parts.join(broken, "whole"), "doubt")
+    if doubt.isEmpty():
+        return links
+    x, y = (doubt.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    again = pairs.join(x, "a").join(y, "b").where("wa = wb AND ca != cb").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    again = materialize(_possible(again, prints, percent), "again")
+    held = buckets.join(doubt, "node").select(F.xxhash64("bucket", "whole").alias("bucket"), "node", "component")
+    apart = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    sizes = prints.select("node", "n")
+    held = materialize(_clustered(held.join(apart, "bucket").join(sizes, "node").select("bucket", "node", "component", "n")), "held")
+    held = materialize(_meeting(held, prints, percent).join(held, ["bucket", "node"]), "meeting")
+    ends = full(again.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.select("node")))
+    more = _verified(again.select(F.col("a").alias("hub"), F.col("b").alias("node")), ends, percent)
+    links = materialize(links.unionByName(more).unionByName(block_links(held, ends, percent, _numbers)), "verified")
+    release(ends)
+    return links
+
+
 def _parts() -> Column:
     """Blocks that a bucket's rows make: of at most about BLOCK sets and BLOCK_ITEMS n-grams."""
     return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
@@ -444,27 +506,27 @@ def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> D
     return dealt.select(*keys, *rest).mapInArrow(meet, kind)
 
 
-def _meeting(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node: the members of buckets (bucket, node, component, n) whose prefix shares enough with that of a member of another component."""
+def _hits(rows: list[dict], same: bool, percent: int, read: Callable) -> np.ndarray:
+    """Which two rows of different components share enough, within one block or between the two."""
+    n, own, component = (np.array([r[c] for r in rows]) for c in ("n", "own", "component"))
+    both = _overlaps([read(r["items"]) for r in rows])
+    hit = ((100 + percent) * both >= percent * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
+    return hit if same else hit & (own[:, None] != own[None, :])
+
+
+def _meeting(held: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """bucket, node: the members of buckets (bucket, node, component, n) that prints don't prove apart from all members of other components."""
 
     def mark(bucket: int, same: bool, rows: list[dict]) -> pa.RecordBatch:
-        prefix = [np.frombuffer(r["prefix"], np.int64) for r in rows]
-        n, own, component = (np.array([r[c] for r in rows]) for c in ("n", "own", "component"))
-        last, rest = np.array([p[-1] for p in prefix]), n - np.array([len(p) for p in prefix])
-        both = _overlaps(prefix)
-        most = both + np.where(last[:, None] < last[None, :], rest[:, None], np.where(last[:, None] > last[None, :], rest[None, :], np.minimum(rest[:, None], rest[None, :])))
-        hit = ((100 + percent) * most >= percent * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
-        if not same:
-            hit &= own[:, None] != own[None, :]
-        node = [r["node"] for r, h in zip(rows, hit.any(axis=1).tolist()) if h]
+        node = [r["node"] for r, h in zip(rows, _hits(rows, same, percent, _prints).any(axis=1).tolist()) if h]
         return pa.RecordBatch.from_arrays([pa.array([bucket] * len(node), pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
 
-    return _blocks(held, sets.select("node", "prefix"), mark, "bucket long, node long").distinct()
+    return _blocks(held, prints.select("node", "items"), mark, "bucket long, node long").distinct()
 
 
-def block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node, n): a spanning forest of each two blocks' links."""
-    return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, same, percent), "a long, b long")
+def block_links(buckets: DataFrame, sets: DataFrame, percent: int, read: Callable) -> DataFrame:
+    """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node, component, n) but of different components: a spanning forest of each two blocks' links."""
+    return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, _hits(rows, same, percent, read)), "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -484,34 +546,26 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def _forest(rows: list[dict], same: bool, percent: int) -> pa.RecordBatch:
-    """Links within one block, or between the two, as (node, root)."""
-    nodes, own = np.array([r["node"] for r in rows]), np.array([r["own"] for r in rows])
-    sets = [np.frombuffer(r["items"], np.int64) for r in rows]
-    size = np.array([len(x) for x in sets])
-    both = _overlaps(sets)
-    hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    hit &= np.arange(len(sets))[:, None] < np.arange(len(sets))[None, :]
-    if not same:
-        hit &= own[:, None] != own[None, :]
-    a, b = np.nonzero(hit)
-    label = np.arange(len(sets))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if np.array_equal(new, label):
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(sets)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
-
-
-def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, also: list[str] | None = None) -> DataFrame:
+def _forest(rows: list[dict], hit: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of hits, as (node, node); each tree is grown level by level from its first node."""
+    nodes, free = np.array([r["node"] for r in rows]), hit.any(axis=1)
+    a, b = [], []
+    while free.any():
+        level = np.flatnonzero(free)[:1]
+        free[level] = False
+        while len(level):
+            reached = np.flatnonzero(free & hit[level].any(axis=0))
+            a.append(nodes[level[hit[np.ix_(level, reached)].argmax(axis=0)]])
+            b.append(nodes[reached])
+            free[reached] = False
+            level = reached
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["a", "b"])
+
+
+def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, also: list[str] | None = None, bits: int = PRINT_BITS) -> DataFrame:
     """doc_id, the columns `also`, n_shingles, component_id, component (a number for each class; null without words)."""
-    docs, nodes, links = jaccard_links(df, n, percent, id_col, text_col, also)
+    docs, nodes, links = jaccard_links(df, n, percent, id_col, text_col, also, bits)
     labels = connected_components(links, "a", "b").select("node", "component")
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("_least"))
@@ -519,9 +573,9 @@ def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, al
     return docs.join(placed, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))).select("doc_id", *(also or []), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_least")), "doc_id").alias("component_id"), "component")
 
 
-def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bits: int = PRINT_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable over links."""
-    return _classes(df, n, percent, id_col, text_col).drop("component")
+    return _classes(df, n, percent, id_col, text_col, bits=bits).drop("component")
 
 
 def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
