@@ -30,7 +30,7 @@ def build_golden(replicates: DataFrame, key: str, floor: float = 1.0, k: float =
 
 def assert_golden(runs: DataFrame, golden: DataFrame, key: str, tolerance: float) -> DataFrame:
     """runs (key, status, driving_score) with status_ok, delta, score_ok."""
-    g = F.broadcast(golden.select(key, F.col("status").alias("_s"), F.col("driving_score").alias("_d")))
+    g = golden.select(key, F.col("status").alias("_s"), F.col("driving_score").alias("_d"))
     out = runs.join(g, key, "left").withColumn("delta", F.abs(F.col("driving_score") - F.col("_d")))
     return out.withColumns({"status_ok": F.col("status").eqNullSafe(F.col("_s")), "score_ok": F.coalesce(F.col("delta") <= tolerance, F.lit(False))}).drop("_s", "_d")
 
@@ -41,7 +41,7 @@ def assess(split: DataFrame, runs: DataFrame, golden: DataFrame | None, toleranc
     What is not there fails: no result, no payload, no id. Only a missing golden bundle skips, and only A4."""
     out = split.join(runs, "path", "left")
     if golden is not None:
-        out = out.join(F.broadcast(golden.select("path", F.col("status").alias("_gs"), F.col("driving_score").alias("_gd"))), "path", "left")
+        out = out.join(golden.select("path", F.col("status").alias("_gs"), F.col("driving_score").alias("_gd")), "path", "left")
     else:
         out = out.withColumns({"_gs": F.lit(None).cast("string"), "_gd": F.lit(None).cast("double")})
     found = F.coalesce(F.col("found"), F.lit(False))

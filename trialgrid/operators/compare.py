@@ -25,7 +25,7 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str])
 def explain_diffs(diffs: DataFrame, names: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
     """diffs with explanation: renamed (right is the rename of left), declared, or unexplained."""
     moved = F.broadcast(names.select(F.col("old").alias("left"), F.col("new").alias("right"), F.lit(True).alias("_moved")).distinct())
-    listed = F.broadcast(declared.select(*keys, "column", F.lit(True).alias("_listed")))
+    listed = declared.select(*keys, "column", F.lit(True).alias("_listed"))  # grows with the rows compared: no hint
     out = diffs.join(moved, ["left", "right"], "left").join(listed, [*keys, "column"], "left")
     return out.withColumn("explanation", F.when(F.col("_moved"), "renamed").when(F.col("_listed"), "declared").otherwise("unexplained")).drop("_moved", "_listed")
 
@@ -41,14 +41,14 @@ def reconcile(records: DataFrame, manifest: DataFrame, runs: list[str], keys: li
     plan = manifest.select(*keys).distinct()
     grid = records.select(*runs).distinct().crossJoin(F.broadcast(plan))
     missing = grid.join(have, [*runs, *keys], "left_anti").withColumn("problem", F.lit("missing"))
-    extra = have.join(F.broadcast(plan), keys, "left_anti").withColumn("problem", F.lit("extra"))
+    extra = have.join(plan, keys, "left_anti").withColumn("problem", F.lit("extra"))
     return missing.unionByName(extra)
 
 
 def coverage(records: DataFrame, manifest: DataFrame, runs: list[str], keys: list[str]) -> DataFrame:
     """Per run: rows, covered, missing, extra and duplicate routes."""
     rows = records.groupBy(*runs, *keys).agg(F.count("*").alias("_n"))
-    plan = F.broadcast(manifest.select(*keys, F.lit(1).alias("_planned")).distinct())
+    plan = manifest.select(*keys, F.lit(1).alias("_planned")).distinct()
     total = manifest.select(*keys).distinct().agg(F.count("*").alias("_total"))
     per = rows.join(plan, keys, "left").groupBy(*runs).agg(
         F.sum("_n").alias("n_rows"), F.count("_planned").alias("covered"), F.count(F.when(F.col("_planned").isNull(), 1)).alias("extra"), F.sum(F.col("_n") - 1).alias("duplicates")
@@ -58,7 +58,7 @@ def coverage(records: DataFrame, manifest: DataFrame, runs: list[str], keys: lis
 
 def crosscheck_ids(records: DataFrame, manifest: DataFrame, keys: list[str], seen: str, planned: str) -> DataFrame:
     """Rows whose observed id is not the planned one; rows without an observed id cannot be checked."""
-    plan = F.broadcast(manifest.select(*keys, F.col(planned).alias("_planned")).distinct())
+    plan = manifest.select(*keys, F.col(planned).alias("_planned")).distinct()
     return records.where(F.col(seen).isNotNull()).join(plan, keys).where(F.col(seen) != F.col("_planned")).withColumnRenamed("_planned", "planned")
 
 
@@ -71,7 +71,7 @@ def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def resurrected(df: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(F.broadcast(excluded.select(*keys).distinct()), keys, "left_semi")
+    return df.join(excluded.select(*keys).distinct(), keys, "left_semi")
 
 
 def check_parity(df: DataFrame, group: list[str], level: str, route: str, prop: str) -> DataFrame:
@@ -223,7 +223,7 @@ def vocab_gap(df: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def uncovered(split: DataFrame, golden: DataFrame) -> DataFrame:
-    return split.join(F.broadcast(golden.select("path").distinct()), "path", "left_anti")
+    return split.join(golden.select("path").distinct(), "path", "left_anti")
 
 
 def breakdown(df: DataFrame, depth: int, path: str = "path") -> DataFrame:

@@ -49,7 +49,9 @@ def signed_rank(pairs: DataFrame, by: list[str] = CELL) -> DataFrame:
 
 
 def p_values(tests: DataFrame, by: list[str] = CELL, method: str = "auto", exact_limit: int = 50) -> DataFrame:
-    """tests with p (two-sided) and method: exact for small n without ties, else normal. One row per cell goes to Python, by batches."""
+    """tests with p (two-sided) and method: exact for n <= exact_limit without ties, else normal. One row per cell goes to Python, by batches.
+
+    The limit is that of the protocol's reference implementation of the test; each row names the method that it got."""
     if method not in ("auto", "exact", "normal"):
         raise ValueError(f"unknown method: {method!r}")
 
@@ -73,9 +75,14 @@ def p_values(tests: DataFrame, by: list[str] = CELL, method: str = "auto", exact
 
 
 def across_cells(cells: DataFrame, a: str = "visual", b: str = "geometric") -> DataFrame:
-    """n, mean, sd and effect size d_z of the cells' differences of two drops."""
+    """n, mean, sd and effect size d_z of the cells' differences of two drops, and their signed-rank test: z, p (two-sided), method.
+
+    A row per cell is the input, so the one group is as small as there are cells."""
     d = F.col(b) - F.col(a)
-    return cells.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).withColumn("d_z", F.col("mean") / F.col("sd"))
+    sums = cells.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).withColumn("d_z", F.col("mean") / F.col("sd"))
+    pairs = cells.where(d.isNotNull()).select(F.lit(0).alias("_all"), F.col(a).alias("base"), F.col(b).alias("shift"))
+    test = p_values(signed_rank(pairs, ["_all"]), ["_all"]).select("z", "p", "method")
+    return sums.join(test, F.lit(True), "left")
 
 
 def cell_drops(df: DataFrame, base: str = "base", levels: dict[str, str] | None = None) -> DataFrame:

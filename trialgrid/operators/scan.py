@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 
+#: Entries of a denylist (about 100 bytes each) that a task may hold.
+BROADCAST_ROWS = 500_000
+
 
 def text_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("line_no", "value"))
@@ -18,15 +21,16 @@ def build_denylist(phrases: DataFrame, column: str, n: int, salt: str) -> DataFr
 
 
 def scan_ngrams(lines: DataFrame, denylist: DataFrame, salt: str, sizes: tuple[int, ...], key: str) -> DataFrame:
-    """key, line_no, n, hits of lines that hold denied n-grams. Each different n-gram is hashed once; text is not shown."""
+    """key, line_no, n, hits of lines that hold denied n-grams. Text is not shown.
+
+    n-grams are hashed where they are read and only those on the list leave the scan: a list of at most `BROADCAST_ROWS`
+    entries is counted and sent to the tasks; a longer one is joined by digest."""
     tokens = lines.withColumn("_w", S.words(F.col("value")))
-    grams = [tokens.select(key, "line_no", F.lit(n).alias("n"), F.explode(S.ngrams(F.col("_w"), n)).alias("g")) for n in sizes]
-    every = grams[0]
-    for g in grams[1:]:
-        every = every.unionByName(g)
-    hashed = every.select("n", "g").distinct().withColumn("digest", S.salted_digest(salt, F.col("g")))
-    denied = hashed.join(denylist, ["n", "digest"], "left_semi").select("n", "g")
-    return every.join(denied, ["n", "g"]).groupBy(key, "line_no", "n").agg(F.count("*").alias("hits"))
+    lists = F.array(*[F.struct(F.lit(n).alias("n"), S.ngrams(F.col("_w"), n).alias("grams")) for n in sizes])
+    every = tokens.where(F.size("_w") >= min(sizes)).select(key, "line_no", F.explode(lists).alias("_l")).select(key, "line_no", "_l.n", F.explode("_l.grams").alias("_g"))
+    every = every.select(key, "line_no", "n", S.salted_digest(salt, F.col("_g")).alias("digest"))
+    short = denylist.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return every.join(F.broadcast(denylist) if short else denylist, ["n", "digest"], "left_semi").groupBy(key, "line_no", "n").agg(F.count("*").alias("hits"))
 
 
 def check_denylist(denylist: DataFrame, stated: int, canary: str, salt: str) -> DataFrame:
@@ -48,4 +52,4 @@ def scan_tokens(files: DataFrame, tokens: list[str], key: str, content: str, exe
     low = F.lower(F.col(content))
     first = F.coalesce(*[F.when(low.contains(t.lower()), F.lit(t)) for t in tokens])
     hits = files.select(key, first.alias("token")).where("token IS NOT NULL")
-    return hits.join(F.broadcast(exempt), key, "left_anti") if exempt is not None else hits
+    return hits.join(exempt, key, "left_anti") if exempt is not None else hits

@@ -840,9 +840,33 @@ def _(b: Bound) -> DataFrame:
     return P.signed_rank(P.paired(b.v_rec, "base", "geometric_shift")).select("model", "category", "n", "w_plus", "w_minus", F.round("z", 6).alias("z"))
 
 
-@query("a20_p_values")
+#: In how many ways the ranks 1 to n give each sum, for n up to 50.
+WAYS = """ways(n, w) AS (SELECT 0, list_transform(range(0, 1276), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+UNION ALL SELECT n + 1, list_transform(range(0, 1276), lambda s: w[s + 1] + CASE WHEN s > n THEN w[s - n] ELSE 0.0::DOUBLE END) FROM ways WHERE n < 50)"""
+
+
+def p_sql(source: str) -> str:
+    """The rows of source (n, w_plus, w_minus, most: largest tie, z) with p and method: exact sums of ways, or the normal tail by the series of erf."""
+    erf = "list_sum(list_transform(range(0, 300), lambda k: exp(-z * z / 2 + (2 * k + 1) * ln(greatest(abs(z), 1e-12) / sqrt(2.0)) - lgamma(k + 1.5))))"
+    return f"""SELECT s.*, CASE WHEN s.n <= 50 AND most = 1 THEN least(1.0, 2 * list_sum(ways.w[1:CAST(floor(least(w_plus, w_minus)) AS BIGINT) + 1]) / pow(2.0, s.n))
+WHEN z IS NULL THEN 1.0 ELSE 1 - {erf} END AS p, CASE WHEN s.n <= 50 AND most = 1 THEN 'exact' ELSE 'normal' END AS method FROM {source} s LEFT JOIN ways ON ways.n = s.n"""
+
+
+def z_sql(n: str = "n") -> str:
+    return f"CASE WHEN {n} * ({n} + 1) * (2 * {n} + 1) / 24.0 - tt / 48.0 > 0 THEN (w_plus - {n} * ({n} + 1) / 4.0) / sqrt({n} * ({n} + 1) * (2 * {n} + 1) / 24.0 - tt / 48.0) END"
+
+
+def ranked_sql(source: str, by: str) -> str:
+    """n, w_plus, w_minus, tt, most and z per `by` of the differences d in source that are not zero."""
+    over = f"PARTITION BY {by}"
+    return f"""SELECT *, {z_sql()} AS z FROM (SELECT {by}, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus, sum(t * t - 1)::DOUBLE AS tt, max(t) AS most
+FROM (SELECT *, rank() OVER ({over} ORDER BY abs(d)) + (count(*) OVER ({over}, abs(d)) - 1) / 2.0 AS r, count(*) OVER ({over}, abs(d)) AS t FROM {source}) x GROUP BY {by}) y"""
+
+
+@query("a20_p_values", RANKS + f", {WAYS}, tz AS ({ranked_sql('d', 'model, category')}), pv AS ({p_sql('tz')})\nSELECT model, category, n, w_plus, w_minus, round(z, 6) AS z, round(p, 6) AS p, method, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM pv", "v_rec")
 def _(b: Bound) -> DataFrame:
-    return P.p_values(P.signed_rank(P.paired(b.v_rec, "base", "geometric_shift"))).withColumn("stars", P.stars(F.col("p")))
+    out = P.p_values(P.signed_rank(P.paired(b.v_rec, "base", "geometric_shift"))).withColumn("stars", P.stars(F.col("p")))
+    return out.withColumns({c: F.round(c, 6) for c in ("z", "p")})
 
 
 @query("w8_ranks", RANKS + "SELECT model, category, d, r::DOUBLE AS rank FROM rk", "v_rec")
@@ -853,9 +877,11 @@ def _(b: Bound) -> DataFrame:
 CELLS = PAIRS + ', cells AS (SELECT model, category, avg(base - vis) AS visual, avg(base - shift) AS geometric FROM pr GROUP BY 1, 2)'
 
 
-@query("a21_across_cells", CELLS + "SELECT count(geometric - visual) AS n, round(avg(geometric - visual), 6) AS mean, round(stddev_samp(geometric - visual), 6) AS sd, round(avg(geometric - visual) / stddev_samp(geometric - visual), 6) AS d_z FROM cells", "v_rec")
+@query("a21_across_cells", CELLS + f""", {WAYS}, dc AS (SELECT 0 AS one, round(geometric - visual, 9) AS d FROM cells WHERE round(geometric - visual, 9) <> 0), tz AS ({ranked_sql('dc', 'one')}), pv AS ({p_sql('tz')}),
+st AS (SELECT count(geometric - visual) AS n, round(avg(geometric - visual), 6) AS mean, round(stddev_samp(geometric - visual), 6) AS sd, round(avg(geometric - visual) / stddev_samp(geometric - visual), 6) AS d_z FROM cells)
+SELECT st.*, round(z, 6) AS z, round(p, 6) AS p, method FROM st LEFT JOIN pv ON true""", "v_rec")
 def _(b: Bound) -> DataFrame:
-    return P.across_cells(P.cell_drops(b.v_rec)).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "d_z")})
+    return P.across_cells(P.cell_drops(b.v_rec)).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "d_z", "z", "p")})
 
 
 DRAWS = 40
@@ -881,22 +907,21 @@ def _(b: Bound) -> DataFrame:
 
 
 def model_tests(b: Bound) -> DataFrame:
-    """Drops per model and the size of their z, turned into p by a bound that both engines compute alike."""
+    """Drop and p per model and shift."""
     out = None
     for name, level in (("visual", "visual_shift"), ("geometric", "geometric_shift")):
         pairs = P.paired(b.v_rec, "base", level)
-        z = P.signed_rank(pairs, ["model"]).select("model", F.exp(-F.pow("z", 2) / 2).alias(f"{name}_p"))
-        part = P.cell_deltas(pairs, ["model"]).select("model", F.col("drop").alias(f"{name}_drop")).join(z, "model")
+        p = P.p_values(P.signed_rank(pairs, ["model"]), ["model"]).select("model", F.col("p").alias(f"{name}_p"))
+        part = P.cell_deltas(pairs, ["model"]).select("model", F.col("drop").alias(f"{name}_drop")).join(p, "model")
         out = part if out is None else out.join(part, "model")
     return out
 
 
-@query("a24_headline", CELLS + """, tests AS (
-  SELECT model, l, avg(base - x) AS dr FROM (SELECT model, base, vis AS x, 'v' AS l FROM pr UNION ALL SELECT model, base, shift, 'g' FROM pr) u WHERE base IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2),
-rr AS (SELECT model, l, round(x - base, 9) AS d FROM (SELECT model, base, vis AS x, 'v' AS l FROM pr UNION ALL SELECT model, base, shift, 'g' FROM pr) u WHERE base IS NOT NULL AND x IS NOT NULL AND round(x - base, 9) <> 0),
-r2 AS (SELECT model, l, d, rank() OVER (PARTITION BY model, l ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, l, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model, l, abs(d)) AS t FROM rr),
-zz AS (SELECT model, l, exp(-pow((sum(CASE WHEN d > 0 THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - sum(t * t - 1) / 48.0), 2) / 2) AS p FROM r2 GROUP BY 1, 2),
-mm AS (SELECT t.model, max(CASE WHEN t.l = 'v' THEN dr END) AS vd, max(CASE WHEN t.l = 'g' THEN dr END) AS gd, max(CASE WHEN t.l = 'v' THEN p END) AS vp, max(CASE WHEN t.l = 'g' THEN p END) AS gp FROM tests t JOIN zz ON t.model = zz.model AND t.l = zz.l GROUP BY 1)
+@query("a24_headline", CELLS + f""", {WAYS}, u AS (SELECT model, base, vis AS x, 'v' AS l FROM pr UNION ALL SELECT model, base, shift, 'g' FROM pr),
+tests AS (SELECT model, l, avg(base - x) AS dr FROM u WHERE base IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2),
+du AS (SELECT model, l, round(x - base, 9) AS d FROM u WHERE base IS NOT NULL AND x IS NOT NULL AND round(x - base, 9) <> 0),
+tz AS ({ranked_sql('du', 'model, l')}), pv AS ({p_sql('tz')}),
+mm AS (SELECT t.model, max(CASE WHEN t.l = 'v' THEN dr END) AS vd, max(CASE WHEN t.l = 'g' THEN dr END) AS gd, max(CASE WHEN t.l = 'v' THEN p END) AS vp, max(CASE WHEN t.l = 'g' THEN p END) AS gp FROM tests t JOIN pv ON t.model = pv.model AND t.l = pv.l GROUP BY 1)
 SELECT round((SELECT avg(visual) FROM cells), 6) AS a, round((SELECT avg(geometric) FROM cells), 6) AS b, (SELECT count(*) FILTER (WHERE geometric > visual) FROM cells) AS cells_deeper, (SELECT count(*) FROM cells) AS n_cells,
  (SELECT count(*) FILTER (WHERE vp >= 0.05 OR vd <= 0) FROM mm) AS robust, (SELECT count(*) FILTER (WHERE gp < 0.05 AND gd > 0) FROM mm) AS significant, (SELECT count(*) FROM mm) AS n_models, round((SELECT avg(geometric) / avg(visual) FROM cells), 6) AS ratio""", "v_rec")
 def _(b: Bound) -> DataFrame:
