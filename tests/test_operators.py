@@ -251,3 +251,77 @@ def test_digests_of_large_files_are_null(spark, tmp_path):
     (tmp_path / "b.txt").write_text("abcdef")
     got = {r["path"][-5:]: (r["size"], r["sha256"] is None) for r in readers.digest_files(spark, str(tmp_path), max_bytes=4).collect()}
     assert got == {"a.txt": (3, False), "b.txt": (6, True)}
+
+
+def test_a_tree_of_files_and_an_empty_document(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    files = spark.createDataFrame([("c/m/a b/base/results/route_1_p0_seed42.json", '{"labels": ["x"]}'), ("c/m/a b/base/results/route_2_p0_seed42.json", "\n"), ("c/m/a b/base/results/route_3_p0_seed43.json", "{}")], "path string, value string")
+    assert writers.write_tree(files, root) == 3 and writers.write_tree(files, root) == 3
+    good, bad = readers.scan_results(spark, root, (42,))
+    assert rows(good.select("scenario", "route_id", "seed")) == [("a b", "1", 42)]
+    assert good.count() == 1 and bad.count() == 1 and bad.head()["nothing_read"]
+    got = readers.scan_sources(spark, [readers.Source(root, (42, 43))], ("m",), 43)
+    assert rows(got.select("category", "model", "seed")) == [("c", "m", 43)]
+
+
+def test_frozen_tables_of_other_names_and_without_a_file(spark, tmp_path):
+    root = str(tmp_path / "frozen")
+    writers.write_tree(spark.createDataFrame([("m/static_base.csv", "k\n1\n2\n"), ("n/static.csv/part-0.csv", "k\n3\n")], "path string, value string"), root)
+    cells = spark.createDataFrame([("m", "static"), ("n", "static"), ("n", "vehicle")], "model string, category string")
+    found, missing = readers.scan_frozen(spark, root, cells, {("m", "static"): "static_base.csv"})
+    assert rows(found.select("model", "category", "k")) == [("m", "static", "1"), ("m", "static", "2"), ("n", "static", "3")]
+    assert rows(missing) == [("n", "vehicle")]
+
+
+def test_split_manifest_carries_its_stamp(spark, tmp_path):
+    df = spark.createDataFrame([("b", "1", "smoke"), ("a", None, "smoke"), ("c", "3", "full")], "path string, sha256 string, tier string")
+    writers.write_split(df, str(tmp_path / "s"), "smoke", ["path", "sha256"], ["made by hand"])
+    table, notes = readers.scan_tsv(spark, str(tmp_path / "s"), "path string, sha256 string")
+    assert rows(table.select("path")) == [("a",), ("b",)]
+    assert rows(notes) == [("made by hand",), ("routes: 2",), ("tier: smoke",)]
+
+
+def test_prior_observations_only_inform(spark):
+    golden = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 5.0)], "path string, driving_score double")
+    prior = spark.createDataFrame([("a", 4.5), ("b", 2.0)], "path string, driving_score double")
+    assert sorted(map(tuple, accept.prior_deltas(golden, prior, "path", 1.0).collect())) == [("a", 5.0, 0.5, False), ("b", 5.0, 3.0, True), ("c", 5.0, None, False)]
+
+
+def test_p_values_on_both_sides_of_the_exact_limit(spark):
+    data = [("s", i, 0.0, float(i)) for i in range(1, 6)] + [("e", i, 0.0, i * (-1.0) ** i) for i in range(1, 51)] + [("n", i, 0.0, i * (-1.0) ** i) for i in range(1, 52)]
+    pairs = spark.createDataFrame(data, "g string, i int, base double, shift double")
+    got = {r["g"]: (r["method"], r["p"]) for r in paired.p_values(paired.signed_rank(pairs, ["g"]), ["g"]).collect()}
+    assert got["s"] == ("exact", 2 / 32) and got["e"][0] == "exact" and got["n"][0] == "normal"
+    assert abs(got["e"][1] - got["n"][1]) < 0.1
+
+
+def test_late_ticks_come_out(spark):
+    import pandas as pd
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+    d = streams.ReactionDetector(C.Telemetry())
+    d.scalars, d.samples = Held(), Held()
+    tick = lambda f: {"frame": f, "ego_velocity": 10.0, "distance": 50.0, "lateral_offset": 0.0, "lane_id": 1, "collision_frame": None}
+    feed = lambda frames: pd.concat(list(d.handleInputRows((7,), iter([pd.DataFrame(map(tick, frames))]), None)))
+    assert feed([0, 2]).empty
+    late = feed([1, 3])
+    assert late[["run_id", "frame", "cause"]].values.tolist() == [[7, 1, streams.LATE]] and late["ttr"].isna().all()
+
+
+def test_denied_ngrams_of_two_sizes(spark):
+    deny = scan.build_denylist(spark.createDataFrame([("a b c",)], "t string"), "t", 2, "00").unionByName(scan.build_denylist(spark.createDataFrame([("x y z",)], "t string"), "t", 3, "00"))
+    lines = scan.text_lines(spark.createDataFrame([(1, "a b a b\nx y z"), (2, "b a\n"), (3, None)], "id int, text string"), "id")
+    assert rows(scan.scan_ngrams(lines, deny, "00", (2, 3), "id")) == [(1, 0, 2, 2), (1, 1, 3, 1)]

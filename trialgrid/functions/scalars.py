@@ -62,6 +62,11 @@ def salted_digest(salt_hex: str, token: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit(salt_hex)), F.unhex(F.lit("00")), F.encode(token, "UTF-8")), 256)
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path as it was written: Spark gives it with escapes."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")

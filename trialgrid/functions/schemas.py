@@ -19,6 +19,7 @@ _checkpoint struct<
       num_reactions: bigint, all_reactions: array<{REACTION}>>>>>,
 entry_status string, eligible boolean, labels array<string>, `values` array<string>"""
 
+# Names of columns and fields that files of these kinds have.
 MANIFEST = "path string, sha256 string, category string, scenario string, level string, base_route_id string, prop_blueprint_id string"
 SPLIT = "path string, sha256 string, category string, scenario string, level string, base_route_id string, prop_blueprint_id string, tier string, asset_class string, covers string"
 

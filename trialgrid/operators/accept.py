@@ -35,6 +35,12 @@ def assert_golden(runs: DataFrame, golden: DataFrame, key: str, tolerance: float
     return out.withColumns({"status_ok": F.col("status").eqNullSafe(F.col("_s")), "score_ok": F.coalesce(F.col("delta") <= tolerance, F.lit(False))}).drop("_s", "_d")
 
 
+def prior_deltas(golden: DataFrame, prior: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """golden (key, driving_score) with prior_delta, its distance from an earlier observation (null without one), and drifted. For information: nothing fails by it."""
+    out = golden.join(prior.select(key, F.col("driving_score").alias("_prior")), key, "left").withColumn("prior_delta", F.col("driving_score") - F.col("_prior"))
+    return out.withColumn("drifted", F.coalesce(F.abs("prior_delta") > tolerance, F.lit(False))).drop("_prior")
+
+
 def assess(split: DataFrame, runs: DataFrame, golden: DataFrame | None, tolerance: float = 1.0) -> DataFrame:
     """path, A1 to A4 as pass, fail or skip. runs: path, found, payload, agent_type, status, driving_score.
 

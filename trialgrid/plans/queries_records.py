@@ -8,6 +8,7 @@ from ..functions import config as C
 from ..functions import scalars as S
 from ..functions import schemas as M
 from ..functions.storage import shared_path
+from ..operators import accept as AC
 from ..operators import attribute as A
 from ..operators import compare as X
 from ..operators import extract as E
@@ -60,16 +61,27 @@ def documents(b: Bound) -> DataFrame:
     return checkpoint_docs(b).select("run_key", F.from_json(F.to_json(F.struct("_checkpoint")), M.CHECKPOINT).alias("d")).select("run_key", "d._checkpoint")
 
 
+def result_tree(b: Bound, root: str, top: list[Column]) -> None:
+    """A file for each run under root, as a sweep leaves them; one in 37 is cut short."""
+    value = F.to_json(F.struct("_checkpoint", "entry_status", "eligible", "labels", "values"))
+    name = F.concat(F.lit("route_"), F.col("run_key").cast("string"), F.lit("_"), "variant", F.lit("_seed"), F.col("seed").cast("string"), F.lit(".json"))
+    path = F.concat_ws("/", *top, "category", "model", "scenario", "level", F.lit("results"), name)
+    value = F.when(F.col("run_key") % 37 == 0, F.substring(value, 1, 60)).otherwise(value)
+    writers.write_tree(checkpoint_docs(b).select(path.alias("path"), value.alias("value")), root)
+
+
 @query("s1_result_tree", """
-SELECT category, model, count(*) AS n_docs, count(DISTINCT seed) AS n_seeds FROM v_rec GROUP BY category, model""", "v_rec")
+SELECT category, model, count(*) FILTER (WHERE run_key % 37 <> 0) AS n_docs, count(*) FILTER (WHERE run_key % 37 = 0) AS n_bad, count(DISTINCT CASE WHEN run_key % 37 <> 0 THEN seed END) AS n_seeds,
+       count(DISTINCT CASE WHEN run_key % 37 <> 0 THEN scenario END) AS n_scenarios FROM v_rec GROUP BY category, model""", "v_rec")
 def _(b: Bound) -> DataFrame:
-    """Writes a tree of documents and reads it back; the folder's parts give the columns."""
+    """Writes a tree of documents and scans it."""
     root = shared_path(b.spark, "tree")
-    docs = checkpoint_docs(b)
-    name = F.concat_ws("/", "category", "model")
-    docs.select(F.to_json(F.struct("_checkpoint", "entry_status", "eligible", "labels", "values")).alias("value"), name.alias("cell"), "seed").write.partitionBy("cell", "seed").text(root)
-    back = b.spark.read.option("recursiveFileLookup", False).text(root).select(F.from_json("value", M.CHECKPOINT).alias("d"), F.split("cell", "/").alias("p"), "seed")
-    return back.groupBy(F.get("p", F.lit(0)).alias("category"), F.get("p", F.lit(1)).alias("model")).agg(F.count("d").alias("n_docs"), F.countDistinct("seed").alias("n_seeds"))
+    result_tree(b, root, [])
+    good, bad = readers.scan_results(b.spark, root)
+    rows = good.select("path", "scenario", "seed", F.lit(True).alias("ok")).unionByName(bad.select("path", F.lit(False).alias("ok")), allowMissingColumns=True)
+    part = lambda i: F.get(F.split(F.substring_index("path", root.rpartition("/")[2] + "/", -1), "/"), F.lit(i))
+    return rows.groupBy(part(0).alias("category"), part(1).alias("model")).agg(
+        F.count_if("ok").alias("n_docs"), F.count_if(~F.col("ok")).alias("n_bad"), F.countDistinct("seed").alias("n_seeds"), F.countDistinct("scenario").alias("n_scenarios"))
 
 
 @query("s2_tolerant_json", """
@@ -103,10 +115,14 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s5_sources", """
-SELECT seed, model, count(*) AS n FROM v_rec WHERE model <> 'm0' OR seed = 42 GROUP BY seed, model""", "v_rec")
+SELECT seed, model, category, count(*) AS n FROM v_rec WHERE run_key % 37 <> 0 AND (model <> 'm0' OR seed = 42) GROUP BY seed, model, category""", "v_rec")
 def _(b: Bound) -> DataFrame:
-    parts = [b.v_rec.where(f"seed = {s}") for s in C.CONFIG.seeds]
-    return X.union_sources(parts).where("model <> 'm0' OR seed = 42").groupBy("seed", "model").agg(F.count("*").alias("n"))
+    """A tree for each seed; a ceiling model counts from one seed only."""
+    root = shared_path(b.spark, "trees")
+    result_tree(b, root, [F.concat(F.lit("sweep"), F.col("seed").cast("string"))])
+    sources = [readers.Source(f"{root}/sweep{s}", (s,)) for s in C.CONFIG.seeds]
+    got = readers.scan_sources(b.spark, sources, ("m0",), 42)
+    return got.groupBy(F.col("seed").cast("bigint").alias("seed"), "model", "category").agg(F.count("*").alias("n"))
 
 
 @query("s9_typed_records", """
@@ -121,14 +137,19 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s10_frozen_tables", """
-SELECT model, category, count(*) AS n FROM v_rec WHERE model IN ('m1', 'm2') GROUP BY model, category""", "v_rec")
+SELECT model, category, count(*) AS n, count(driving_score) AS n_scored FROM v_rec GROUP BY model, category UNION ALL SELECT 'm99', 'static', 0, 0""", "v_rec")
 def _(b: Bound) -> DataFrame:
+    """A table for each cell, in parts of a bounded number of rows; one model's files have names of their own, one cell has none."""
     root = shared_path(b.spark, "frozen")
-    rows = b.v_rec.where("model IN ('m1', 'm2')")
-    rows.select("run_key", F.concat_ws("/", "model", F.concat("category", F.when(F.col("model") == "m1", "_base").otherwise(""))).alias("cell")).write.partitionBy("cell").option("header", True).csv(root)
-    back = b.spark.read.option("header", True).csv(root)
-    cell = F.split("cell", "/")
-    return back.groupBy(F.get(cell, F.lit(0)).alias("model"), F.regexp_replace(F.get(cell, F.lit(1)), "_base$", "").alias("category")).agg(F.count("*").alias("n"))
+    file = F.concat("category", F.when(F.col("model") == "m1", "_base").otherwise(""), F.lit(".csv"))
+    path = F.concat(F.concat_ws("/", "model", file), F.lit("/part-"), F.floor(F.col("run_key") / 20000).cast("string"), F.lit(".csv"))
+    line = F.concat_ws(",", F.col("run_key").cast("string"), F.coalesce(F.col("driving_score").cast("string"), F.lit("")))
+    files = b.v_rec.select(path.alias("path"), line.alias("line")).groupBy("path").agg(F.concat(F.lit("run_key,driving_score\n"), F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("value"))
+    writers.write_tree(files, root)
+    expected = b.v_rec.select("model", "category").distinct().unionByName(b.spark.createDataFrame([("m99", "static")], "model string, category string"))
+    rows, missing = readers.scan_frozen(b.spark, root, expected, {("m1", c): f"{c}_base.csv" for c in ("pedestrian", "static", "vehicle")})
+    found = rows.groupBy("model", "category").agg(F.count("*").alias("n"), F.count("driving_score").alias("n_scored"))
+    return found.unionByName(missing.select("model", "category", F.lit(0).alias("n"), F.lit(0).alias("n_scored")))
 
 
 @query("p1_flatten", """
@@ -344,6 +365,57 @@ def _(b: Bound) -> DataFrame:
     return readers.scan_manifest(b.spark, path, ["path", "blueprint", "note"])
 
 
+@query("s12_log_scan", """
+SELECT kind, a, b, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'fallback' WHEN 'signup' THEN 'skip' WHEN 'purchase' THEN 'cannot_spawn' END AS kind,
+ CASE event_type WHEN 'signup' THEN concat('S', event_id % 7) ELSE concat('vehicle.b', user_id % 5) END AS a, CASE event_type WHEN 'error' THEN 'vehicle.c' WHEN 'signup' THEN 'no map' ELSE '' END AS b
+ FROM events WHERE event_type IN ('error', 'signup', 'purchase')) t GROUP BY 1, 2, 3""")
+def _(b: Bound) -> DataFrame:
+    """Logs of all events, written as text and scanned."""
+    path, kind = shared_path(b.spark, "logs"), F.col("event_type")
+    model = F.concat(F.lit("vehicle.b"), (F.col("user_id") % 5).cast("string"))
+    line = (
+        F.when(kind == "error", F.concat(F.lit("Actor model "), model, F.lit(" not available. Using instead vehicle.c")))
+        .when(kind == "signup", F.concat(F.lit("Skipping scenario 'S"), (F.col("event_id") % 7).cast("string"), F.lit("' due to setup error: no map")))
+        .when(kind == "purchase", F.concat(F.lit("Cannot spawn actor "), model, F.lit(" at position 1"))).otherwise("tick")
+    )
+    b.events.select(line.alias("value")).write.text(path)
+    return readers.scan_logs(b.spark, path).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+
+
+DEFINITION = """concat('<routes><route id="', route_id, '" town="T"><blueprint value="', blueprint, '"/></route></routes>')"""
+
+
+def definitions(b: Bound) -> str:
+    """A file for each planned route; gives the tree's root."""
+    root = shared_path(b.spark, "routes")
+    writers.write_tree(b.v_man.select("path", F.expr(DEFINITION).alias("value")), root)
+    return root
+
+
+@query("s13_file_digests", f"SELECT path, CAST(strlen({DEFINITION}) AS BIGINT) AS size, sha256({DEFINITION}) AS sha256 FROM v_man", "v_man")
+def _(b: Bound) -> DataFrame:
+    root = definitions(b)
+    return readers.digest_files(b.spark, root, "*.xml").withColumn("path", F.substring_index("path", root.rpartition("/")[2] + "/", -1))
+
+
+@query("s14_discover", "SELECT path AS rel FROM v_man", "v_man")
+def _(b: Bound) -> DataFrame:
+    return readers.discover(b.spark, definitions(b))
+
+
+@query("s16_prior_deltas", """
+WITH g AS (SELECT m.path, avg(r.driving_score) AS d, avg(r.driving_score) FILTER (WHERE r.seed = 42) AS q FROM v_man m JOIN v_rec r USING (category, scenario, route_id, level, variant) WHERE r.driving_score IS NOT NULL GROUP BY 1)
+SELECT path, round(d, 6) AS driving_score, round(d - q, 6) AS prior_delta, coalesce(abs(d - q) > 1, false) AS drifted FROM g""", "v_rec v_man")
+def _(b: Bound) -> DataFrame:
+    """Observations of one seed as a commented table, scanned and set against the mean of all."""
+    slot, path = ["category", "scenario", "route_id", "level", "variant"], shared_path(b.spark, "prior")
+    runs = b.v_rec.where("driving_score IS NOT NULL").join(b.v_man.select(*slot, "path"), slot)
+    writers.write_manifest(runs.where("seed = 42").groupBy("path").agg(F.avg("driving_score").alias("driving_score")), path, ["observations of one seed"])
+    prior = readers.scan_tsv(b.spark, path, "path string, driving_score double")[0]
+    out = AC.prior_deltas(runs.groupBy("path").agg(F.avg("driving_score").alias("driving_score")), prior, "path", 1.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("driving_score", "prior_delta")})
+
+
 # ---------------------------------------------------------------- sinks
 
 @query("k1_records_sink", "SELECT run_key, model, driving_score, CAST(NULL AS VARCHAR) AS prop FROM v_rec", "v_rec")
@@ -368,6 +440,24 @@ def _(b: Bound) -> DataFrame:
     return writers.run_meta(b.v_rec, X.reconcile_counts(b.v_rec, expected, ["category"]), ["driving_score", "status"])
 
 
+@query("k4_manifest", f"SELECT path, sha256({DEFINITION}) AS sha256, category, scenario, level, route_id AS base_route_id, blueprint AS prop_blueprint_id FROM v_man", "v_man")
+def _(b: Bound) -> DataFrame:
+    """The manifest of a tree of definitions, written with a comment and read back."""
+    path = shared_path(b.spark, "manifest")
+    writers.write_manifest(writers.build_manifest(b.spark, definitions(b)), path, ["all definitions"])
+    return readers.scan_tsv(b.spark, path, M.MANIFEST)[0]
+
+
+@query("k5_split", f"SELECT path, sha256({DEFINITION}) AS sha256, 'routes: ' || count(*) OVER () || ', tier: smoke' AS stamp FROM v_man WHERE route_id = '3'", "v_man")
+def _(b: Bound) -> DataFrame:
+    """The manifest of one tier with its stamp, written and read back."""
+    path = shared_path(b.spark, "split")
+    plan = writers.build_manifest(b.spark, definitions(b)).withColumn("tier", F.when(F.col("base_route_id") == "3", "smoke").otherwise("full"))
+    writers.write_split(plan, path, "smoke", [c.split()[0] for c in M.MANIFEST.split(", ")])
+    rows, notes = readers.scan_tsv(b.spark, path, M.MANIFEST)
+    return rows.select("path", "sha256").crossJoin(F.broadcast(notes.agg(F.array_join(F.array_sort(F.collect_list("note")), ", ").alias("stamp"))))  # two lines
+
+
 @query("k9_assets", """
 SELECT p_partkey AS size, CASE WHEN p_brand = 'Brand#1' OR p_brand = 'Brand#11' THEN 'someone' ELSE '-' END AS author FROM part""")
 def _(b: Bound) -> DataFrame:

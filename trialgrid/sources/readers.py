@@ -15,14 +15,16 @@ from ..operators.extract import LOG_PATTERNS, log_events, with_path_info
 def scan_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with path, scenario, level, route_id, variant, seed; unreadable files as path, text, nothing_read).
 
-    Files named route_*_seed{n}.json in folders named results, at any depth; NaN and infinities are read as numbers."""
+    Files named route_*_seed{n}.json in folders named results, at any depth; NaN and infinities are read as numbers. A blank file is unreadable; Spark gives no row for one of no bytes."""
     schema = StructType([*StructType.fromDDL(M.CHECKPOINT).fields, StructField("_corrupt", StringType())])
     glob = "route_*_seed*.json" if not seeds else "route_*_seed{" + ",".join(map(str, seeds)) + "}.json"
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(root).withColumn("path", F.col("_metadata.file_path"))
-    raw = raw.where(F.col("path").rlike(r"/results/[^/]+$"))
-    good = with_path_info(raw.where("_corrupt IS NULL").drop("_corrupt"), "path")
-    return good, raw.where("_corrupt IS NOT NULL").select("path", F.col("_corrupt").alias("text"), F.col("_checkpoint").isNull().alias("nothing_read"))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = files.select(S.plain_path(F.col("_metadata.file_path")).alias("path"), "value").where(F.col("path").rlike(r"/results/[^/]+$"))
+    # parsed from a column: a scan of JSON files refuses queries that need the broken text alone
+    raw = files.select("path", "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d")).select("path", "value", "d.*")
+    bad = F.col("_corrupt").isNotNull() | (F.trim("value") == "")
+    good = with_path_info(raw.where(~bad).drop("_corrupt", "value"), "path")
+    return good, raw.where(bad).select("path", F.col("value").alias("text"), F.col("_checkpoint").isNull().alias("nothing_read"))
 
 
 @dataclass(frozen=True)
@@ -99,10 +101,14 @@ def typed_records(raw: DataFrame) -> DataFrame:
 
 
 def scan_frozen(spark: SparkSession, root: str, cells: DataFrame, overrides: dict[tuple[str, str], str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of root/{model}/{category}.csv with model, category; expected cells without a file). overrides: file name of a cell."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root).withColumn("_p", F.split(F.col("_metadata.file_path"), "/"))
+    """(rows of root/{model}/{category}.csv, a file or a folder of parts, with model, category; expected cells without a file).
+
+    overrides: file name of a cell."""
+    name = root.rstrip("/").rpartition("/")[2] + "/"
+    tail = F.split(F.substring_index(S.plain_path(F.col("_metadata.file_path")), name, -1), "/")
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root).withColumn("_p", tail)
     names = {(m, f.removesuffix(".csv")): c for (m, c), f in overrides.items()}
-    model, file = F.element_at("_p", -2), F.regexp_replace(F.element_at("_p", -1), r"\.csv$", "")
+    model, file = F.get("_p", F.lit(0)), F.regexp_replace(F.get("_p", F.lit(1)), r"\.csv$", "")
     category = F.coalesce(*[F.when((model == m) & (file == f), c) for (m, f), c in names.items()], file)
     rows = raw.withColumns({"model": model, "category": category}).drop("_p")
     return rows, cells.join(rows.select("model", "category").distinct(), ["model", "category"], "left_anti")
@@ -125,8 +131,8 @@ def load_golden(spark: SparkSession, path: str, split: DataFrame, schema_id: str
 
 
 def scan_logs(spark: SparkSession, glob: str) -> DataFrame:
-    """path, line, kind, a, b of log lines of known forms, in one pass."""
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    """path, value, kind, a, b of log lines of known forms, in one pass."""
+    lines = spark.read.text(glob).select(S.plain_path(F.col("_metadata.file_path")).alias("path"), "value")
     return log_events(lines, LOG_PATTERNS)
 
 

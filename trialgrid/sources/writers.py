@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
@@ -41,7 +45,7 @@ def build_manifest(spark: SparkSession, root: str, tag: str = "blueprint") -> Da
     name = root.rstrip("/").rpartition("/")[2] + "/"
     text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(root).select(F.col("_metadata.file_path").alias("uri"), "value")
     digests = digest_files(spark, root, "*.xml").select(F.regexp_replace("path", "^file:/+", "/").alias("uri"), "sha256")
-    files = text.withColumn("uri", F.regexp_replace("uri", "^file:/+", "/")).join(digests, "uri")
+    files = text.withColumn("uri", F.regexp_replace(S.plain_path(F.col("uri")), "^file:/+", "/")).join(digests, "uri")
     rel = F.substring_index("uri", name, -1)
     parts = F.split(rel, "/")
     return files.select(
@@ -50,15 +54,47 @@ def build_manifest(spark: SparkSession, root: str, tag: str = "blueprint") -> Da
     ).orderBy("path")
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """A manifest is a small dimension table: one sorted file with a header."""
-    df.coalesce(1).sortWithinPartitions("path").write.option("sep", "\t").option("header", True).csv(path)
+def write_manifest(df: DataFrame, path: str, notes: list[str] | None = None) -> None:
+    """A manifest is a small dimension table: one file in order of path, its comment lines and header first."""
+    part, at, line = "part int", "at string", "value string"
+    head = [(0, f"{i:06d}", f"# {n}") for i, n in enumerate(notes or [])] + [(1, "", "\t".join(df.columns))]
+    rows = df.select(F.lit(2).alias("part"), F.col("path").alias("at"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    every = df.sparkSession.createDataFrame(head, ", ".join((part, at, line))).unionByName(rows)
+    every.coalesce(1).sortWithinPartitions("part", "at").select("value").write.text(path)
 
 
 def materialize_split(df: DataFrame, tier: str) -> DataFrame:
     return df.where(F.col("tier") == tier)
 
 
+def write_split(df: DataFrame, path: str, tier: str, columns: list[str], notes: list[str] | None = None) -> None:
+    """The manifest of a tier's routes, stamped with its name and its number of routes."""
+    rows = materialize_split(df, tier).select(*columns)
+    write_manifest(rows, path, [*(notes or []), f"routes: {rows.count()}", f"tier: {tier}"])
+
+
+def write_tree(df: DataFrame, root: str) -> int:
+    """Writes each row (path, value) as a file of its own under root and gives their number; a task that runs again writes the same files."""
+    base = re.sub("^file:/+", "/", root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+        made: set[str] = set()
+        for batch in batches:
+            for rel, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{top}/{rel}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{top}/{rel}") as out:
+                    out.write((value or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return df.select("path", "value").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+
 def asset_manifest(files: DataFrame, licences: DataFrame) -> DataFrame:
     """files (path, size, sha256) with author and licence of their content folder, '-' where none is known."""
     folder = F.element_at(F.split("path", "/"), -2)

@@ -1,7 +1,7 @@
 """Structured Streaming: reaction detector, attempt ledger, completeness of arrivals.
 
 State per key is small and of fixed size: the last samples of a run, the counters of a task. Rows of a key are taken in order of their
-number within a batch; a row that comes after a later one has been taken is counted as late and changes nothing."""
+number within a batch; a tick that comes after a later one has been taken changes nothing and is given out with the cause 'late'."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import config as C
 from ..operators import ledger as L
 
+#: The cause of a row that tells of a late tick; it has neither ttr nor dar.
+LATE = "late"
 REACTION = "run_id bigint, frame bigint, cause string, ttr double, dar double"
 
 
@@ -39,6 +41,7 @@ class ReactionDetector(StatefulProcessor):
             frame, d = int(r.frame), float(r.distance)
             if last_frame is not None and frame <= last_frame:
                 late += 1
+                out.append((int(key[0]), frame, LATE, None, None))
                 continue
             v, y, lane = float(r.ego_velocity), float(r.lateral_offset), int(r.lane_id)
             a = (v - kept[-1][1]) * p.rate if kept else 0.0
@@ -77,7 +80,7 @@ class ReactionDetector(StatefulProcessor):
 
 
 def reaction_stream(ticks: DataFrame, p: C.Telemetry = C.Telemetry()) -> DataFrame:
-    """Accepted reactions as they are found. Needs the RocksDB state store."""
+    """Accepted reactions as they are found, and a row of cause 'late' for each late tick. Needs the RocksDB state store."""
     return ticks.groupBy("run_id").transformWithStateInPandas(statefulProcessor=ReactionDetector(p), outputStructType=REACTION, outputMode="Append", timeMode="None")
 
 
