@@ -1,8 +1,9 @@
 """Personal data by weak supervision: labelers vote, their reliabilities are estimated, a classifier decides on spans.
 
 Spans that the base patterns accept always stand. Looser patterns give candidates beside them: card-like numbers
-that fail the check digit, telephone numbers without a country code, addresses spelled with "at" and "dot". Labelers
-look at a candidate's form, at gazetteers of words and top-level domains, and at what stands around it; each votes for,
+that fail the check digit, telephone numbers without a country code, addresses spelled with "at" and "dot", network
+addresses with their dots in brackets or of the newer form, and secrets (values given to words such as password or token,
+key ids of known forms, private keys), a kind without a base pattern. Labelers look at a candidate's form, at gazetteers of words and top-level domains, and at what stands around it; each votes for,
 against, or not at all. Votes of all candidates of all texts are counted by pattern (a table whose size is bounded by the
 number of labelers). Expectation-maximisation on the counts estimates how reliable each labeler is, and a logistic
 classifier of spans is trained on the patterns, weighted by their counts, with the estimated posteriors as its targets.
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, read_table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELERS = ("form", "length", "gazetteer", "domain", "context", "lone", "inside", "neighbours")
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -36,6 +38,11 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _loose_phone = re.compile(r"(?<![0-9+).])(?<![0-9+] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])").finditer
 _loose_email = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,63}){1,4}").finditer
+_loose_ip = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot )[0-9]{1,3}){3}(?![0-9A-Za-z])").finditer
+_new_ip = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Za-z:])").finditer
+_assigned = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)[\"']?(?: ?[=:] ?| )[\"']?([A-Za-z0-9+/_~-]{8,512})").finditer
+_key_id = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,251}|sk-[A-Za-z0-9-]{20,200}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])").finditer
+_secret_word = re.compile(r"(?i)pass|pwd|secret|token|key|bearer").search
 _digit = re.compile("[0-9]").search
 _word = re.compile(r"[A-Za-z]+").findall
 
@@ -45,7 +52,10 @@ GAZETTEER = {
     "ip": {"ip", "host", "server", "address", "client", "from"},
     "card": {"card", "visa", "mastercard", "credit", "debit", "account", "payment", "pay"},
     "phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "number", "cell"},
+    "secret": {"password", "passwd", "pwd", "secret", "token", "key", "bearer", "credential", "credentials", "login", "auth"},
 }
+#: Words that announce a number of another kind than a network address.
+NUMBERED = {"version", "v", "release", "section", "chapter", "figure", "table"}
 DOMAINS = {"com", "org", "net", "edu", "gov", "io", "co", "info", "de", "fr", "es", "uk", "eu"}
 
 
@@ -92,9 +102,26 @@ def candidate_spans(text: str) -> list[tuple[int, int, int]]:
             if 13 <= sum(c.isdigit() for c in m.group()) <= 19:
                 out.append((2, m.start(), m.end()))
         out += [(3, m.start(), m.end()) for m in _loose_phone(text)]
+        if "dot" in text or "[.]" in text or "(.)" in text:
+            out += [(1, m.start(), m.end()) for m in _loose_ip(text)]
+        if ":" in text:
+            out += [(1, m.start(), m.end()) for m in _new_ip(text) if _digit(m.group()) and _is_new_ip(m.group())]
+        if _secret_word(text):
+            out += [(4, m.start(1), m.end(1)) for m in _assigned(text) if _digit(m.group(1))]
+    if _key_mark(text):
+        out += [(4, m.start(), m.end()) for m in _key_id(text)]
     return out
 
 
+_key_mark = re.compile("AKIA|ASIA|gh[pousr]_|sk-|PRIVATE KEY").search
+
+
+def _is_new_ip(text: str) -> bool:
+    """Eight groups, or fewer with one gap; times of day such as 10:20:30 have neither."""
+    groups = text.split(":")
+    return len(groups) == 8 and "" not in groups or "::" in text and groups.count("") == 1 and 4 <= len(groups) <= 8
+
+
 def votes(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
     """One vote per labeler: 1 for, -1 against, 0 none."""
     kind, start, end = span
@@ -109,16 +136,23 @@ def votes(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
     elif kind == 3:
         form = 1 if body[0] in "+(" else 0
         length = 1 if 10 <= len(digits) <= 12 else -1
+    elif kind == 1:
+        parts = [p for p in re.split("[^0-9A-Fa-f]+", body) if p and p != "d"]  # "dot" leaves its d
+        form = 1 if ":" in body else 1 if all(len(p) <= 3 and int(p) <= 255 and (p == "0" or p[0] != "0") for p in parts if p.isdigit()) else -1
+        length = -1 if right[:1] == "." and right[1:2].isdigit() or left[-1:] == "." else 1
+    elif kind == 4:
+        form = 1 if next(_key_id(body), None) or len({c.isdigit() for c in body}) == 2 and len(set(body)) >= 6 else -1
+        length = 1 if 12 <= len(body) <= 200 else -1 if len(body) < 10 else 0
     else:
         form = 1 if "@" in body or "(" in body or "[" in body else 0
         length = 1 if 6 <= len(body) <= 60 else -1
     return (
         form,
         length,
-        1 if near & GAZETTEER[KINDS[kind]] else 0,
+        1 if near & GAZETTEER[KINDS[kind]] else -1 if kind == 1 and near & NUMBERED else 0,
         (1 if last in DOMAINS else -1) if kind == 0 else 0,
         1 if re.search(r"[:=]\s*[\"']?\Z", left) else 0,
-        1 if before in " \t\n\"'(" and after in " \t\n.,;:!?\"')" else -1,
+        1 if before in (" \t\n\"'(=:" if kind == 4 else " \t\n\"'(") and after in " \t\n.,;:!?\"')" else -1,
         -1 if before.isalnum() or after.isalnum() else 0,
         -1 if len(re.findall("[0-9]", left[-12:] + right[:12])) > 6 else 1 if not re.search("[0-9]", left[-12:] + right[:12]) else 0,
     )
@@ -199,7 +233,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 loose = _beside(base, candidate_spans(text))
                 bases.append(base)
                 looses.append(loose)
-                given.append([list(votes(text, s)) for s in [*(b for b in base if b[0] != 1), *loose]])
+                given.append([list(votes(text, s)) for s in [*base, *loose]])
             spans = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([[list(s) for s in x] for x in v], spans) for v in (bases, looses, given))], ["doc_id", "base", "loose", "votes"])
 
@@ -226,7 +260,7 @@ def _beside(base: list, loose: list) -> list[tuple[int, int, int]]:
 
 def learn(scanned: DataFrame) -> Model:
     """The model from the vote patterns of every text."""
-    spans = F.concat(F.filter("base", lambda s: s[0] != 1), F.col("loose"))
+    spans = F.concat("base", "loose")
     pairs = scanned.select(F.explode(F.arrays_zip(F.transform(spans, lambda s: s[0]).alias("kind"), F.col("votes").alias("vote"))).alias("x"))
     counts = pairs.groupBy("x.kind", "x.vote").agg(F.count("*").alias("n"))
     return estimate({(r["kind"], tuple(r["vote"])): r["n"] for r in counts.collect()})  # at most kinds x 3^labelers rows
@@ -248,13 +282,13 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, shown = [[] for _ in KINDS], [], []
+            counts, digests, shown = [[] for _ in BASE_KINDS], [], []
             for base, loose, vote in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 for k, column in enumerate(counts):
                     column.append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(_shown(sorted(map(tuple, base))).encode()).hexdigest())
                 shown.append(_shown(_decided(base, loose, vote, model)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     return scanned.mapInArrow(decide, f"doc_id {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
