@@ -403,9 +403,9 @@ def _(b: Bound) -> DataFrame:
     return readers.discover(b.spark, definitions(b))
 
 
-@query("s16_prior_deltas", """
+@query("s16_prior_deltas", f"""
 WITH g AS (SELECT m.path, avg(r.driving_score) AS d, avg(r.driving_score) FILTER (WHERE r.seed = 42) AS q FROM v_man m JOIN v_rec r USING (category, scenario, route_id, level, variant) WHERE r.driving_score IS NOT NULL GROUP BY 1)
-SELECT path, round(d, 6) AS driving_score, round(d - q, 6) AS prior_delta, coalesce(abs(d - q) > 1, false) AS drifted FROM g""", "v_rec v_man")
+SELECT path, {near_sql("d", 4)} AS driving_score, {near_sql("(d - q)", 4)} AS prior_delta, coalesce(abs(d - q) > 1, false) AS drifted FROM g""", "v_rec v_man")
 def _(b: Bound) -> DataFrame:
     """Observations of one seed as a commented table, scanned and set against the mean of all."""
     slot, path = ["category", "scenario", "route_id", "level", "variant"], shared_path(b.spark, "prior")
@@ -413,7 +413,7 @@ def _(b: Bound) -> DataFrame:
     writers.write_manifest(runs.where("seed = 42").groupBy("path").agg(F.avg("driving_score").alias("driving_score")), path, ["observations of one seed"])
     prior = readers.scan_tsv(b.spark, path, "path string, driving_score double")[0]
     out = AC.prior_deltas(runs.groupBy("path").agg(F.avg("driving_score").alias("driving_score")), prior, "path", 1.0)
-    return out.withColumns({c: F.round(c, 6) for c in ("driving_score", "prior_delta")})
+    return out.select("path", near("driving_score", 4), near("prior_delta", 4), "drifted")
 
 
 # ---------------------------------------------------------------- sinks
