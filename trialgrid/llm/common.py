@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +54,18 @@ def release(*tables: DataFrame) -> None:
 def partitions_for(spark: SparkSession, size: float, each: float) -> int:
     """Partitions so that each holds about `each` of `size`, and no fewer than the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)
+
+
+def sum_rows(rows: DataFrame, key: str, parts: int) -> list[list[int]]:
+    """Sums by key of lists of whole numbers (key int, cells: the list as text, so of numbers of any size), added in tasks by key; a row a key for the driver, in order."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.array([int(c) for c in cells.split(",")], object)
+                sums[k] = sums[k] + part if k in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([",".join(map(str, v)) for v in sums.values()], pa.string())], [key, "cells"])
+
+    found = {r[key]: [int(c) for c in r["cells"].split(",")] for r in rows.repartition(parts, key).mapInArrow(add, f"{key} int, cells string").collect()}
+    return [found[k] for k in sorted(found)]

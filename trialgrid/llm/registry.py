@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_trie, embedding_dedup, gif, line_dedup, ngram_join, packing, pii, sharding, suffix_dedup, toxicity, whitening
+from . import bpe, conversation_trie, embedding_dedup, gif, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gif_columns": gif.op8_gif_columns,
     "op9_string_kernel_toxicity": toxicity.op9_string_kernel_toxicity,
     "op10_grouped_prefix_join": ngram_join.op10_grouped_prefix_join,
+    "op11_positive_unlabelled_quality": quality.op11_positive_unlabelled_quality,
     "op12_conversation_prefix_trie": conversation_trie.op12_conversation_prefix_trie,
     "op13_refined_whitening": whitening.op13_refined_whitening,
 }

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, partitions_for, read_table, release
+from .common import materialize, partitions_for, read_table, release, sum_rows
 
 SCALE, COMPONENTS = 256, 4
 ROWS = 1 << 12  # of one product: (2^20)^2 * 2^12 < 2^53
@@ -224,22 +224,6 @@ def distinct_grid(df: DataFrame, vector: Column, dims: int, scale: float) -> Dat
     return df.select(vector.alias("v")).mapInArrow(pack, "cell binary").groupBy("cell").agg(F.lit(1).alias("_")).select("cell")
 
 
-def _added(rows: DataFrame, key: str, parts: int) -> list[list[int]]:
-    """Sums by key of lists of whole numbers (as text, so of any size), added in tasks by key; one row a key for the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.array([int(c) for c in cells.split(",")], object)
-                sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([",".join(map(str, v)) for v in sums.values()], pa.string())], [key, "cells"])
-
-    kind = f"{key} int, cells string"
-    found = {r[key]: [int(c) for c in r["cells"].split(",")] for r in rows.repartition(parts, key).mapInArrow(add, kind).collect()}
-    return [found[k] for k in sorted(found)]
-
-
 def fit(cells: DataFrame, dims: int) -> Whitening | None:
     """The whitening of distinct x vectors (cell, as distinct_grid packs them); None without any."""
 
@@ -252,7 +236,7 @@ def fit(cells: DataFrame, dims: int) -> Whitening | None:
             total = total + (x.sum(axis=0) if safe else x.astype(object).sum(axis=0)).astype(object)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([",".join(map(str, [n, *total]))], pa.string())], ["i", "cells"])
 
-    merged = _added(cells.mapInArrow(count, "i int, cells string"), "i", 1)
+    merged = sum_rows(cells.mapInArrow(count, "i int, cells string"), "i", 1)
     n, *sums = merged[0] if merged else [0]
     if not n:
         return None
@@ -264,7 +248,7 @@ def fit(cells: DataFrame, dims: int) -> Whitening | None:
             total = total + _products(_unpack(batch.column(0).to_pylist(), dims), centre)
         yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array([",".join(map(str, row)) for row in total], pa.string())], ["i", "cells"])
 
-    products = np.array(_added(cells.mapInArrow(multiply, "i int, cells string"), "i", min(dims, partitions_for(cells.sparkSession, 0, 1))), object)
+    products = np.array(sum_rows(cells.mapInArrow(multiply, "i int, cells string"), "i", min(dims, partitions_for(cells.sparkSession, 0, 1))), object)
     rest = np.array([s - n * c for s, c in zip(sums, centre)], object)
     covariance = _ratio(n * products - rest[:, None] * rest[None, :], n * n)
     values, vectors = eigenvectors(covariance)
