@@ -417,3 +417,26 @@ def test_pipeline_joins_five_word_sets(spark):
     out = P.join_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in out.collect()} == {i for i, c in want.items() if i == c}
     assert {i for i, (_, c) in jaccard(rows).items() if i == c} != {i for i, c in want.items() if i == c}
+
+
+def test_labelled_rows_without_words_train():
+    """Empty, blank, sign-only and one-word rows of both classes are as good a training row as any."""
+    odd = [None, "", "   ", "!!", "De.", "a", "x " * 40]
+    rows = [(t, label) for t in odd for label in (0, 1)]
+    model = toxicity.fit(rows)
+    assert all(0 <= s <= 1 for s in toxicity.rate_texts(model, odd)[0])
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    rows += [(" ".join(word() for _ in range(30)), 0) for _ in range(80)] + [(" ".join(word() for _ in range(30)) + ". you moron.", 1) for _ in range(40)]
+    model = toxicity.fit(rows)
+    best = toxicity.rate_texts(model, ["what a moron.", "", "fine words"])[0]
+    assert best[0] > 0.7 > max(best[1:])
+    assert [len(x) for x in toxicity._substrings([])] == [0, 0, 0]
+
+
+def test_labelled_rows_without_words_train_on_spark(spark):
+    odd = [None, "", "!!", "De."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    out = toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()
+    assert len(out) == 80 and all(0 <= r["score"] <= 1 for r in out)

@@ -245,7 +245,7 @@ def _words_of(text: str | None) -> set[str]:
 
 def _substrings(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, word, start and length as one number) of all substrings of words of LENGTHS letters."""
-    size = np.array([len(w) for w in words])
+    size = np.array([len(w) for w in words], np.int64)
     text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), size + 1)
     hashes, at, spans = [], [], []
