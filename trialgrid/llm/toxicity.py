@@ -315,8 +315,8 @@ def _landmarks(words: list[list[str]], y: np.ndarray) -> list[str]:
     out: list[str] = []
     while len(rows):
         t = np.bincount(np.unique(rows * len(h) + held) % len(h), minlength=len(h))
-        deviation = (t / n1 - c / n0) / np.sqrt((t + c) * (1 - (t + c) / (n1 + n0)) + 1)
-        best = sorted(np.flatnonzero((t > 0) & (deviation >= deviation.max() - 1e-12)).tolist(), key=lambda k: (-len(strings[k]), strings[k]))[0]
+        deviation = np.where(t > 0, (t / n1 - c / n0) / np.sqrt((t + c) * (1 - (t + c) / (n1 + n0)) + 1), -np.inf)
+        best = sorted(np.flatnonzero(deviation >= deviation.max() - 1e-12).tolist(), key=lambda k: (-len(strings[k]), strings[k]))[0]
         if not telling(t[[best]], c[[best]])[0]:
             # what tells most is no longer telling: nor is anything that is rarer
             t[best] = 0
