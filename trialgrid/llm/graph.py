@@ -12,7 +12,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     In each round every node hooks on to its smallest neighbour if that is smaller, links are carried over to the
     nodes that are left and links within a node go. A component's smallest node never hooks, so it is what remains.
-    Only minima per node are gathered, in map-side parts; each round is written to the shared folder.
+    Only minima per node are gathered, in map-side parts; each round is written to the shared folder. The caller may
+    release what is returned.
     """
     l, r = F.col(left), F.col(right)
     edges = links.where(l != r).select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")).distinct()
@@ -31,4 +32,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         x, y = F.coalesce("a_to", "a"), F.coalesce("b_to", "b")
         old = [edges, hooks, labels]
         edges = materialize(moved.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "links")
+    if not old:
+        labels.stored_at = edges.stored_at
+        return labels
+    release(edges, *old[:2])
     return labels

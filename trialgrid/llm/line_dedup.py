@@ -55,8 +55,8 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "line_no", leaf.alias("leaf"), F.xxhash64("shape").alias("line_key"), "shape", "size")
 
 
-def _templates(different: DataFrame) -> DataFrame:
-    """leaf, line_key, template: the templates that each different line (leaf, line_key, shape, size, weight) belongs to."""
+def _templates(different: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, line_key, template: the templates that each different line (leaf, line_key, shape, size, weight) belongs to; tables that this reads)."""
     short = different.where(F.col("size") <= DEPTH).select("leaf", "line_key", F.lit(0).cast("long").alias("template"))
     tokens = different.where(F.col("size") > DEPTH).withColumn("tokens", F.split("shape", " "))
     places = tokens.select("leaf", "line_key", "weight", F.posexplode(F.slice("tokens", DEPTH + 1, F.size("tokens"))).alias("place", "token"))
@@ -82,11 +82,11 @@ def _templates(different: DataFrame) -> DataFrame:
         return (words >= SIMILARITY * plain) & (2 * words >= F.col("size")) & (2 * F.col(f"words{i}") >= rest)
 
     levels = F.array_distinct(F.array_compact(F.array(*(F.when(counts(i), F.col(f"template{i}")) for i in range(len(SHARES))))))
-    return short.unionByName(lines.select("leaf", "line_key", F.explode(levels).alias("template")))
+    return short.unionByName(lines.select("leaf", "line_key", F.explode(levels).alias("template"))), [votes, totals]
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc, line_no of the lines to drop."""
+    """doc, line_no of the lines to drop, a written table."""
     lines = _exploded(docs)
     holders = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     leaves = materialize(holders.select("leaf"), "leaves")
@@ -98,19 +98,25 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     weights = held.groupBy("leaf", "line_key").agg(F.count("*").alias("weight"), F.first("size").alias("size"))
     shapes = candidates.select("leaf", "line_key", "shape").dropDuplicates(["leaf", "line_key"])
     different = materialize(weights.join(shapes, ["leaf", "line_key"]), "different")
-    members = candidates.select("doc", "line_no", "leaf", "line_key").join(_templates(different), ["leaf", "line_key"])
+    templates, counts = _templates(different)
+    members = candidates.select("doc", "line_no", "leaf", "line_key").join(templates, ["leaf", "line_key"])
     members = materialize(members.select("doc", "line_no", "leaf", "template"), "members")
-    release(candidates, different)
+    release(candidates, different, *counts)
     spread = members.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
     spread = materialize(spread.where(F.col("n") >= MIN_DOCS), "spread")
     kept = members.join(spread, ["leaf", "template"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    return kept.select("doc", "line_no")
+    gone = materialize(kept.select("doc", "line_no"), "gone")
+    release(members, spread)
+    return gone
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the text's recurring lines taken out, and the columns _n_lines and _n_dropped."""
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", left: list[DataFrame] | None = None) -> DataFrame:
+    """df with the text's recurring lines taken out, and the columns _n_lines and _n_dropped; left: gets the tables to release once the result is written."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drop = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
+    gone_lines = recurring_lines(docs)
+    if left is not None:
+        left.append(gone_lines)
+    drop = gone_lines.groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
     joined = df.join(drop, F.col(id_col).eqNullSafe(F.col("__gone_doc")), "left").drop("__gone_doc")
     lines, none = _lines(F.col(text_col).cast("string")), F.array().cast("array<int>")
     gone = F.coalesce(F.col("__gone_lines"), none)

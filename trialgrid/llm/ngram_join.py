@@ -351,12 +351,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
+def _text_hash(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, bits: int = PRINT_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, the columns `also`, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one; links: a, b between nodes, enough to connect all that is linked).
+    """(documents: doc_id, t1 and t2 (hash of the text) if `also` asks for them, n_shingles, h1, h2; nodes: h1, h2, node, doc_id, the smallest one, and more; links: a, b between nodes, enough to connect all that is linked).
 
     bits: of a print, 24 at most; fewer prove less, with the same links in the end."""
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *(also or []))
+    t1, t2 = _text_hash(text)
+    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), t1.alias("t1"), t2.alias("t2"))
     frequent = frequent_cells(docs, n)
     sets = materialize(document_sets(docs, n, percent, frequent), "sets")
     filled = sets.where("n_shingles > 0")
@@ -391,17 +396,20 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     release(sets, groups, several, found, likely)
 
     all_pairs, all_buckets, links = pairs, buckets, None
+    spent: list[DataFrame] = []  # tables that nothing after the round reads
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
         if links is not None:
             labels = connected_components(links, "a", "b")
             pairs = materialize(_apart(pairs, labels), "candidates")
+            spent += [labels, pairs]
         else:
             labels = sizes.select("node", F.col("node").alias("component"))
         meet = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node"))
         if not last:
             meet = meet.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
             tried = materialize(meet, "tried")
+            spent.append(tried)
             pairs = pairs.join(tried.select(F.col("hub").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
             meet = tried
         held = buckets.join(sizes, "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -409,20 +417,25 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         # buckets of the same nodes are one
         open_ = materialize(open_.groupBy("x1", "x2", "held").agg(F.min("bucket").alias("bucket"), F.first("pivot").alias("pivot")), "open")
         held = materialize(held.join(open_.select("bucket", "pivot"), "bucket"), "held")
+        spent += [open_, held]
         if last:
             held = materialize(_clustered(held.select("bucket", "node", "component", "n")), "blocks")
+            spent.append(held)
             links_now = [_possible(meet, prints, percent), block_links(held, prints, percent, _prints)]
         else:
             fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
             spokes = held.where(fits).select(F.col("pivot.node").alias("hub"), "node")
             links_now = [_possible(meet.unionByName(spokes).distinct(), prints, percent)]
             buckets = held.where(F.col("node") != F.col("pivot.node")).select("bucket", "node")
+        spent += [links] if links is not None else []
         for more in links_now:
             links = more if links is None else links.unionByName(more)
         links = materialize(links, "possible")
-    links = _settled(docs, nodes, links, all_pairs, all_buckets, prints, n, percent)
-    release(prints)
-    return rows, nodes.select("h1", "h2", "node", "doc_id"), links
+    release(*spent)
+    possible = links
+    links = _settled(docs, nodes, possible, all_pairs, all_buckets, prints, n, percent)
+    release(prints, possible, all_pairs, all_buckets)
+    return rows, nodes, links
 
 
 def _settled(docs: DataFrame, nodes: DataFrame, possible: DataFrame, pairs: DataFrame, buckets: DataFrame, prints: DataFrame, n: int, percent: int) -> DataFrame:
@@ -563,28 +576,43 @@ def _forest(rows: list[dict], hit: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["a", "b"])
 
 
-def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, also: list[str] | None = None, bits: int = PRINT_BITS) -> DataFrame:
-    """doc_id, the columns `also`, n_shingles, component_id, component (a number for each class; null without words)."""
+def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str, also: list[str] | None = None, bits: int = PRINT_BITS) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, the columns `also`, n_shingles, component_id, component, a number for each class, null without words; tables that this reads)."""
     docs, nodes, links = jaccard_links(df, n, percent, id_col, text_col, also, bits)
-    labels = connected_components(links, "a", "b").select("node", "component")
-    placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = connected_components(links, "a", "b")
+    placed = nodes.select("h1", "h2", "node", "doc_id").join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("_least"))
     placed = materialize(placed.join(least, "component").select("h1", "h2", "component", "_least"), "classes")
-    return docs.join(placed, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))).select("doc_id", *(also or []), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_least")), "doc_id").alias("component_id"), "component")
+    release(labels, links, nodes)
+    out = docs.join(placed, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
+    return out.select("doc_id", *(also or []), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_least")), "doc_id").alias("component_id"), "component"), [docs, placed]
 
 
 def jaccard_classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bits: int = PRINT_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable over links."""
-    return _classes(df, n, percent, id_col, text_col, bits=bits).drop("component")
-
-
-def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that of the smallest id (null ids last; any of rows that repeat one); rows without words all stay."""
-    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    classes = materialize(_classes(numbered, n, percent, id_col, text_col, ["__row"]).where("component is not null").select("component", "doc_id", "__row"), "classes")
-    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    gone = classes.join(materialize(first.select("component", F.col("first.__row").alias("_first")), "first"), "component").where(F.col("__row") != F.col("_first")).select("__row")
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    return _classes(df, n, percent, id_col, text_col, bits=bits)[0].drop("component")
+
+
+def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", left: list[DataFrame] | None = None) -> DataFrame:
+    """One row of each class, that of the smallest id (null ids last, then that of the smallest hash of its text; any of rows that repeat id and text); rows without words all stay.
+
+    left: gets the tables to release once the result is written."""
+    key = ["doc_id", "t1", "t2"]
+    found, read = _classes(df, n, percent, id_col, text_col, key[1:])
+    keys = materialize(found.where("component is not null").groupBy("component", *key).agg(F.count("*").alias("n")), "keys")
+    release(*read)
+    first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    fate = keys.join(first, "component").select(*[F.col(c).alias(f"__{c}") for c in key], stays.alias("__stays"), "n").where(~F.col("__stays") | (F.col("n") > 1)).drop("n")
+    fate = materialize(fate, "fate")
+    release(keys)
+    if left is not None:
+        left.append(fate)
+    text = F.col(text_col).cast("string")
+    same = F.col(id_col).eqNullSafe(F.col("__doc_id")) & (_text_hash(text)[0] == F.col("__t1")) & (_text_hash(text)[1] == F.col("__t2"))
+    told = df.join(fate, same, "left")
+    repeated = told.where("__stays").dropDuplicates(["__doc_id", "__t1", "__t2"])
+    return told.where("__stays is null").unionByName(repeated).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with each span of personal data replaced by its kind in angle brackets."""
-    model = learn(materialize(scan(df, id_col, text_col), "spans"))
+    model = learn(scan(df, id_col, text_col))
     names = df.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
