@@ -108,14 +108,45 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, exhaust, bits):
     assert got == jaccard(rows)
 
 
-def test_prints_never_show_less_than_is_shared():
+@pytest.mark.parametrize("most", [5, 12, 24])
+def test_prints_never_show_less_than_is_shared(most):
     r = random.Random(5)
-    for bits in (5, 24):
-        x, y = (np.unique(np.array([r.randrange(1 << 64) for _ in range(300)] + both, np.uint64)) for both in [[r.randrange(1 << 64) for _ in range(100)]] * 2)
-        a, b = (ngram_join._prints(ngram_join._packed_prints(s, bits)) for s in (x, y))
-        cells = [Counter((s >> np.uint64(64 - bits)).tolist()) for s in (x, y)]
+    for sizes in ((300, 300), (250, 262), (1, 1), (0, 3), (4000, 4200)):
+        common = [r.randrange(1 << 64) for _ in range(min(sizes) // 2)]
+        x, y = (np.unique(np.array([*common, *(r.randrange(1 << 64) for _ in range(n - len(common)))], np.uint64)) for n in sizes)
+        bits = [ngram_join.print_bits(len(s), most) for s in (x, y)]
+        a, b = (ngram_join._packed_prints(s, k) for s, k in zip((x, y), bits))
+        assert all((ngram_join._prints(c) == (s >> np.uint64(64 - k))).all() for c, s, k in ((a, x, bits[0]), (b, y, bits[1])))
+        cells = [Counter((s >> np.uint64(64 - min(bits))).tolist()) for s in (x, y)]
         want = sum((cells[0] & cells[1]).values())
-        assert ngram_join._shared(a, b) == want >= len(np.intersect1d(x, y)) == 100
+        assert ngram_join._shared_prints(len(x), ngram_join._prints(a), len(y), ngram_join._prints(b), most) == want >= len(np.intersect1d(x, y))
+        if max(sizes) <= 1.2 * max(1, min(sizes)):
+            assert ngram_join._print_overlaps(most, 80)(np.array([len(x), len(y)]), [a, b])[0, 1] == want
+
+
+def test_table_of_wanted_bits_misses_nothing(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS k")
+    held = ngram_join._wanted_bits(keys)
+    at = np.array([x["k"] for x in keys.collect()]) & (8 * len(held) - 1)
+    assert ((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all()
+    assert np.bitwise_count(held).sum() <= 5000 and ngram_join._wanted_bits(keys.limit(0)).sum() == 0
+
+
+def test_jaccard_join_of_many_copies_and_a_weak_chain(spark):
+    """A thousand exact copies are one node; of a chain each text is linked with the next only; two families share much, but too little."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(100)]
+    chain = [list(base)]
+    for step in range(12):
+        chain.append([*chain[-1][:5 * step], *(r.choice(words) for _ in range(5)), *chain[-1][5 * step + 5 :]])
+    near = [[*base[:88], *(r.choice(words) for _ in range(12))] for _ in range(40)]  # 85 of 109 n-grams: below the limit
+    rows = [(i, " ".join(base)) for i in range(1000)] + [(2000 + i, " ".join(c)) for i, c in enumerate(chain)] + [(3000 + i, " ".join(c)) for i, c in enumerate(near)]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want = {i: c for i, (_, c) in jaccard([rows[0], *rows[1000:]]).items()}
+    assert {got[i] for i in range(1000)} == {0} and {i: got[i] for i in want} == want
+    kept = ngram_join.keep_one(spark.createDataFrame(rows + rows[:3], "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
 
 
 def test_jaccard_join_odd_rows(odd_docs, no_docs):

@@ -6,8 +6,11 @@ prefixes. Documents of equal sets are one node; nodes of equal prefix and size a
 Groups that share a prefix n-gram give pairs under the bound of sizes; the n-grams that a pair shares are counted, and pairs
 whose prefixes share too little for what can follow them go; the rest are expanded to members.
 
-Candidates are compared by prints first: the first `PRINT_BITS` bits of each hash, in 3 bytes in place of 8. Equal n-grams have
-equal prints, so prints never show less than is shared, and most candidates are proven apart by them.
+Candidates are compared by prints first: the first bits of each hash, as many as tell a set's n-grams apart with few exceptions
+(7 more than its size has, `PRINT_BITS` at most). A sorted set's prints are kept as the steps from one to the next, a byte each as
+a rule in place of 8. Equal n-grams have equal prints, so prints never show less than is shared, and most candidates are
+proven apart by them. They are made where texts are first read; texts are read again only for the sets that have to be verified,
+which a table of bits (`WANTED_BITS` at most) tells before anything is shuffled.
 
 No bucket gives all its pairs once it is large (more than `EXHAUST` groups; groups of many members and pairs of such groups
 are buckets as well): its members are compared with one pivot, which then leaves it, and only members of different components
@@ -49,6 +52,7 @@ ROUNDS = 2
 BLOCK, BLOCK_ITEMS = 512, 1 << 20
 SPOKES = 64
 PRINT_BITS = 24
+WANTED_BITS = 1 << 27
 WORD_TABLE = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -152,8 +156,8 @@ def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
     return (first ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> DataFrame:
-    """The columns of docs but text, and n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), prefix (n-grams in the common order)."""
+def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes, bits: int) -> DataFrame:
+    """The columns of docs but text, and n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), prefix (n-grams in the common order), items (prints)."""
     import xxhash
 
     flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
@@ -163,18 +167,20 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes) -> Dat
         words = _words
         often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
-            size, keys, prefix = [], [], []
+            size, keys, prefix, items = [], [], [], []
             for text in batch.column("text").to_pylist():
-                h = _ordered(np.unique(ngram_hashes(text, n, words)), often)
+                h = np.unique(ngram_hashes(text, n, words))
+                items.append(_packed_prints(h, print_bits(len(h), bits)))
+                h = _ordered(h, often)
                 size.append(len(h))
                 first = h[: prefix_length(len(h), percent)] if len(h) else h
                 keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h))))
                 prefix.append(_prefix(h, percent))
             hashes = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(prefix, pa.list_(pa.int64()))], [*rest, "n_shingles", "h1", "h2", "g1", "g2", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(prefix, pa.list_(pa.int64())), pa.array(items, pa.binary())], [*rest, "n_shingles", "h1", "h2", "g1", "g2", "prefix", "items"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>")
+    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>, items binary")
 
 
 def _numbers(cell: bytes) -> np.ndarray:
@@ -182,32 +188,65 @@ def _numbers(cell: bytes) -> np.ndarray:
     return np.frombuffer(cell, np.int64)
 
 
+def print_bits(size: int, most: int) -> int:
+    """Bits of a print in a set of so many n-grams: of all other n-grams about one in 128 or fewer shares a print of the set."""
+    return min(most, int(size).bit_length() + 7)
+
+
 def _packed_prints(h: np.ndarray, bits: int) -> bytes:
-    """Prints of a sorted set of hashes in 3 bytes each; sorted as the hashes are."""
-    return (h >> np.uint64(64 - bits)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """Prints of a sorted set of hashes: the steps between them, each as its remainder by 255 after as many bytes of 255 as it holds."""
+    steps = np.diff((h >> np.uint64(64 - bits)).astype(np.int64), prepend=0)
+    more, rest = np.divmod(steps, 255)
+    out = np.full(int(more.sum()) + len(steps), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = rest
+    return out.tobytes()
 
 
 def _prints(cell: bytes) -> np.ndarray:
-    """Stored prints as sorted numbers, which tell those of equal print by their turn: print, then how many came before."""
-    wide = np.zeros((len(cell) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(cell, np.uint8).reshape(-1, 3)
-    flat = wide.view("<u4").reshape(-1).astype(np.int64)
-    return (flat << 32) + np.arange(len(flat)) - np.searchsorted(flat, flat)
+    """Stored prints as sorted numbers."""
+    steps = np.frombuffer(cell, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+def _numbered(prints: np.ndarray) -> np.ndarray:
+    """Sorted prints, those that are equal told apart by their turn."""
+    return (prints << 32) + np.arange(len(prints)) - np.searchsorted(prints, prints)
+
 
+def _shared_prints(n: int, x: np.ndarray, m: int, y: np.ndarray, most: int) -> int:
+    """How many n-grams two sets of sizes n and m share at most, by their prints."""
+    bx, by = print_bits(n, most), print_bits(m, most)
+    bits = min(bx, by)
+    return _shared(_numbered(x >> (bx - bits)), _numbered(y >> (by - bits)))
 
-def _text_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int | None = None) -> DataFrame:
-    """node, n, items (sorted set as bytes; where bits is given, its prints) for wanted (node, doc_id, t1, t2), from the texts."""
+
+def _wanted_bits(keys: DataFrame) -> np.ndarray:
+    """A table of bits, about 16 a row of keys (k) and WANTED_BITS at most, with one set for each."""
+    size = min(WANTED_BITS, 1 << max(15, (16 * keys.count()).bit_length()))
+    at = keys.select(F.pmod("k", F.lit(size)).alias("at"))
+    found = at.groupBy(F.expr("CAST(at DIV 32768 AS INT)").alias("block")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32768))).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for row in found.collect():  # blocks of 4 KB, a table of bounded size in all
+        out[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _text_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, n, items (sorted set as bytes) for wanted (node, doc_id, t1, t2), from the texts where they are; only sets are shuffled."""
+    key = F.xxhash64("doc_id", "t1", "t2")
+    table = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted.select(key.alias("k"))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words
+        words, held = _words, table.value
         for batch in batches:
-            sets = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(1).to_pylist()]
-            items = [_packed_prints(x, bits) if bits else np.sort(x.view(np.int64)).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(items, pa.binary())], ["node", "n", "items"])
+            at = batch.column(4).to_numpy() & (8 * len(held) - 1)
+            batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            sets = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array([np.sort(x.view(np.int64)).tobytes() for x in sets], pa.binary())], ["doc_id", "t1", "t2", "n", "items"])
 
-    w = wanted.select("node", F.col("doc_id").alias("_id"), "t1", "t2")
-    texts = docs.join(w, (docs["t1"] == w["t1"]) & (docs["t2"] == w["t2"]) & docs["doc_id"].eqNullSafe(w["_id"])).select("node", "text")
-    return texts.mapInArrow(build, "node long, n long, items binary").dropDuplicates(["node"])  # repeated rows only
+    made = docs.select("doc_id", "t1", "t2", "text", key.alias("k")).mapInArrow(build, f"doc_id {dict(docs.dtypes)['doc_id']}, t1 long, t2 long, n long, items binary")
+    w = wanted.select("node", F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    return made.join(w, (made["t1"] == w["_t1"]) & (made["t2"] == w["_t2"]) & made["doc_id"].eqNullSafe(w["_id"])).select("node", "n", "items").dropDuplicates(["node"])  # repeated rows only
 
 
 def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
@@ -328,9 +367,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _met(pairs, sets, lambda n, x, m, y: _shared(x, y) >= needed_overlap(n, m, percent), _cells(_numbers))
 
 
-def _possible(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, prints: DataFrame, percent: int, bits: int) -> DataFrame:
     """The pairs (hub, node) that prints don't prove apart, as (a, b)."""
-    return _met(pairs, prints, lambda n, x, m, y: _shared(x, y) >= needed_overlap(n, m, percent), _cells(_prints))
+
+    def test(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        return 100 * min(n, m) >= percent * max(n, m) and _shared_prints(n, x, m, y, bits) >= needed_overlap(n, m, percent)
+
+    return _met(pairs, prints, test, _cells(_prints))
 
 
 def _overlapping(likely: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -363,14 +406,16 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     t1, t2 = _text_hash(text)
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), t1.alias("t1"), t2.alias("t2"))
     frequent = frequent_cells(docs, n)
-    sets = materialize(document_sets(docs, n, percent, frequent), "sets")
+    sets = materialize(document_sets(docs, n, percent, frequent, bits), "sets")
     filled = sets.where("n_shingles > 0")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one")
-    nodes = filled.groupBy("h1", "h2").agg(one, F.first("n_shingles").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
-    nodes = materialize(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "n", "g1", "g2", "one.doc_id", "one.t1", "one.t2"), "nodes")
+    nodes = filled.groupBy("h1", "h2").agg(one, F.first("n_shingles").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("items").alias("items"))
+    nodes = materialize(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "n", "g1", "g2", "one.doc_id", "one.t1", "one.t2", "items"), "nodes")
     prefixes = filled.groupBy("g1", "g2").agg(F.first("prefix").alias("prefix"))  # in each task once, and so a copy's prefix is never sent
     sized = nodes.groupBy("g1", "g2").agg(F.min("node").alias("grp"), F.first("n").alias("n"), F.count("*").alias("size"))
     groups = materialize(prefixes.join(sized, ["g1", "g2"]), "groups")
+    rows = materialize(sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), "rows")
+    release(sets)
     several = materialize(nodes.join(groups.where("size > 1").select("g1", "g2", "grp"), ["g1", "g2"]).select("grp", "node"), "members")
 
     entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -389,11 +434,9 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     buckets = found.where("kind = 1").select(F.col("token").alias("bucket"), F.col("a").alias("grp")).unionByName(many)
     buckets = buckets.join(members, "grp").select("bucket", "node").unionByName(several.select(F.col("grp").alias("bucket"), "node"))
     buckets = materialize(buckets, "buckets")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.select("node")).distinct()
-    prints = materialize(_text_sets(docs, nodes.join(wanted, "node").select("node", "doc_id", "t1", "t2"), n, bits), "prints")
+    prints = nodes.select("node", "n", "items")
     sizes = prints.select("node", "n")
-    rows = materialize(sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), "rows")
-    release(sets, groups, several, found, likely)
+    release(groups, several, found, likely)
 
     all_pairs, all_buckets, links = pairs, buckets, None
     spent: list[DataFrame] = []  # tables that nothing after the round reads
@@ -421,11 +464,11 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         if last:
             held = materialize(_clustered(held.select("bucket", "node", "component", "n")), "blocks")
             spent.append(held)
-            links_now = [_possible(meet, prints, percent), block_links(held, prints, percent, _prints)]
+            links_now = [_possible(meet, prints, percent, bits), block_links(held, prints, percent, _print_overlaps(bits, percent))]
         else:
             fits = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("component") != F.col("pivot.component"))
             spokes = held.where(fits).select(F.col("pivot.node").alias("hub"), "node")
-            links_now = [_possible(meet.unionByName(spokes).distinct(), prints, percent)]
+            links_now = [_possible(meet.unionByName(spokes).distinct(), prints, percent, bits)]
             buckets = held.where(F.col("node") != F.col("pivot.node")).select("bucket", "node")
         spent += [links] if links is not None else []
         for more in links_now:
@@ -433,12 +476,12 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         links = materialize(links, "possible")
     release(*spent)
     possible = links
-    links = _settled(docs, nodes, possible, all_pairs, all_buckets, prints, n, percent)
-    release(prints, possible, all_pairs, all_buckets)
+    links = _settled(docs, nodes, possible, all_pairs, all_buckets, prints, n, percent, bits)
+    release(possible, all_pairs, all_buckets)
     return rows, nodes, links
 
 
-def _settled(docs: DataFrame, nodes: DataFrame, possible: DataFrame, pairs: DataFrame, buckets: DataFrame, prints: DataFrame, n: int, percent: int) -> DataFrame:
+def _settled(docs: DataFrame, nodes: DataFrame, possible: DataFrame, pairs: DataFrame, buckets: DataFrame, prints: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
     """Links (a, b), enough to connect all that is linked, from the possible ones that connect all that prints leave possible.
 
     Linked nodes share a component of possible links. Where one of these falls apart on full sets, the candidates of its nodes
@@ -458,15 +501,15 @@ def _settled(docs: DataFrame, nodes: DataFrame, possible: DataFrame, pairs: Data
         return links
     x, y = (doubt.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
     again = pairs.join(x, "a").join(y, "b").where("wa = wb AND ca != cb").select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    again = materialize(_possible(again, prints, percent), "again")
+    again = materialize(_possible(again, prints, percent, bits), "again")
     held = buckets.join(doubt, "node").select(F.xxhash64("bucket", "whole").alias("bucket"), "node", "component")
     apart = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     sizes = prints.select("node", "n")
     held = materialize(_clustered(held.join(apart, "bucket").join(sizes, "node").select("bucket", "node", "component", "n")), "held")
-    held = materialize(_meeting(held, prints, percent).join(held, ["bucket", "node"]), "meeting")
+    held = materialize(_meeting(held, prints, percent, bits).join(held, ["bucket", "node"]), "meeting")
     ends = full(again.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.select("node")))
     more = _verified(again.select(F.col("a").alias("hub"), F.col("b").alias("node")), ends, percent)
-    links = materialize(links.unionByName(more).unionByName(block_links(held, ends, percent, _numbers)), "verified")
+    links = materialize(links.unionByName(more).unionByName(block_links(held, ends, percent, _full_overlaps)), "verified")
     release(ends)
     return links
 
@@ -519,27 +562,27 @@ def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> D
     return dealt.select(*keys, *rest).mapInArrow(meet, kind)
 
 
-def _hits(rows: list[dict], same: bool, percent: int, read: Callable) -> np.ndarray:
-    """Which two rows of different components share enough, within one block or between the two."""
+def _hits(rows: list[dict], same: bool, percent: int, overlaps: Callable) -> np.ndarray:
+    """Which two rows of different components share enough, within one block or between the two; overlaps: of sizes and stored sets."""
     n, own, component = (np.array([r[c] for r in rows]) for c in ("n", "own", "component"))
-    both = _overlaps([read(r["items"]) for r in rows])
+    both = overlaps(n, [r["items"] for r in rows])
     hit = ((100 + percent) * both >= percent * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
     return hit if same else hit & (own[:, None] != own[None, :])
 
 
-def _meeting(held: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+def _meeting(held: DataFrame, prints: DataFrame, percent: int, bits: int) -> DataFrame:
     """bucket, node: the members of buckets (bucket, node, component, n) that prints don't prove apart from all members of other components."""
 
     def mark(bucket: int, same: bool, rows: list[dict]) -> pa.RecordBatch:
-        node = [r["node"] for r, h in zip(rows, _hits(rows, same, percent, _prints).any(axis=1).tolist()) if h]
+        node = [r["node"] for r, h in zip(rows, _hits(rows, same, percent, _print_overlaps(bits, percent)).any(axis=1).tolist()) if h]
         return pa.RecordBatch.from_arrays([pa.array([bucket] * len(node), pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
 
     return _blocks(held, prints.select("node", "items"), mark, "bucket long, node long").distinct()
 
 
-def block_links(buckets: DataFrame, sets: DataFrame, percent: int, read: Callable) -> DataFrame:
+def block_links(buckets: DataFrame, sets: DataFrame, percent: int, overlaps: Callable) -> DataFrame:
     """a, b: enough links to connect all that is linked among nodes of one bucket (bucket, node, component, n) but of different components: a spanning forest of each two blocks' links."""
-    return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, _hits(rows, same, percent, read)), "a long, b long")
+    return _blocks(buckets, sets.select("node", "items"), lambda _, same, rows: _forest(rows, _hits(rows, same, percent, overlaps)), "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -559,6 +602,27 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
+def _full_overlaps(n: np.ndarray, cells: list[bytes]) -> np.ndarray:
+    return _overlaps([_numbers(c) for c in cells])
+
+
+def _print_overlaps(most: int, percent: int) -> Callable:
+    """What stored prints show to be shared at most, among sets whose sizes are near enough for a link, so whose prints have about as many bits."""
+    apart = (100 // percent).bit_length()
+
+    def overlaps(n: np.ndarray, cells: list[bytes]) -> np.ndarray:
+        own = np.array([print_bits(x, most) for x in n.tolist()])
+        both = np.zeros((len(n), len(n)), np.int64)
+        for bits in np.unique(own).tolist():
+            rows = np.flatnonzero((own >= bits) & (own <= bits + apart))
+            part = _overlaps([_numbered(_prints(cells[i]) >> (own[i] - bits)) for i in rows.tolist()])
+            fits = np.minimum(own[rows][:, None], own[rows][None, :]) == bits
+            both[np.ix_(rows, rows)] = np.where(fits, part, both[np.ix_(rows, rows)])
+        return both
+
+    return overlaps
+
+
 def _forest(rows: list[dict], hit: np.ndarray) -> pa.RecordBatch:
     """A spanning forest of hits, as (node, node); each tree is grown level by level from its first node."""
     nodes, free = np.array([r["node"] for r in rows]), hit.any(axis=1)
