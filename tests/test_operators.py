@@ -171,7 +171,7 @@ def test_reactions_by_hand_and_stream_alike(spark, tmp_path):
     assert summary[1]["num_reactions"] == 2 and summary[1]["ttr"] == pytest.approx(0.55) and summary[5]["t_obs"] is None and summary[7]["final_ttc"] is None
     tel.repartitionByRange(3, "frame").sortWithinPartitions("frame").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(tel.schema).parquet(str(tmp_path / "in"))
-    out = streams.drain(streams.reaction_stream(stream), str(tmp_path / "s"), "append")
+    out = streams.drain_kinds(streams.reaction_stream(stream), str(tmp_path / "s"))[streams.REACTION_ROW]
     assert rows(out.select("run_id", "frame", "cause")) == rows(got.select("run_id", "frame", "cause"))
 
 
@@ -246,20 +246,49 @@ def test_cluster_heights_saturate(spark):
     assert got == {"a": "visual_shift", "b": "geometric_shift", "c": "visual_shift"}
 
 
-def test_digests_of_large_files_are_null(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("abc")
-    (tmp_path / "b.txt").write_text("abcdef")
-    got = {r["path"][-5:]: (r["size"], r["sha256"] is None) for r in readers.digest_files(spark, str(tmp_path), max_bytes=4).collect()}
-    assert got == {"a.txt": (3, False), "b.txt": (6, True)}
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a b.txt", "abc"), ("b.txt", "abcdef" * 50), ("c.txt", "")):
+        (tmp_path / name).write_text(text)
+    for whole in (4, 1 << 20):  # read by the task in chunks of 7 bytes, or as one value
+        got = {r["path"].rpartition("/")[2]: (r["size"], r["sha256"]) for r in readers.digest_files(spark, str(tmp_path), whole=whole, chunk=7).collect()}
+        assert got == {n: (len(t), hashlib.sha256(t.encode()).hexdigest()) for n, t in (("a b.txt", "abc"), ("b.txt", "abcdef" * 50), ("c.txt", ""))}
+
+
+def test_manifests_of_files_without_a_digest(spark):
+    files = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3"), ("d", "4")], "path string, sha256 string")
+    manifest = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "9"), ("e", "5")], "path string, sha256 string")
+    assert rows(compare.check_manifest(files, manifest)) == [("a", "ok"), ("b", "unread"), ("c", "modified"), ("d", "extra"), ("e", "missing")]
+
+
+def test_tables_of_unlike_headers(spark, tmp_path):
+    import duckdb
+
+    root = tmp_path / "f"
+    texts = {"m1/s.csv": "k,v\n1,a\n2,b\n", "m2/s.csv": "v,k\nc,3\n", "m3/s.csv/part-0.csv": "k,w\n4,z\n", "m4/s.csv": "k,v\n", "m5/s.csv": ""}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    cells = spark.createDataFrame([(f"m{i}", "s") for i in range(1, 7)], "model string, category string")
+    found, missing = readers.scan_frozen(spark, str(root), cells, {})
+    want = duckdb.sql(f"SELECT k, v, w FROM read_csv(['{root}/m1/s.csv', '{root}/m2/s.csv', '{root}/m3/s.csv/part-0.csv', '{root}/m4/s.csv'], union_by_name = true, all_varchar = true)").fetchall()
+    assert rows(found.select("k", "v", "w")) == sorted(want, key=str) and set(found.columns) == {"k", "v", "w", "model", "category"}
+    assert rows(found.select("model", "k")) == [("m1", "1"), ("m1", "2"), ("m2", "3"), ("m3", "4")]
+    assert rows(missing) == [("m5", "s"), ("m6", "s")]  # a file of no bytes is no table
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.tsv").write_text("# note\npath\tx\np\t1\n")
+    (tmp_path / "t" / "b.tsv").write_text("x\tpath\n2\tq\n\t\n")
+    assert rows(readers.scan_manifest(spark, str(tmp_path / "t"), ["path", "x", "y"])) == [("p", "1", None), ("q", "2", None)]
 
 
 def test_a_tree_of_files_and_an_empty_document(spark, tmp_path):
     root = str(tmp_path / "tree")
-    files = spark.createDataFrame([("c/m/a b/base/results/route_1_p0_seed42.json", '{"labels": ["x"]}'), ("c/m/a b/base/results/route_2_p0_seed42.json", "\n"), ("c/m/a b/base/results/route_3_p0_seed43.json", "{}")], "path string, value string")
-    assert writers.write_tree(files, root) == 3 and writers.write_tree(files, root) == 3
+    files = spark.createDataFrame([("c/m/a b/base/results/route_1_p0_seed42.json", '{"labels": ["x"]}'), ("c/m/a b/base/results/route_2_p0_seed42.json", "\n"), ("c/m/a b/base/results/route_3_p0_seed43.json", "{}"), ("c/m/a b/base/results/route_4_p0_seed42.json", ""), ("c/m/a b/base/route_5_p0_seed42.json", "")], "path string, value string")
+    assert writers.write_tree(files, root) == 5 and writers.write_tree(files, root) == 5
     good, bad = readers.scan_results(spark, root, (42,))
     assert rows(good.select("scenario", "route_id", "seed")) == [("a b", "1", 42)]
-    assert good.count() == 1 and bad.count() == 1 and bad.head()["nothing_read"]
+    assert good.count() == 1 and bad.count() == 2 and all(r["nothing_read"] for r in bad.collect())
     got = readers.scan_sources(spark, [readers.Source(root, (42, 43))], ("m",), 43)
     assert rows(got.select("category", "model", "seed")) == [("c", "m", 43)]
 
@@ -295,30 +324,103 @@ def test_p_values_on_both_sides_of_the_exact_limit(spark):
     assert abs(got["e"][1] - got["n"][1]) < 0.1
 
 
-def test_late_ticks_come_out(spark):
+class Held:
+    """State of the streaming processors, for tests without a stream."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class Timers:
+    def __init__(self):
+        self.at = set()
+
+    def registerTimer(self, ms):
+        self.at.add(ms)
+
+    def deleteTimer(self, ms):
+        self.at.remove(ms)
+
+
+def detector(lag=0, idle_ms=None):
+    d = streams.ReactionDetector(C.Telemetry(), lag, idle_ms)
+    d.handle, d.run, d.samples, d.waiting = Timers(), Held(), Held(), Held()
+    return d
+
+
+def fed(d, ticks):
     import pandas as pd
 
-    class Held:
-        value = None
+    rows = [{"frame": f, "ego_velocity": v, "distance": 10.0, "lateral_offset": 0.0, "lane_id": 1, "collision_frame": None, "event_ms": f * 50} for f, v in ticks]
+    return pd.concat(list(d.handleInputRows((7,), iter([pd.DataFrame(rows)]), None)))
 
-        def exists(self):
-            return self.value is not None
 
-        def get(self):
-            return self.value
+def test_late_ticks_come_out():
+    d = detector()
+    assert fed(d, [(0, 10.0), (2, 10.0)]).empty
+    late = fed(d, [(1, 10.0), (3, 10.0)])
+    assert late[["run_id", "frame", "kind"]].values.tolist() == [[7, 1, streams.LATE]] and late["ttr"].isna().all()
+    assert fed(d, [(4, 10.0), (4, 10.0)])[["frame", "kind"]].values.tolist() == [[4, streams.LATE]]  # one of two ticks of a frame
 
-        def update(self, value):
-            self.value = value
 
-        put = update
+def test_ticks_out_of_order_wait_and_a_timer_closes_the_run():
+    import random
+
+    import pandas as pd
 
-    d = streams.ReactionDetector(C.Telemetry())
-    d.scalars, d.samples = Held(), Held()
-    tick = lambda f: {"frame": f, "ego_velocity": 10.0, "distance": 50.0, "lateral_offset": 0.0, "lane_id": 1, "collision_frame": None}
-    feed = lambda frames: pd.concat(list(d.handleInputRows((7,), iter([pd.DataFrame(map(tick, frames))]), None)))
-    assert feed([0, 2]).empty
-    late = feed([1, 3])
-    assert late[["run_id", "frame", "cause"]].values.tolist() == [[7, 1, streams.LATE]] and late["ttr"].isna().all()
+    ticks = [(f, 20 - 0.1 * f) for f in range(40)]
+    plain, mixed = detector(idle_ms=1000), detector(lag=8, idle_ms=1000)
+    want = fed(plain, ticks)
+    r = random.Random(3)
+    order = sorted(ticks, key=lambda t: t[0] + r.randrange(8))
+    got = pd.concat([fed(mixed, order[at : at + 3]) for at in range(0, 40, 3)])
+    assert not (got["kind"] == streams.LATE).any() and mixed.handle.at == plain.handle.at == {39 * 50 + 1000}
+    ends = [pd.concat(list(d.handleExpiredTimer((7,), None, None))) for d in (plain, mixed)]
+    key = ["frame", "cause", "ttr", "dar"]
+    assert want[key].values.tolist() == pd.concat([got, ends[1][:-1]])[key].values.tolist() and len(want) >= 2
+    assert ends[0].iloc[-1].tolist()[3:] == ends[1].iloc[-1].tolist()[3:] and ends[1].iloc[-1]["num_reactions"] == len(want)
+    assert not any(s.exists() for s in (mixed.run, mixed.samples, mixed.waiting))
+    alone = detector(idle_ms=1000)
+    fed(alone, [(0, 1.0)])
+    assert pd.concat(list(alone.handleExpiredTimer((7,), None, None))).iloc[0]["final_distance"] == 10.0
+
+
+def test_attempts_in_any_order_give_the_batch_ledger(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    att = [(t, n, *r.choice(C.LEDGER_RULES)[:2]) for t in range(12) for n in range(1, r.randint(2, 9))]
+    kind = "task long, attempt_no long, outcome_class string, on_disk_case string"
+    want = rows(ledger.ledger(spark.createDataFrame(att, kind)))
+    r.shuffle(att)
+    for i in range(0, len(att), 20):
+        spark.createDataFrame(att[i : i + 20] + att[max(0, i - 3) : i], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # some come twice
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert rows(streams.drain(streams.ledger_stream(stream), str(tmp_path / "s"), "update", ["task"])) == want
+
+
+def test_arrivals_against_the_plan(spark, tmp_path):
+    root = str(tmp_path / "in")
+    name = lambda c, m, i, seed: f"{c}/{m}/s/base/results/route_{i}_p0_seed{seed}.json"
+    files = [(name("c", "m", i, 42), "" if i == 1 else "{}") for i in range(3)] + [("c/m/s/base/x/results/route_1_p0_seed42.json", "{}"), (name("c", "m", 1, 9), "{}"), ("c/m/s/base/route_8_p0_seed42.json", "{}")]
+    writers.write_tree(spark.createDataFrame(files, "path string, value string"), root)
+    stream = streams.completeness_stream(streams.result_files(spark, root, 2), ["scenario", "level", "route_id", "variant"], ["model", "category", "seed"], "modificationTime")
+    plan = spark.createDataFrame([("m", "c", 42, 3), ("m", "c", 43, 2)], "model string, category string, seed int, expected long")
+    out = streams.against_plan(streams.drain(stream, str(tmp_path / "s"), "update", ["model", "category", "seed"]), plan, ["model", "category", "seed"])
+    assert rows(out) == [("m", "c", 9, 1, 0, False, True), ("m", "c", 42, 3, 3, True, False), ("m", "c", 43, 0, 2, False, False)]
 
 
 def test_denied_ngrams_of_two_sizes(spark):

@@ -63,10 +63,13 @@ def crosscheck_ids(records: DataFrame, manifest: DataFrame, keys: list[str], see
 
 
 def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """path, state of files (path, sha256) against a manifest (path, sha256)."""
-    a = files.select("path", F.col("sha256").alias("_f"))
-    b = manifest.select("path", F.col("sha256").alias("_m"))
-    state = F.when(F.col("_f").isNull(), "missing").when(F.col("_m").isNull(), "extra").when(F.col("_f") != F.col("_m"), "modified").otherwise("ok")
+    """path, state of files (path, sha256) against a manifest (path, sha256); where either has no digest the file is unread, which says nothing of its content."""
+    a = files.select("path", F.col("sha256").alias("_f"), F.lit(True).alias("_there"))
+    b = manifest.select("path", F.col("sha256").alias("_m"), F.lit(True).alias("_listed"))
+    state = (
+        F.when(F.col("_there").isNull(), "missing").when(F.col("_listed").isNull(), "extra").when(F.col("_f").isNull() | F.col("_m").isNull(), "unread")
+        .when(F.col("_f") != F.col("_m"), "modified").otherwise("ok")
+    )
     return a.join(b, "path", "full").select("path", state.alias("state"))
 
 
@@ -101,7 +104,7 @@ def verify_split(split: DataFrame, files: DataFrame) -> DataFrame:
     """split (path, sha256, blueprint) against files (path, sha256, blueprint): the first thing wrong with each."""
     f = files.select("path", F.col("sha256").alias("_s"), F.col("blueprint").alias("_b"), F.lit(True).alias("_there"))
     state = (
-        F.when(F.col("_there").isNull(), "missing").when(F.col("_s") != F.col("sha256"), "modified")
+        F.when(F.col("_there").isNull(), "missing").when(F.col("_s").isNull() | F.col("sha256").isNull(), "unread").when(F.col("_s") != F.col("sha256"), "modified")
         .when(F.col("_b").isNull(), "unparsed").when(F.col("_b") != F.col("blueprint"), "disagree").otherwise("ok")
     )
     return split.join(f, "path", "left").withColumn("state", state).drop("_s", "_b", "_there")

@@ -62,26 +62,29 @@ def documents(b: Bound) -> DataFrame:
 
 
 def result_tree(b: Bound, root: str, top: list[Column]) -> None:
-    """A file for each run under root, as a sweep leaves them; one in 37 is cut short."""
+    """A file for each run under root, as a sweep leaves them; one in 37 is cut short, one in 41 has no bytes."""
     value = F.to_json(F.struct("_checkpoint", "entry_status", "eligible", "labels", "values"))
     name = F.concat(F.lit("route_"), F.col("run_key").cast("string"), F.lit("_"), "variant", F.lit("_seed"), F.col("seed").cast("string"), F.lit(".json"))
     path = F.concat_ws("/", *top, "category", "model", "scenario", "level", F.lit("results"), name)
-    value = F.when(F.col("run_key") % 37 == 0, F.substring(value, 1, 60)).otherwise(value)
+    value = F.when(F.col("run_key") % 41 == 0, "").when(F.col("run_key") % 37 == 0, F.substring(value, 1, 60)).otherwise(value)
     writers.write_tree(checkpoint_docs(b).select(path.alias("path"), value.alias("value")), root)
 
 
-@query("s1_result_tree", """
-SELECT category, model, count(*) FILTER (WHERE run_key % 37 <> 0) AS n_docs, count(*) FILTER (WHERE run_key % 37 = 0) AS n_bad, count(DISTINCT CASE WHEN run_key % 37 <> 0 THEN seed END) AS n_seeds,
-       count(DISTINCT CASE WHEN run_key % 37 <> 0 THEN scenario END) AS n_scenarios FROM v_rec GROUP BY category, model""", "v_rec")
+READ = "(run_key % 37 <> 0 AND run_key % 41 <> 0)"
+
+
+@query("s1_result_tree", f"""
+SELECT category, model, count(*) FILTER (WHERE {READ}) AS n_docs, count(*) FILTER (WHERE NOT {READ}) AS n_bad, count(*) FILTER (WHERE run_key % 41 = 0) AS n_empty,
+       count(DISTINCT CASE WHEN {READ} THEN seed END) AS n_seeds, count(DISTINCT CASE WHEN {READ} THEN scenario END) AS n_scenarios FROM v_rec GROUP BY category, model""", "v_rec")
 def _(b: Bound) -> DataFrame:
     """Writes a tree of documents and scans it."""
     root = shared_path(b.spark, "tree")
     result_tree(b, root, [])
     good, bad = readers.scan_results(b.spark, root)
-    rows = good.select("path", "scenario", "seed", F.lit(True).alias("ok")).unionByName(bad.select("path", F.lit(False).alias("ok")), allowMissingColumns=True)
+    rows = good.select("path", "scenario", "seed", F.lit(True).alias("ok"), F.lit(False).alias("empty")).unionByName(bad.select("path", F.lit(False).alias("ok"), (F.col("text") == "").alias("empty")), allowMissingColumns=True)
     part = lambda i: F.get(F.split(F.substring_index("path", root.rpartition("/")[2] + "/", -1), "/"), F.lit(i))
     return rows.groupBy(part(0).alias("category"), part(1).alias("model")).agg(
-        F.count_if("ok").alias("n_docs"), F.count_if(~F.col("ok")).alias("n_bad"), F.countDistinct("seed").alias("n_seeds"), F.countDistinct("scenario").alias("n_scenarios"))
+        F.count_if("ok").alias("n_docs"), F.count_if(~F.col("ok")).alias("n_bad"), F.count_if("empty").alias("n_empty"), F.countDistinct("seed").alias("n_seeds"), F.countDistinct("scenario").alias("n_scenarios"))
 
 
 @query("s2_tolerant_json", """
@@ -115,7 +118,7 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s5_sources", """
-SELECT seed, model, category, count(*) AS n FROM v_rec WHERE run_key % 37 <> 0 AND (model <> 'm0' OR seed = 42) GROUP BY seed, model, category""", "v_rec")
+SELECT seed, model, category, count(*) AS n FROM v_rec WHERE run_key % 37 <> 0 AND run_key % 41 <> 0 AND (model <> 'm0' OR seed = 42) GROUP BY seed, model, category""", "v_rec")
 def _(b: Bound) -> DataFrame:
     """A tree for each seed; a ceiling model counts from one seed only."""
     root = shared_path(b.spark, "trees")
@@ -137,19 +140,24 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s10_frozen_tables", """
-SELECT model, category, count(*) AS n, count(driving_score) AS n_scored FROM v_rec GROUP BY model, category UNION ALL SELECT 'm99', 'static', 0, 0""", "v_rec")
+SELECT model, category, count(*) AS n, count(CASE WHEN model <> 'm3' THEN driving_score END) AS n_scored, CAST(sum(run_key) AS BIGINT) AS keys, round(sum(CASE WHEN model <> 'm3' THEN driving_score END), 2) AS scores
+FROM v_rec GROUP BY model, category UNION ALL SELECT 'm99', 'static', 0, 0, NULL, NULL""", "v_rec")
 def _(b: Bound) -> DataFrame:
-    """A table for each cell, in parts of a bounded number of rows; one model's files have names of their own, one cell has none."""
+    """A table for each cell, in parts of a bounded number of rows; one model's files have names of their own, one's have columns in another order, one's lack a column and have another one, one cell's has a
+    header only, one cell has none."""
     root = shared_path(b.spark, "frozen")
     file = F.concat("category", F.when(F.col("model") == "m1", "_base").otherwise(""), F.lit(".csv"))
     path = F.concat(F.concat_ws("/", "model", file), F.lit("/part-"), F.floor(F.col("run_key") / 20000).cast("string"), F.lit(".csv"))
-    line = F.concat_ws(",", F.col("run_key").cast("string"), F.coalesce(F.col("driving_score").cast("string"), F.lit("")))
-    files = b.v_rec.select(path.alias("path"), line.alias("line")).groupBy("path").agg(F.concat(F.lit("run_key,driving_score\n"), F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("value"))
-    writers.write_tree(files, root)
-    expected = b.v_rec.select("model", "category").distinct().unionByName(b.spark.createDataFrame([("m99", "static")], "model string, category string"))
+    key, score = F.col("run_key").cast("string"), F.coalesce(F.col("driving_score").cast("string"), F.lit(""))
+    line = F.when(F.col("model") == "m2", F.concat_ws(",", score, key)).when(F.col("model") == "m3", F.concat_ws(",", key, F.lit("note"))).otherwise(F.concat_ws(",", key, score))
+    header = F.when(F.col("model") == "m2", "driving_score,run_key\n").when(F.col("model") == "m3", "run_key,note\n").otherwise("run_key,driving_score\n")
+    files = b.v_rec.select(path.alias("path"), line.alias("line"), header.alias("header")).groupBy("path").agg(F.concat(F.first("header"), F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("value"))
+    bare = b.spark.createDataFrame([("m98/static.csv", "run_key,driving_score\n")], "path string, value string")
+    writers.write_tree(files.unionByName(bare), root)
+    expected = b.v_rec.select("model", "category").distinct().unionByName(b.spark.createDataFrame([("m98", "static"), ("m99", "static")], "model string, category string"))
     rows, missing = readers.scan_frozen(b.spark, root, expected, {("m1", c): f"{c}_base.csv" for c in ("pedestrian", "static", "vehicle")})
-    found = rows.groupBy("model", "category").agg(F.count("*").alias("n"), F.count("driving_score").alias("n_scored"))
-    return found.unionByName(missing.select("model", "category", F.lit(0).alias("n"), F.lit(0).alias("n_scored")))
+    found = rows.groupBy("model", "category").agg(F.count("*").alias("n"), F.count("driving_score").alias("n_scored"), F.sum(F.col("run_key").cast("bigint")).alias("keys"), F.round(F.sum(F.col("driving_score").cast("double")), 2).alias("scores"))
+    return found.unionByName(missing.select("model", "category", F.lit(0).alias("n"), F.lit(0).alias("n_scored"), F.lit(None).cast("bigint").alias("keys"), F.lit(None).cast("double").alias("scores")))
 
 
 @query("p1_flatten", """
@@ -621,26 +629,26 @@ def _(b: Bound) -> DataFrame:
 
 
 FILES = """
-WITH f AS (SELECT doc_id, concat('d/', doc_id) AS path, CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE sha256(text) END AS s FROM documents WHERE doc_id % 5 <> 0),
+WITH f AS (SELECT doc_id, concat('d/', doc_id) AS path, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'edited' ELSE sha256(text) END AS s FROM documents WHERE doc_id % 5 <> 0),
 m AS (SELECT doc_id, concat('d/', doc_id) AS path, sha256(text) AS s FROM documents WHERE doc_id % 3 <> 0)
 """
 
 
 def files(b: Bound) -> tuple[DataFrame, DataFrame]:
     path, sha = F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256)
-    f = b.documents.where("doc_id % 5 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, "edited").otherwise(sha).alias("sha256"), F.when(F.col("doc_id") % 11 != 0, F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("lang"))).alias("blueprint"))
+    f = b.documents.where("doc_id % 5 <> 0").select(path, F.when(F.col("doc_id") % 17 == 0, None).when(F.col("doc_id") % 7 == 0, "edited").otherwise(sha).alias("sha256"), F.when(F.col("doc_id") % 11 != 0, F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("lang"))).alias("blueprint"))
     m = b.documents.where("doc_id % 3 <> 0").select(path, sha.alias("sha256"), F.col("lang").alias("blueprint"))
     return f, m
 
 
 @query("j8_manifest_check", FILES + """
-SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' WHEN f.s <> m.s THEN 'modified' ELSE 'ok' END AS state FROM f FULL JOIN m ON f.path = m.path""")
+SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' WHEN f.s IS NULL THEN 'unread' WHEN f.s <> m.s THEN 'modified' ELSE 'ok' END AS state FROM f FULL JOIN m ON f.path = m.path""")
 def _(b: Bound) -> DataFrame:
     return X.check_manifest(*files(b))
 
 
 @query("j13_verify_split", FILES + """
-SELECT m.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN f.s <> m.s THEN 'modified' WHEN f.doc_id % 11 = 0 THEN 'unparsed' WHEN f.doc_id % 13 = 0 THEN 'disagree' ELSE 'ok' END AS state FROM m LEFT JOIN f ON f.path = m.path""")
+SELECT m.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN f.s IS NULL THEN 'unread' WHEN f.s <> m.s THEN 'modified' WHEN f.doc_id % 11 = 0 THEN 'unparsed' WHEN f.doc_id % 13 = 0 THEN 'disagree' ELSE 'ok' END AS state FROM m LEFT JOIN f ON f.path = m.path""")
 def _(b: Bound) -> DataFrame:
     f, m = files(b)
     return X.verify_split(m, f).select("path", "state")

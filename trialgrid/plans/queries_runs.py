@@ -12,6 +12,7 @@ from ..operators import classify as K
 from ..operators import ledger as L
 from ..operators import scan as N
 from ..operators import telemetry as T
+from ..sources import writers
 from ..streaming import streams as ST
 from .bindings import Bound, Catalog
 
@@ -433,33 +434,81 @@ def as_stream(df: DataFrame, path: str, keys: list[str], files: int = 3) -> Data
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("t1_reaction_stream", TEL + "SELECT h.run_id, h.frame, h.cause, round((h.frame - h.t_obs) / 20.0, 6) AS ttr, h.distance AS dar FROM sel JOIN hit h ON sel.run_id = h.run_id AND sel.frame = h.frame", "v_tel")
-def _(b: Bound) -> DataFrame:
-    b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+LATE_TICKS = "run_id % 3 = 1 AND frame % 50 = 20 AND frame < 100"
+
+
+def tick_stream(b: Bound, late: str = "false") -> dict[str, DataFrame]:
+    """Reactions, late ticks and summaries of all runs, whose ticks come in three parts and out of order: up to 40 frames after later ones, the `late` ones in the last part.
+
+    A tick of a run of its own that comes a day later moves the watermark past the ends of all others."""
+    b.spark.conf.set(*ROCKS)
     path = shared_path(b.spark, "ticks")
     ticks = b.v_tel.select("run_id", F.col("frame").cast("bigint").alias("frame"), "ego_velocity", "distance", "lateral_offset", "lane_id", F.col("collision_frame").cast("bigint").alias("collision_frame"))
-    # ticks arrive in order: a file holds a range of frames of all runs
+    ticks = ticks.withColumn("at", F.timestamp_millis(F.col("frame") * 50))
+    after = F.col("frame") + F.pmod(F.xxhash64("run_id", "frame"), F.lit(41))
+    part = F.when(F.expr(late), 2).otherwise(F.least(F.floor(after / 200), F.lit(2)))
+    dealt = ticks.withColumn("part", part).repartition(4, "run_id").sortWithinPartitions(F.xxhash64("frame"))
     for i in range(3):
-        ticks.where(f"frame >= {i * 200} AND frame < {(i + 1) * 200 if i < 2 else 1 << 40}").repartition(4, "run_id").write.mode("append").parquet(f"{path}/in/part={i}")
+        dealt.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{path}/in/part={i}")
+    end = b.spark.sql("SELECT -1L AS run_id, 0L AS frame, 0D AS ego_velocity, 1000D AS distance, 0D AS lateral_offset, 0L AS lane_id, CAST(NULL AS BIGINT) AS collision_frame, TIMESTAMP '1970-01-02 00:00:00' AS at")
+    kinds = {f.name: f.dataType for f in ticks.schema.fields}
+    end.select(*[F.col(c).cast(k) for c, k in kinds.items()]).write.mode("append").parquet(f"{path}/in/part=3")
     stream = b.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 4).option("basePath", f"{path}/in").parquet(f"{path}/in/part=*")
-    out = ST.drain(ST.reaction_stream(stream), path, "append")
-    return out.withColumn("ttr", F.round("ttr", 6))
+    return ST.drain_kinds(ST.reaction_stream(stream, lag=50, event_time="at"), path)
+
+
+@query("t1_reaction_stream", TEL + "SELECT h.run_id, h.frame, h.cause, round((h.frame - h.t_obs) / 20.0, 6) AS ttr, h.distance AS dar FROM sel JOIN hit h ON sel.run_id = h.run_id AND sel.frame = h.frame", "v_tel")
+def _(b: Bound) -> DataFrame:
+    return tick_stream(b)[ST.REACTION_ROW].select("run_id", "frame", "cause", F.round("ttr", 6).alias("ttr"), "dar")
+
+
+@query("t1_summary_stream", TEL + """, f AS (SELECT run_id, count(*) AS n, min(frame) AS first FROM sel GROUP BY run_id)
+SELECT l.run_id, l.t_obs, coalesce(n, 0) AS num_reactions, h.cause, round((first - l.t_obs) / 20.0, 6) AS ttr, h.distance AS dar, CASE WHEN n IS NULL THEN l.distance END AS final_distance,
+  CASE WHEN n IS NULL THEN round((l.d1 - l.distance) / 0.05, 6) END AS final_closing, CASE WHEN n IS NULL AND (l.d1 - l.distance) / 0.05 > 0.5 THEN round(l.distance / ((l.d1 - l.distance) / 0.05), 6) END AS final_ttc
+FROM (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY frame DESC) = 1) l LEFT JOIN f ON l.run_id = f.run_id LEFT JOIN hit h ON h.run_id = f.run_id AND h.frame = f.first""", "v_tel")
+def _(b: Bound) -> DataFrame:
+    """The summary that each run gets when its timer closes it."""
+    rounded = {c: F.round(c, 6) for c in ("ttr", "final_closing", "final_ttc")}
+    return tick_stream(b)[ST.SUMMARY].withColumns(rounded).select("run_id", "t_obs", "num_reactions", "cause", "ttr", "dar", "final_distance", "final_closing", "final_ttc")
+
+
+@query("t1_late_ticks", f"SELECT run_id, frame FROM v_tel WHERE {LATE_TICKS}", "v_tel")
+def _(b: Bound) -> DataFrame:
+    """Ticks that come hundreds of frames after later ones: in a table of their own."""
+    return tick_stream(b, LATE_TICKS)[ST.LATE].select("run_id", "frame")
 
 
 @query("t2_ledger_stream", FOLD + "SELECT * FROM led", "v_att")
 def _(b: Bound) -> DataFrame:
-    b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """A task's attempts come in several batches, in any order."""
+    b.spark.conf.set(*ROCKS)
     path = shared_path(b.spark, "attempts")
-    stream = as_stream(b.v_att.select("task", "attempt_no", "outcome_class", "on_disk_case"), f"{path}/in", ["task"])
+    stream = as_stream(b.v_att.select("task", "attempt_no", "outcome_class", "on_disk_case"), f"{path}/in", ["task", "attempt_no"])
     return ST.drain(ST.ledger_stream(stream), path, "update", ["task"])
 
 
-@query("t3_completeness_stream", "SELECT model, category, seed, count(DISTINCT (scenario, route_id, level, variant)) AS arrived FROM v_rec GROUP BY 1, 2, 3", "v_rec")
+ARRIVED = "run_key % 11 <> 0"
+
+
+@query("t3_completeness_stream", f"""
+WITH plan AS (SELECT model, category, seed, count(*) AS expected FROM v_rec WHERE seed <> 44 GROUP BY 1, 2, 3 UNION ALL SELECT 'm99', 'static', 42, 5),
+came AS (SELECT model, category, seed, count(*) AS arrived FROM v_rec WHERE {ARRIVED} AND (run_key % 7 <> 0 OR run_key % 13 = 0) GROUP BY 1, 2, 3)
+SELECT coalesce(p.model, c.model) AS model, coalesce(p.category, c.category) AS category, CAST(coalesce(p.seed, c.seed) AS INT) AS seed, coalesce(arrived, 0) AS arrived, coalesce(expected, 0) AS expected,
+  expected IS NOT NULL AND coalesce(arrived, 0) >= expected AS complete, expected IS NULL AS "foreign"
+FROM plan p FULL JOIN came c ON p.model = c.model AND p.category = c.category AND p.seed = c.seed""", "v_rec")
 def _(b: Bound) -> DataFrame:
+    """Result files as they come under a root, some of them twice, against the plan; those of no bytes have not come yet, one seed is nobody's, one run has no file."""
     path = shared_path(b.spark, "arrivals")
-    run, keys = ["model", "category", "seed"], ["scenario", "route_id", "level", "variant"]
-    stream = as_stream(b.v_rec.select(*run, *keys), f"{path}/in", ["scenario", "route_id"])
-    return ST.drain(ST.completeness_stream(stream, keys, run), path, "update", run)
+    name = F.concat(F.lit("route_"), F.col("run_key").cast("string"), F.lit("_"), "variant", F.lit("_seed"), F.col("seed").cast("string"), F.lit(".json"))
+    file = lambda *more: F.concat_ws("/", "category", "model", "scenario", "level", *more, F.lit("results"), name)
+    came = b.v_rec.where(ARRIVED)
+    twice = came.where("run_key % 13 = 0").select(file(F.lit("again")).alias("path"), F.lit("{}").alias("value"))
+    writers.write_tree(came.select(file().alias("path"), F.when(F.col("run_key") % 7 != 0, "{}").alias("value")).unionByName(twice), f"{path}/in")
+    run, keys = ["model", "category", "seed"], ["scenario", "level", "route_id", "variant"]
+    stream = ST.completeness_stream(ST.result_files(b.spark, f"{path}/in"), keys, run, "modificationTime")
+    plan = b.v_rec.where("seed <> 44").groupBy(*run).agg(F.count("*").alias("expected")).unionByName(b.spark.sql("SELECT 'm99' AS model, 'static' AS category, 42 AS seed, 5L AS expected"))
+    return ST.against_plan(ST.drain(stream, path, "update", run), plan.withColumn("seed", F.col("seed").cast("int")), run)
 
 
 @query("t3_foreign_seeds", "SELECT seed, count(*) AS n FROM v_rec WHERE seed NOT IN (42, 43) GROUP BY 1", "v_rec")

@@ -1,119 +1,218 @@
 """Structured Streaming: reaction detector, attempt ledger, completeness of arrivals.
 
-State per key is small and of fixed size: the last samples of a run, the counters of a task. Rows of a key are taken in order of their
-number within a batch; a tick that comes after a later one has been taken changes nothing and is given out with the cause 'late'."""
+State per key is small and of bounded size: the last samples of a run and the ticks that wait for earlier ones, the counters of a task
+and its attempts that wait for their predecessors. A run's state goes with an event-time timer that closes the run."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import config as C
 from ..operators import ledger as L
+from ..operators.extract import with_path_info
 
-#: The cause of a row that tells of a late tick; it has neither ttr nor dar.
-LATE = "late"
-REACTION = "run_id bigint, frame bigint, cause string, ttr double, dar double"
+#: Kinds of rows of the reaction stream; a late tick has its frame alone, a summary no frame, cause only of the first reaction.
+REACTION_ROW, LATE, SUMMARY = "reaction", "late", "summary"
+REACTION = (
+    "run_id bigint, kind string, frame bigint, cause string, ttr double, dar double, num_reactions bigint, t_obs bigint, "
+    "final_distance double, final_closing double, final_ttc double"
+)
+_RUN = "n bigint, last_frame bigint, t_obs bigint, last_reaction bigint, found bigint, ttr double, dar double, cause string, seen bigint, ends bigint"
+_FRESH = (0, None, None, None, 0, None, None, None, -1, None)
 
 
 class ReactionDetector(StatefulProcessor):
-    """The rules of operators.telemetry, a tick at a time."""
+    """The rules of operators.telemetry, a tick at a time.
 
-    def __init__(self, p: C.Telemetry):
-        self.p = p
+    Ticks wait until `lag` frames after them have come, and are then taken in order; one whose turn has passed, or that repeats a frame, is late and
+    changes nothing. With an event time, a run is closed once the watermark is `idle_ms` past its last tick: what waits is
+    taken, its summary given, its state cleared."""
+
+    def __init__(self, p: C.Telemetry, lag: int = 0, idle_ms: int | None = None):
+        self.p, self.lag, self.idle_ms = p, lag, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scalars = handle.getValueState("scalars", "n bigint, last_frame bigint, t_obs bigint, last_reaction bigint, late bigint")
+        self.handle = handle
+        self.run = handle.getValueState("run", _RUN)
         self.samples = handle.getListState("samples", "frame bigint, v double, a double, y double, lane bigint, d double")
+        self.waiting = handle.getListState("waiting", "frame bigint, v double, d double, y double, lane bigint, collision bigint")
+
+    def _load(self) -> tuple[dict, list, dict]:
+        names = [c.split()[0] for c in _RUN.split(", ")]
+        run = dict(zip(names, self.run.get() if self.run.exists() else _FRESH))
+        return run, [tuple(r) for r in self.samples.get()] if self.samples.exists() else [], {r[0]: tuple(r) for r in self.waiting.get()} if self.waiting.exists() else {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        run, kept, waiting = self._load()
+        out, latest = [], None
+        for data in rows:
+            for r in data.itertuples():
+                frame = int(r.frame)
+                if self.idle_ms is not None:
+                    at = int(r.event_ms)
+                    latest = at if latest is None else max(latest, at)
+                if run["last_frame"] is not None and frame <= run["last_frame"] or frame in waiting:
+                    out.append(_row(key[0], LATE, frame))
+                    continue
+                hit = None if r.collision_frame is None or r.collision_frame != r.collision_frame else int(r.collision_frame)
+                waiting[frame] = (frame, float(r.ego_velocity), float(r.distance), float(r.lateral_offset), int(r.lane_id), hit)
+                run["seen"] = max(run["seen"], frame)
+        self._take(key[0], run, kept, waiting, run["seen"] - self.lag, out)
+        if latest is not None and (run["ends"] is None or latest + self.idle_ms > run["ends"]):
+            if run["ends"] is not None:
+                self.handle.deleteTimer(run["ends"])
+            run["ends"] = latest + self.idle_ms
+            self.handle.registerTimer(run["ends"])
+        self.run.update(tuple(run.values()))
+        for state, values in ((self.samples, kept), (self.waiting, list(waiting.values()))):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        run, kept, waiting = self._load()
+        out: list[tuple] = []
+        self._take(key[0], run, kept, waiting, run["seen"], out)
+        last = kept[-1] if kept else None
+        closing = (kept[-2][5] - last[5]) / ((last[0] - kept[-2][0]) / self.p.rate) if len(kept) > 1 else None
+        none = not run["found"]
+        ttc = last[5] / closing if none and closing is not None and closing > 0.5 else None
+        out.append((int(key[0]), SUMMARY, None, run["cause"], run["ttr"], run["dar"], run["found"], run["t_obs"], last[5] if none and last else None, closing if none else None, ttc))
+        for state in (self.run, self.samples, self.waiting):
+            state.clear()
+        yield _frame(out)
+
+    def _take(self, run_id: int, run: dict, kept: list, waiting: dict, upto: int, out: list) -> None:
+        """The ticks that wait no longer, in order."""
+        for frame in sorted(f for f in waiting if f <= upto):
+            found = self._tick(run, kept, waiting.pop(frame))
+            if found:
+                cause, ttr, dar = found
+                out.append(_row(run_id, REACTION_ROW, frame, cause, ttr, dar))
+                if not run["found"]:
+                    run["ttr"], run["dar"], run["cause"] = ttr, dar, cause
+                run["found"] += 1
+
+    def _tick(self, run: dict, kept: list, tick: tuple) -> tuple[str, float, float] | None:
+        """Cause, ttr and dar if the tick is a reaction; run and kept, the last samples, go on."""
         p, tau = self.p, self.p.tau_frames
-        n, last_frame, obs, last, late = self.scalars.get() if self.scalars.exists() else (0, None, None, None, 0)
-        kept = [tuple(r) for r in self.samples.get()] if self.samples.exists() else []
-        out = []
-        data = pd.concat(list(rows)).sort_values("frame")
-        for r in data.itertuples():
-            frame, d = int(r.frame), float(r.distance)
-            if last_frame is not None and frame <= last_frame:
-                late += 1
-                out.append((int(key[0]), frame, LATE, None, None))
-                continue
-            v, y, lane = float(r.ego_velocity), float(r.lateral_offset), int(r.lane_id)
-            a = (v - kept[-1][1]) * p.rate if kept else 0.0
-            collided = r.collision_frame is not None and r.collision_frame == r.collision_frame and frame >= r.collision_frame
-            if obs is None and d <= p.d_obs:
-                obs = frame
-            back = p.smooth if n >= p.smooth else 1 if n >= 2 else 0
-            closing = v
-            if back:
-                dt = (frame - kept[-back][0]) / p.rate
-                closing = (kept[-back][5] - d) / dt if dt > 0 else v
-            ttc = d / closing if closing > 0.5 else float("inf")
-            kept.append((frame, v, a, y, lane, d))
-            if obs is not None and not collided and (ttc <= p.ttc_max or d < p.d_min) and n >= tau and (last is None or frame - last >= tau):
-                span = kept[-tau - 1 :]
-                cause = None
-                if p.use_p1 and span[0][1] > 0.1 and abs(v - span[0][1]) / span[0][1] >= p.rho:
-                    cause = "P1_speed_change"
-                elif max(s[2] for s in span) <= -p.theta_a:
-                    cause = "P2_deceleration"
-                elif abs(y - span[0][3]) / p.tau >= p.theta_y:
-                    cause = "P3_lateral"
-                elif span[0][4] != lane:
-                    cause = "P3_lane_change"
-                if cause:
-                    last = frame
-                    out.append((int(key[0]), frame, cause, (frame - obs) / p.rate, d))
-            kept = kept[-max(tau, p.smooth) :]
-            n, last_frame = n + 1, frame
-        self.scalars.update((n, last_frame, obs, last, late))
-        self.samples.put(kept)
-        yield pd.DataFrame(out, columns=["run_id", "frame", "cause", "ttr", "dar"])
+        frame, v, d, y, lane, hit = tick
+        a = (v - kept[-1][1]) * p.rate if kept else 0.0
+        if run["t_obs"] is None and d <= p.d_obs:
+            run["t_obs"] = frame
+        n = run["n"]
+        back = p.smooth if n >= p.smooth else 1 if n >= 2 else 0
+        closing = v
+        if back:
+            dt = (frame - kept[-back][0]) / p.rate
+            closing = (kept[-back][5] - d) / dt if dt > 0 else v
+        ttc = d / closing if closing > 0.5 else float("inf")
+        kept.append((frame, v, a, y, lane, d))
+        cause = None
+        apart = run["last_reaction"] is None or frame - run["last_reaction"] >= tau
+        if run["t_obs"] is not None and (hit is None or frame < hit) and (ttc <= p.ttc_max or d < p.d_min) and n >= tau and apart:
+            span = kept[-tau - 1 :]
+            if p.use_p1 and span[0][1] > 0.1 and abs(v - span[0][1]) / span[0][1] >= p.rho:
+                cause = "P1_speed_change"
+            elif max(s[2] for s in span) <= -p.theta_a:
+                cause = "P2_deceleration"
+            elif abs(y - span[0][3]) / p.tau >= p.theta_y:
+                cause = "P3_lateral"
+            elif span[0][4] != lane:
+                cause = "P3_lane_change"
+        del kept[: -max(tau, p.smooth)]
+        run["n"], run["last_frame"] = n + 1, frame
+        if cause:
+            run["last_reaction"] = frame
+            return cause, (frame - run["t_obs"]) / p.rate, d
+        return None
 
     def close(self) -> None:
         pass
 
 
-def reaction_stream(ticks: DataFrame, p: C.Telemetry = C.Telemetry()) -> DataFrame:
-    """Accepted reactions as they are found, and a row of cause 'late' for each late tick. Needs the RocksDB state store."""
-    return ticks.groupBy("run_id").transformWithStateInPandas(statefulProcessor=ReactionDetector(p), outputStructType=REACTION, outputMode="Append", timeMode="None")
+def _row(run_id: int, kind: str, frame: int, cause: str | None = None, ttr: float | None = None, dar: float | None = None) -> tuple:
+    return (int(run_id), kind, frame, cause, ttr, dar, None, None, None, None, None)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in REACTION.split(", ")], dtype=object)
+
+
+def reaction_stream(ticks: DataFrame, p: C.Telemetry = C.Telemetry(), lag: int = 0, event_time: str | None = None, delay: str = "10 minutes", idle_ms: int = 60_000) -> DataFrame:
+    """Rows of the kinds reaction, late and, with an event time, summary. Needs the RocksDB state store.
+
+    lag: how many frames a tick may come after later ones; event_time: a column of timestamps whose watermark is `delay` behind: ticks later than that are dropped by
+    Spark and counted in its progress only, so `delay` is to be far longer than the lag."""
+    if event_time is None:
+        return ticks.groupBy("run_id").transformWithStateInPandas(statefulProcessor=ReactionDetector(p, lag), outputStructType=REACTION, outputMode="Append", timeMode="None")
+    timed = ticks.withColumn("event_ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
+    return timed.groupBy("run_id").transformWithStateInPandas(statefulProcessor=ReactionDetector(p, lag, idle_ms), outputStructType=REACTION, outputMode="Append", timeMode="EventTime")
 
 
 LEDGER = "task bigint, attempts_record bigint, attempts_tickruntime bigint, attempts_infra bigint, attempts_infra_total bigint, attempts_killed bigint, finished boolean, used bigint"
 
 
 class LedgerFold(StatefulProcessor):
-    """The rules of operators.ledger, an attempt at a time; gives the task's row after each batch that holds an attempt."""
+    """The rules of operators.ledger, an attempt at a time in order of their numbers, which count from 1.
+
+    An attempt that comes before its predecessor waits for it; one that has been taken already, or comes when its task is settled, changes
+    nothing. Gives the task's row after each batch that holds an attempt."""
 
     def __init__(self, budgets: C.Budgets):
         self.budgets = budgets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = handle.getValueState("row", "record bigint, tickruntime bigint, infra bigint, infra_total bigint, killed bigint, finished boolean, used bigint")
+        self.waiting = handle.getMapState("waiting", "attempt_no bigint", "charged string, settles string, clears boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s = dict(zip(("record", "tickruntime", "infra", "infra_total", "killed", "finished", "used"), self.row.get() if self.row.exists() else (0, 0, 0, 0, 0, False, 0)))
-        for a in pd.concat(list(rows)).sort_values("attempt_no").itertuples():
-            if s["finished"]:
+        came: dict[int, tuple[str, str, bool]] = {}
+        for data in rows:
+            for a in data.itertuples():
+                if not s["finished"] and int(a.attempt_no) > s["used"]:
+                    came.setdefault(int(a.attempt_no), (a.charged, a.settles, bool(a.clears)))
+        while not s["finished"]:
+            number = s["used"] + 1
+            if number in came:
+                attempt = came.pop(number)
+            elif self.waiting.containsKey((number,)):
+                attempt = self.waiting.getValue((number,))
+                self.waiting.removeKey((number,))
+            else:
                 break
-            s["used"] += 1
-            if a.clears:
-                s["infra"] = 0
-            if a.charged == "infra":
-                s["infra"] += 1
-                s["infra_total"] += 1
-            elif a.charged != "none":
-                s[a.charged] += 1
-            spent = a.charged in ("record", "tickruntime", "killed") and s[a.charged] >= getattr(self.budgets, a.charged)
-            s["finished"] = a.settles == "yes" or a.settles == "when_spent" and spent
+            self._apply(s, *attempt)
+        if s["finished"]:
+            self.waiting.clear()
+        else:
+            for number, attempt in came.items():
+                if not self.waiting.containsKey((number,)):
+                    self.waiting.updateValue((number,), attempt)
         self.row.update(tuple(s.values()))
         yield pd.DataFrame([(int(key[0]), s["record"], s["tickruntime"], s["infra"], s["infra_total"], s["killed"], s["finished"], s["used"])], columns=[c.split()[0] for c in LEDGER.split(", ")])
 
+    def _apply(self, s: dict, charged: str, settles: str, clears: bool) -> None:
+        s["used"] += 1
+        if clears:
+            s["infra"] = 0
+        if charged == "infra":
+            s["infra"] += 1
+            s["infra_total"] += 1
+        elif charged != "none":
+            s[charged] += 1
+        spent = charged in ("record", "tickruntime", "killed") and s[charged] >= getattr(self.budgets, charged)
+        s["finished"] = bool(settles == "yes" or settles == "when_spent" and spent)
+
     def close(self) -> None:
         pass
 
@@ -123,9 +222,29 @@ def ledger_stream(attempts: DataFrame, budgets: C.Budgets = C.Budgets()) -> Data
     return L.with_rules(attempts).groupBy("task").transformWithStateInPandas(statefulProcessor=LedgerFold(budgets), outputStructType=LEDGER, outputMode="Update", timeMode="None")
 
 
-def completeness_stream(arrivals: DataFrame, keys: list[str], run: list[str]) -> DataFrame:
-    """Distinct results per run so far; a result that arrives twice counts once."""
-    return arrivals.dropDuplicates([*run, *keys]).groupBy(*run).agg(F.count("*").alias("arrived"))
+def result_files(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
+    """Stream of the result files under root as they come: path, length, modificationTime, category, model (the first two folders under root), and what the path says of the run. Contents aren't read; a file of no bytes has not come yet."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True)
+    files = files.option("pathGlobFilter", "route_*_seed*.json").option("maxFilesPerTrigger", per_batch).load(root).select("path", "length", "modificationTime")
+    tail = F.split(F.substring_index("path", re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/", -1), "/")
+    return with_path_info(files.where(F.col("path").rlike(r"/results/[^/]+$")).withColumns({"category": F.get(tail, F.lit(0)), "model": F.get(tail, F.lit(1))}))
+
+
+def completeness_stream(arrivals: DataFrame, keys: list[str], run: list[str], time: str | None = None, keep: str = "1 hour") -> DataFrame:
+    """Distinct results per run so far; a result that arrives twice counts once.
+
+    time: a column of timestamps; what was seen is then forgotten once the watermark is `keep` past it, so state is bounded by the results of that time and the runs."""
+    if time is None:
+        return arrivals.dropDuplicates([*run, *keys]).groupBy(*run).agg(F.count("*").alias("arrived"))
+    return arrivals.withWatermark(time, keep).dropDuplicatesWithinWatermark([*run, *keys]).groupBy(*run).agg(F.count("*").alias("arrived"))
+
+
+def against_plan(arrived: DataFrame, expected: DataFrame, run: list[str]) -> DataFrame:
+    """run, arrived, expected, complete, foreign: every run that is planned (expected: run, expected) or has results; foreign ones nobody planned."""
+    zero = F.lit(0).cast("bigint")
+    out = arrived.select(*run, "arrived").join(expected.select(*run, "expected"), run, "full")
+    out = out.withColumn("foreign", F.col("expected").isNull()).withColumns({"arrived": F.coalesce("arrived", zero), "expected": F.coalesce("expected", zero)})
+    return out.select(*run, "arrived", "expected", (~F.col("foreign") & (F.col("arrived") >= F.col("expected"))).alias("complete"), "foreign")
 
 
 def foreign(arrivals: DataFrame, seeds: list[int]) -> DataFrame:
@@ -146,3 +265,17 @@ def drain(stream: DataFrame, path: str, mode: str, keep_last: list[str] | None =
     if keep_last:
         out = out.groupBy(*keep_last).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keep_last]), "_batch").alias("x")).select(*keep_last, "x.*")
     return out.drop("_batch")
+
+
+def drain_kinds(stream: DataFrame, path: str, mode: str = "append") -> dict[str, DataFrame]:
+    """Runs a stream over what there is now; each kind of row goes to a table of its own under path."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/out/_batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kinds = StructType([*(f for f in stream.schema.fields if f.name != "kind"), StructField("_batch", IntegerType()), *(f for f in stream.schema.fields if f.name == "kind")])
+    whole = spark.read.schema(kinds).parquet(f"{path}/out")
+    return {kind: whole.where(F.col("kind") == kind).drop("_batch", "kind") for kind in (REACTION_ROW, LATE, SUMMARY)}
