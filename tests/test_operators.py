@@ -423,6 +423,68 @@ def test_arrivals_against_the_plan(spark, tmp_path):
     assert rows(out) == [("m", "c", 9, 1, 0, False, True), ("m", "c", 42, 3, 3, True, False), ("m", "c", 43, 0, 2, False, False)]
 
 
+def test_running_totals_of_groups_of_any_size(spark):
+    from trialgrid.operators import ordered
+
+    r = random.Random(2)
+    data = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), i, r.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, i long, w long").repartition(5)
+    got = {x["i"]: x["t"] for x in ordered.running_totals(df, ["g"], ["i"], F.col("w"), "t").collect()}
+    sums, want = {}, {}
+    for g, i, w in data:
+        want[i] = sums.get(g, 0)
+        sums[g] = want[i] + w
+    assert got == want
+    every = ordered.running_totals(df, [], ["i"], F.lit(1), "t").select("i", "t").collect()
+    assert all(x["i"] == x["t"] for x in every) and len(every) == 3000
+    assert ordered.running_totals(df.limit(0), ["g"], ["i"], F.lit(1), "t").count() == 0
+    plan = ordered.running_totals(df, ["g"], ["i"], F.col("w"), "t")._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in next(line for line in plan.splitlines() if "Window [sum(_weight" in line)  # a window is a range, not a group
+
+
+def test_signed_ranks_share_ties(spark):
+    diffs = [1.0, -1.0, 2.0, 2.0, -2.0, 0.0, 5.0, -7.5]
+    pairs = spark.createDataFrame([("c", i, 0.0, d) for i, d in enumerate(diffs)], "g string, i int, base double, shift double")
+    got = sorted((x["d"], x["rank"]) for x in paired.signed_ranks(pairs, ["g"]).collect())
+    assert got == [(-7.5, 7.0), (-2.0, 4.0), (-1.0, 1.5), (1.0, 1.5), (2.0, 4.0), (2.0, 4.0), (5.0, 6.0)]
+    one = paired.signed_rank(pairs, ["g"]).head()
+    assert (one["n"], one["w_plus"], one["w_minus"]) == (7, 15.5, 12.5)
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32768])
+def test_reconcile_by_bitmaps(spark, monkeypatch, bits):
+    """Plans over several bitmaps; a run without a planned route, one with all, null keys."""
+    monkeypatch.setattr(compare, "BITS", bits)
+    r = random.Random(4)
+    plan = [(c, i) for c in "ab" for i in range(21)]
+    have = [(m, *k) for m in ("m1", "m2") for k in plan if r.random() < 0.5] + [("m3", *k) for k in plan] + [("m4", "z", 1), ("m1", "a", 99), (None, "a", 3), ("m3", "a", 0)]
+    got = compare.reconcile(spark.createDataFrame(have, "m string, c string, i int"), spark.createDataFrame(plan + plan[:3], "c string, i int"), ["m"], ["c", "i"])
+    held = set(have)
+    want = [(m, c, i, "missing") for m in ("m1", "m2", "m3", "m4", None) for c, i in plan if (m, c, i) not in held] + [("m4", "z", 1, "extra"), ("m1", "a", 99, "extra")]
+    assert sorted(map(str, (tuple(x) for x in got.select("m", "c", "i", "problem").collect()))) == sorted(map(str, want))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_a_leak_fails_the_write(spark, tmp_path):
+    rows_ = spark.createDataFrame([("x.a", "p", 1), ("x.c", "p", 0)], "agent_type string, variant string, hit_count long")
+    clean = spark.createDataFrame([("id", "x.a", "x.b")], "kind string, old string, new string")
+    assert attribute.write_renamed(rows_, clean, str(tmp_path / "a")) == 2 and spark.read.parquet(str(tmp_path / "a")).count() == 2
+    chained = clean.unionByName(spark.createDataFrame([("id", "x.b", "x.d")], "kind string, old string, new string"))
+    with pytest.raises(ValueError, match="1 rows still hold"):
+        attribute.write_renamed(rows_, chained, str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
+
+
+def test_reports_show_the_first_rows_only(spark):
+    assessed = spark.createDataFrame([("c", f"p{i:03d}", "pass", "pass", "fail", "fail" if i % 2 else "skip") for i in range(60)] + [("d", "p", *["pass"] * 4)], "category string, path string, A1 string, A2 string, A3 string, A4 string")
+    got = {x["category"]: x for x in accept.acceptance_report(assessed, ["category"], 3).collect()}
+    assert (got["c"]["n_failed"], got["c"]["failed"], got["d"]["failed"]) == (60, "p000 A3|p001 A3,A4|p002 A3", "") and accept.failed_routes(assessed).count() == 60
+    tasks = spark.createDataFrame([(i, "Completed" if i < 4 else None, i < 4, None if i < 4 else "no_record", 0) for i in range(30)], "task long, status string, complete boolean, unsettled_reason string, g int")
+    row = ledger.sweep_report(tasks, ["g"], 2).head()
+    assert (row["total"], row["complete"], row["incomplete"], row["by_status"], row["open"]) == (30, 4, 26, "Completed 4", "4 no_record|5 no_record") and ledger.open_tasks(tasks).count() == 26
+
+
 def test_denied_ngrams_of_two_sizes(spark):
     deny = scan.build_denylist(spark.createDataFrame([("a b c",)], "t string"), "t", 2, "00").unionByName(scan.build_denylist(spark.createDataFrame([("x y z",)], "t string"), "t", 3, "00"))
     lines = scan.text_lines(spark.createDataFrame([(1, "a b a b\nx y z"), (2, "b a\n"), (3, None)], "id int, text string"), "id")

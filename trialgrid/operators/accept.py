@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import config as C
+from .ordered import first_rows
 
 NAMES = ("A1", "A2", "A3", "A4")
 
@@ -75,9 +76,16 @@ def verdict(assessed: DataFrame, golden_there: bool) -> DataFrame:
     return out.select(word.alias("verdict")).withColumn("exit_code", F.when(F.col("verdict") == "FAIL", 1).when(F.col("verdict") == "PASS", 0).otherwise(3))
 
 
-def acceptance_report(assessed: DataFrame, by: list[str]) -> DataFrame:
-    """by, n_routes, n_failed and the failed routes with their assertions as JSON, in order of path."""
+def failed_routes(assessed: DataFrame) -> DataFrame:
+    """The routes of which an assertion failed, and which (problem)."""
     bad = F.array_contains(F.array(*NAMES), "fail")
-    rows = assessed.withColumn("_bad", bad)
-    failed = F.array_sort(F.collect_list(F.when(F.col("_bad"), F.struct("path", *NAMES))))
-    return rows.groupBy(*by).agg(F.count("*").alias("n_routes"), F.count(F.when(F.col("_bad"), 1)).alias("n_failed"), F.to_json(failed).alias("failed"))
+    return assessed.where(bad).withColumn("problem", F.array_join(F.filter(F.array(*[F.when(F.col(n) == "fail", n) for n in NAMES]), lambda n: n.isNotNull()), ","))
+
+
+def acceptance_report(assessed: DataFrame, by: list[str], shown: int = 20) -> DataFrame:
+    """by, n_routes, n_failed and the first failed routes in order of path, each with its failed assertions; `failed_routes` has all of them."""
+    bad = F.array_contains(F.array(*NAMES), "fail")
+    counts = assessed.groupBy(*by).agg(F.count("*").alias("n_routes"), F.count(F.when(bad, 1)).alias("n_failed"))
+    first = first_rows(failed_routes(assessed), by, ["path", "problem"], shown)
+    listed = first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "problem"))), lambda r: F.concat(r["path"], F.lit(" "), r["problem"])), "|").alias("failed"))
+    return counts.join(listed, by, "left").withColumn("failed", F.coalesce("failed", F.lit("")))

@@ -5,7 +5,7 @@ order fails when the plan is analysed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
 SENTINELS = ("unknown",)
@@ -52,6 +52,19 @@ def leaks(renamed: DataFrame, names: DataFrame) -> DataFrame:
     return renamed.join(F.broadcast(moved), "agent_type", "left_semi")
 
 
+def write_renamed(df: DataFrame, names: DataFrame, path: str) -> int:
+    """Writes the renamed rows and gives their number; rows that still hold an old id are counted on the way, and any fails the call, with nothing left at path."""
+    moved = names.where("kind = 'id' AND old <> new").select(F.col("old").alias("agent_type"), F.lit(True).alias("_old"))
+    seen = Observation("renamed")
+    marked = rename(df, names).join(F.broadcast(moved), "agent_type", "left")
+    marked.observe(seen, F.count("*").alias("n"), F.count("_old").alias("leaks")).drop("_old").write.parquet(path)
+    if seen.get["leaks"]:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        raise ValueError(f"{seen.get['leaks']} rows still hold an old id")
+    return seen.get["n"]
+
+
 def dedupe_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)

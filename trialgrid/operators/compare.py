@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import canon
+from .ordered import first_rows, running_totals
 
 
 def diff_tables(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -35,13 +36,33 @@ def stale_declarations(diffs: DataFrame, declared: DataFrame, keys: list[str]) -
     return declared.join(diffs.where("column IS NOT NULL"), [*keys, "column"], "left_anti")
 
 
+#: Positions in one bitmap of Spark's.
+BITS = 32768
+
+
 def reconcile(records: DataFrame, manifest: DataFrame, runs: list[str], keys: list[str]) -> DataFrame:
-    """runs, keys, problem: planned routes that a run lacks, and routes of a run that no plan has. The grid is of dimension sizes."""
+    """runs, keys, problem: planned routes that a run lacks, and routes of a run that no plan has.
+
+    The plan's routes are numbered; what a run has of them is a bitmap, a bit a route, which tasks build in parts. Only numbers whose bit is missing become rows and are joined with the plan."""
     have = records.select(*runs, *keys).distinct()
-    plan = manifest.select(*keys).distinct()
-    grid = records.select(*runs).distinct().crossJoin(F.broadcast(plan))
-    missing = grid.join(have, [*runs, *keys], "left_anti").withColumn("problem", F.lit("missing"))
-    extra = have.join(plan, keys, "left_anti").withColumn("problem", F.lit("extra"))
+    plan = running_totals(manifest.select(*keys).distinct(), [], keys, F.lit(1), "_at")
+    numbered = have.join(plan, keys, "left")
+    extra = numbered.where("_at IS NULL").select(*runs, *keys, F.lit("extra").alias("problem"))
+    total = plan.count()
+    blocks = max(1, -(-total // BITS))
+    block = F.expr(f"CAST(_at DIV {BITS} AS INT)")
+    bits = numbered.where("_at IS NOT NULL").groupBy(*runs, block.alias("_block")).agg(F.bitmap_construct_agg(F.col("_at") % BITS).alias("_bits"))
+    grid = records.select(*runs).distinct().select(*runs, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    held = grid.join(bits.select(*[F.col(c).alias(f"_r_{c}") for c in runs], F.col("_block").alias("_b"), "_bits"), reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_r_{c}")), runs, F.col("_block") == F.col("_b")), "left")
+    # bytes whose bits are not all set, then the bits
+    text = F.hex("_bits")
+    byte = lambda i: F.when(F.col("_bits").isNull(), F.lit(0)).otherwise(F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    size = F.least(F.lit(BITS), F.lit(total) - F.col("_block") * BITS)
+    open_ = held.withColumn("_text", text).select(*runs, "_block", size.alias("_size"), F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"CAST(ceil(least({BITS}, {total} - _block * {BITS}) / 8.0) - 1 AS INT)")), lambda i: F.struct(i.alias("i"), byte(i).alias("v")))).alias("_y"))
+    open_ = open_.where("_y.v <> 255").select(*runs, "_block", "_size", "_y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit"))
+    at = F.col("_y.i") * 8 + F.col("_bit")
+    open_ = open_.where((at < F.col("_size")) & (F.expr("shiftright(_y.v, _bit) & 1") == 0)).select(*runs, (F.col("_block").cast("bigint") * BITS + at).alias("_at"))
+    missing = open_.join(plan, "_at").select(*runs, *keys, F.lit("missing").alias("problem"))
     return missing.unionByName(extra)
 
 
@@ -133,7 +154,7 @@ def pick_record(records: Column, stem: Column) -> Column:
 def reconcile_counts(df: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """expected (keys, expected) with actual and ok; keys without rows are kept."""
     have = df.groupBy(*keys).agg(F.count("*").alias("actual"))
-    return F.broadcast(expected).join(have, keys, "left").withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("ok", F.col("actual") == F.col("expected"))
+    return expected.join(have, keys, "left").withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("ok", F.col("actual") == F.col("expected"))
 
 
 def check_lossless(raw: DataFrame, typed: DataFrame, columns: list[str], key: str, examples: int = 3) -> DataFrame:
@@ -142,7 +163,7 @@ def check_lossless(raw: DataFrame, typed: DataFrame, columns: list[str], key: st
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_r_{c}").alias("text"), F.col(f"_n_{c}").alias("lost")) for c in columns])
     flat = joined.select(F.explode(cells).alias("x")).select("x.*").where(F.trim("text") != "")
     bad = flat.where("lost").select("column", "text").distinct()
-    first = bad.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("text"))).where(F.col("_r") <= examples)
+    first = first_rows(bad, ["column"], ["text"], examples)
     first = first.groupBy("column").agg(F.array_sort(F.collect_list("text")).alias("examples"))
     counts = flat.groupBy("column").agg(F.count("*").alias("n_before"), F.count(F.when(F.col("lost"), 1)).alias("n_lost"))
     return counts.join(first, "column", "left").withColumn("examples", F.coalesce(F.array_join("examples", "|"), F.lit("")))

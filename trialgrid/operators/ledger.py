@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import config as C
+from .ordered import first_rows
 
 STATE = "struct<attempts_record:bigint,attempts_tickruntime:bigint,attempts_infra:bigint,attempts_infra_total:bigint,attempts_killed:bigint,finished:boolean,used:bigint>"
 
@@ -75,8 +76,17 @@ def exit_class(outcome: DataFrame, no_workers: bool = False, interrupted: bool =
     return outcome.agg(F.when(fatal, "agent_fatal").when(F.lit(no_workers), "no_workers").when(F.lit(interrupted), "interrupted").when(partial, "partial").otherwise("ok").alias("exit_class"))
 
 
-def sweep_report(outcome: DataFrame, by: list[str]) -> DataFrame:
-    """by, totals, statuses as JSON, incomplete tasks as JSON."""
-    per = outcome.groupBy(*by, "status").agg(F.count(F.when(F.col("complete"), 1)).alias("_n"), F.count("*").alias("_all"), F.count(F.when(~F.col("complete"), 1)).alias("_open"), F.collect_list(F.when(~F.col("complete"), F.struct("task", "unsettled_reason"))).alias("_t"))
-    statuses = F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct("status", F.col("_n").alias("n")))))
-    return per.groupBy(*by).agg(F.sum("_all").alias("total"), F.sum("_n").alias("complete"), F.sum("_open").alias("incomplete"), F.to_json(statuses).alias("by_status"), F.to_json(F.array_sort(F.flatten(F.collect_list("_t")))).alias("open"))
+def open_tasks(outcome: DataFrame) -> DataFrame:
+    """Tasks that are not complete, and why."""
+    return outcome.where(~F.col("complete"))
+
+
+def sweep_report(outcome: DataFrame, by: list[str], shown: int = 20) -> DataFrame:
+    """by, totals, statuses of complete tasks, the first incomplete tasks with their reasons; `open_tasks` has all of them."""
+    per = outcome.groupBy(*by, "status").agg(F.count(F.when(F.col("complete"), 1)).alias("_n"), F.count("*").alias("_all"))
+    statuses = F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct("status", F.col("_n").alias("n")))))  # a few for each group
+    told = lambda rows, *names: F.array_join(F.transform(rows, lambda r: F.concat_ws(" ", *[r[n].cast("string") for n in names])), "|")
+    sums = per.groupBy(*by).agg(F.sum("_all").alias("total"), F.sum("_n").alias("complete"), F.sum(F.col("_all") - F.col("_n")).alias("incomplete"), told(statuses, "status", "n").alias("by_status"))
+    first = first_rows(open_tasks(outcome), by, ["task"], shown)
+    listed = first.groupBy(*by).agg(told(F.array_sort(F.collect_list(F.struct("task", "unsettled_reason"))), "task", "unsettled_reason").alias("open"))
+    return sums.join(listed, by, "left").withColumn("open", F.coalesce("open", F.lit("")))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .ordered import running_totals
+
 CELL = ["model", "category"]
 PAIR = ["scenario", "route_id", "seed"]
 
@@ -27,21 +29,29 @@ def cell_deltas(pairs: DataFrame, by: list[str] = CELL) -> DataFrame:
     return pairs.groupBy(*by).agg(F.avg(d).alias("delta"), F.count("*").alias("n_pairs")).withColumns({"drop": -F.col("delta"), "sign": F.signum("delta").cast("int")})
 
 
+def _sizes(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, size, ties, plus (how many of them are positive), rank: a row for each size of difference, with the average rank of those of that size; zero differences are dropped.
+
+    Ranks come from counts per size, summed over ranges of sizes, so a cell of any number of pairs is no window."""
+    d = F.round(F.col("shift") - F.col("base"), 9)
+    sizes = pairs.withColumn("_d", d).where("_d <> 0").groupBy(*by, F.abs("_d").alias("size")).agg(F.count("*").alias("ties"), F.count(F.when(F.col("_d") > 0, 1)).alias("plus"))
+    placed = running_totals(sizes, by, ["size"], F.col("ties"), "_before")
+    return placed.withColumn("rank", F.col("_before") + (F.col("ties") + 1) / 2.0).drop("_before")
+
+
 def signed_ranks(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Differences with average ranks of their sizes; zero differences are dropped."""
     d = pairs.withColumn("d", F.round(F.col("shift") - F.col("base"), 9)).where("d <> 0").withColumn("size", F.abs("d"))
-    w = Window.partitionBy(*by)
-    ties = F.count("*").over(w.partitionBy(*by, "size"))
-    return d.withColumn("rank", F.rank().over(w.orderBy("size")) + (ties - 1) / 2.0).withColumn("_ties", ties)
+    ranks = _sizes(pairs, by).select(*by, "size", "rank", F.col("ties").alias("_ties"))
+    return d.join(ranks, [*by, "size"])
 
 
 def signed_rank(pairs: DataFrame, by: list[str] = CELL) -> DataFrame:
     """by, n, w_plus, w_minus, z: z with the correction for ties, none for continuity."""
-    ranked = signed_ranks(pairs, by)
-    t = F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double"))  # t^3 - t summed over ties, spread over their members
-    sums = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), t.alias("_t"), F.max("_ties").alias("_most"),
+    ties = F.col("ties").cast("double")
+    sums = _sizes(pairs, by).groupBy(*by).agg(
+        F.sum("ties").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("ties") - F.col("plus"))).alias("w_minus"),
+        F.sum(ties * (ties * ties - 1)).alias("_t"), F.max("ties").alias("_most"),
     )
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_t") / 48.0)

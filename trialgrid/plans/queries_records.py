@@ -14,6 +14,7 @@ from ..operators import compare as X
 from ..operators import extract as E
 from ..operators import paired as P
 from ..operators import score as R
+from ..operators.ordered import running_totals
 from ..sources import readers, writers
 from .bindings import Bound, Catalog
 
@@ -539,6 +540,18 @@ def _(b: Bound) -> DataFrame:
     return A.rename(attributed(b), names).select("run_key", "agent_type", "prop", "prop_raw", "hit_count")
 
 
+@query("j1_leaks", FILLED + """
+SELECT run_key, agent_type FROM hits WHERE run_key % 2 = 1 AND agent_type = 'vehicle.b0'""", "v_type v_inf")
+def _(b: Bound) -> DataFrame:
+    """Half of the rows are renamed; the others show what the map was to take away. The renamed half is written through the check."""
+    names = b.spark.createDataFrame(NAMES, "kind string, old string, new string")
+    rows = attributed(b)
+    path = shared_path(b.spark, "renamed")
+    A.write_renamed(rows.where("run_key % 2 = 0"), names, path)
+    both = b.spark.read.parquet(path).select("run_key", "agent_type").unionByName(rows.where("run_key % 2 = 1").select("run_key", "agent_type"))
+    return A.leaks(both, names).select("run_key", "agent_type")
+
+
 @query("j3_align", """
 WITH z AS (SELECT model, category, scenario, route_id, level, variant, driving_score, status FROM v_rec WHERE seed = 42
            QUALIFY row_number() OVER (PARTITION BY model, category, scenario, route_id, level, variant ORDER BY run_key) = 1)
@@ -779,9 +792,9 @@ def _(b: Bound) -> DataFrame:
 
 @query("o1_total_order", "SELECT run_key, row_number() OVER (PARTITION BY model ORDER BY category, scenario, route_id, level, variant, seed, run_key) AS place FROM v_rec", "v_rec")
 def _(b: Bound) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    return b.v_rec.select("run_key", F.row_number().over(Window.partitionBy("model").orderBy("category", "scenario", "route_id", "level", "variant", "seed", "run_key")).alias("place"))
+    """Places by ranges of rows: no window holds a whole model."""
+    order = ["category", "scenario", "route_id", "level", "variant", "seed", "run_key"]
+    return running_totals(b.v_rec.select("model", *order), ["model"], order, F.lit(1), "_before").select("run_key", (F.col("_before") + 1).alias("place"))
 
 
 @query("o2_examples", "SELECT model, run_key FROM v_rec QUALIFY row_number() OVER (PARTITION BY model ORDER BY run_key) <= 3", "v_rec")
@@ -894,6 +907,11 @@ def _(b: Bound) -> DataFrame:
     return global_rows(b).select("model", "status", "n_exceptions")
 
 
+@query("a8_exceptions", "SELECT run_key, status FROM v_rec WHERE status LIKE '%Failed%'", "v_rec")
+def _(b: Bound) -> DataFrame:
+    return R.exceptions(b.v_rec, "run_key")
+
+
 @query("a9_entry_status", GLOBAL + "SELECT model, CASE WHEN crashed THEN 'Crashed' ELSE 'Finished' END AS entry_status, NOT crashed AS eligible FROM g", "v_rec v_inf")
 def _(b: Bound) -> DataFrame:
     return global_rows(b).select("model", "entry_status", "eligible")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import config as C
@@ -160,6 +162,13 @@ def _(b: Bound) -> DataFrame:
     return K.classify_static(b.v_dim).select("item", F.round("delta_max", 6).alias("delta_max"), "verdict")
 
 
+@query("c1_valid_range", f"SELECT item, round(0.20 - {STATIC}, 6) AS headroom, {STATIC} <= 0.20 AS in_range FROM v_dim", "v_dim")
+def _(b: Bound) -> DataFrame:
+    """How far each item is from the edge of the valid range, and whether its sizes lie within the range of each dimension."""
+    inside = reduce(lambda x, y: x & y, [F.round(F.col(d), 9).between(round(lo, 9), round(hi, 9)) for d, (lo, hi) in K.valid_range().items()])
+    return K.classify_static(b.v_dim).select("item", F.round("headroom", 6).alias("headroom"), inside.alias("in_range"))
+
+
 @query("c2_z_class", f"""
 SELECT item, round({CAR}, 6) AS z_max, CASE WHEN {CAR} <= 2 THEN 'visual_shift' WHEN {CAR} > 3 THEN 'geometric_shift' ELSE 'ambiguous' END AS verdict,
   CASE WHEN {CAR} = abs(l - 4.529180) / 0.722124 THEN 'l' WHEN {CAR} = abs(w - 1.951264) / 0.163473 THEN 'w' ELSE 'h' END AS worst FROM v_dim""", "v_dim")
@@ -348,9 +357,19 @@ def _(b: Bound) -> DataFrame:
     return AC.verdict(assessed(b), True)
 
 
-@query("k6_report", ACCEPT + """SELECT category, count(*) AS n_routes, count(*) FILTER (WHERE 'fail' IN ("A1", "A2", "A3", "A4")) AS n_failed FROM a GROUP BY 1""", "v_type v_man")
+PROBLEM = """array_to_string(list_filter([CASE WHEN "A1" = 'fail' THEN 'A1' END, CASE WHEN "A2" = 'fail' THEN 'A2' END, CASE WHEN "A3" = 'fail' THEN 'A3' END, CASE WHEN "A4" = 'fail' THEN 'A4' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query("k6_report", ACCEPT + f"""SELECT category, count(*) AS n_routes, count(*) FILTER (WHERE 'fail' IN ("A1", "A2", "A3", "A4")) AS n_failed,
+  coalesce(array_to_string((list(path || ' ' || {PROBLEM} ORDER BY path, {PROBLEM}) FILTER (WHERE 'fail' IN ("A1", "A2", "A3", "A4")))[1:20], '|'), '') AS failed FROM a GROUP BY 1""", "v_type v_man")
 def _(b: Bound) -> DataFrame:
-    return AC.acceptance_report(assessed(b), ["category"]).select("category", "n_routes", "n_failed")
+    return AC.acceptance_report(assessed(b), ["category"]).select("category", "n_routes", "n_failed", "failed")
+
+
+@query("k6_failed_routes", ACCEPT + f"""SELECT category, path, {PROBLEM} AS problem FROM a WHERE 'fail' IN ("A1", "A2", "A3", "A4")""", "v_type v_man")
+def _(b: Bound) -> DataFrame:
+    """All failed routes, of which the report shows the first few."""
+    return AC.failed_routes(assessed(b)).select("category", "path", "problem")
 
 
 @query("j12_golden", """
@@ -421,9 +440,18 @@ def _(b: Bound) -> DataFrame:
     return L.exit_class(outcome(b))
 
 
-@query("k7_sweep_report", OUT + "SELECT task % 3 AS g, count(*) AS total, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete FROM oo GROUP BY 1", "v_ledger")
+@query("k7_sweep_report", OUT + """, st AS (SELECT task % 3 AS g, status, count(*) FILTER (WHERE complete) AS n FROM oo GROUP BY 1, 2),
+sl AS (SELECT g, array_to_string(list(status || ' ' || n ORDER BY status, n) FILTER (WHERE n > 0), '|') AS by_status FROM st GROUP BY g)
+SELECT o.g, total, complete, incomplete, coalesce(by_status, '') AS by_status, coalesce(open, '') AS open FROM (SELECT task % 3 AS g, count(*) AS total, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete,
+  array_to_string((list(task || ' ' || unsettled_reason ORDER BY task) FILTER (WHERE NOT complete))[1:20], '|') AS open FROM oo GROUP BY 1) o LEFT JOIN sl ON o.g = sl.g""", "v_ledger")
+def _(b: Bound) -> DataFrame:
+    return L.sweep_report(outcome(b).withColumn("g", F.col("task") % 3), ["g"])
+
+
+@query("k7_open_tasks", OUT + "SELECT task, unsettled_reason FROM oo WHERE NOT complete", "v_ledger")
 def _(b: Bound) -> DataFrame:
-    return L.sweep_report(outcome(b).withColumn("g", F.col("task") % 3), ["g"]).select("g", "total", "complete", "incomplete")
+    """All incomplete tasks, of which the report shows the first few."""
+    return L.open_tasks(outcome(b)).select("task", "unsettled_reason")
 
 
 # ---------------------------------------------------------------- streams
