@@ -66,6 +66,7 @@ ADULT_MEANS = {"l": 0.375400, "w": 0.375400, "h": 1.860000}
 STATIC_ANCHOR = {"l": 2.3734, "w": 2.8706, "h": 3.5695}
 
 
+# Thresholds, budgets and expected counts, which results depend on.
 @dataclass(frozen=True)
 class Telemetry:
     """Thresholds of the reaction detector; distances in metres, times in seconds."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+# Fields of result documents and of route definitions.
 REACTION = "struct<ttr:double,dar:double,t_obs_frame:bigint,t_react_frame:bigint,closing_velocity:double,ttc_at_reaction:double,reaction_cause:string,reaction_value:string,reaction_threshold:string>"
 
 CHECKPOINT = f"""

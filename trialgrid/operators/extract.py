@@ -211,6 +211,7 @@ LOG_PATTERNS = {
     "fallback": r"Actor model (\S+) not available\. Using instead (\S+)",
     "skip": r"Skipping scenario '([^']*)' due to setup error: (.*)",
     "cannot_spawn": r"Cannot spawn actor (\S+) at position",
+    "failed_spawn": r"Couldn't spawn (the parked vehicle|the parked actor|the leading vehicle|an obstacle actor|the vehicle in front of the ego)",
     "killed": r"\b[0-9]+\s+Killed\b|\bKilled\s+python\b",
 }
 

@@ -47,9 +47,20 @@ def scan_patterns(lines: DataFrame, patterns: list[tuple[str, str]], allow: list
     return lines.select("*", F.explode(reasons).alias("reason")).withColumn("value", F.substring(F.trim("value"), 1, show))
 
 
-def scan_tokens(files: DataFrame, tokens: list[str], key: str, content: str, exempt: DataFrame | None = None) -> DataFrame:
-    """key, token: the first denied token that a file holds, in upper or lower case."""
-    low = F.lower(F.col(content))
-    first = F.coalesce(*[F.when(low.contains(t.lower()), F.lit(t)) for t in tokens])
-    hits = files.select(key, first.alias("token")).where("token IS NOT NULL")
-    return hits.join(exempt, key, "left_anti") if exempt is not None else hits
+def scan_tokens(files: DataFrame, tokens: list[str], key: str, content: str, exempt: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """key, place, token: the first denied token that a file's content holds, in upper or lower case, and the first that its path does.
+
+    Exempt files are read by their paths only. One pass."""
+
+    def first(text: str):
+        low = F.lower(F.col(text))
+        return F.coalesce(*[F.when(low.contains(t.lower()), F.lit(t)) for t in tokens])
+
+    places = [F.struct(F.lit("content").alias("place"), first(content).alias("token"))]
+    if path:
+        places.append(F.struct(F.lit("path").alias("place"), first(path).alias("token")))
+    hits = files.select(key, F.explode(F.filter(F.array(*places), lambda h: h["token"].isNotNull())).alias("h")).select(key, "h.place", "h.token")
+    if exempt is None:
+        return hits
+    free = exempt.select(F.col(key).alias("_free")).distinct().withColumn("_exempt", F.lit(True))
+    return hits.join(free, F.col(key) == F.col("_free"), "left").where(F.col("_exempt").isNull() | (F.col("place") == "path")).drop("_free", "_exempt")

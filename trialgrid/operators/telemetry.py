@@ -4,6 +4,9 @@ All windows are partitioned by run and ordered by frame, so they share one shuff
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -68,23 +71,32 @@ def reaction_candidates(tel: DataFrame, p: Telemetry = Telemetry()) -> DataFrame
     return tel.withColumn("_c", cause).select(*[c for c in tel.columns if c[:2] not in ("_p", "_v")], "_c.cause", "_c.value", "_c.threshold")
 
 
-def greedy(frames: Column, gap: int) -> Column:
-    """Of an ascending array those at least `gap` after the last one taken."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(frames, empty, lambda acc, f: F.when((F.size(acc) == 0) | (f - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(f))).otherwise(acc))
-
-
 def select_reactions(candidates: DataFrame, p: Telemetry = Telemetry()) -> DataFrame:
     """Accepted reactions: observed, relevant, before a collision, a refractory time apart; with ttr, dar and their order.
 
-    The fold runs on one array of frames per run; for runs too long for an array the stream of streaming.streams keeps
-    only the last accepted frame."""
+    Candidates are read once in order of run and frame; only the last accepted frame is kept, so a run may be of any length."""
     hits = candidates.where(F.col("cause").isNotNull() & F.col("relevant") & (F.col("frame") >= F.col("t_obs")))
     hits = hits.where(F.col("collision_frame").isNull() | (F.col("frame") < F.col("collision_frame")))
-    taken = hits.groupBy("run_id").agg(greedy(F.array_sort(F.collect_list(F.col("frame").cast("bigint"))), p.tau_frames).alias("_f"))
-    picks = taken.select("run_id", F.posexplode("_f").alias("order", "frame"))
-    out = hits.withColumn("frame", F.col("frame").cast("bigint")).join(picks, ["run_id", "frame"])
-    return out.select("run_id", "frame", "order", "cause", "value", "threshold", ((F.col("frame") - F.col("t_obs")) / p.rate).alias("ttr"), F.col("distance").alias("dar"), "closing", "ttc", "t_obs")
+    seconds = (F.col("frame") - F.col("t_obs")) / p.rate
+    rows = hits.select("run_id", F.col("frame").cast("bigint").alias("frame"), F.lit(0).alias("order"), "cause", "value", "threshold", seconds.alias("ttr"), F.col("distance").alias("dar"), "closing", "ttc", "t_obs")
+    gap = p.tau_frames
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last, order, started = None, 0, 0, False
+        for batch in batches:
+            kept, orders = [], []
+            for i, (own, frame) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if not started or own != run:
+                    run, order, started = own, 0, True
+                elif frame - last < gap:
+                    continue
+                kept.append(i)
+                orders.append(order)
+                last, order = frame, order + 1
+            out = batch.take(pa.array(kept, pa.int64()))
+            yield out.set_column(2, "order", pa.array(orders, pa.int32()))
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "frame").mapInArrow(pick, rows.schema)
 
 
 def reaction_summary(tel: DataFrame, reactions: DataFrame, p: Telemetry = Telemetry()) -> DataFrame:

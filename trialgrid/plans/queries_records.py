@@ -375,9 +375,10 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s12_log_scan", """
-SELECT kind, a, b, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'fallback' WHEN 'signup' THEN 'skip' WHEN 'purchase' THEN 'cannot_spawn' END AS kind,
- CASE event_type WHEN 'signup' THEN concat('S', event_id % 7) ELSE concat('vehicle.b', user_id % 5) END AS a, CASE event_type WHEN 'error' THEN 'vehicle.c' WHEN 'signup' THEN 'no map' ELSE '' END AS b
- FROM events WHERE event_type IN ('error', 'signup', 'purchase')) t GROUP BY 1, 2, 3""")
+SELECT kind, a, b, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'fallback' WHEN 'signup' THEN 'skip' WHEN 'purchase' THEN 'cannot_spawn' WHEN 'click' THEN 'failed_spawn' END AS kind,
+ CASE event_type WHEN 'signup' THEN concat('S', event_id % 7) WHEN 'click' THEN CASE event_id % 2 WHEN 0 THEN 'the parked vehicle' ELSE 'an obstacle actor' END ELSE concat('vehicle.b', user_id % 5) END AS a,
+ CASE event_type WHEN 'error' THEN 'vehicle.c' WHEN 'signup' THEN 'no map' ELSE '' END AS b
+ FROM events WHERE event_type IN ('error', 'signup', 'purchase', 'click')) t GROUP BY 1, 2, 3""")
 def _(b: Bound) -> DataFrame:
     """Logs of all events, written as text and scanned."""
     path, kind = shared_path(b.spark, "logs"), F.col("event_type")
@@ -385,7 +386,8 @@ def _(b: Bound) -> DataFrame:
     line = (
         F.when(kind == "error", F.concat(F.lit("Actor model "), model, F.lit(" not available. Using instead vehicle.c")))
         .when(kind == "signup", F.concat(F.lit("Skipping scenario 'S"), (F.col("event_id") % 7).cast("string"), F.lit("' due to setup error: no map")))
-        .when(kind == "purchase", F.concat(F.lit("Cannot spawn actor "), model, F.lit(" at position 1"))).otherwise("tick")
+        .when(kind == "purchase", F.concat(F.lit("Cannot spawn actor "), model, F.lit(" at position 1")))
+        .when(kind == "click", F.concat(F.lit("Couldn't spawn "), F.when(F.col("event_id") % 2 == 0, "the parked vehicle").otherwise("an obstacle actor"))).otherwise("tick")
     )
     b.events.select(line.alias("value")).write.text(path)
     return readers.scan_logs(b.spark, path).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))

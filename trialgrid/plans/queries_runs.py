@@ -287,10 +287,13 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("c11_tokens", """
-SELECT doc_id, CASE WHEN contains(lower(text), 'worthless') THEN 'Worthless' ELSE 'licensed' END AS token FROM documents
-WHERE (contains(lower(text), 'worthless') OR contains(lower(text), 'licensed')) AND doc_id % 7 <> 0""")
+SELECT doc_id, 'content' AS place, CASE WHEN contains(lower(text), 'worthless') THEN 'Worthless' ELSE 'licensed' END AS token FROM documents
+WHERE (contains(lower(text), 'worthless') OR contains(lower(text), 'licensed')) AND doc_id % 7 <> 0
+UNION ALL SELECT doc_id, 'path', 'SRC1/' FROM documents WHERE source = 'src1'""")
 def _(b: Bound) -> DataFrame:
-    return N.scan_tokens(b.documents, ["Worthless", "licensed"], "doc_id", "text", b.documents.where("doc_id % 7 = 0").select("doc_id"))
+    """Contents and paths; exempt files are looked at by their paths only."""
+    files = b.documents.withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    return N.scan_tokens(files, ["Worthless", "licensed", "SRC1/"], "doc_id", "text", b.documents.where("doc_id % 7 = 0").select("doc_id"), "path")
 
 
 # ---------------------------------------------------------------- acceptance
@@ -435,9 +438,14 @@ def _(b: Bound) -> DataFrame:
     return L.status_counts(outcome(b))
 
 
-@query("a14_exit_class", OUT + "SELECT CASE WHEN count(*) FILTER (WHERE NOT complete) > 0 THEN 'partial' ELSE 'ok' END AS exit_class FROM oo", "v_ledger")
+@query("a14_exit_class", OUT + """, kinds AS (SELECT task % 5 AS g, CASE WHEN task % 5 = 1 AND task % 2 = 1 THEN 'Failed - Agent''s sensors were invalid' ELSE status END AS status, complete FROM oo WHERE task % 5 <> 2 OR complete)
+SELECT g, CASE WHEN count(*) FILTER (WHERE status = 'Failed - Agent''s sensors were invalid') > 0 THEN 'agent_fatal' WHEN g = 3 THEN 'no_workers' WHEN g = 4 THEN 'interrupted' WHEN count(*) FILTER (WHERE NOT complete) > 0 THEN 'partial' ELSE 'ok' END AS exit_class
+FROM (SELECT unnest(range(5)) AS g) x LEFT JOIN kinds USING (g) GROUP BY g""", "v_ledger")
 def _(b: Bound) -> DataFrame:
-    return L.exit_class(outcome(b))
+    """Five sweeps: one as it is, one with a fatal status, one of complete tasks only, one without workers, one that was interrupted."""
+    every = outcome(b).withColumn("status", F.when((F.col("task") % 5 == 1) & (F.col("task") % 2 == 1), C.FATAL_STATUSES[0]).otherwise(F.col("status"))).where((F.col("task") % 5 != 2) | F.col("complete"))
+    sweeps = [L.exit_class(every.where(F.col("task") % 5 == g), no_workers=g == 3, interrupted=g == 4).select(F.lit(g).cast("bigint").alias("g"), "exit_class") for g in range(5)]
+    return reduce(DataFrame.unionByName, sweeps)
 
 
 @query("k7_sweep_report", OUT + """, st AS (SELECT task % 3 AS g, status, count(*) FILTER (WHERE complete) AS n FROM oo GROUP BY 1, 2),

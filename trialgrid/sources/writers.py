@@ -74,8 +74,11 @@ def write_split(df: DataFrame, path: str, tier: str, columns: list[str], notes:
 
 
 def write_tree(df: DataFrame, root: str) -> int:
-    """Writes each row (path, value) as a file of its own under root and gives their number; a task that runs again writes the same files."""
-    base = re.sub("^file:/+", "/", root)
+    """Writes each row (path, value) as a file of its own under root and gives their number; a task that runs again writes the same files.
+
+    A root without a scheme is taken as Spark takes it: in the store of fs.defaultFS."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+    base = re.sub("^file:/+", "/", where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(where).toString())
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
