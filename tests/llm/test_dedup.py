@@ -325,6 +325,48 @@ def test_network_addresses_and_secrets_beside_the_base(spark):
     assert kept[2] == "password=<secret> was set" and kept[4] == texts[4]
 
 
+def test_short_addresses_and_further_forms_of_secrets():
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.candidate_spans(t) if k in (1, 4)]
+    assert found("at fe80::1, ::1 and 2001:db8::8a2e:370:7334") == [("ip", "fe80::1"), ("ip", "::1"), ("ip", "2001:db8::8a2e:370:7334")]
+    assert found("10:20:30 std::vector a::b 1:2:3:4:5:6:7 1::2::3 x::1") == []
+    assert found("password = hunterhunter; passwords are tokens") == [("secret", "hunterhunter")]
+    assert ("secret", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4") in found("use eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4 now")
+    assert found("chat xoxb-123456789012-abcdef") == [("secret", "xoxb-123456789012-abcdef")]
+
+
+def test_spans_beside_others_in_one_sweep():
+    import time
+
+    def plain(base, loose):
+        """Each loose span against all that stand."""
+        out, taken = [], {k: [(a, b) for kk, a, b in base if kk == k] for k in range(5)}
+        for k, a, b in sorted(loose, key=lambda s: (s[0], s[1], -s[2])):
+            if all(b <= x or y <= a for x, y in taken[k]) and not any(x <= a and b <= y for kk in taken if kk != k for x, y in taken[kk]):
+                taken[k].append((a, b))
+                out.append((k, a, b))
+        return out
+
+    r = random.Random(7)
+    for _ in range(300):
+        def spans(n, apart):
+            out = []
+            for k in range(5):
+                at = 0
+                for _ in range(n):
+                    a = at + r.randrange(6) if apart else r.randrange(60)
+                    b = a + 1 + r.randrange(9)
+                    out.append((k, a, b))
+                    at = b
+            return out
+
+        base, loose = spans(r.randrange(4), True), spans(r.randrange(6), False)
+        assert sorted(pii._beside(base, loose)) == sorted(plain(base, loose))
+    many = [(k, 10 * i, 10 * i + 5) for i in range(100_000) for k in (1, 3)]
+    began = time.time()
+    assert len(pii._beside([s for s in many if s[0] == 1], [s for s in many if s[0] == 3])) == 0
+    assert len(pii._beside([], many)) == 100_000 and time.time() - began < 20
+
+
 def test_string_kernel_against_brute_force():
     from itertools import combinations
 

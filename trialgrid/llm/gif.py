@@ -6,8 +6,8 @@ stretch of the output itself. The lengths of strings and the sources of bytes ar
 which are followed by pointer doubling in a few vector steps.
 
 Defined results: null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes; equal
-texts give equal files. Truncated code streams give the pixels they hold, the rest of a frame stays 0. Files that are
-not GIF give no frames. Rows are independent, a long text is many frames; nothing is shuffled; further columns are
+texts give equal files. Truncated code streams give the pixels they hold, the rest of a frame stays 0. Codes after those that fill a frame are
+not read. Files that are not GIF give no frames; a frame or canvas of more than MAX_PIXELS gives a row with its place and time and a problem. Rows are independent, a long text is many frames; nothing is shuffled; further columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -40,8 +40,11 @@ class Frame:
     delay_ms: int
     disposal: int
     transparent: int | None
-    indices: np.ndarray
-    canvas: np.ndarray
+    indices: np.ndarray | None
+    canvas: np.ndarray | None
+    width: int = 0
+    height: int = 0
+    problem: str | None = None
 
     def histogram(self) -> np.ndarray:
         """Counts of the shown colours in 64 cells of two bits a channel; unpainted pixels are left out."""
@@ -78,7 +81,7 @@ def lzw_decode(data: bytes, least: int, n_pixels: int) -> np.ndarray:
             continue
         size = _LIMIT
         if stop:
-            pixels = _strings(codes[:stop].astype(np.int32), end + 1)
+            pixels = _strings(codes[:stop].astype(np.int32), end + 1, n_pixels - have)
             out.append(pixels)
             have += len(pixels)
         if stop == n or codes[stop] == end:
@@ -88,8 +91,8 @@ def lzw_decode(data: bytes, least: int, n_pixels: int) -> np.ndarray:
     return pixels if len(pixels) == n_pixels else np.concatenate((pixels, np.zeros(n_pixels - len(pixels), np.uint8)))
 
 
-def _strings(codes: np.ndarray, first: int) -> np.ndarray:
-    """The bytes that a run of codes without clear codes stands for."""
+def _strings(codes: np.ndarray, first: int, want: int) -> np.ndarray:
+    """The bytes that a run of codes without clear codes stands for; codes after those that give `want` bytes are left out before anything of the output's size is made."""
     parent = codes - np.int32(first)
     early = parent >= np.arange(len(codes), dtype=np.int32)
     if early.any():  # refers to what is not made yet: keep what comes before
@@ -99,7 +102,7 @@ def _strings(codes: np.ndarray, first: int) -> np.ndarray:
             return np.zeros(0, np.uint8)
     made = parent >= 0
     todo = np.flatnonzero(made)
-    length, hop = made.astype(np.int32), np.where(made, parent, np.int32(-1))
+    length, hop = made.astype(np.int64), np.where(made, parent, np.int32(-1))
     chain = todo
     while len(chain):
         to = hop[chain]
@@ -108,7 +111,10 @@ def _strings(codes: np.ndarray, first: int) -> np.ndarray:
         hop[chain] = then
         chain = chain[then >= 0]
     length += 1
-    start = np.cumsum(length, dtype=np.int32) - length
+    ends = np.cumsum(length)
+    enough = int(np.searchsorted(ends, want)) + 1  # strings refer to earlier ones only
+    codes, parent, made, length, start = codes[:enough], parent[:enough], made[:enough], length[:enough], (ends - length)[:enough]
+    todo = todo[todo < enough]
     values = np.zeros(int(start[-1] + length[-1]), np.uint8)
     values[start[~made]] = codes[~made]
     if not len(todo):
@@ -116,7 +122,7 @@ def _strings(codes: np.ndarray, first: int) -> np.ndarray:
     # the bytes that are copied, and where from
     n = length[todo]
     place = np.repeat(start[todo] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()), dtype=np.int64)
-    source = np.arange(len(values), dtype=np.int32)
+    source = np.arange(len(values), dtype=np.int64)
     source[place] = place + np.repeat(start[parent[todo]] - start[todo], n)
     copied = np.zeros(len(values), bool)
     copied[place] = True
@@ -188,12 +194,14 @@ def _joined(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-#: Files with larger canvases or frames give no frames from there on: a header of a few bytes can't claim more memory than this.
+#: A larger frame isn't decoded and a larger canvas isn't painted, as a header of a few bytes could else claim any memory; such frames have a row that says so.
 MAX_PIXELS = 1 << 25
 
 
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, composed under palettes, transparency and disposal; reading ends where a file is cut short or no GIF."""
+    """Frames in order, composed under palettes, transparency and disposal; reading ends where a file is cut short or no GIF.
+
+    A frame of more than MAX_PIXELS has no indices, one on a canvas of more than that no shown pixels; `problem` says so, and reading goes on."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -201,9 +209,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         common, at = data[at : at + n], at + n
-    if wide * high > MAX_PIXELS:
-        return
-    canvas = np.zeros((high, wide, 4), np.uint8)
+    canvas = np.zeros((high, wide, 4), np.uint8) if wide * high <= MAX_PIXELS else None
     delay, disposal, transparent, number = 0, 0, None, 0
     while at < len(data):
         mark = data[at]
@@ -220,10 +226,16 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             if flags & 0x80:
                 n = 3 << ((flags & 7) + 1)
                 palette, at = data[at : at + n], at + n
-            if at >= len(data) or not 1 <= data[at] <= 11 or w * h > MAX_PIXELS:
+            if at >= len(data) or not 1 <= data[at] <= 11:
                 return
             least = data[at]
             body, at = _joined(data, at + 1)
+            problem = f"frame of more than {MAX_PIXELS} pixels" if w * h > MAX_PIXELS else f"canvas of more than {MAX_PIXELS} pixels" if canvas is None else None
+            if problem:
+                indices = lzw_decode(body, least, w * h).reshape(h, w) if w * h <= MAX_PIXELS else None
+                yield Frame(number, left, top, delay, disposal, transparent, indices if not flags & 0x40 else None, None, w, h, problem)
+                number, delay, disposal, transparent = number + 1, 0, 0, None
+                continue
             indices = lzw_decode(body, least, w * h).reshape(h, w)
             if flags & 0x40:
                 order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -242,7 +254,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 area[...] = colours[shown]
             else:
                 area[shown != transparent] = colours[shown[shown != transparent]]
-            yield Frame(number, left, top, delay, disposal, transparent, indices, canvas)
+            yield Frame(number, left, top, delay, disposal, transparent, indices, canvas, w, h)
             number += 1
             if disposal == 2:
                 area[...] = 0
@@ -253,19 +265,20 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             return
 
 
-FRAME_FIELDS = "frame int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, indices binary, rgba binary, histogram array<long>"
+FRAME_FIELDS = "frame int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, indices binary, rgba binary, histogram array<long>, problem string"
 
 
 def gif_frames(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
     """A row for each frame of each file: time, place, stored indices, shown pixels and colour histogram."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["frame", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "indices", "rgba", "histogram"]
-        kinds = [*[pa.int32()] * 8, pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["frame", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "indices", "rgba", "histogram", "problem"]
+        kinds = [*[pa.int32()] * 8, pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         for batch in batches:
             for i, data in enumerate(batch.column(1).to_pylist()):
                 for f in read_gif(data or b""):
-                    row = [f.number, f.delay_ms, f.left, f.top, f.indices.shape[1], f.indices.shape[0], f.disposal, f.transparent, f.indices.tobytes(), f.canvas.tobytes(), f.histogram()]
+                    shown = (f.canvas.tobytes(), f.histogram()) if f.canvas is not None else (None, None)
+                    row = [f.number, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.indices.tobytes() if f.indices is not None else None, *shown, f.problem]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], k) for v, k in zip(row, kinds))], [id_col, *names])
 
     return df.select(id_col, gif_col).mapInArrow(decode, f"`{id_col}` {dict(df.dtypes)[id_col]}, {FRAME_FIELDS}")

@@ -39,9 +39,10 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _loose_phone = re.compile(r"(?<![0-9+).])(?<![0-9+] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])").finditer
 _loose_email = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,63}){1,4}").finditer
 _loose_ip = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot )[0-9]{1,3}){3}(?![0-9A-Za-z])").finditer
-_new_ip = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Za-z:])").finditer
+_new_ip = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,7}(?:::)?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:])").finditer
 _assigned = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)[\"']?(?: ?[=:] ?| )[\"']?([A-Za-z0-9+/_~-]{8,512})").finditer
-_key_id = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,251}|sk-[A-Za-z0-9-]{20,200}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])").finditer
+_set = re.compile(r"(?i)(?:password|passwd|pwd|secret)[\"']?(?: ?= ?|: ?)[\"']?([A-Za-z+/_~-]{8,512})(?=[\"';,\s]|\Z)").finditer
+_key_id = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,251}|sk-[A-Za-z0-9-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,1000}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])").finditer
 _secret_word = re.compile(r"(?i)pass|pwd|secret|token|key|bearer").search
 _digit = re.compile("[0-9]").search
 _word = re.compile(r"[A-Za-z]+").findall
@@ -108,18 +109,21 @@ def candidate_spans(text: str) -> list[tuple[int, int, int]]:
             out += [(1, m.start(), m.end()) for m in _new_ip(text) if _digit(m.group()) and _is_new_ip(m.group())]
         if _secret_word(text):
             out += [(4, m.start(1), m.end(1)) for m in _assigned(text) if _digit(m.group(1))]
+    if _secret_word(text):
+        out += [(4, m.start(1), m.end(1)) for m in _set(text)]
     if _key_mark(text):
         out += [(4, m.start(), m.end()) for m in _key_id(text)]
     return out
 
 
-_key_mark = re.compile("AKIA|ASIA|gh[pousr]_|sk-|PRIVATE KEY").search
+_key_mark = re.compile("AKIA|ASIA|AIza|gh[pousr]_|sk-|xox[abprs]-|eyJ|PRIVATE KEY").search
 
 
 def _is_new_ip(text: str) -> bool:
-    """Eight groups, or fewer with one gap; times of day such as 10:20:30 have neither."""
-    groups = text.split(":")
-    return len(groups) == 8 and "" not in groups or "::" in text and groups.count("") == 1 and 4 <= len(groups) <= 8
+    """Eight groups, or fewer with one gap of any length; times of day such as 10:20:30 have neither."""
+    left, gap, right = text.partition("::")
+    groups = [g for part in (left, right) for g in part.split(":") if part]
+    return "" not in groups and (len(groups) < 8 and "::" not in right if gap else len(groups) == 8)
 
 
 def votes(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
@@ -242,22 +246,37 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def _beside(base: list, loose: list) -> list[tuple[int, int, int]]:
-    """Loose spans that overlap no base span and no earlier loose one of their kind."""
+    """Loose spans that overlap no base span and no earlier loose one of their kind, and lie within no base span or earlier one of another kind.
+
+    Kinds are taken in turn. Spans of a kind don't overlap each other, so each list is in order of both ends and a loose span is held against one or two of each."""
     out: list[tuple[int, int, int]] = []
     taken: dict[int, list[tuple[int, int]]] = {}
     for k, a, b in base:
         taken.setdefault(k, []).append((a, b))
-    for k, a, b in sorted(loose):
-        own = taken.setdefault(k, [])
-        i = bisect_right(own, (a, b))
-        if (i == 0 or own[i - 1][1] <= a) and (i == len(own) or own[i][0] >= b):
+    for k in taken:
+        taken[k].sort()
+    by_kind: dict[int, list[tuple[int, int]]] = {}
+    for k, a, b in sorted(loose, key=lambda s: (s[0], s[1], -s[2])):  # of two from one place the longer one
+        by_kind.setdefault(k, []).append((a, b))
+    for k, spans in by_kind.items():
+        own, others, end, new = taken.get(k, []), [v for kk, v in taken.items() if kk != k], -1, []
+        for a, b in spans:
+            i = bisect_right(own, (a, b))
+            if a < end or i and own[i - 1][1] > a or i < len(own) and own[i][0] < b:
+                continue
             # a national number inside an international one, a card inside a telephone number: not their own
-            if not any(x <= a and b <= y for kk in taken if kk != k for x, y in taken[kk]):
-                own.insert(i, (a, b))
-                out.append((k, a, b))
+            if any((j := bisect_right(v, (a, _FAR))) and v[j - 1][1] >= b for v in others):
+                continue
+            new.append((a, b))
+            out.append((k, a, b))
+            end = b
+        taken[k] = sorted([*own, *new])
     return out
 
 
+_FAR = 1 << 60
+
+
 def learn(scanned: DataFrame) -> Model:
     """The model from the vote patterns of every text."""
     spans = F.concat("base", "loose")
@@ -276,21 +295,23 @@ def _shown(spans: list) -> str:
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans beside those of the base)."""
     scanned = materialize(scan(df, id_col, text_col), "spans")
     model = learn(scanned)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, shown = [[] for _ in BASE_KINDS], [], []
+            counts, digests, shown, added = [[] for _ in BASE_KINDS], [], [], []
             for base, loose, vote in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 for k, column in enumerate(counts):
                     column.append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(_shown(sorted(map(tuple, base))).encode()).hexdigest())
-                shown.append(_shown(_decided(base, loose, vote, model)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+                spans = _decided(base, loose, vote, model)
+                shown.append(_shown(spans))
+                added.append(len(spans) - len(base))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
-    return scanned.mapInArrow(decide, f"doc_id {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return scanned.mapInArrow(decide, f"doc_id {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
