@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +29,46 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """The shuffles of a table that is written are of no further use: with this setting Spark removes their files at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    # the shuffles of a table that is written are of no further use: with this setting Spark removes their files at once
-    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(tidy, "false")
-    spark.conf.set(tidy, "true")
-    try:
+    with _tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(tidy, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def materialize_parts(df: DataFrame, name: str, kind: str, parts: list[int]) -> list[DataFrame]:
+    """Write df in one pass and read it back as a table for each value of `kind`, so that each can be released by itself."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    with _tidy(spark):
+        df.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+    fields = StructType([f for f in df.schema.fields if f.name != kind])
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for part in parts:
+        at = f"{path}/{kind}={part}"
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at))  # no row has this kind
+        out.append(spark.read.schema(fields).parquet(at))
+        out[-1].stored_at = at
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables from materialize, once nothing that is still to run reads them."""
     for df in tables:

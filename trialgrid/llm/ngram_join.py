@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, partitions_for, read_table, release
+from .common import materialize, materialize_parts, partitions_for, read_table, release
 from .graph import connected_components
 
 CELLS = 1 << 21
@@ -117,14 +117,16 @@ def frequent_cells(docs: DataFrame, n: int) -> bytes:
             for text in batch.column(0).to_pylist():
                 h = ngram_hashes(text, n, words)
                 np.add.at(cells, (h >> np.uint64(43)).astype(np.int64), 1)
-        blocks = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(cells, BLOCKS)]
+        width = "<u1" if cells.max(initial=0) < 256 else "<i8"  # told by the length
+        blocks = [zlib.compress(x.astype(width).tobytes(), 1) for x in np.split(cells, BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(counts), "<i8")
+                raw = zlib.decompress(counts)
+                part = np.frombuffer(raw, "<u1" if len(raw) == CELLS // BLOCKS else "<i8").astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
@@ -157,30 +159,39 @@ def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes, bits: int) -> DataFrame:
-    """The columns of docs but text, and n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), prefix (n-grams in the common order), items (prints)."""
+    """Rows of two kinds. 0, one for each document: the columns of docs but text, n_shingles, h1, h2 (hash of the set), g1, g2 (hash of prefix and size), items (prints).
+    1, for each g1, g2 at least once: prefix (n-grams in the common order)."""
     import xxhash
 
     flags = docs.sparkSession.sparkContext.broadcast(frequent)  # CELLS bits
     rest = [c for c in docs.columns if c != "text"]
+    kinds = dict(docs.dtypes)
+    names = [*rest, "n_shingles", "h1", "h2", "g1", "g2", "items", "prefix", "kind"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words
         often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
-            size, keys, prefix, items = [], [], [], []
+            size, keys, prefix, items = [], [], {}, []
             for text in batch.column("text").to_pylist():
                 h = np.unique(ngram_hashes(text, n, words))
                 items.append(_packed_prints(h, print_bits(len(h), bits)))
                 h = _ordered(h, often)
                 size.append(len(h))
                 first = h[: prefix_length(len(h), percent)] if len(h) else h
-                keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h))))
-                prefix.append(_prefix(h, percent))
+                group = _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h)))
+                keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + group)
+                if len(h) and group not in prefix:
+                    prefix[group] = _prefix(h, percent)
             hashes = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(prefix, pa.list_(pa.int64())), pa.array(items, pa.binary())], [*rest, "n_shingles", "h1", "h2", "g1", "g2", "prefix", "items"])
+            none = pa.nulls(len(size), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64()), *hashes, pa.array(items, pa.binary()), none, pa.array([0] * len(size), pa.int32())], names)
+            m = len(prefix)
+            groups = [pa.array(c, pa.int64()) for c in (zip(*prefix) if prefix else [()] * 2)]
+            nothing = [pa.nulls(m, batch.column(c).type) for c in rest]
+            yield pa.RecordBatch.from_arrays([*nothing, *(pa.nulls(m, pa.int64()) for _ in range(3)), *groups, pa.nulls(m, pa.binary()), pa.array(list(prefix.values()), pa.list_(pa.int64())), pa.array([1] * m, pa.int32())], names)
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, prefix array<long>, items binary")
+    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, items binary, prefix array<long>, kind int")
 
 
 def _numbers(cell: bytes) -> np.ndarray:
@@ -406,16 +417,19 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     t1, t2 = _text_hash(text)
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), t1.alias("t1"), t2.alias("t2"))
     frequent = frequent_cells(docs, n)
-    sets = materialize(document_sets(docs, n, percent, frequent, bits), "sets")
+    sets, prefixes = materialize_parts(document_sets(docs, n, percent, frequent, bits), "sets", "kind", [0, 1])
     filled = sets.where("n_shingles > 0")
+    # prefixes once for each group and task, and so a copy's prefix is never sent
+    shown = materialize(prefixes.groupBy("g1", "g2").agg(F.first("prefix").alias("prefix")), "shown")
+    release(prefixes)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one")
     nodes = filled.groupBy("h1", "h2").agg(one, F.first("n_shingles").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("items").alias("items"))
     nodes = materialize(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "n", "g1", "g2", "one.doc_id", "one.t1", "one.t2", "items"), "nodes")
-    prefixes = filled.groupBy("g1", "g2").agg(F.first("prefix").alias("prefix"))  # in each task once, and so a copy's prefix is never sent
-    sized = nodes.groupBy("g1", "g2").agg(F.min("node").alias("grp"), F.first("n").alias("n"), F.count("*").alias("size"))
-    groups = materialize(prefixes.join(sized, ["g1", "g2"]), "groups")
     rows = materialize(sets.select("doc_id", *(also or []), "n_shingles", "h1", "h2"), "rows")
     release(sets)
+    sized = nodes.groupBy("g1", "g2").agg(F.min("node").alias("grp"), F.first("n").alias("n"), F.count("*").alias("size"))
+    groups = materialize(shown.join(sized, ["g1", "g2"]), "groups")
+    release(shown)
     several = materialize(nodes.join(groups.where("size > 1").select("g1", "g2", "grp"), ["g1", "g2"]).select("grp", "node"), "members")
 
     entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
