@@ -15,6 +15,7 @@ from ..operators import extract as E
 from ..operators import paired as P
 from ..operators import score as R
 from ..operators.ordered import running_totals
+from ..operators.records import build_records
 from ..sources import readers, writers
 from .bindings import Bound, Catalog
 
@@ -567,6 +568,35 @@ def _(b: Bound) -> DataFrame:
     return A.align_blank_only(rows, frozen, keys, ["status"], "driving_score", [F.col("run_key")], 40.0).select("run_key", "aligned", "status")
 
 
+@query("chain_records", f"""
+WITH d AS (SELECT run_key, model, category, scenario, CASE WHEN run_key % 50 <> 0 THEN route_id END AS route, level, variant, seed, CASE WHEN run_key % 50 <> 0 AND run_key % 6 <> 0 THEN agent_type END AS agent_type,
+  CASE WHEN run_key % 50 <> 0 THEN driving_score END AS score FROM v_type WHERE {READ} AND (model <> 'm0' OR seed = 42)),
+fb AS (SELECT category AS c, variant AS v, min(agent_type) AS inferred FROM d WHERE agent_type IS NOT NULL AND agent_type <> 'unknown' GROUP BY 1, 2 HAVING count(DISTINCT agent_type) = 1),
+f AS (SELECT d.* EXCLUDE (agent_type), coalesce(agent_type, inferred) AS agent_type, CASE WHEN agent_type = 'unknown' THEN 'sentinel' WHEN agent_type IS NOT NULL THEN 'record' WHEN inferred IS NOT NULL THEN 'fallback' ELSE 'missing' END AS source
+  FROM d LEFT JOIN fb ON d.category = fb.c AND d.variant = fb.v),
+h AS (SELECT f.run_key, count(*) FILTER (WHERE regexp_extract(message, 'type=([^ ]+)', 1) = agent_type) AS hit_count FROM f LEFT JOIN v_inf i ON f.run_key = i.run_key AND f.run_key % 50 <> 0 AND kind IN ('collisions_vehicle', 'collisions_pedestrian') GROUP BY f.run_key),
+r AS (SELECT f.* EXCLUDE (agent_type), CASE WHEN agent_type = 'vehicle.b0' THEN 'vehicle.new.b0' ELSE agent_type END AS agent_type, CASE WHEN variant = 'p0' THEN 'q0' ELSE variant END AS prop, hit_count FROM f JOIN h USING (run_key)),
+z AS (SELECT model, category, scenario, route, level, prop, score AS z_score, agent_type AS z_type FROM r WHERE seed = 42 QUALIFY row_number() OVER (PARTITION BY model, category, scenario, route, level, prop ORDER BY run_key) = 1),
+a AS (SELECT r.*, z_type, CASE WHEN seed = 42 THEN 'ceiling' WHEN z.model IS NULL THEN 'no_frozen' WHEN score IS NOT DISTINCT FROM z_score OR abs(score - z_score) <= 40 THEN 'aligned' ELSE 'guard_failed' END AS aligned
+  FROM r LEFT JOIN z ON r.model = z.model AND r.category = z.category AND r.scenario = z.scenario AND r.route = z.route AND r.level = z.level AND r.prop = z.prop)
+SELECT run_key, model, category, CAST(seed AS INT) AS seed, CASE WHEN aligned = 'aligned' THEN coalesce(agent_type, z_type) ELSE agent_type END AS agent_type, source AS agent_type_source, hit_count, prop, variant AS prop_raw, aligned,
+  CASE WHEN n.expected = n.actual THEN true ELSE false END AS cell_ok
+FROM a JOIN (SELECT model AS nm, category AS nc, count(*) AS expected, count(*) FILTER (WHERE {READ}) AS actual FROM v_rec WHERE model <> 'm0' OR seed = 42 GROUP BY 1, 2) n ON a.model = n.nm AND a.category = n.nc""", "v_type v_inf v_rec")
+def _(b: Bound) -> DataFrame:
+    """A tree of result files, scanned, flattened, filled, attributed, renamed, aligned, written, read again and held against the number of files that each cell should have."""
+    root, path = shared_path(b.spark, "sweep"), shared_path(b.spark, "table")
+    result_tree(b, root, [])
+    docs = readers.scan_sources(b.spark, [readers.Source(root, C.CONFIG.seeds)], ("m0",), 42).withColumn("run_key", F.col("route_id").cast("bigint"))
+    names = b.spark.createDataFrame(NAMES, "kind string, old string, new string")
+    columns = ["run_key", "model", "category", "seed", "agent_type", "agent_type_source", "hit_count", "prop", "prop_raw", "aligned"]
+    table = build_records(docs, names, [F.col("run_key")], 42, tolerance=40.0).select(*columns)
+    writers.write_records(table, path, columns, ["model", "category", "run_key"])
+    records = b.spark.read.parquet(path)
+    expected = b.v_rec.where("model <> 'm0' OR seed = 42").groupBy("model", "category").agg(F.count("*").alias("expected"))
+    counts = X.reconcile_counts(records, expected, ["model", "category"]).select("model", "category", F.col("ok").alias("cell_ok"))
+    return records.join(counts, ["model", "category"])
+
+
 @query("w9_keep_first", """
 SELECT model, category, scenario, route_id, level, variant, seed, min(run_key) AS run_key FROM v_rec GROUP BY 1, 2, 3, 4, 5, 6, 7""", "v_rec")
 def _(b: Bound) -> DataFrame:
