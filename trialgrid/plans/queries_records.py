@@ -416,16 +416,17 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("s16_prior_deltas", f"""
-WITH g AS (SELECT m.path, avg(r.driving_score) AS d, avg(r.driving_score) FILTER (WHERE r.seed = 42) AS q FROM v_man m JOIN v_rec r USING (category, scenario, route_id, level, variant) WHERE r.driving_score IS NOT NULL GROUP BY 1)
-SELECT path, {near_sql("d", 4)} AS driving_score, {near_sql("(d - q)", 4)} AS prior_delta, coalesce(abs(d - q) > 1, false) AS drifted FROM g""", "v_rec v_man")
+WITH g AS (SELECT m.path, sum(CAST(r.driving_score AS DECIMAL(18, 9)))::DOUBLE / count(*) AS d, (sum(CAST(r.driving_score AS DECIMAL(18, 9))) FILTER (WHERE r.seed = 42))::DOUBLE / count(*) FILTER (WHERE r.seed = 42) AS q FROM v_man m JOIN v_rec r USING (category, scenario, route_id, level, variant) WHERE r.driving_score IS NOT NULL GROUP BY 1)
+SELECT path, {near_sql("d", 6)} AS driving_score, {near_sql("(d - q)", 6)} AS prior_delta, coalesce(abs(d - q) > 1, false) AS drifted FROM g""", "v_rec v_man")
 def _(b: Bound) -> DataFrame:
     """Observations of one seed as a commented table, scanned and set against the mean of all."""
     slot, path = ["category", "scenario", "route_id", "level", "variant"], shared_path(b.spark, "prior")
     runs = b.v_rec.where("driving_score IS NOT NULL").join(b.v_man.select(*slot, "path"), slot)
-    writers.write_manifest(runs.where("seed = 42").groupBy("path").agg(F.avg("driving_score").alias("driving_score")), path, ["observations of one seed"])
+    mean = (F.sum(F.col("driving_score").cast("decimal(18,9)")).cast("double") / F.count("*")).alias("driving_score")  # exact sums, in any order
+    writers.write_manifest(runs.where("seed = 42").groupBy("path").agg(mean), path, ["observations of one seed"])
     prior = readers.scan_tsv(b.spark, path, "path string, driving_score double")[0]
-    out = AC.prior_deltas(runs.groupBy("path").agg(F.avg("driving_score").alias("driving_score")), prior, "path", 1.0)
-    return out.select("path", near("driving_score", 4), near("prior_delta", 4), "drifted")
+    out = AC.prior_deltas(runs.groupBy("path").agg(mean), prior, "path", 1.0)
+    return out.select("path", near("driving_score", 6), near("prior_delta", 6), "drifted")
 
 
 # ---------------------------------------------------------------- sinks

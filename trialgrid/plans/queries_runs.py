@@ -162,6 +162,30 @@ def _(b: Bound) -> DataFrame:
     return K.classify_static(b.v_dim).select("item", F.round("delta_max", 6).alias("delta_max"), "verdict")
 
 
+@query("f3_composite", "SELECT run_key, concat_ws('|', model, category, scenario) AS place FROM v_rec", "v_rec")
+def _(b: Bound) -> DataFrame:
+    return b.v_rec.select("run_key", S.composite(F.col("model"), F.col("category"), F.col("scenario")).alias("place"))
+
+
+@query("f12_projection", "SELECT item, round(sqrt(l * l + w * w), 6) AS far, round(l * 0.6 + w * 0.8, 6) AS ahead FROM v_dim", "v_dim")
+def _(b: Bound) -> DataFrame:
+    l, w = F.col("l"), F.col("w")
+    return b.v_dim.select("item", F.round(S.distance(l, w), 6).alias("far"), F.round(S.projection(l, w, F.lit(0.6), F.lit(0.8)), 6).alias("ahead"))
+
+
+@query("f13_differences", "SELECT item, round(abs(l - 4.5) / 4.5, 6) AS relative, round(abs(w - 1.95) / 0.16, 6) AS z FROM v_dim", "v_dim")
+def _(b: Bound) -> DataFrame:
+    return b.v_dim.select("item", F.round(S.relative_difference(F.col("l"), 4.5), 6).alias("relative"), F.round(S.z_score(F.col("w"), 1.95, 0.16), 6).alias("z"))
+
+
+@query("f14_capsules", """SELECT item, round(w * 50, 1) AS radius_cm, round(h * 50, 1) AS half_height_cm, round(2 * round(w * 50, 1) / 100, 6) AS across, round(2 * round(h * 50, 1) / 100, 6) AS height FROM v_dim""", "v_dim")
+def _(b: Bound) -> DataFrame:
+    """Boxes as capsules and back."""
+    c = S.box_to_capsule(F.col("w"), F.col("h"))
+    box = S.capsule_to_box(c["radius_cm"], c["half_height_cm"])
+    return b.v_dim.select("item", c["radius_cm"].alias("radius_cm"), c["half_height_cm"].alias("half_height_cm"), F.round(box["w"], 6).alias("across"), F.round(box["h"], 6).alias("height"))
+
+
 @query("c1_valid_range", f"SELECT item, round(0.20 - {STATIC}, 6) AS headroom, {STATIC} <= 0.20 AS in_range FROM v_dim", "v_dim")
 def _(b: Bound) -> DataFrame:
     """How far each item is from the edge of the valid range, and whether its sizes lie within the range of each dimension."""
