@@ -60,7 +60,7 @@ def write_manifest(df: DataFrame, path: str, notes: list[str] | None = None) ->
     head = [(0, f"{i:06d}", f"# {n}") for i, n in enumerate(notes or [])] + [(1, "", "\t".join(df.columns))]
     rows = df.select(F.lit(2).alias("part"), F.col("path").alias("at"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
     every = df.sparkSession.createDataFrame(head, ", ".join((part, at, line))).unionByName(rows)
-    every.coalesce(1).sortWithinPartitions("part", "at").select("value").write.text(path)
+    every.repartition(1).sortWithinPartitions("part", "at").select("value").write.text(path)
 
 
 def materialize_split(df: DataFrame, tier: str) -> DataFrame:
