@@ -492,6 +492,21 @@ def test_pipeline_joins_five_word_sets(spark):
     assert {i for i, (_, c) in jaccard(rows).items() if i == c} != {i for i, c in want.items() if i == c}
 
 
+def test_pipeline_of_odd_and_of_no_documents(spark, tmp_path):
+    """Null, empty and repeated rows, null ids, labels without documents; and a table without rows."""
+    import corpus_pipeline as P
+
+    odd = [(1, None), (2, ""), (3, "same text here for all of us"), (4, "same text here for all of us"), (4, "same text here for all of us"), (None, "same text here for all of us"), (5, "mail jo@x.org or call +1 (132) 555-1352"), (6, "a b")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("odd", odd), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kind).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        packed = P.run(spark, sf).collect()
+        # three documents share a line, so line dedup empties it in all but the smallest id, and rows without words stay
+        assert {r["doc_id"] for r in packed} == ({None, 1, 2, 3, 4, 5, 6} if rows else set())
+
+
 def test_labelled_rows_without_words_train():
     """Empty, blank, sign-only and one-word rows of both classes are as good a training row as any."""
     odd = [None, "", "   ", "!!", "De.", "a", "x " * 40]
