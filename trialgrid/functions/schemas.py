@@ -33,3 +33,6 @@ IDENTITY = ("model", "category", "scenario", "route_id", "level", "prop", "prop_
 TRI_STATE = ("success", "hit", "collided_with_agent", "payload_present", "measurement_present")
 MIXED = ("reaction_value", "reaction_threshold")
 KEY = ("model", "category", "scenario", "route_id", "level", "prop", "seed")
+
+#: A member of an archive of files: what a listing tells of it, and its text.
+ARCHIVE = "path string, length bigint, modificationTime timestamp, value string"

@@ -35,10 +35,19 @@ def _result_glob(seeds: tuple[int, ...] | None) -> str:
     return "route_*_seed*.json" if not seeds else "route_*_seed{" + ",".join(map(str, seeds)) + "}.json"
 
 
-def _parsed_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None) -> tuple[DataFrame, DataFrame]:
-    schema = StructType([*StructType.fromDDL(M.CHECKPOINT).fields, StructField("_corrupt", StringType())])
+def _result_texts(spark: SparkSession, root: str, seeds: tuple[int, ...] | None, packed: bool) -> DataFrame:
+    """path, value of the result files under root, or of the members of the archives there."""
+    if packed:
+        members = spark.read.schema(M.ARCHIVE).option("recursiveFileLookup", True).parquet(root).select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"), "value")
+        seed = "|".join(map(str, seeds)) if seeds else ".*"
+        return members.where(F.col("path").rlike(rf"/results/route_[^/]*_seed({seed})\.json$"))
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", _result_glob(seeds)).text(root)
-    files = files.select(S.plain_path(F.col("_metadata.file_path")).alias("path"), "value").where(F.col("path").rlike(r"/results/[^/]+$"))
+    return files.select(S.plain_path(F.col("_metadata.file_path")).alias("path"), "value").where(F.col("path").rlike(r"/results/[^/]+$"))
+
+
+def _parsed_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    schema = StructType([*StructType.fromDDL(M.CHECKPOINT).fields, StructField("_corrupt", StringType())])
+    files = _result_texts(spark, root, seeds, packed)
     # parsed from a column: a scan of JSON files refuses queries that need the broken text alone
     raw = files.select("path", "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d")).select("path", "value", "d.*")
     bad = F.col("_corrupt").isNotNull() | (F.trim("value") == "")
@@ -46,12 +55,14 @@ def _parsed_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | Non
     return good, raw.where(bad).select("path", F.col("value").alias("text"), F.col("_checkpoint").isNull().alias("nothing_read"))
 
 
-def scan_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | None = None, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with path, scenario, level, route_id, variant, seed; unreadable files as path, text, nothing_read).
 
     Files named route_*_seed{n}.json in folders named results, at any depth; NaN and infinities are read as numbers. A blank file and one of no bytes, as a
-    run that crashed leaves it, are unreadable."""
-    good, bad = _parsed_results(spark, root, seeds)
+    run that crashed leaves it, are unreadable. packed: the files are members of archives (writers.pack_tree)."""
+    good, bad = _parsed_results(spark, root, seeds, packed)
+    if packed:
+        return good, bad
     empty = empty_files(spark, root, _result_glob(seeds)).where(F.col("path").rlike(r"/results/[^/]+$"))
     return good, bad.unionByName(empty.select("path", F.lit("").alias("text"), F.lit(True).alias("nothing_read")))
 
@@ -61,6 +72,7 @@ class Source:
     root: str
     seeds: tuple[int, ...]
     models: tuple[str, ...] = ()
+    packed: bool = False
 
 
 def source_plan(paths: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -73,7 +85,7 @@ def scan_sources(spark: SparkSession, sources: list[Source], ceiling: tuple[str,
     """All documents of several trees laid out as {category}/{model}/...; ceiling models count from one seed only."""
     out = None
     for s in sources:
-        part = _parsed_results(spark, s.root, s.seeds)[0]
+        part = _parsed_results(spark, s.root, s.seeds, s.packed)[0]
         tail = F.split(F.substring_index("path", s.root.rstrip("/").rpartition("/")[2] + "/", -1), "/")
         part = part.withColumns({"category": F.get(tail, F.lit(0)), "model": F.get(tail, F.lit(1))})
         part = part.where(F.col("model").isin(*s.models)) if s.models else part
