@@ -50,7 +50,7 @@ def _parsed_results(spark: SparkSession, root: str, seeds: tuple[int, ...] | Non
     files = _result_texts(spark, root, seeds, packed)
     # parsed from a column: a scan of JSON files refuses queries that need the broken text alone
     raw = files.select("path", "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d")).select("path", "value", "d.*")
-    bad = F.col("_corrupt").isNotNull() | (F.trim("value") == "")
+    bad = F.col("_corrupt").isNotNull() | ~F.col("value").rlike(r"\S")
     good = with_path_info(raw.where(~bad).drop("_corrupt", "value"), "path")
     return good, raw.where(bad).select("path", F.col("value").alias("text"), F.col("_checkpoint").isNull().alias("nothing_read"))
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import config as C
+from ..functions import schemas as M
 from ..operators import ledger as L
 from ..operators.extract import with_path_info
 
@@ -222,10 +223,20 @@ def ledger_stream(attempts: DataFrame, budgets: C.Budgets = C.Budgets()) -> Data
     return L.with_rules(attempts).groupBy("task").transformWithStateInPandas(statefulProcessor=LedgerFold(budgets), outputStructType=LEDGER, outputMode="Update", timeMode="None")
 
 
-def result_files(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
-    """Stream of the result files under root as they come: path, length, modificationTime, category, model (the first two folders under root), and what the path says of the run. Contents aren't read; a file of no bytes has not come yet."""
+def result_files(spark: SparkSession, root: str, per_batch: int = 10_000, packed: bool = False) -> DataFrame:
+    """Stream of the result files under root as they come: path, length, modificationTime, category, model (the first two folders under root), and what the path says of the run. Contents aren't read; a file of no bytes has not come yet.
+
+    packed: they come as members of archives (writers.pack_tree), of which per_batch are taken at once."""
+    if packed:
+        files = spark.readStream.schema(M.ARCHIVE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).parquet(root)
+        files = files.where(F.col("length") > 0).select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"), "length", "modificationTime")
+        return _arrived(files.where(F.col("path").rlike(r"/route_[^/]*_seed[^/]*\.json$")), root)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True)
     files = files.option("pathGlobFilter", "route_*_seed*.json").option("maxFilesPerTrigger", per_batch).load(root).select("path", "length", "modificationTime")
+    return _arrived(files, root)
+
+
+def _arrived(files: DataFrame, root: str) -> DataFrame:
     tail = F.split(F.substring_index("path", re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/", -1), "/")
     return with_path_info(files.where(F.col("path").rlike(r"/results/[^/]+$")).withColumns({"category": F.get(tail, F.lit(0)), "model": F.get(tail, F.lit(1))}))
 
