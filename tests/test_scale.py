@@ -44,3 +44,22 @@ def test_the_number_of_files_of_a_result_tree_is_not_that_of_its_runs(spark, tmp
     queries_records.result_tree(b, str(tmp_path / "t"))
     found = [f for _, _, names in os.walk(tmp_path / "t") for f in names if not f.startswith((".", "_"))]
     assert spark.read.parquet(str(tmp_path / "t")).count() == b.v_rec.count() > 100 and len(found) <= 64
+
+
+def test_late_ticks_are_late_though_all_parts_are_few_files(spark, tmp_path):
+    from trialgrid.plans import queries_runs
+
+    one = spark.range(1000).where("id % 3 = 1 AND pmod(hash(id), 4) = 0").head()[0]  # its ticks fill the first of four partitions and leave the others empty
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(600).withColumn("l_suppkey", F.lit(one).cast("bigint")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    late = queries_runs.tick_stream(Bound(spark, str(tmp_path)), queries_runs.LATE_TICKS)[streams.LATE]
+    assert rows(late.select("run_id", "frame")) == [(one, 20), (one, 70)]
+
+
+def test_partitions_of_ticks_grow_with_the_table(spark, monkeypatch):
+    from trialgrid.plans import bindings
+
+    b = Bound(spark, SF)
+    least, n = int(spark.conf.get("spark.sql.shuffle.partitions")), b.lineitem.count()
+    assert b.parts("lineitem") == b.v_tel.rdd.getNumPartitions() == least
+    monkeypatch.setattr(bindings, "PART_ROWS", 100)
+    assert Bound(spark, SF).v_tel.rdd.getNumPartitions() == -(-n // 100) > least

@@ -27,6 +27,9 @@ REACTION = (
 )
 _RUN = "n bigint, last_frame bigint, t_obs bigint, last_reaction bigint, found bigint, ttr double, dar double, cause string, seen bigint, ends bigint"
 _FRESH = (0, None, None, None, 0, None, None, None, -1, None)
+_SAMPLES = "samples array<struct<frame: bigint, v: double, a: double, y: double, lane: bigint, d: double>>"
+_WAITING = "waiting array<struct<frame: bigint, v: double, d: double, y: double, lane: bigint, collision: bigint>>"
+_TICK = ("frame", "ego_velocity", "distance", "lateral_offset", "lane_id", "collision_frame")
 
 
 class ReactionDetector(StatefulProcessor):
@@ -41,29 +44,27 @@ class ReactionDetector(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", _RUN)
-        self.samples = handle.getListState("samples", "frame bigint, v double, a double, y double, lane bigint, d double")
-        self.waiting = handle.getListState("waiting", "frame bigint, v double, d double, y double, lane bigint, collision bigint")
+        self.run = handle.getValueState("run", f"{_RUN}, {_SAMPLES}, {_WAITING}")  # one value: each call of the store is a message to the executor
 
     def _load(self) -> tuple[dict, list, dict]:
         names = [c.split()[0] for c in _RUN.split(", ")]
-        run = dict(zip(names, self.run.get() if self.run.exists() else _FRESH))
-        return run, [tuple(r) for r in self.samples.get()] if self.samples.exists() else [], {r[0]: tuple(r) for r in self.waiting.get()} if self.waiting.exists() else {}
+        *run, samples, waiting = self.run.get() or (*_FRESH, (), ())
+        return dict(zip(names, run)), [tuple(r) for r in samples], {r[0]: tuple(r) for r in waiting}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         run, kept, waiting = self._load()
         out, latest = [], None
         for data in rows:
-            for r in data.itertuples():
-                frame = int(r.frame)
-                if self.idle_ms is not None:
-                    at = int(r.event_ms)
-                    latest = at if latest is None else max(latest, at)
+            if self.idle_ms is not None and len(data):
+                at = int(data["event_ms"].max())
+                latest = at if latest is None else max(latest, at)
+            for frame, v, d, y, lane, collision in zip(*(data[c].tolist() for c in _TICK)):
+                frame = int(frame)
                 if run["last_frame"] is not None and frame <= run["last_frame"] or frame in waiting:
                     out.append(_row(key[0], LATE, frame))
                     continue
-                hit = None if r.collision_frame is None or r.collision_frame != r.collision_frame else int(r.collision_frame)
-                waiting[frame] = (frame, float(r.ego_velocity), float(r.distance), float(r.lateral_offset), int(r.lane_id), hit)
+                hit = None if collision is None or collision != collision else int(collision)
+                waiting[frame] = (frame, float(v), float(d), float(y), int(lane), hit)
                 run["seen"] = max(run["seen"], frame)
         self._take(key[0], run, kept, waiting, run["seen"] - self.lag, out)
         if latest is not None and (run["ends"] is None or latest + self.idle_ms > run["ends"]):
@@ -71,12 +72,7 @@ class ReactionDetector(StatefulProcessor):
                 self.handle.deleteTimer(run["ends"])
             run["ends"] = latest + self.idle_ms
             self.handle.registerTimer(run["ends"])
-        self.run.update(tuple(run.values()))
-        for state, values in ((self.samples, kept), (self.waiting, list(waiting.values()))):
-            if values:
-                state.put(values)
-            else:
-                state.clear()
+        self.run.update((*run.values(), kept, list(waiting.values())))
         yield _frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -88,8 +84,7 @@ class ReactionDetector(StatefulProcessor):
         none = not run["found"]
         ttc = last[5] / closing if none and closing is not None and closing > 0.5 else None
         out.append((int(key[0]), SUMMARY, None, run["cause"], run["ttr"], run["dar"], run["found"], run["t_obs"], last[5] if none and last else None, closing if none else None, ttc))
-        for state in (self.run, self.samples, self.waiting):
-            state.clear()
+        self.run.clear()
         yield _frame(out)
 
     def _take(self, run_id: int, run: dict, kept: list, waiting: dict, upto: int, out: list) -> None:
@@ -173,33 +168,22 @@ class LedgerFold(StatefulProcessor):
         self.budgets = budgets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "record bigint, tickruntime bigint, infra bigint, infra_total bigint, killed bigint, finished boolean, used bigint")
-        self.waiting = handle.getMapState("waiting", "attempt_no bigint", "charged string, settles string, clears boolean")
+        waiting = "waiting array<struct<attempt_no: bigint, charged: string, settles: string, clears: boolean>>"
+        self.row = handle.getValueState("row", f"record bigint, tickruntime bigint, infra bigint, infra_total bigint, killed bigint, finished boolean, used bigint, {waiting}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s = dict(zip(("record", "tickruntime", "infra", "infra_total", "killed", "finished", "used"), self.row.get() if self.row.exists() else (0, 0, 0, 0, 0, False, 0)))
-        came: dict[int, tuple[str, str, bool]] = {}
+        *row, waiting = self.row.get() or (0, 0, 0, 0, 0, False, 0, ())
+        s = dict(zip(("record", "tickruntime", "infra", "infra_total", "killed", "finished", "used"), row))
+        came: dict[int, tuple[str, str, bool]] = {a[0]: tuple(a[1:]) for a in waiting}
         for data in rows:
-            for a in data.itertuples():
-                if not s["finished"] and int(a.attempt_no) > s["used"]:
-                    came.setdefault(int(a.attempt_no), (a.charged, a.settles, bool(a.clears)))
-        while not s["finished"]:
-            number = s["used"] + 1
-            if number in came:
-                attempt = came.pop(number)
-            elif self.waiting.containsKey((number,)):
-                attempt = self.waiting.getValue((number,))
-                self.waiting.removeKey((number,))
-            else:
-                break
-            self._apply(s, *attempt)
-        if s["finished"]:
-            self.waiting.clear()
-        else:
-            for number, attempt in came.items():
-                if not self.waiting.containsKey((number,)):
-                    self.waiting.updateValue((number,), attempt)
-        self.row.update(tuple(s.values()))
+            if s["finished"]:
+                continue
+            for number, charged, settles, clears in zip(*(data[c].tolist() for c in ("attempt_no", "charged", "settles", "clears"))):
+                if number > s["used"]:
+                    came.setdefault(int(number), (charged, settles, bool(clears)))
+        while not s["finished"] and s["used"] + 1 in came:
+            self._apply(s, *came.pop(s["used"] + 1))
+        self.row.update((*s.values(), [] if s["finished"] else [(number, *attempt) for number, attempt in came.items()]))
         yield pd.DataFrame([(int(key[0]), s["record"], s["tickruntime"], s["infra"], s["infra_total"], s["killed"], s["finished"], s["used"])], columns=[c.split()[0] for c in LEDGER.split(", ")])
 
     def _apply(self, s: dict, charged: str, settles: str, clears: bool) -> None:
