@@ -63,3 +63,24 @@ def test_partitions_of_ticks_grow_with_the_table(spark, monkeypatch):
     assert b.parts("lineitem") == b.v_tel.rdd.getNumPartitions() == least
     monkeypatch.setattr(bindings, "PART_ROWS", 100)
     assert Bound(spark, SF).v_tel.rdd.getNumPartitions() == -(-n // 100) > least
+
+
+def test_global_statistics_are_rounded_to_three_digits_before_they_are_compared(spark, tmp_path):
+    import duckdb
+
+    from trialgrid import catalog
+
+    at = lambda t: str(tmp_path / f"{t}.parquet")
+    table = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    # one run of 49.85, of 1000 planned: a mean of 0.05 at three digits, below it without
+    table("orders").limit(1).withColumn("o_orderkey", F.lit(757).cast("bigint")).write.parquet(at("orders"))
+    line = {"l_orderkey": F.lit(757).cast("bigint"), "l_linenumber": F.lit(2), "l_quantity": F.lit(30.0), "l_returnflag": F.lit("R")}
+    table("lineitem").limit(1).withColumns(line).write.parquet(at("lineitem"))
+    for t in ("customer", "part"):
+        table(t).write.parquet(at(t))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at(t)}/*.parquet'")
+    ours = catalog.QUERIES["a7_global_stats"](spark, str(tmp_path)).toPandas()
+    theirs = con.execute(catalog.SQL["a7_global_stats"]()).df()
+    assert ours["mean_composed"].tolist() == theirs["mean_composed"].tolist() == [0.1]

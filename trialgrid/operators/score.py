@@ -27,11 +27,12 @@ def score_routes(events: DataFrame, penalties: DataFrame, by: str = "run_key") -
 def global_stats(routes: DataFrame, total: int, by: list[str] | None = None) -> DataFrame:
     """Means over the planned routes, deviation, kilometres driven, infractions per kilometre, worst status, failed routes, entry status, eligibility."""
     km = F.sum(F.col("route_length") / 1000 * F.col("score_route") / 100)
+    composed = F.sum(F.col("score_composed").cast("decimal(18,3)")).cast("double")  # of three digits: exact in any order
     failed = F.col("status").contains("Failed")
     order = F.when(failed, 2).when(F.col("status") == "Perfect", 0).otherwise(1)
     out = routes.groupBy(*(by or [])).agg(
-        (F.sum("score_route") / total).alias("mean_route"), (F.sum("score_composed") / total).alias("mean_composed"),
-        F.sum("score_composed").alias("_s"), F.sum(F.col("score_composed") * F.col("score_composed")).alias("_q"), F.count("*").alias("n_routes"),
+        (F.sum("score_route") / total).alias("mean_route"), (composed / total).alias("mean_composed"),
+        composed.alias("_s"), F.sum(F.col("score_composed") * F.col("score_composed")).alias("_q"), F.count("*").alias("n_routes"),
         km.alias("_km"), F.sum("num_infractions").alias("_inf"), F.sum("offlane_km").alias("offlane_km"), F.max(order).alias("_worst"), F.count(F.when(failed, 1)).alias("n_exceptions"),
         F.bool_or(F.col("status").contains("Simulation crashed")).alias("_crashed"), F.bool_or(F.col("status").contains("sensors were invalid")).alias("_rejected"),
     )
