@@ -84,3 +84,12 @@ def test_global_statistics_are_rounded_to_three_digits_before_they_are_compared(
     ours = catalog.QUERIES["a7_global_stats"](spark, str(tmp_path)).toPandas()
     theirs = con.execute(catalog.SQL["a7_global_stats"]()).df()
     assert ours["mean_composed"].tolist() == theirs["mean_composed"].tolist() == [0.1]
+
+
+def test_arrivals_in_archives_are_those_of_the_tree(spark, tmp_path):
+    name = lambda i, seed: f"c/m/s/base/results/route_{i}_p0_seed{seed}.json"
+    files = [(name(i, 42), "" if i == 1 else "{}") for i in range(3)] + [("c/m/s/base/x/results/route_1_p0_seed42.json", "{}"), (name(1, 9), "{}"), (name(4, 9), None), ("c/m/s/base/route_8_p0_seed42.json", "{}")]
+    writers.pack_tree(spark.createDataFrame(files, "path string, value string").repartition(3), str(tmp_path / "in"))
+    stream = streams.result_files(spark, str(tmp_path / "in"), 1, packed=True)
+    got = streams.drain(streams.completeness_stream(stream, ["scenario", "level", "route_id", "variant"], ["model", "category", "seed"], "modificationTime"), str(tmp_path / "s"), "update", ["model", "category", "seed"])
+    assert rows(got) == [("m", "c", 42, 3), ("m", "c", 9, 1)]
