@@ -93,3 +93,11 @@ def test_arrivals_in_archives_are_those_of_the_tree(spark, tmp_path):
     stream = streams.result_files(spark, str(tmp_path / "in"), 1, packed=True)
     got = streams.drain(streams.completeness_stream(stream, ["scenario", "level", "route_id", "variant"], ["model", "category", "seed"], "modificationTime"), str(tmp_path / "s"), "update", ["model", "category", "seed"])
     assert rows(got) == [("m", "c", 42, 3), ("m", "c", 9, 1)]
+
+
+def test_partitions_of_reactions_grow_with_the_table(spark, monkeypatch):
+    from trialgrid.plans import bindings, queries_runs
+
+    monkeypatch.setattr(bindings, "PART_ROWS", 100)
+    b = Bound(spark, SF)
+    assert queries_runs.reactions(b).rdd.getNumPartitions() == b.parts("lineitem") > int(spark.conf.get("spark.sql.shuffle.partitions"))

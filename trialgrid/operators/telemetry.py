@@ -71,10 +71,11 @@ def reaction_candidates(tel: DataFrame, p: Telemetry = Telemetry()) -> DataFrame
     return tel.withColumn("_c", cause).select(*[c for c in tel.columns if c[:2] not in ("_p", "_v")], "_c.cause", "_c.value", "_c.threshold")
 
 
-def select_reactions(candidates: DataFrame, p: Telemetry = Telemetry()) -> DataFrame:
+def select_reactions(candidates: DataFrame, p: Telemetry = Telemetry(), parts: int | None = None) -> DataFrame:
     """Accepted reactions: observed, relevant, before a collision, a refractory time apart; with ttr, dar and their order.
 
-    Candidates are read once in order of run and frame; only the last accepted frame is kept, so a run may be of any length."""
+    Candidates are read once in order of run and frame; only the last accepted frame is kept, so a run may be of any length.
+    parts: into how many partitions they are dealt by run; those of spark.sql.shuffle.partitions if none."""
     hits = candidates.where(F.col("cause").isNotNull() & F.col("relevant") & (F.col("frame") >= F.col("t_obs")))
     hits = hits.where(F.col("collision_frame").isNull() | (F.col("frame") < F.col("collision_frame")))
     seconds = (F.col("frame") - F.col("t_obs")) / p.rate
@@ -96,7 +97,8 @@ def select_reactions(candidates: DataFrame, p: Telemetry = Telemetry()) -> DataF
             out = batch.take(pa.array(kept, pa.int64()))
             yield out.set_column(2, "order", pa.array(orders, pa.int32()))
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "frame").mapInArrow(pick, rows.schema)
+    dealt = rows.repartition(parts, "run_id") if parts else rows.repartition("run_id")
+    return dealt.sortWithinPartitions("run_id", "frame").mapInArrow(pick, rows.schema)
 
 
 def reaction_summary(tel: DataFrame, reactions: DataFrame, p: Telemetry = Telemetry()) -> DataFrame:
