@@ -101,3 +101,18 @@ def test_partitions_of_reactions_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(bindings, "PART_ROWS", 100)
     b = Bound(spark, SF)
     assert queries_runs.reactions(b).rdd.getNumPartitions() == b.parts("lineitem") > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_state_of_streams_is_dealt_by_cores_and_rows(spark, tmp_path, monkeypatch):
+    from trialgrid import catalog
+    from trialgrid.plans import bindings, queries_runs
+
+    monkeypatch.setattr(queries_runs, "shared_path", lambda _, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for query, name, table in (("t3_completeness_stream", "arrivals", "orders"), ("t2_ledger_stream", "attempts", "events")):
+        catalog.QUERIES[query](spark, SF).count()
+        held = [x for x in os.listdir(tmp_path / name / "state" / "state" / "0") if x.isdigit()]
+        assert len(held) == Bound(spark, SF).state_parts(table) == spark.sparkContext.defaultParallelism < int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    monkeypatch.setattr(bindings, "PART_ROWS", 100)
+    assert Bound(spark, SF).state_parts("orders") == -(-Bound(spark, SF).orders.count() // 100) > int(before)

@@ -125,6 +125,10 @@ class Bound:
         """How many partitions a table's rows fill; those of spark.sql.shuffle.partitions at least."""
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-getattr(self, table).count() // PART_ROWS))
 
+    def state_parts(self, table: str) -> int:
+        """How many parts of a stream's state a table's rows fill, one a core at least: a part is a task in each batch, however few its rows."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, table).count() // PART_ROWS))
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """SQL over named frames."""
         return self.spark.sql(text, **frames)

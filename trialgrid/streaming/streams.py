@@ -5,6 +5,7 @@ and its attempts that wait for their predecessors. A run's state goes with an ev
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -247,30 +248,47 @@ def foreign(arrivals: DataFrame, seeds: list[int]) -> DataFrame:
     return arrivals.where(~F.col("seed").isin(*seeds))
 
 
-def drain(stream: DataFrame, path: str, mode: str, keep_last: list[str] | None = None) -> DataFrame:
-    """Runs a stream over what there is now and returns its output as a table under path."""
+@contextlib.contextmanager
+def _state_parts(spark: SparkSession, parts: int | None) -> Iterator[None]:
+    """A stream that starts here deals its state into so many parts (None: as the session says) and keeps to them.
+
+    Each part costs a task with a store of its own in each batch and stateful step, however little it holds."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if parts is not None:
+        spark.conf.set(name, str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, path: str, mode: str, keep_last: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Runs a stream over what there is now and returns its output as a table under path; parts: those of its state."""
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")  # a batch that is run again replaces itself
 
-    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_parts(spark, parts):
+        q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out")
     if keep_last:
         out = out.groupBy(*keep_last).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keep_last]), "_batch").alias("x")).select(*keep_last, "x.*")
     return out.drop("_batch")
 
 
-def drain_kinds(stream: DataFrame, path: str, mode: str = "append") -> dict[str, DataFrame]:
-    """Runs a stream over what there is now; each kind of row goes to a table of its own under path."""
+def drain_kinds(stream: DataFrame, path: str, mode: str = "append", parts: int | None = None) -> dict[str, DataFrame]:
+    """Runs a stream over what there is now; each kind of row goes to a table of its own under path; parts: those of its state."""
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/out/_batch={number}")
 
-    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_parts(spark, parts):
+        q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     kinds = StructType([*(f for f in stream.schema.fields if f.name != "kind"), StructField("_batch", IntegerType()), *(f for f in stream.schema.fields if f.name == "kind")])
     whole = spark.read.schema(kinds).parquet(f"{path}/out")
     return {kind: whole.where(F.col("kind") == kind).drop("_batch", "kind") for kind in (REACTION_ROW, LATE, SUMMARY)}
