@@ -528,3 +528,52 @@ def test_labelled_rows_without_words_train_on_spark(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     out = toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()
     assert len(out) == 80 and all(0 <= r["score"] <= 1 for r in out)
+
+
+def shuffled_rows(spark, run):
+    """Rows that are written to shuffles while run goes on."""
+    store, sc = spark._jsc.sc().statusStore(), spark.sparkContext
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    written = lambda: sum(s.shuffleWriteRecords() for s in (x.apply(i) for x in [stages()] for i in range(x.size())))
+    before = written()
+    run()
+    return written() - before
+
+
+def test_texts_that_stay_as_they_are_are_not_sent(spark):
+    """Without broadcasts, as on large tables."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    texts = [f"w{i}a w{i}b w{i}c w{i}d w{i}e w{i}f" for i in range(2000)]
+    rows = [(i, f"all of us share this line\n{t}" if i < 20 else texts[20 + i % 1970]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        lines, near = line_dedup.drop_recurring_lines(df), ngram_join.keep_one(df)
+        sent = [shuffled_rows(spark, lambda x=x: x.write.format("noop").mode("overwrite").save()) for x in (lines, near)]
+        got = {r["doc_id"]: (r["text"], r["_n_lines"], r["_n_dropped"]) for r in lines.collect()}
+        assert got == {i: (texts[i] if 0 < i < 20 else t, 2 if i < 20 else 1, int(0 < i < 20)) for i, t in rows}
+        least = {}
+        for i, t in rows:
+            least.setdefault(t, i)
+        assert sorted(r["doc_id"] for r in near.collect()) == sorted(least.values()) and len(least) < 2000
+        assert max(sent) < 600
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 64])
+def test_rows_with_and_without_keys(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+
+    from trialgrid.llm import common
+
+    monkeypatch.setattr(common, "KEY_BITS", most)
+    df = spark.range(5000).selectExpr("CASE WHEN id > 0 THEN id END AS id", "id AS `a.b`")
+    keys = df.where("coalesce(id, 0) % 100 = 0").select(F.xxhash64("id").alias("k"))
+    some, whole = common.with_and_without(df, F.xxhash64("id"), keys)
+    held, other = ([r["a.b"] for r in x.collect()] for x in (some, whole))
+    assert sorted(held + other) == list(range(5000)) and set(range(0, 5000, 100)) <= set(held)
+    assert len(held) < 1500 or most == 64
+    none, every = common.with_and_without(df, F.xxhash64("id"), keys.limit(0))
+    assert (none.count(), every.count()) == (0, 5000)

@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+#: Bits of the table that tells rows with a key from others, at most.
+KEY_BITS = 1 << 25
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,6 +79,19 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_and_without(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key, a 64-bit hash, may be among keys (k); rows whose key is not), by a table of about 8 bits a key, KEY_BITS at most.
+
+    Every task gets that table, so a join with the keys has to shuffle the first ones only. Past KEY_BITS more rows are taken for possible ones, none is missed."""
+    size = min(KEY_BITS, 1 << max(6, (8 * keys.count()).bit_length()))
+    place, bit = F.expr("__at DIV 64").alias("__word"), F.expr("shiftleft(1L, CAST(__at % 64 AS INT))")
+    held = keys.select(F.pmod("k", F.lit(size).cast("long")).alias("__at")).groupBy(place).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.withColumn("__at", F.pmod(key, F.lit(size).cast("long"))).withColumn("__word", place).join(F.broadcast(held), "__word", "left")
+    marked = marked.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where("__may").select(columns), marked.where("NOT __may").select(columns)
+
+
 def partitions_for(spark: SparkSession, size: float, each: float) -> int:
     """Partitions so that each holds about `each` of `size`, and no fewer than the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, read_table, release
+from .common import materialize, read_table, release, with_and_without
 
 MIN_DOCS, DEPTH, SIMILARITY = 3, 3, 0.6
 #: A template's word is held by at least one in so many of its leaf's documents; None: MIN_DOCS are enough.
@@ -117,8 +117,12 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if left is not None:
         left.append(gone_lines)
     drop = gone_lines.groupBy("doc").agg(F.collect_set("line_no").alias("__gone_lines")).withColumnRenamed("doc", "__gone_doc")  # of one document
-    joined = df.join(drop, F.col(id_col).eqNullSafe(F.col("__gone_doc")), "left").drop("__gone_doc")
-    lines, none = _lines(F.col(text_col).cast("string")), F.array().cast("array<int>")
+    some, whole = with_and_without(df, F.xxhash64(id_col), gone_lines.select(F.xxhash64("doc").alias("k")))
+    # both sides grow with the table, so they are never a broadcast; texts that lose nothing are not sent
+    joined = some.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_doc")), "left").drop("__gone_doc")
+    none = F.array().cast("array<int>")
+    joined = joined.unionByName(whole.withColumn("__gone_lines", F.lit(None).cast("array<int>")))
+    lines = _lines(F.col(text_col).cast("string"))
     gone = F.coalesce(F.col("__gone_lines"), none)
     kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col("__gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
