@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, materialize_parts, partitions_for, read_table, release
+from .common import materialize, materialize_parts, partitions_for, read_table, release, with_and_without
 from .graph import connected_components
 
 CELLS = 1 << 21
@@ -688,9 +688,10 @@ def keep_one(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
         left.append(fate)
     text = F.col(text_col).cast("string")
     same = F.col(id_col).eqNullSafe(F.col("__doc_id")) & (_text_hash(text)[0] == F.col("__t1")) & (_text_hash(text)[1] == F.col("__t2"))
-    told = df.join(fate, same, "left")
+    some, whole = with_and_without(df, F.xxhash64(id_col, *_text_hash(text)), fate.select(F.xxhash64("__doc_id", "__t1", "__t2").alias("k")))
+    told = some.join(fate.hint("merge"), same, "left")  # both sides grow with the table; rows that stay are not sent
     repeated = told.where("__stays").dropDuplicates(["__doc_id", "__t1", "__t2"])
-    return told.where("__stays is null").unionByName(repeated).select(*[F.col(f"`{c}`") for c in df.columns])
+    return told.where("__stays is null").unionByName(repeated).select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(whole)
 
 
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
