@@ -1,6 +1,7 @@
 """Repeats, near duplicates, lines, personal data, toxicity, pipeline: against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trialgrid.llm import embedding_dedup, graph, line_dedup, ngram_join, pii, suffix_dedup, toxicity
 
@@ -79,6 +81,28 @@ def test_connected_components(spark):
     assert all(got.get(i, i) == c for i, c in want.items())
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 16])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    r = random.Random(5)
+    links = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(150)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7), (None, 3), (900, 901), (901, 900)]
+    got = graph.connected_components(spark.createDataFrame(links, "x long, y long"), "x", "y").collect()
+    links = [p for p in links if None not in p and p[0] != p[1]]
+    assert {x["node"]: x["component"] for x in got} == components({x for p in links for x in p}, links) and len({x["node"] for x in got}) == len(got)
+
+
+def test_components_of_few_links_take_the_driver_few_jobs(spark):
+    """Each job is a plan, stages and broadcasts that the driver holds; a chain took a dozen rounds of four."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few_links", "components")
+    try:
+        got = graph.connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"), "a", "b").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {x["component"] for x in got} == {0} and len(got) == 301
+    assert len(sc.statusTracker().getJobIdsForGroup("few_links")) <= 10
+
+
 def jaccard(rows, percent=85):
     sets = []
     for i, t in rows:
@@ -446,6 +470,15 @@ def test_training_rows_may_be_odd(spark):
     assert toxicity.train(docs, labels.limit(0)).landmarks == [] and toxicity.train(docs.limit(0), labels).landmarks == []
 
 
+def test_training_is_not_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"words {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda rows, totals=None: toxicity.Model([str(os.getpid()), str(len(rows))], np.zeros(2), 0.0, 0.0, 1.0, 0.0))
+    process, n = toxicity.train(docs, labels).landmarks
+    assert int(process) != os.getpid()
+    assert int(n) == docs.join(labels, "doc_id").where(~toxicity.held_out(F.col("doc_id"))).count()
+
+
 def test_kernels_of_windows():
     model = toxicity.Model(["idiot", "lowei"], np.ones(2), 0.0, 0.0, 1.0, 0.0)
     k = model.kernels(["idiot", "loweischaft", "idxiot", "unidiotic", "table", "x" * 10 + "idiot", "io"])

@@ -133,12 +133,13 @@ def frequent_cells(docs: DataFrame, n: int) -> bytes:
 
     kind = "block int, counts binary"
     counted = docs.select("text").mapInArrow(count, kind).repartition(8, "block").mapInArrow(add, kind)
-    cells = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
-    for row in counted.collect():  # BLOCKS rows of fixed size
-        cells[row["block"]] += np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    cells = cells.reshape(-1)
-    mean = cells.mean()
-    return np.packbits(cells > mean + 8 * math.sqrt(mean) + 64).tobytes()
+    found = {row["block"]: row["counts"] for row in counted.collect()}  # BLOCKS rows of bounded size, unpacked one by one
+
+    def cells(block: int) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(found[block]), "<i8") if block in found else np.zeros(CELLS // BLOCKS, np.int64)
+
+    mean = sum(int(cells(k).sum()) for k in range(BLOCKS)) / CELLS
+    return b"".join(np.packbits(cells(k) > mean + 8 * math.sqrt(mean) + 64).tobytes() for k in range(BLOCKS))
 
 
 def _ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:

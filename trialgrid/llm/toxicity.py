@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -368,7 +369,8 @@ def fit(rows: list[tuple[str | None, int]], totals: dict[int, int] | None = None
     if not len(rows) or y.min() == y.max() or len(set(y[~aside].tolist())) < 2:
         return empty
     texts = [text for text, _ in rows]
-    words = [sorted(_words_of(text)) for text in texts]
+    same: dict[str, str] = {}
+    words = [sorted(same.setdefault(w, w) for w in _words_of(text)) for text in texts]  # a word that many rows have is held once
     use = np.flatnonzero(~aside).tolist()
     chosen = _landmarks([words[i] for i in use], y[use])
     if not chosen:
@@ -417,8 +419,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     totals = {int(r["toxic"]): r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for label in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x max_rows ids: the texts stay where they are
-    rows = [(r["text"], int(r["toxic"])) for r in texts.join(sample, "doc_id").select("text", "toxic").toLocalIterator()]
-    return fit(rows, totals)
+    return _fit_in_task(texts.join(sample, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), totals)
+
+
+def _fit_in_task(rows: DataFrame, totals: dict[int, int]) -> Model:
+    """fit, for rows (text, toxic) of train, in one task: the driver holds the model only, not the texts and their words."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, totals))], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # a row
+    return pickle.loads(made[0]["model"]) if made else fit([], totals)
 
 
 @functools.lru_cache(maxsize=1)
