@@ -30,6 +30,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import math
 import pickle
@@ -203,8 +205,8 @@ def _with_insertions(word: str) -> list[str]:
     return sorted({word[:i] + c + word[i:] for i in range(1, len(word)) for c in (word[i - 1], other)})
 
 
-def _copies_joined(words: list[list[str]], y: np.ndarray) -> list[tuple[set[str], int]]:
-    """Words and label of each class of rows that share the four smallest of three hashes of their words."""
+def _copies_joined(words: list[list[str]], y: np.ndarray) -> list[tuple[list[str], int]]:
+    """Words, sorted like those of rows, and label of each class of rows that share the four smallest of three hashes of their words."""
     label = list(range(len(words)))
 
     def root(i: int) -> int:
@@ -219,10 +221,10 @@ def _copies_joined(words: list[list[str]], y: np.ndarray) -> list[tuple[set[str]
             first = seen.setdefault((int(y[i]), seed, *sorted(zlib.crc32(c, seed * 7919) for c in codes)[:4]), i)
             a, b = sorted((root(i), root(first)))
             label[b] = a
-    out: dict[int, set[str]] = {}
-    for i, own in enumerate(words):
-        out.setdefault(root(i), set()).update(own)
-    return [(own, int(y[i])) for i, own in out.items()]
+    out: dict[int, list[int]] = {}
+    for i in range(len(words)):
+        out.setdefault(root(i), []).append(i)
+    return [(words[i] if len(rows) == 1 else sorted({w for k in rows for w in words[k]}), int(y[i])) for i, rows in out.items()]
 
 
 def _logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -270,7 +272,7 @@ def _substrings(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _landmarks(words: list[list[str]], y: np.ndarray) -> list[str]:
     """Strings that tell toxic rows by more than chance, each from words that hold none before it."""
     alone = _copies_joined(words, y)  # rows that are near copies are no further evidence
-    toxic, clean = [sorted(own) for own, label in alone if label], [sorted(own) for own, label in alone if not label]
+    toxic, clean = [own for own, label in alone if label], [own for own, label in alone if not label]
     n1, n0 = len(toxic), len(clean)
 
     def counted(rows: list[list[str]], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -422,12 +424,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     return _fit_in_task(texts.join(sample, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), totals)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can: the worker lives on for other tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _fit_in_task(rows: DataFrame, totals: dict[int, int]) -> Model:
     """fit, for rows (text, toxic) of train, in one task: the driver holds the model only, not the texts and their words."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, totals))], pa.binary())], ["model"])
+        made = pickle.dumps(fit(found, totals))
+        found.clear()
+        _give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
 
     made = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # a row
     return pickle.loads(made[0]["model"]) if made else fit([], totals)
