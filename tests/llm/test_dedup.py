@@ -1,17 +1,20 @@
 """Repeats, near duplicates, lines, personal data, toxicity, pipeline: against brute force."""
 
+import gc
 import hashlib
 import os
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trialgrid.llm import embedding_dedup, graph, line_dedup, ngram_join, pii, suffix_dedup, toxicity
+from trialgrid.llm import common, embedding_dedup, graph, line_dedup, ngram_join, packing, pii, suffix_dedup, toxicity
 
 
 def repeats(rows, length=200):
@@ -610,3 +613,37 @@ def test_rows_with_and_without_keys(spark, monkeypatch, most):
     assert len(held) < 1500 or most == 64
     none, every = common.with_and_without(df, F.xxhash64("id"), keys.limit(0))
     assert (none.count(), every.count()) == (0, 5000)
+
+
+def test_a_worker_keeps_what_one_operator_needs(model):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    list(encoder.encode_all(["some words to keep"]))
+    assert packing.word_encoder(public_tokenizers.path("word_bpe_49k.json")) is encoder
+    held = weakref.ref(encoder)
+    del encoder
+    scores = toxicity.rate_texts(model, ["words of another operator"])
+    gc.collect()
+    assert held() is None
+    assert toxicity.rate_texts(model, ["words of another operator"]) == scores
+
+
+def test_tasks_take_batches_in_pieces_and_leave_nothing_of_others(monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 1000)
+    texts = [None, "", "x" * 5000, *("y" * (i % 50) for i in range(200))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string())], ["i", "text"]) for x in (texts, [], texts[50:])]
+    common.kept_in_worker("others", None, dict)
+    seen = []
+
+    def work(batches):
+        assert not common._kept
+        own = common.kept_in_worker("own", None, dict)
+        for batch in batches:
+            seen.append((batch.num_rows, batch.nbytes))
+            yield batch
+        assert common.kept_in_worker("own", None, dict) is own
+
+    out = list(common.sparing("own", work)(iter(batches)))
+    assert pa.Table.from_batches(out).to_pylist() == pa.Table.from_batches(batches).to_pylist()
+    assert len(seen) >= 15 and all(rows <= 60 for rows, _ in seen) and (0, 0) in seen
+    assert common.kept_in_worker("own", None, lambda: None) is not None

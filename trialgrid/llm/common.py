@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,10 @@ from pyspark.sql.types import StructType
 
 #: Bits of the table that tells rows with a key from others, at most.
 KEY_BITS = 1 << 25
+#: Bytes of the pieces that a batch is cut into, on average; a piece has one row at least.
+PIECE_BYTES = 1 << 22
+
+_kept: dict[str, tuple[Any, Any]] = {}  # a worker's
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +103,44 @@ def partitions_for(spark: SparkSession, size: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)
 
 
+
+def give_back() -> None:
+    """Return freed memory to the system where the libraries can: a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept_in_worker(operator: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a worker from one task to the next, made by make(); there is one such thing in a worker, that of the last operator and key."""
+    if operator not in _kept or _kept[operator][0] != key:
+        _kept.clear()
+        _kept[operator] = key, make()
+    return _kept[operator][1]
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, in batches of about PIECE_BYTES on average, or of one row."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def sparing(operator: str, work: Callable) -> Callable:
+    """work, for mapInArrow, so that a worker holds no more than its task needs: what other operators have kept in it goes first,
+    texts and results are taken in pieces, and memory that is free at the end goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _kept and operator not in _kept:
+            _kept.clear()
+            give_back()
+        yield from work(pieces_of(batches))
+        give_back()
+
+    return run
+
+
 def sum_rows(rows: DataFrame, key: str, parts: int) -> list[list[int]]:
     """Sums by key of lists of whole numbers (key int, cells: the list as text, so of numbers of any size), added in tasks by key; a row a key for the driver, in order."""
 

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, materialize_parts, partitions_for, read_table, release, with_and_without
+from .common import kept_in_worker, materialize, materialize_parts, partitions_for, read_table, release, sparing, with_and_without
 from .graph import connected_components
 
 CELLS = 1 << 21
@@ -69,7 +69,9 @@ class _Words(dict):
         return h
 
 
-_words = _Words()  # a worker's, kept from one task to the next
+def _words() -> _Words:
+    """A worker's, kept from one task to the next."""
+    return kept_in_worker("ngram_join", None, _Words)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def frequent_cells(docs: DataFrame, n: int) -> bytes:
     """A bit for each counter: whether n-grams that fall on it are frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cells = _words, np.zeros(CELLS, np.int64)
+        words, cells = _words(), np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = ngram_hashes(text, n, words)
@@ -132,7 +134,7 @@ def frequent_cells(docs: DataFrame, n: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
 
     kind = "block int, counts binary"
-    counted = docs.select("text").mapInArrow(count, kind).repartition(8, "block").mapInArrow(add, kind)
+    counted = docs.select("text").mapInArrow(sparing("ngram_join", count), kind).repartition(8, "block").mapInArrow(sparing("ngram_join", add), kind)
     found = {row["block"]: row["counts"] for row in counted.collect()}  # BLOCKS rows of bounded size, unpacked one by one
 
     def cells(block: int) -> np.ndarray:
@@ -170,10 +172,12 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes, bits:
     names = [*rest, "n_shingles", "h1", "h2", "g1", "g2", "items", "prefix", "kind"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words
+        words, seen = _words(), set()
         often = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
         for batch in batches:
             size, keys, prefix, items = [], [], {}, []
+            if len(seen) > 10_000:
+                seen.clear()
             for text in batch.column("text").to_pylist():
                 h = np.unique(ngram_hashes(text, n, words))
                 items.append(_packed_prints(h, print_bits(len(h), bits)))
@@ -182,7 +186,8 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes, bits:
                 first = h[: prefix_length(len(h), percent)] if len(h) else h
                 group = _halves(xxhash.xxh3_128_intdigest(first.tobytes(), seed=len(h)))
                 keys.append(_halves(xxhash.xxh3_128_intdigest(h.tobytes())) + group)
-                if len(h) and group not in prefix:
+                if len(h) and group not in seen:
+                    seen.add(group)
                     prefix[group] = _prefix(h, percent)
             hashes = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
             none = pa.nulls(len(size), pa.list_(pa.int64()))
@@ -192,7 +197,7 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: bytes, bits:
             nothing = [pa.nulls(m, batch.column(c).type) for c in rest]
             yield pa.RecordBatch.from_arrays([*nothing, *(pa.nulls(m, pa.int64()) for _ in range(3)), *groups, pa.nulls(m, pa.binary()), pa.array(list(prefix.values()), pa.list_(pa.int64())), pa.array([1] * m, pa.int32())], names)
 
-    return docs.mapInArrow(build, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, items binary, prefix array<long>, kind int")
+    return docs.mapInArrow(sparing("ngram_join", build), ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", n_shingles long, h1 long, h2 long, g1 long, g2 long, items binary, prefix array<long>, kind int")
 
 
 def _numbers(cell: bytes) -> np.ndarray:
@@ -249,14 +254,14 @@ def _text_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted.select(key.alias("k"))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = _words, table.value
+        words, held = _words(), table.value
         for batch in batches:
             at = batch.column(4).to_numpy() & (8 * len(held) - 1)
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             sets = [np.unique(ngram_hashes(t, n, words)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array([np.sort(x.view(np.int64)).tobytes() for x in sets], pa.binary())], ["doc_id", "t1", "t2", "n", "items"])
 
-    made = docs.select("doc_id", "t1", "t2", "text", key.alias("k")).mapInArrow(build, f"doc_id {dict(docs.dtypes)['doc_id']}, t1 long, t2 long, n long, items binary")
+    made = docs.select("doc_id", "t1", "t2", "text", key.alias("k")).mapInArrow(sparing("ngram_join", build), f"doc_id {dict(docs.dtypes)['doc_id']}, t1 long, t2 long, n long, items binary")
     w = wanted.select("node", F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     return made.join(w, (made["t1"] == w["_t1"]) & (made["t2"] == w["_t2"]) & made["doc_id"].eqNullSafe(w["_id"])).select("node", "n", "items").dropDuplicates(["node"])  # repeated rows only
 
@@ -310,7 +315,7 @@ def bucket_pairs(entries: DataFrame, percent: int, exhaust: int) -> DataFrame:
         yield batch_of(out)
 
     spread = entries.repartition(partitions_for(entries.sparkSession, 0, 1), "token").sortWithinPartitions("token")
-    return spread.select("token", "grp", "n", "pos").mapInArrow(stream, "kind int, token long, a long, b long, pa long, pb long")
+    return spread.select("token", "grp", "n", "pos").mapInArrow(sparing("ngram_join", stream), "kind int, token long, a long, b long, pa long, pb long")
 
 
 def _likely(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -362,7 +367,7 @@ def _met(pairs: DataFrame, sets: DataFrame, test: Callable, arrays: Callable) ->
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = full.select("hub", "part", (F.col("node") != F.col("hub")).alias("spoke"), "node", "n", "items")
-    return rows.repartition(partitions_for(pairs.sparkSession, 0, 1), "hub", "part").sortWithinPartitions("hub", "part", "spoke").mapInArrow(meet, "a long, b long")
+    return rows.repartition(partitions_for(pairs.sparkSession, 0, 1), "hub", "part").sortWithinPartitions("hub", "part", "spoke").mapInArrow(sparing("ngram_join", meet), "a long, b long")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -574,7 +579,7 @@ def _blocks(buckets: DataFrame, sets: DataFrame, task: Callable, kind: str) -> D
             yield task(key[0], key[1] == key[2], held)
 
     dealt = full.repartition(partitions_for(buckets.sparkSession, 0, 1), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, *rest).mapInArrow(meet, kind)
+    return dealt.select(*keys, *rest).mapInArrow(sparing("ngram_join", meet), kind)
 
 
 def _hits(rows: list[dict], same: bool, percent: int, overlaps: Callable) -> np.ndarray:

@@ -14,7 +14,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 import zlib
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions_for, read_table
+from .common import kept_in_worker, materialize, partitions_for, read_table, sparing
 
 CAPACITY = 2048
 WORD_TABLE = 700_000
@@ -34,7 +33,6 @@ WORD_TABLE = 700_000
 _odd_space = re.compile("[\x1c-\x1f]").search
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -89,10 +87,9 @@ class WordEncoder:
         return next(self.encode_all([text]))
 
 
-@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """A worker's encoder, kept from one task to the next."""
-    return WordEncoder(path)
+    return kept_in_worker("packing", path, lambda: WordEncoder(path))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -120,7 +117,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separa
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {dict(df.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(sparing("packing", cut), f"doc_id {dict(df.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -225,7 +222,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_start") + F.col("_rank"))
-    return ranked.select(*columns, "_rank").mapInArrow(assign, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
+    return ranked.select(*columns, "_rank").mapInArrow(sparing("packing", assign), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, sparing
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -242,7 +242,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([[list(s) for s in x] for x in v], spans) for v in (bases, looses, given))], ["doc_id", "base", "loose", "votes"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(find, f"doc_id {dict(df.dtypes)[id_col]}, base array<array<int>>, loose array<array<int>>, votes array<array<int>>")
+    return rows.mapInArrow(sparing("pii", find), f"doc_id {dict(df.dtypes)[id_col]}, base array<array<int>>, loose array<array<int>>, votes array<array<int>>")
 
 
 def _beside(base: list, loose: list) -> list[tuple[int, int, int]]:
@@ -311,7 +311,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 added.append(len(spans) - len(base))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
-    return scanned.mapInArrow(decide, f"doc_id {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return scanned.mapInArrow(sparing("pii", decide), f"doc_id {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +336,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(replace, df.schema)
+    return df.mapInArrow(sparing("pii", replace), df.schema)
 
 
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

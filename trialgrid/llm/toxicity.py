@@ -30,9 +30,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import functools
 import math
 import pickle
 import re
@@ -45,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table
+from .common import kept_in_worker, read_table, sparing
 
 ORDER, DECAY, DEGREE, SHARE, LEAST, GAP = 3, 0.7, 3, 0.75, 0.1, 2
 LENGTHS, LETTERS = range(4, 9), 24
@@ -424,30 +421,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     return _fit_in_task(texts.join(sample, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), totals)
 
 
-def _give_back() -> None:
-    """Return freed memory to the system where the C library can: the worker lives on for other tasks."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _fit_in_task(rows: DataFrame, totals: dict[int, int]) -> Model:
     """fit, for rows (text, toxic) of train, in one task: the driver holds the model only, not the texts and their words."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        made = pickle.dumps(fit(found, totals))
-        found.clear()
-        _give_back()
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, totals))], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # a row
+    made = rows.repartition(1).mapInArrow(sparing("toxicity", learn), "model binary").collect()  # a row
     return pickle.loads(made[0]["model"]) if made else fit([], totals)
 
 
-@functools.lru_cache(maxsize=1)
 def _word_table(model: str) -> tuple[set[str], dict[str, np.ndarray]]:
     """Words that a worker has met with a model, and the kernels of those near a landmark, kept from one task to the next."""
-    return set(), {}
+    return kept_in_worker("toxicity", model, lambda: (set(), {}))
 
 
 def rate_texts(model: Model, texts: list[str | None]) -> tuple[list[float], list[str | None]]:
@@ -495,7 +482,7 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.float64()), pa.array([int(s >= threshold) for s in best], pa.int32()), pa.array(worst, pa.string())], ["doc_id", "held_out", "score", "predicted", "worst"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    return rows.mapInArrow(rate, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int, worst string")
+    return rows.mapInArrow(sparing("toxicity", rate), f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int, worst string")
 
 
 def filter_clean(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -507,7 +494,7 @@ def filter_clean(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             scores = rate_texts(shared.value, batch.column(text_col).to_pylist())[0]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(sparing("toxicity", keep), df.schema)
 
 
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
